@@ -25,20 +25,34 @@ def add_severity(df: DataFrame, settings: Settings) -> DataFrame:
 
 
 def severity_by_rule_table(df: DataFrame, rules: DataFrame, settings: Settings) -> DataFrame:
-    """The same answer for a rule table (keyword, weight) instead of settings.
+    """The same answer for a rule table (keyword, weight) of any length.
 
-    Offence texts repeat, so keywords are matched against the distinct texts only: the rules
-    ride along as one array (they are a hand-kept list), and the answer joins back by text.
+    Containment becomes an equi-join: every substring of the shortest keyword's length is
+    matched with the keywords that begin with it, then `contains` decides. Offence texts
+    repeat, so only the distinct ones are taken apart.
     """
     default = F.lit(float(settings.default_severity))
-    book = rules.agg(F.collect_list(F.struct("keyword", "weight")).alias("book"))
+    keyed = rules.filter(F.length("keyword") > 0)
+    size = keyed.agg(F.min(F.length("keyword"))).first()[0] or 1
+    keyed = keyed.select(
+        F.substring("keyword", 1, size).alias("gram"), "keyword", F.col("weight").cast("double")
+    )
     texts = df.select("violation_type_clean").distinct()
-    hits = F.transform(
-        F.filter("book", lambda r: F.col("violation_type_clean").contains(r["keyword"])),
-        lambda r: r["weight"].cast("double"),
+    starts = F.expr(f"sequence(1, length(violation_type_clean) - {size} + 1)")
+    grams = F.array_distinct(
+        F.transform(starts, lambda i: F.substring("violation_type_clean", i, F.lit(size)))
+    )
+    hits = (
+        texts.filter(F.length("violation_type_clean") >= size)
+        .select("violation_type_clean", F.explode(grams).alias("gram"))
+        .join(keyed, "gram")
+        .filter(F.col("violation_type_clean").contains(F.col("keyword")))
+        .groupBy("violation_type_clean")
+        .agg(F.max("weight").alias("best"))
     )
-    scored = texts.join(F.broadcast(book)).select(
-        "violation_type_clean", F.greatest(default, F.array_max(hits)).alias("severity")
+    scored = texts.join(hits, "violation_type_clean", "left").select(
+        "violation_type_clean",
+        F.greatest(default, F.coalesce("best", default)).alias("severity"),
     )
     return df.join(scored, "violation_type_clean", "left").fillna(
         {"severity": float(settings.default_severity)}

@@ -72,7 +72,8 @@ def hour_facts(clocked: DataFrame) -> DataFrame:
 
 def add_rush_and_density(clocked: DataFrame, settings: Settings) -> DataFrame:
     """Both per-cluster lookups in one left join; noise finds no partner and keeps the
-    baseline. Noise rows carry a salt in the join key so that they spread over all tasks."""
+    baseline. For row-level output only: the rollups work on `rollups.incident_facts`, which
+    needs no join back to the incident rows."""
     facts = hour_facts(clocked)
     rush = F.when(
         F.col("violations_in_hour") > F.col("cluster_median_hourly"), settings.rush_hour_factor
