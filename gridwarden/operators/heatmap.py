@@ -21,15 +21,23 @@ def station_budget(clean: DataFrame, settings: Settings) -> int:
 def heatmap_sample(clean: DataFrame, budget: int, settings: Settings) -> DataFrame:
     """At most `budget` rows of each station, without replacement.
 
-    Every map task keeps only its own best `budget` rows of a station before the shuffle, so
-    the largest station moves budget rows a task, not all its rows.
+    Two rounds of the same draw: first among the rows of a (station, salt) share, then among
+    the shares' survivors. The answer is that of one round, but the largest station is drawn
+    by as many tasks as the shuffle has, and no task holds more than salts * budget of it.
     """
-    draw = Window.partitionBy("station_key").orderBy(_ticket(settings.heatmap_seed, "id"), "id")
+    salts = int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ticket = _ticket(settings.heatmap_seed, "id")
+    points = clean.select("station_key", "id", "latitude", "longitude").withColumns(
+        {"_ticket": ticket, "_salt": F.pmod(F.xxhash64("id"), F.lit(salts))}
+    )
+    share = Window.partitionBy("station_key", "_salt").orderBy("_ticket", "id")
+    station = Window.partitionBy("station_key").orderBy("_ticket", "id")
     return (
-        clean.select("station_key", "id", "latitude", "longitude")
-        .withColumn("_n", F.row_number().over(draw))
+        points.withColumn("_n", F.row_number().over(share))
+        .filter(F.col("_n") <= budget)
+        .withColumn("_n", F.row_number().over(station))
         .filter(F.col("_n") <= budget)
-        .drop("_n")
+        .drop("_n", "_salt", "_ticket")
     )
 
 

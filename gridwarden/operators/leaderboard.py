@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.config import Settings
+from gridwarden.operators.numbering import number_rows
 from gridwarden.operators.temporal import KEY
 
 # The three dispatch states.
@@ -58,31 +59,13 @@ def score_board(impact: DataFrame, recency: DataFrame, settings: Settings) -> Da
 
 
 def rank_board(board: DataFrame, scale: int = 6) -> DataFrame:
-    """Consecutive ranks by descending score, cluster id on a tie.
-
-    The sort is a range shuffle. Each range partition numbers its own rows and adds the row
-    counts of the ranges before it, so no task holds the whole board.
-    """
+    """Consecutive ranks by descending score, cluster id on a tie. Scores are compared at
+    `scale` decimals, because sums of doubles depend on their order beyond that."""
     order = [F.desc("_score"), F.asc("cluster_id")]
-    ranged = (
-        board.withColumn("_score", F.round("priority_score", scale))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    local = Window.partitionBy("_part").orderBy(*order)
-    numbered = ranged.withColumn("_local", F.row_number().over(local))
-    # one row per partition: at most as many as there are shuffle partitions
-    sizes = numbered.groupBy("_part").agg(F.max("_local").alias("_size"))
-    before = sizes.select(
-        "_part",
-        (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_offset"),
-    )
-    ranked = numbered.join(F.broadcast(before), "_part").withColumn(
-        "rank", (F.col("_local") + F.col("_offset")).cast("int")
-    )
+    scored = board.withColumn("_score", F.round("priority_score", scale))
+    ranked = number_rows(scored, order, "rank")
     columns = [c for c in board.columns if c != "rank"]
-    return ranked.select("rank", *columns)
+    return ranked.select(F.col("rank").cast("int").alias("rank"), *columns)
 
 
 def build_leaderboard(impact: DataFrame, recency: DataFrame, settings: Settings) -> DataFrame:
