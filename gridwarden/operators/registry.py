@@ -57,9 +57,21 @@ RUN_SCHEMA = T.StructType(
 
 
 def _fixed(c: Column, digits: int) -> Column:
-    """Fixed-point text, half to even on the scaled value."""
+    """Fixed-point text rounded by the exact binary value of the double, as C and Python do.
+
+    A scaled value that looks like a tie usually is none: the product's rounding error, taken
+    from the upper and lower half of the mantissa, says on which side it lies."""
     scale = 10.0**digits
-    return F.format_string(f"%.{digits}f", F.rint(c * scale) / scale)
+    scaled = c * scale
+    upper = c * 134217729.0 - (c * 134217729.0 - c)
+    error = (upper * scale - scaled) + (c - upper) * scale
+    low = F.floor(scaled).cast("double")
+    rounded = (
+        F.when((scaled - low == 0.5) & (error > 0), low + 1.0)
+        .when((scaled - low == 0.5) & (error < 0), low)
+        .otherwise(F.rint(scaled))
+    )
+    return F.format_string(f"%.{digits}f", rounded / scale)
 
 
 def promotion_gate(candidates: DataFrame, settings: Settings) -> DataFrame:
@@ -101,8 +113,8 @@ def promotion_gate(candidates: DataFrame, settings: Settings) -> DataFrame:
 
 
 def with_previous(candidates: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pairs each candidate (model_version, generated_at, new_mae, force) with the run that
-    was promoted last before it. Both sides run through one ordered pass per version."""
+    """Pairs each candidate (model_version, new_mae, force) with the run that is promoted for
+    its version now. One pre-aggregated row per version, so the join cannot fan out."""
     served = runs.filter("promoted").groupBy("model_version").agg(
         F.max_by(F.struct("run_id", "forecast_mae"), F.struct("generated_at", "run_id")).alias("p")
     )
