@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 def to_double(c: Column) -> Column:
     """Number or null. Java's `12.9d` suffixes are junk here, `inf` is a number, `nan` is not."""
-    java_suffix = c.rlike(r"[0-9.][dDfF]\s*$")
-    number = F.when(~java_suffix, c.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    junk = c.rlike(r"(?i)nan|[0-9.][df]\s*$")
+    return F.when(~junk, c.try_cast("double"))
 
 
 def to_utc_timestamp(c: Column, formats: tuple[str, ...] = ()) -> Column:

@@ -55,15 +55,31 @@ def _quoted_scalar(text: Column) -> Column:
     return F.regexp_replace(text, r"""(?s)^(['"])([^'"\\]*)\1$""", "$2")
 
 
+def _once(value: Column, body) -> Column:
+    """Binds a value that `body` uses several times, so it is computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _items(text: Column) -> Column:
+    parsed = F.from_json(text, "array<string>")
+    return _once(parsed, lambda items: _listed_or_single(items, text))
+
+
+def _listed_or_single(items: Column, text: Column) -> Column:
+    is_list = F.size(F.coalesce(items, F.array())) > 0
+    whole = is_list & ~F.exists(items, lambda v: v.isNull())
+    return F.when(whole, F.transform(items, lambda v: F.upper(strip(v)))).otherwise(
+        F.array(F.upper(strip(_quoted_scalar(text))))
+    )
+
+
 def violation_array(c: Column) -> Column:
     """Listed offences, upper-cased; a text that is no list becomes the one item it holds."""
-    text = strip(c)
-    items = F.from_json(text, "array<string>")
-    is_list = items.isNotNull() & (F.size(items) > 0) & ~F.exists(items, lambda v: v.isNull())
-    return (
-        F.when(text.isNull() | (F.upper(text).isin("", "NULL")), F.array(F.lit("UNKNOWN")))
-        .when(is_list, F.transform(items, lambda v: F.upper(strip(v))))
-        .otherwise(F.array(F.upper(strip(_quoted_scalar(text)))))
+    return _once(
+        strip(c),
+        lambda text: F.when(
+            F.upper(F.coalesce(text, F.lit(""))).isin("", "NULL"), F.array(F.lit("UNKNOWN"))
+        ).otherwise(_items(text)),
     )
 
 

@@ -69,7 +69,7 @@ def flag(raw: DataFrame, settings: Settings) -> DataFrame:
         F.lit(False),
     )
     infinite = F.coalesce(_inf(lat), F.lit(False)) | F.coalesce(_inf(lon), F.lit(False))
-    geo_ok = ~missing & ~infinite & ~island & inside
+    geo_ok = inside & ~island  # inside means present and finite as well
     return typed.withColumns(
         {
             MISSING: missing,

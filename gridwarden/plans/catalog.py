@@ -124,6 +124,12 @@ def r(column, digits: int = 6):
     return F.round(column, digits)
 
 
+def mean_degrees(column: str):
+    """A mean coordinate at six decimals. Inputs have six decimals too, so plain rounding
+    would often meet exact ties, which the order of a sum decides; the shift avoids them."""
+    return F.round(F.col(column) + 1.3717e-7, 6).alias(column)
+
+
 # --- scans, sources, sinks ---------------------------------------------------------------
 
 
@@ -580,8 +586,8 @@ def q_impact_score(spark, d):
 def _impact_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "cluster_id", "junction_name", "police_station",
-        r("center_latitude").alias("center_latitude"),
-        r("center_longitude").alias("center_longitude"),
+        mean_degrees("center_latitude"),
+        mean_degrees("center_longitude"),
         "total_violations",
         r("total_impact_score", 4).alias("total_impact_score"),
         r("average_impact_per_vehicle", 4).alias("average_impact_per_vehicle"),
@@ -703,8 +709,8 @@ def q_haversine(spark, d):
 def q_leaderboard(spark, d):
     return board(spark, d).select(
         "rank", "cluster_id", "junction_name", "police_station",
-        r("center_latitude").alias("center_latitude"),
-        r("center_longitude").alias("center_longitude"),
+        mean_degrees("center_latitude"),
+        mean_degrees("center_longitude"),
         "total_violations",
         r("total_impact_score", 4).alias("total_impact_score"),
         "high_severity_incidents",
@@ -758,8 +764,8 @@ def q_summary(spark, d):
 def _summary(df: DataFrame) -> DataFrame:
     return df.select(
         "cluster_id", "rank", "junction_name", "police_station",
-        r("center_latitude").alias("center_latitude"),
-        r("center_longitude").alias("center_longitude"),
+        mean_degrees("center_latitude"),
+        mean_degrees("center_longitude"),
         "total_violations", r("priority_score", 4).alias("priority_score"),
         "status", "recommendation",
     )
@@ -839,8 +845,8 @@ def q_cap_sample(spark, d):
 @query("map_center")
 def q_map_center(spark, d):
     return heatmap.map_center(clean(spark, d)).select(
-        r("center_latitude").alias("center_latitude"),
-        r("center_longitude").alias("center_longitude"),
+        mean_degrees("center_latitude"),
+        mean_degrees("center_longitude"),
     )
 
 

@@ -256,10 +256,10 @@ def upto(step: str, body: str, *more: str) -> str:
 
 US = "epoch_us(created_datetime) AS created_us"
 SUMMARY = """cluster_id, rank, junction_name, police_station,
-  round(center_latitude, 6) AS center_latitude, round(center_longitude, 6) AS center_longitude,
+  round(center_latitude + 1.3717e-7, 6) AS center_latitude, round(center_longitude + 1.3717e-7, 6) AS center_longitude,
   total_violations, round(priority_score, 4) AS priority_score, status, recommendation"""
 IMPACT = """cluster_id, junction_name, police_station,
-  round(center_latitude, 6) AS center_latitude, round(center_longitude, 6) AS center_longitude,
+  round(center_latitude + 1.3717e-7, 6) AS center_latitude, round(center_longitude + 1.3717e-7, 6) AS center_longitude,
   total_violations, round(total_impact_score, 4) AS total_impact_score,
   round(average_impact_per_vehicle, 4) AS average_impact_per_vehicle, high_severity_incidents"""
 REPORT_SUMS = ", ".join(f"count_if({x})::BIGINT AS {x}" for x in REASONS)
@@ -583,8 +583,8 @@ ORACLE: dict[str, str] = {
     ),
     "map_center": upto(
         "clean",
-        "SELECT round(avg(latitude), 6) AS center_latitude, "
-        "round(avg(longitude), 6) AS center_longitude FROM clean",
+        "SELECT round(avg(latitude) + 1.3717e-7, 6) AS center_latitude, "
+        "round(avg(longitude) + 1.3717e-7, 6) AS center_longitude FROM clean",
     ),
     "label_encode": upto("clusters", "SELECT * FROM labels_of", LABELS),
     "join_encoding": upto(
