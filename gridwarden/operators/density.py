@@ -1,11 +1,58 @@
-"""Labels and per-station figures of the density clustering."""
+"""Density clustering of every station at once (HDBSCAN: mutual reachability, single linkage,
+excess of mass), and the labels and figures made from it.
+
+The stages are joins, windows and grouped aggregates over points, cells and cell pairs; see
+`quadtree`, `core_distance`, `candidate_edges` and `condense`. No stage gathers a station.
+
+Choices where implementations differ: the k-th neighbour does not count the point itself; the
+root cluster is never selected; merges at equal weight happen at once; clusters of a station
+are numbered by their smallest id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwarden.config import NOISE
+from gridwarden.config import NOISE, Settings
+from gridwarden.operators.candidate_edges import candidate_edges
+from gridwarden.operators.condense import ROUND_LIMIT, flat_clusters
+from gridwarden.operators.core_distance import core_distances
+from gridwarden.operators.quadtree import coordinate_key, distinct_points
+from gridwarden.session import broadcast_if_small, written
+
+
+def cluster_hotspots(
+    clean: DataFrame, settings: Settings, round_limit: int = ROUND_LIMIT
+) -> DataFrame:
+    """(station_key, id, cluster_id) for every clean row."""
+    points = distinct_points(clean, settings)
+    cored = core_distances(points)
+    edges = candidate_edges(cored)
+    flat = flat_clusters(cored, edges, settings.min_cluster_size, round_limit)
+    named = written(number_clusters(cored, flat), "named")
+    # the coordinate, not the id, finds the label; labels are one row per coordinate
+    rows = clean.select("station_key", "id", "latitude", "longitude").withColumns(
+        coordinate_key(settings)
+    )
+    labels = broadcast_if_small(named, settings.broadcast_row_limit)
+    joined = rows.join(labels, ["station_key", "x", "y"], "left")
+    label = F.coalesce("label", F.lit(-1))
+    return joined.select("station_key", "id", namespace_cluster(label).alias("cluster_id"))
+
+
+def number_clusters(points: DataFrame, flat: DataFrame) -> DataFrame:
+    """(station_key, x, y, label): labels 0, 1, ... of a station in the order of the smallest
+    id in the cluster. The window runs over one row per cluster, not over points."""
+    members = points.select("station_key", "pid", "x", "y", "first_id").join(
+        flat, ["station_key", "pid"]
+    )
+    first = members.groupBy("station_key", "cluster").agg(F.min("first_id").alias("first_id"))
+    order = Window.partitionBy("station_key").orderBy("first_id", "cluster")
+    numbered = first.select(
+        "station_key", "cluster", (F.row_number().over(order) - 1).alias("label")
+    )
+    return members.join(numbered, ["station_key", "cluster"]).select("station_key", "x", "y", "label")
 
 
 def namespace_cluster(label: Column, station: str = "station_key") -> Column:
