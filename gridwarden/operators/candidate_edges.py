@@ -1,174 +1,245 @@
 """Sparse edges that contain a minimum spanning tree of the mutual reachability graph.
 
-The weight of two points is the largest of their core distances and their own distance. Pairs
-of cells are opened top-down until a pair is well apart: neither cell is wider than the least
-weight between the two. Then one lightest edge per pair is enough. For two points p, q of the
-pair and its lightest edge p*, q*: p and p* are joined by edges no heavier than (p, q), because
-their distance is at most the cell width, and the same holds for q, q*; by induction over
-smaller pairs the chosen edges join p and q at the weight of (p, q).
-
-A cell no wider than its own least core distance is never opened: all weights inside it are
-core distances, so a star around its least-core point is a spanning tree. Such cells hold
-about k points, which bounds every array below.
+The weight of two points is the largest of their core distances and their own distance. Tiles,
+cells of at most a hundred or so points, get their own spanning tree first; the heaviest edge
+of that tree is the tile's `width`. A coarser cell's width is its diameter. In both cases the
+points of a cell hang together by links no heavier than its width.
+
+Pairs of cells are then opened top-down until a pair is apart: neither width exceeds the least
+possible weight between the two. One lightest edge is enough for such a pair. For two points
+p, q of it and its lightest edge p*, q*: p and p* hang together by links no heavier than (p, q),
+so do q and q*; by induction over smaller cells the chosen edges join p and q at the weight of
+(p, q). Two tiles that are not apart give the cross edges of their joint spanning tree.
+
+Every pair of points falls into exactly one pair of cells, and the number of pairs grows with
+the number of tiles, not with its square. No task sees more than a tile and a bounded share of
+the tiles it is paired with.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwarden.functions.geo import haversine
 from gridwarden.operators import quadtree as qt
+from gridwarden.operators.core_distance import CANDIDATES, SMALL, angles
 from gridwarden.session import written
 
-ROOTS = ["ra.kx", "ra.ky", "rb.kx", "rb.ky"]
+PAIR = ["rax", "ray", "rbx", "rby"]
+EDGE = "station_key string, u bigint, v bigint, weight double"
+POINT = ["pid", "lat", "lon", "c", "core"]
 
 
 def candidate_edges(points: DataFrame) -> DataFrame:
-    """(station_key, u, v, weight) over point ids; about ten edges a point."""
-    least = F.struct("core", "pid")
-    table = qt.cells(points, [F.min(least).alias("least")])
-    table = table.withColumns({"core": F.col("least.core"), "pid": F.col("least.pid")}).drop("least")
-    table = written(_with_done(table), "core-cells")
-    kids = qt.as_children(table.drop("done"), F.col("done_flag")).withColumn(
-        "cell", F.col("cell").dropFields("done_flag")
+    """(station_key, u, v, weight) over point ids. `points` carry core and tile key."""
+    inner = written(
+        points.groupBy(*qt.CELL).applyInPandas(_tile_tree, f"{EDGE}, kx bigint, ky bigint"),
+        "tile-trees",
     )
-    kids = written(kids, "children")
-
-    settled = written(qt.place(points, table.drop("px", "py"), F.col("done_flag")), "settled")
-    edges = [_stars(settled, table)]
-    pairs = _siblings(kids, table)
+    kids = written(_cells_with_width(points, inner), "children")
+    pairs = _siblings(kids)
     apart: list[DataFrame] = []
+    near: list[DataFrame] = []
     while True:
-        pairs = written(pairs, "pairs")
-        apart.append(pairs.filter("apart"))
-        near = pairs.filter("NOT apart")
-        if near.isEmpty():
+        pairs = written(_judged(pairs), "pairs")
+        apart.append(pairs.filter("apart").drop("apart"))
+        touching = pairs.filter("NOT apart").drop("apart")
+        near.append(touching.filter("a.done AND b.done"))
+        rest = touching.filter("NOT (a.done AND b.done)")
+        if rest.isEmpty():
             break
-        opened = qt.open_side(qt.open_side(near, "a", kids, "done"), "b", kids, "done")
-        pairs = _judged(opened)
-    separated = apart[0]
-    for more in apart[1:]:
-        separated = separated.unionByName(more)
-    edges.append(_lightest(separated.drop("apart"), kids, settled))
-    return written(edges[0].unionByName(edges[1]), "edges")
+        pairs = qt.open_side(qt.open_side(rest, "a", kids, "done"), "b", kids, "done")
+    tile_pairs = _keys(_rooted(_union(near)), True).unionByName(
+        _keys(_closest_tiles(_union(apart), kids), False)
+    )
+    cross = _compare(written(tile_pairs, "tile-pairs"), points)
+    return written(inner.select("station_key", "u", "v", "weight").unionByName(cross), "edges")
 
 
-def _with_done(table: DataFrame) -> DataFrame:
-    boxed = table.withColumn("cell", F.struct("la0", "la1", "lo0", "lo1", "c0", "c1"))
-    width = qt.farthest("cell", "cell") * (1 + qt.SLACK)
-    done = (F.col("n") == 1) | (width <= F.col("core"))
-    return boxed.withColumns({"width": width, "done_flag": done}).drop("cell")
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def _stars(settled: DataFrame, table: DataFrame) -> DataFrame:
-    hub = table.filter("done_flag AND n > 1").select(*qt.CELL, F.col("pid").alias("u"))
-    return (
-        settled.join(hub, qt.CELL)
-        .filter("pid <> u")
-        .select("station_key", "u", F.col("pid").alias("v"), F.col("core").alias("weight"))
+def _cells_with_width(points: DataFrame, inner: DataFrame) -> DataFrame:
+    """Cells as children of their parents, with least core, width, and the tile flag."""
+    table = qt.cells(points.drop("kx", "ky"), [F.min("core").alias("core")])
+    links = inner.groupBy(*qt.CELL).agg(F.max("weight").alias("link"))
+    boxed = table.join(links, qt.CELL, "left").withColumn(
+        "box", F.struct("la0", "la1", "lo0", "lo1", "c0", "c1")
     )
+    diameter = qt.farthest("box", "box") * (1 + qt.SLACK)
+    done = F.expr(SMALL)
+    tile_width = F.least(diameter, F.coalesce("link", F.lit(0.0)))
+    wide = boxed.withColumn("width", F.when(done, tile_width).otherwise(diameter))
+    return qt.as_children(wide.drop("box", "link"), done)
 
 
-def _judged(pairs: DataFrame) -> DataFrame:
-    """Marks the pairs that are well apart."""
-    least = F.greatest(qt.nearest("a", "b") * (1 - qt.SLACK), F.col("a.core"), F.col("b.core"))
-    return pairs.withColumn("apart", F.greatest("a.width", "b.width") <= least)
-
-
-def _siblings(kids: DataFrame, table: DataFrame) -> DataFrame:
+def _siblings(kids: DataFrame) -> DataFrame:
     """Pairs of children of the same opened cell, at most 120 for each parent."""
-    opened = table.filter("NOT done_flag").select(
-        "station_key", F.col("kx").alias("px"), F.col("ky").alias("py")
+    opened = kids.filter("NOT cell.done").select(
+        "station_key", F.col("cell.kx").alias("tx"), F.col("cell.ky").alias("ty")
+    )
+    # cells inside a tile have no opened parent and stay out
+    inside = kids.filter("cell.kx % 64 > 0").join(
+        opened.select("station_key", F.col("tx").alias("px"), F.col("ty").alias("py")),
+        ["station_key", "px", "py"],
+        "left_semi",
     )
-    inside = kids.join(opened, ["station_key", "px", "py"], "left_semi")
     left = inside.withColumnRenamed("cell", "a")
     right = inside.withColumnRenamed("cell", "b")
     pairs = left.join(right, ["station_key", "px", "py"]).filter(
         "a.kx < b.kx OR (a.kx = b.kx AND a.ky < b.ky)"
     )
-    return _judged(pairs.select("station_key", "a", "b"))
+    return pairs.select("station_key", "a", "b")
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """Marks the pairs that are apart."""
+    least = F.greatest(qt.nearest("a", "b") * (1 - qt.SLACK), F.col("a.core"), F.col("b.core"))
+    return pairs.withColumn("apart", F.greatest("a.width", "b.width") <= least)
 
 
-def _lightest(separated: DataFrame, kids: DataFrame, settled: DataFrame) -> DataFrame:
-    """One lightest edge per separated pair.
+def _rooted(pairs: DataFrame) -> DataFrame:
+    """The pair's own key, kept while its sides are opened further."""
+    keys = {f"r{s}{x}": F.col(f"{s}.k{x}") for s in ("a", "b") for x in ("x", "y")}
+    return pairs.withColumns(keys)
 
-    Both sides are opened while they are wide; partial pairs that cannot beat the best upper
-    bound of their pair are dropped on the way."""
-    state = separated.select("*", F.col("a").alias("ra"), F.col("b").alias("rb"))
-    state = state.select(
-        "station_key", "a", "b",
-        F.struct("ra.kx", "ra.ky").alias("ra"), F.struct("rb.kx", "rb.ky").alias("rb"),
-    )
+
+def _closest_tiles(apart: DataFrame, kids: DataFrame) -> DataFrame:
+    """Opens both sides of each pair down to tiles, and keeps the pairs of tiles that may hold
+    its lightest edge."""
+    state = _rooted(apart)
     ready: list[DataFrame] = []
     while True:
         state = written(_bounded(state), "closest")
-        ready.append(state.filter("settled").drop("settled", "low", "high"))
-        rest = state.filter("NOT settled").drop("settled", "low", "high")
+        ready.append(state.filter("settled").drop("settled"))
+        rest = state.filter("NOT settled").drop("settled")
         if rest.isEmpty():
-            break
+            return _union(ready)
         state = qt.open_side(qt.open_side(rest, "a", kids, "done"), "b", kids, "done")
-    table = ready[0]
-    for more in ready[1:]:
-        table = table.unionByName(more)
-    low = F.greatest(qt.nearest("a", "b"), F.col("a.core"), F.col("b.core"))
-    flat = qt.farthest("a", "b") <= F.greatest("a.core", "b.core")
-    single = (F.col("a.n") == 1) & (F.col("b.n") == 1)
-    at_once = table.filter(flat | single).select(
-        "station_key", "ra", "rb",
-        F.struct(
-            qt.rounded(low).alias("weight"), F.col("a.pid").alias("u"), F.col("b.pid").alias("v")
-        ).alias("edge"),
+
+
+def _bounded(state: DataFrame) -> DataFrame:
+    """Drops partial pairs that cannot beat the best upper bound of their pair; a pair is
+    settled when all its partial pairs are tiles."""
+    pair = qt.window_of(*PAIR)
+    cores = F.greatest("a.core", "b.core")
+    low = F.greatest(qt.nearest("a", "b") * (1 - qt.SLACK), cores)
+    high = F.greatest(qt.farthest("a", "b") * (1 + qt.SLACK), cores)
+    tiles = (F.col("a.done") & F.col("b.done")).cast("int")
+    return (
+        state.withColumns({"low": low, "best": F.min(high).over(pair)})
+        .filter("low <= best")
+        .drop("low", "best")
+        .withColumn("settled", F.min(tiles).over(pair) == 1)
+    )
+
+
+def _keys(pairs: DataFrame, near: bool) -> DataFrame:
+    return pairs.select(
+        "station_key", *PAIR, F.lit(near).alias("near"),
+        F.col("a.kx").alias("kx"), F.col("a.ky").alias("ky"),
+        F.col("b.kx").alias("bx"), F.col("b.ky").alias("by"), F.col("b.n").alias("n"),
     )
-    member = F.struct("lat", "lon", "c", "core", "pid")
-    groups = settled.groupBy(*qt.CELL).agg(F.collect_list(member).alias("members"))
-    by_points = table.filter(~(flat | single))
-    for side in ("a", "b"):
-        key = [F.col("station_key"), F.col(f"{side}.kx").alias("kx"), F.col(f"{side}.ky").alias("ky")]
-        others = [c for c in by_points.columns if c not in ("station_key", side)]
-        by_points = (
-            by_points.select(*key, *others)
-            .join(groups.withColumnRenamed("members", side), qt.CELL)
-            .drop("kx", "ky")
-        )
-
-    def weight(p, q):
-        angle = haversine(p["lat"] - q["lat"], p["lon"] - q["lon"], p["c"] * q["c"])
-        return qt.rounded(F.greatest(angle, p["core"], q["core"]))
-
-    def best_of(p):
-        return F.array_min(
-            F.transform(
-                "b",
-                lambda q: F.struct(
-                    weight(p, q).alias("weight"), p["pid"].alias("u"), q["pid"].alias("v")
-                ),
-            )
-        )
-
-    compared = by_points.select(
-        "station_key", "ra", "rb", F.array_min(F.transform("a", best_of)).alias("edge")
+
+
+def _compare(tile_pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Edges between tiles: one task group per tile and share of its partners."""
+    load = F.sum("n").over(qt.window_of("kx", "ky"))
+    shares = F.ceil(load / CANDIDATES)
+    split = written(
+        tile_pairs.withColumn("share", F.pmod(F.hash("bx", "by"), shares).cast("bigint")), "tasks"
+    )
+    unit = ["station_key", "kx", "ky", "share"]
+    partner = points.select(
+        "station_key", F.col("kx").alias("bx"), F.col("ky").alias("by"), *POINT
+    )
+    theirs = split.drop("n").join(partner, ["station_key", "bx", "by"])
+    own = split.select(*unit).distinct().join(points.select(*qt.CELL, *POINT), qt.CELL)
+    blank = {c: F.lit(None).cast("bigint") for c in (*PAIR, "bx", "by")}
+    mine = own.withColumns({**blank, "near": F.lit(None).cast("boolean")})
+    found = (
+        mine.unionByName(theirs)
+        .groupBy(*unit)
+        .applyInPandas(_cross_edges, f"{EDGE}, near boolean, " + ", ".join(f"{c} bigint" for c in PAIR))
     )
+    edge = F.struct("weight", "u", "v")
+    single = found.filter("NOT near").groupBy("station_key", *PAIR).agg(F.min(edge).alias("e"))
     return (
-        at_once.unionByName(compared)
-        .groupBy("station_key", "ra", "rb")
-        .agg(F.min("edge").alias("edge"))
-        .select("station_key", "edge.u", "edge.v", "edge.weight")
+        found.filter("near")
+        .select("station_key", "u", "v", "weight")
+        .unionByName(single.select("station_key", "e.u", "e.v", "e.weight"))
     )
 
 
-def _bounded(state: DataFrame) -> DataFrame:
-    """Drops hopeless partial pairs; a pair is settled when all its partial pairs are small."""
-    cores = F.greatest("a.core", "b.core")
-    pair = qt.window_of("ra.kx", "ra.ky", "rb.kx", "rb.ky")
-    bounds = state.withColumns(
+def _columns(points: pd.DataFrame) -> list[np.ndarray]:
+    return [points[c].to_numpy() for c in POINT]
+
+
+def _weights(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Mutual reachability of all points of a with all points of b."""
+    angle = angles(*a[1:4], *b[1:4])
+    both = np.maximum(a[4][:, None], b[4][None, :])
+    return np.rint(np.maximum(angle, both) * 1e14) / 1e14
+
+
+def _spanning_tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum spanning tree of a small full matrix, grown point by point."""
+    n = len(weights)
+    best, source = weights[0].copy(), np.zeros(n, dtype=np.int64)
+    best[0] = np.inf
+    inside = np.zeros(n, dtype=bool)
+    inside[0] = True
+    ends = np.empty((2, n - 1), dtype=np.int64)
+    for i in range(n - 1):
+        j = int(np.argmin(best))
+        ends[0, i], ends[1, i] = source[j], j
+        inside[j] = True
+        closer = (weights[j] < best) & ~inside
+        best[closer] = weights[j][closer]
+        source[closer] = j
+        best[j] = np.inf
+    return ends[0], ends[1]
+
+
+def _tile_tree(tile: pd.DataFrame) -> pd.DataFrame:
+    points = _columns(tile)
+    weights = _weights(points, points)
+    u, v = _spanning_tree(weights)
+    return pd.DataFrame(
         {
-            "low": F.greatest(qt.nearest("a", "b") * (1 - qt.SLACK), cores),
-            "high": F.greatest(qt.farthest("a", "b") * (1 + qt.SLACK), cores),
+            "station_key": tile["station_key"].iloc[0],
+            "u": points[0][u],
+            "v": points[0][v],
+            "weight": weights[u, v],
+            "kx": tile["kx"].iloc[0],
+            "ky": tile["ky"].iloc[0],
         }
     )
-    kept = bounds.withColumn("best", F.min("high").over(pair)).filter("low <= best").drop("best")
-    # small on both sides, or so near compared with the cores that the bounds meet
-    easy = (F.col("a.done") & F.col("b.done")) | (qt.farthest("a", "b") <= cores)
-    settled = F.min(easy.cast("int")).over(pair) == 1
-    return kept.withColumn("settled", settled)
+
+
+def _cross_edges(group: pd.DataFrame) -> pd.DataFrame:
+    own = group["near"].isna()
+    mine = _columns(group[own])
+    n = len(mine[0])
+    within = _weights(mine, mine)
+    out = []
+    for _, other in group[~own].groupby([*PAIR, "bx", "by"], sort=False):
+        theirs = _columns(other)
+        between = _weights(mine, theirs)
+        near = bool(other["near"].iloc[0])
+        if near:
+            joint = np.block([[within, between], [between.T, _weights(theirs, theirs)]])
+            u, v = _spanning_tree(joint)
+            cross = (u < n) != (v < n)
+            u, v = np.minimum(u, v)[cross], np.maximum(u, v)[cross] - n
+        else:
+            u, v = (np.array([i]) for i in np.unravel_index(np.argmin(between), between.shape))
+        edges = pd.DataFrame({"u": mine[0][u], "v": theirs[0][v], "weight": between[u, v]})
+        out.append(edges.assign(near=near, **{c: int(other[c].iloc[0]) for c in PAIR}))
+    return pd.concat(out).assign(station_key=group["station_key"].iloc[0])

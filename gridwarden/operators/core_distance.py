@@ -3,7 +3,7 @@
 Search cells are paired top-down. A search cell keeps only the partner cells that can hold one
 of its k nearest rows: those nearer than the smallest radius known to hold k + 1 rows (the
 point itself among them). Pairs of small cells end up in one task each search cell, a few
-dozen points against a few hundred.
+hundred points against a few thousand.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 from gridwarden.operators import quadtree as qt
 from gridwarden.session import written
 
-LEAF = 64  # points of a final cell
+LEAF = 128  # points of a final cell, called a tile
 CANDIDATES = 20_000  # points one search cell may meet; beyond, it is searched point by point
 
+SMALL = f"n <= greatest({LEAF}, k + 1)"  # a tile, or a cell inside one
+
 UNIT = ["station_key", "ux", "uy", "up"]
 
 
 def core_distances(points: DataFrame) -> DataFrame:
-    """Adds `core` to the points."""
+    """Adds `core` and the tile's key (kx, ky) to the points."""
     table = qt.cells(points, [])
-    done = F.col("n") <= F.greatest(F.lit(LEAF), F.col("k") + 1)
+    done = F.expr(SMALL)
     kids = qt.as_children(table, done)
     leafed = written(qt.place(points, table, done), "leafed")
 
@@ -113,7 +115,7 @@ def _measure(partners: DataFrame, leafed: DataFrame) -> DataFrame:
         .groupBy(*UNIT)
         .applyInPandas(_kth_neighbour, "pid bigint, core double")
     )
-    return leafed.drop("kx", "ky").join(cores, "pid")
+    return leafed.join(cores, "pid")
 
 
 def angles(lat1, lon1, c1, lat2, lon2, c2) -> np.ndarray:
@@ -129,9 +131,14 @@ def _kth_neighbour(group: pd.DataFrame) -> pd.DataFrame:
     q, c = group[ask], group[~ask]
     angle = angles(*(q[x].to_numpy() for x in ("lat", "lon", "c")),
                    *(c[x].to_numpy() for x in ("lat", "lon", "c")))
-    order = np.argsort(angle, axis=1, kind="stable")
-    rows = np.cumsum(c["w"].to_numpy()[order], axis=1)
-    place = np.argmax(rows > q["k"].to_numpy()[:, None], axis=1)
-    kth = np.take_along_axis(order, place[:, None], axis=1)
+    # every point holds at least one row, so the k + 1 nearest points are enough
+    k = q["k"].to_numpy()
+    some = min(int(k[0]) + 1, angle.shape[1])
+    near = np.argpartition(angle, some - 1, axis=1)[:, :some]
+    order = np.argsort(np.take_along_axis(angle, near, axis=1), axis=1, kind="stable")
+    near = np.take_along_axis(near, order, axis=1)
+    rows = np.cumsum(c["w"].to_numpy()[near], axis=1)
+    place = np.argmax(rows > k[:, None], axis=1)
+    kth = np.take_along_axis(near, place[:, None], axis=1)
     core = np.take_along_axis(angle, kth, axis=1)[:, 0]
     return pd.DataFrame({"pid": q["pid"].to_numpy(), "core": np.rint(core * 1e14) / 1e14})
