@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.operators import quadtree as qt
 from gridwarden.operators.core_distance import CANDIDATES, SMALL, angles
-from gridwarden.session import written
+from gridwarden.session import spread, written
 
 PAIR = ["rax", "ray", "rbx", "rby"]
 EDGE = "station_key string, u bigint, v bigint, weight double"
@@ -35,7 +35,9 @@ POINT = ["pid", "lat", "lon", "c", "core"]
 def candidate_edges(points: DataFrame) -> DataFrame:
     """(station_key, u, v, weight) over point ids. `points` carry core and tile key."""
     inner = written(
-        points.groupBy(*qt.CELL).applyInPandas(_tile_tree, f"{EDGE}, kx bigint, ky bigint"),
+        spread(points, *qt.CELL)
+        .groupBy(*qt.CELL)
+        .applyInPandas(_tile_tree, f"{EDGE}, kx bigint, ky bigint"),
         "tile-trees",
     )
     kids = written(_cells_with_width(points, inner), "children")
@@ -164,7 +166,7 @@ def _compare(tile_pairs: DataFrame, points: DataFrame) -> DataFrame:
     blank = {c: F.lit(None).cast("bigint") for c in (*PAIR, "bx", "by")}
     mine = own.withColumns({**blank, "near": F.lit(None).cast("boolean")})
     found = (
-        mine.unionByName(theirs)
+        spread(mine.unionByName(theirs), *unit)
         .groupBy(*unit)
         .applyInPandas(_cross_edges, f"{EDGE}, near boolean, " + ", ".join(f"{c} bigint" for c in PAIR))
     )
@@ -224,22 +226,28 @@ def _tile_tree(tile: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cross_edges(group: pd.DataFrame) -> pd.DataFrame:
-    own = group["near"].isna()
+    own = group["near"].isna().to_numpy()
     mine = _columns(group[own])
-    n = len(mine[0])
-    within = _weights(mine, mine)
-    out = []
-    for _, other in group[~own].groupby([*PAIR, "bx", "by"], sort=False):
-        theirs = _columns(other)
-        between = _weights(mine, theirs)
-        near = bool(other["near"].iloc[0])
-        if near:
-            joint = np.block([[within, between], [between.T, _weights(theirs, theirs)]])
+    others = group[~own].sort_values(["bx", "by"])
+    theirs, near = _columns(others), others["near"].to_numpy(dtype=bool)
+    tags = others[PAIR].to_numpy(dtype=np.int64)
+    tile = others[["bx", "by"]].to_numpy(dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
+    n, within = len(mine[0]), None
+    found = []
+    for start, stop in zip(starts, np.r_[starts[1:], len(tile)], strict=True):
+        other = [c[start:stop] for c in theirs]
+        between = _weights(mine, other)
+        if near[start]:
+            within = _weights(mine, mine) if within is None else within
+            joint = np.block([[within, between], [between.T, _weights(other, other)]])
             u, v = _spanning_tree(joint)
             cross = (u < n) != (v < n)
             u, v = np.minimum(u, v)[cross], np.maximum(u, v)[cross] - n
         else:
             u, v = (np.array([i]) for i in np.unravel_index(np.argmin(between), between.shape))
-        edges = pd.DataFrame({"u": mine[0][u], "v": theirs[0][v], "weight": between[u, v]})
-        out.append(edges.assign(near=near, **{c: int(other[c].iloc[0]) for c in PAIR}))
-    return pd.concat(out).assign(station_key=group["station_key"].iloc[0])
+        found.append((mine[0][u], other[0][v], between[u, v], np.full(len(u), start)))
+    u, v, weight, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    edges = pd.DataFrame({"u": u, "v": v, "weight": weight, "near": near[at]})
+    edges[PAIR] = tags[at]
+    return edges.assign(station_key=group["station_key"].iloc[0])

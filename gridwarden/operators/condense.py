@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.operators import quadtree as qt
-from gridwarden.session import written
+from gridwarden.session import spread, written
 
 ROUND_LIMIT = 2_000_000
 SHARES = [2.0**-i for i in range(31)]
@@ -131,8 +131,11 @@ def thin_by_tile(points: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
         big = big.join(here, ["station_key", end])
     big = written(big, "tiled")
     same = "kx_u = kx_v AND ky_u = ky_v"
-    inside = big.filter(same).groupBy("station_key", "kx_u", "ky_u").applyInPandas(
-        _spanning_forest, "station_key string, u bigint, v bigint, weight double"
+    tile = ["station_key", "kx_u", "ky_u"]
+    inside = (
+        spread(big.filter(same), *tile)
+        .groupBy(*tile)
+        .applyInPandas(_spanning_forest, "station_key string, u bigint, v bigint, weight double")
     )
     across = big.filter(f"NOT ({same})").select(*edges.columns)
     rest = edges.join(large, "station_key", "left_anti")
@@ -182,7 +185,8 @@ def _merge_round(now: DataFrame, state: DataFrame, min_size: int, number: int) -
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         return _merge(group, min_size, number)
 
-    return node_rows.unionByName(edge_rows).groupBy("station_key").applyInPandas(merge, MERGED)
+    rows = spread(node_rows.unionByName(edge_rows), "station_key")
+    return rows.groupBy("station_key").applyInPandas(merge, MERGED)
 
 
 @dataclass

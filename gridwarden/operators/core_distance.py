@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.operators import quadtree as qt
-from gridwarden.session import written
+from gridwarden.session import spread, written
 
 LEAF = 128  # points of a final cell, called a tile
 CANDIDATES = 20_000  # points one search cell may meet; beyond, it is searched point by point
@@ -111,7 +111,7 @@ def _measure(partners: DataFrame, leafed: DataFrame) -> DataFrame:
         .select(*UNIT, F.lit(True).alias("ask"), "pid", "lat", "lon", "c", "w", "k")
     )
     cores = (
-        asking.unionByName(candidates)
+        spread(asking.unionByName(candidates), *UNIT)
         .groupBy(*UNIT)
         .applyInPandas(_kth_neighbour, "pid bigint, core double")
     )

@@ -66,6 +66,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning for a grouped pandas function. Its groups cost far more time than
+    bytes, so their partitions must not be merged by size, as adaptive execution would."""
+    context = df.sparkSession.sparkContext
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, context.defaultParallelism), *keys)
+
+
 def broadcast_if_small(df: DataFrame, row_limit: int) -> DataFrame:
     """Broadcast a written table when its row count proves small, else leave it to a shuffle.
 
