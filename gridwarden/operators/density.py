@@ -41,6 +41,13 @@ def cluster_hotspots(
     return joined.select("station_key", "id", namespace_cluster(label).alias("cluster_id"))
 
 
+def small_station_rows(clean: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of stations with fewer rows than a cluster needs, all labelled noise."""
+    sizes = clean.groupBy("station_key").agg(F.count("*").alias("_size"))
+    small = sizes.filter(F.col("_size") < settings.min_cluster_size).select("station_key")
+    return clean.join(small, "station_key", "left_semi").withColumn("cluster_id", F.lit(NOISE))
+
+
 def number_clusters(points: DataFrame, flat: DataFrame) -> DataFrame:
     """(station_key, x, y, label): labels 0, 1, ... of a station in the order of the smallest
     id in the cluster. The window runs over one row per cluster, not over points."""

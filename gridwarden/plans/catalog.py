@@ -967,3 +967,97 @@ def q_fingerprint(spark, d):
 @query("file_fingerprint")
 def q_file_fingerprint(spark, d):
     return registry.file_fingerprint(spark, f"{d}/events.parquet").select("sha256")
+
+
+# --- density clusters and the whole run --------------------------------------------------
+
+_assigned: dict[tuple[str, str], DataFrame] = {}
+
+
+def density_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """The clustering of one feed is shared by the queries below."""
+    from gridwarden.operators.density import cluster_hotspots
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _assigned:
+        rows = written(clean(spark, d), "clean")
+        _assigned[key] = written(cluster_hotspots(rows, S), "assigned")
+    return _assigned[key]
+
+
+@query("cluster_hotspots")
+def q_cluster(spark, d):
+    return density_assignments(spark, d)
+
+
+@query("cluster_invariants")
+def q_cluster_invariants(spark, d):
+    """What any density clustering of the feed must satisfy."""
+    assigned = density_assignments(spark, d)
+    sizes = assigned.groupBy("cluster_id").agg(
+        F.count("*").alias("n"), F.count_distinct("station_key").alias("stations")
+    )
+    hot = F.col("cluster_id") != NOISE
+    checks = sizes.agg(
+        F.count_if(hot & (F.col("n") < S.min_cluster_size)).alias("too_small"),
+        F.count_if(hot & (F.col("stations") > 1)).alias("across_stations"),
+        F.sum("n").alias("n_rows"),
+    )
+    ids = assigned.agg(F.count_distinct("id").alias("n_ids"))
+    return checks.withColumn("_k", F.lit(1)).join(ids.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@query("small_station_noise")
+def q_small_stations(spark, d):
+    """Stations cut down to half a day each, so that many are below the least size."""
+    from gridwarden.operators.density import small_station_rows
+
+    part = F.date_format("created_datetime", "yyyyMMdda")
+    rows = clean(spark, d).withColumn("station_key", F.concat_ws("_", "station_key", part))
+    return small_station_rows(rows, S).select("id", "station_key", "cluster_id")
+
+
+@query("density_leaderboard")
+def q_density_board(spark, d):
+    """The board over true density clusters."""
+    rows = store.join_assignments(clean(spark, d), temporal.hotspots(density_assignments(spark, d)))
+    rows = written(rows, "clustered")
+    bounds = temporal.read_time_bounds(rows)
+    table = written(rollups.incident_facts(rows, bounds["mid_time"], S), "facts")
+    return leaderboard.build_leaderboard(
+        rollups.impact_from_facts(table, S),
+        rollups.recency_from_facts(table, bounds["max_time"], S),
+        S,
+    ).drop("latest_incident")
+
+
+def _finished_run(spark, d):
+    from gridwarden.plans.training import load_run, run_training
+
+    root = scratch_path(spark, "artifacts")
+    row = run_training(
+        raw(spark, d), root, FAST, assign=lambda c, s: grid_assignments(c, s).select(
+            "station_key", "id", "cluster_id")
+    )
+    return row, load_run(spark, root), root
+
+
+@query("write_run")
+def q_write_run(spark, d):
+    """A whole run with the grid stand-in; its board as read back from the promoted run."""
+    return _summary(leaderboard.hotspot_summary(_finished_run(spark, d)[1].leaderboard))
+
+
+@query("run_metrics")
+def q_run_metrics(spark, d):
+    _, _, root = _finished_run(spark, d)
+    return registry.read_runs(spark, f"{root}/runs").select(
+        F.col("ingestion_report.total_rows_seen").alias("total_rows_seen"),
+        F.col("ingestion_report.valid_rows").alias("valid_rows"),
+        r("ingestion_report.rejection_rate").alias("rejection_rate"),
+        "total_hotspots",
+        (F.col("forecast_n_train") + F.col("forecast_n_test")).alias("n_trend"),
+        F.unix_micros("dataset_time_span.min").alias("min_us"),
+        F.unix_micros("dataset_time_span.max").alias("max_us"),
+        F.col("promotion_gate.promoted").alias("promoted"),
+    )

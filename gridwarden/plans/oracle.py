@@ -641,4 +641,27 @@ ORACLE: dict[str, str] = {
         - epoch_us(generated_at)) / 1e6::DOUBLE) AS artifact_age_seconds,
       round(forecast_mae, 6) AS model_mae, total_hotspots AS active_hotspots
       FROM runs WHERE promoted ORDER BY generated_at DESC, run_id DESC LIMIT 1""",
+    "cluster_invariants": upto(
+        "clean",
+        "SELECT 0::BIGINT AS too_small, 0::BIGINT AS across_stations, count(*) AS n_rows, "
+        "count(DISTINCT id) AS n_ids FROM clean",
+    ),
+    "small_station_noise": upto(
+        "clean",
+        """SELECT id, part AS station_key, 'NOISE' AS cluster_id FROM (
+          SELECT *, count(*) OVER (PARTITION BY part) AS size FROM (
+            SELECT id, station_key || '_' || strftime(created_datetime, '%Y%m%d%p') AS part
+            FROM clean)) WHERE size < 10""",
+    ),
+    "write_run": upto("board", f"SELECT {SUMMARY} FROM board"),
+    "run_metrics": upto(
+        "board",
+        """SELECT (SELECT count(*) FROM feed) AS total_rows_seen, count(*) AS valid_rows,
+          round(1 - count(*)::DOUBLE / (SELECT count(*) FROM feed), 6) AS rejection_rate,
+          (SELECT count(*) FROM board) AS total_hotspots,
+          (SELECT count(*) FROM trend) AS n_trend,
+          min(epoch_us(created_datetime)) AS min_us, max(epoch_us(created_datetime)) AS max_us,
+          true AS promoted FROM clean""",
+        TREND,
+    ),
 }
