@@ -226,28 +226,46 @@ def _tile_tree(tile: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cross_edges(group: pd.DataFrame) -> pd.DataFrame:
+    """Edges of one tile to its partners: all partners that are apart in one matrix, touching
+    ones through a joint spanning tree each."""
     own = group["near"].isna().to_numpy()
     mine = _columns(group[own])
-    others = group[~own].sort_values(["bx", "by"])
-    theirs, near = _columns(others), others["near"].to_numpy(dtype=bool)
-    tags = others[PAIR].to_numpy(dtype=np.int64)
-    tile = others[["bx", "by"]].to_numpy(dtype=np.int64)
+    others = group[~own].sort_values(["near", "bx", "by"])
+    near = others["near"].to_numpy(dtype=bool)
+    tile = others[["near", "bx", "by"]].to_numpy(dtype=np.int64)
     starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
+    theirs = _columns(others)
+    n_apart = int((~near).sum())
+    found = [_lightest([c[:n_apart] for c in theirs], starts[starts < n_apart], mine)]
     n, within = len(mine[0]), None
-    found = []
     for start, stop in zip(starts, np.r_[starts[1:], len(tile)], strict=True):
+        if start < n_apart:
+            continue
         other = [c[start:stop] for c in theirs]
         between = _weights(mine, other)
-        if near[start]:
-            within = _weights(mine, mine) if within is None else within
-            joint = np.block([[within, between], [between.T, _weights(other, other)]])
-            u, v = _spanning_tree(joint)
-            cross = (u < n) != (v < n)
-            u, v = np.minimum(u, v)[cross], np.maximum(u, v)[cross] - n
-        else:
-            u, v = (np.array([i]) for i in np.unravel_index(np.argmin(between), between.shape))
-        found.append((mine[0][u], other[0][v], between[u, v], np.full(len(u), start)))
-    u, v, weight, at = (np.concatenate(x) for x in zip(*found, strict=True))
-    edges = pd.DataFrame({"u": u, "v": v, "weight": weight, "near": near[at]})
-    edges[PAIR] = tags[at]
+        within = _weights(mine, mine) if within is None else within
+        joint = np.block([[within, between], [between.T, _weights(other, other)]])
+        u, v = _spanning_tree(joint)
+        cross = (u < n) != (v < n)
+        u, v = np.minimum(u, v)[cross], np.maximum(u, v)[cross] - n
+        found.append((u, v + start, between[u, v]))
+    u, v, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+    edges = pd.DataFrame({"u": mine[0][u], "v": theirs[0][v], "weight": weight, "near": near[v]})
+    edges[PAIR] = others[PAIR].to_numpy(dtype=np.int64)[v]
     return edges.assign(station_key=group["station_key"].iloc[0])
+
+
+def _lightest(
+    theirs: list[np.ndarray], starts: np.ndarray, mine: list[np.ndarray]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One lightest edge to each partner; partners lie end to end from `starts`."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    between = _weights(mine, theirs)
+    u = between.argmin(axis=0)
+    weight = between[u, np.arange(between.shape[1])]
+    least = np.minimum.reduceat(weight, starts)
+    partner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(weight)]))
+    hits = np.flatnonzero(weight == least[partner])
+    v = hits[np.unique(partner[hits], return_index=True)[1]]
+    return u[v], v, weight[v]
