@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwarden.llm import exact_dedup
+import public_tokenizers
+
+from gridwarden.llm import byte_bpe, decontaminate, exact_dedup
 from gridwarden.llm.common import table
 
 
@@ -17,13 +19,65 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip_digests(docs, ranks, public_tokenizers.PATTERN)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = decontaminate.contamination(docs, items)
+    return (
+        found.select("doc_id", "n_words", F.expr(decontaminate.N_HIT).alias("n_hit"),
+                     F.expr(decontaminate.ITEMS).alias("items"))
+        .select(
+            "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+            (F.col("n_hit") > 0).alias("contaminated"),
+        )
+    )
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_decontamination": op2_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+WORDS = WORDS.format(u=UPPER, l=LOWER)
+
 ORACLE = {
+    "op2_decontamination": f"""
+        WITH i AS (
+            SELECT item_id, w, least(10, len(w)) AS k
+            FROM (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL)
+            WHERE len(w) > 0),
+        windows AS (
+            SELECT DISTINCT item_id, k, list_aggregate(w[s : s + k - 1], 'string_agg', ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM i)),
+        d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+        places AS (
+            SELECT r, k, s, list_aggregate(w[s : s + k - 1], 'string_agg', ' ') AS phrase
+            FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s
+                  FROM d, (SELECT DISTINCT k FROM windows))),
+        hits AS (SELECT r, item_id, s, k FROM places JOIN windows USING (k, phrase)),
+        words AS (
+            SELECT r, count(DISTINCT p) AS n_hit
+            FROM (SELECT r, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT r, s, k FROM hits))
+            GROUP BY r),
+        items AS (
+            SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+               CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
     "op10_exact_dedup": f"""
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256
