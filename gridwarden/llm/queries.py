@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gridwarden.llm import byte_bpe, decontaminate, exact_dedup
+from gridwarden.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join
 from gridwarden.llm.common import table
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard_join.shingle_classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return exact_dedup.exact_duplicates(docs).select(
@@ -45,6 +50,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
