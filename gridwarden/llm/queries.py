@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gridwarden.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, toxicity
+from gridwarden.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, toxicity
 from gridwarden.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return exact_dedup.exact_duplicates(docs).select(
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
+    "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
