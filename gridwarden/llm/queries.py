@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gridwarden.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, toxicity
+from gridwarden.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, license_scan, toxicity
 from gridwarden.llm.common import table
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("digest").alias("text_sha256"), "whole_license",
+        F.array_join("notices", ",").alias("notices"), F.col("n_notices").cast("long").alias("n_notices"),
+    )
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return jaccard_join.shingle_classes(docs).select("doc_id", "n_shingles", "component_id")
@@ -69,6 +81,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
+    "op4_license_scan": op4_license_scan,
+    "op5_chat_format": op5_chat_format,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op9_html_text": op9_html_text,
@@ -78,7 +92,45 @@ QUERIES = {
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 WORDS = WORDS.format(u=UPPER, l=LOWER)
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_lines_sql(text: str) -> str:
+    line = f"' ' || regexp_replace(line, '{license_scan.NO_WORD}', '  ', 'g') || ' '"
+    for other, used in license_scan.spaced(license_scan.SPELLINGS):
+        line = f"replace({line}, '{other}', '{used}')"
+    line = f"trim(replace({line}, '  ', ' '))"
+    kept = (
+        f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), "
+        f"lambda line: NOT regexp_matches(line, '{license_scan.COPYRIGHT}'))"
+    )
+    return f"list_filter(list_transform({kept}, lambda line: {line}), lambda line: line <> '')"
+
+
+KNOWN_SQL = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in license_scan.KNOWN)
+
 ORACLE = {
+    "op4_license_scan": f"""
+        WITH known AS (
+            SELECT DISTINCT license, sha256(array_to_string(lines, ' ')) AS digest
+            FROM (SELECT license, {_canonical_lines_sql('t')} AS lines
+                  FROM (VALUES {KNOWN_SQL}) AS k(license, t))),
+        d AS (
+            SELECT row_number() OVER () AS r, doc_id, lines,
+                   sha256(array_to_string(lines, ' ')) AS text_sha256
+            FROM (SELECT doc_id, {_canonical_lines_sql('text')} AS lines FROM documents)),
+        notices AS (
+            SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices,
+                   count(DISTINCT digest) AS n_notices
+            FROM (SELECT r, sha256(unnest(lines)) AS digest FROM d) JOIN known USING (digest)
+            GROUP BY r),
+        whole AS (SELECT digest AS text_sha256, min(license) AS whole_license FROM known GROUP BY 1)
+        SELECT doc_id, text_sha256, whole_license, coalesce(notices, '') AS notices,
+               coalesce(n_notices, 0) AS n_notices
+        FROM d LEFT JOIN notices USING (r) LEFT JOIN whole USING (text_sha256)""",
     "op2_decontamination": f"""
         WITH i AS (
             SELECT item_id, w, least(10, len(w)) AS k
@@ -105,6 +157,31 @@ ORACLE = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op5_chat_format": """
+        WITH t AS (
+            SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, 'unknown') AS speaker,
+                   coalesce(text, '') AS text
+            FROM conversations),
+        people AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t),
+        heads AS (
+            SELECT *, CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+                ELSE '<|im_start|>user name=' || regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g')
+                     || chr(10) END AS head
+            FROM t JOIN people ON conv_id IS NOT DISTINCT FROM c),
+        pieces AS (
+            SELECT *, head || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS piece
+            FROM heads),
+        placed AS (
+            SELECT *, CAST(sum(length(piece)) OVER (
+                PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text, r
+                ROWS UNBOUNDED PRECEDING) AS BIGINT) AS char_end
+            FROM pieces)
+        SELECT conv_id, perspective, turn, speaker, piece,
+               char_end - length(piece) AS char_start, char_end,
+               CASE WHEN speaker = perspective THEN char_end - length(piece) + length(head) END
+                   AS train_start,
+               CASE WHEN speaker = perspective THEN char_end - 1 END AS train_end
+        FROM placed""",
     "op10_exact_dedup": f"""
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256
