@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gridwarden.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, license_scan, toxicity
+from gridwarden.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, license_scan, token_files, toxicity
 from gridwarden.llm.common import table
+from gridwarden.session import scratch_path
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(
+        table(spark, sf_dir, "documents", "doc_id", "text"), path,
+        public_tokenizers.path("word_bpe_49k.json"), end_id=2,
+    )
+    return token_files.read_checksums(spark, path)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +91,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
+    "op3_token_files": op3_token_files,
     "op4_license_scan": op4_license_scan,
     "op5_chat_format": op5_chat_format,
     "op6_jaccard_join": op6_jaccard_join,
