@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gridwarden.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, license_scan, token_files, toxicity
+from gridwarden.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, license_scan
+from gridwarden.llm import lm_score, token_files, toxicity
 from gridwarden.llm.common import table
 from gridwarden.session import scratch_path
 
@@ -53,6 +54,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_score": op8_lm_score,
     "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
