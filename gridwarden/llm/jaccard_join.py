@@ -4,10 +4,15 @@
    with equal sets are one node from here on, so exact copies are never compared.
 2. Size bands. Sizes are cut into bands so that linked sets lie in one band or in neighbouring
    ones. In a band, linked sets differ in at most D elements, so if the hash range is cut into
-   D + 2 parts, two parts are equal in both sets. A node sends one key a part (band, part,
-   contents) for its own band and the next. Empty parts are sent only by nodes with two or more
-   of them, which still leaves an equal part for every linked pair. No link is lost, and a
-   passage or word that many documents share makes no key, as a key holds a whole part.
+   more than D parts, some parts are equal in both sets. A node sends one key a part (band, part,
+   contents) for its own band and the next. There are so many parts that nearly every node has
+   fewer empty ones than linked sets have equal ones, so these make no keys; the exceptions
+   send keys for empty parts, too. No link is lost.
+   Shingles of lines and passages that very many documents share are left out of the parts,
+   which keeps the argument, as it takes elements out of both sets alike. Nodes left with too
+   many empty parts send a second family of keys, of all their shingles; a pair without an equal
+   filled part in the first family meets in the second. What is frequent is told by a table of
+   2^20 counters over all documents; any choice gives the same links.
 3. The nodes of a key are tied to the least node of the key, never to each other. Connected
    nodes form a class of candidates; only such classes are compared.
 4. Tiles. A class is cut into tiles of bounded size. Within a tile, nodes are compared in order
@@ -27,6 +32,7 @@ Rows that repeat an id count as documents of that id. Different shingles are tol
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +46,9 @@ from gridwarden.llm.components import components
 from gridwarden.session import broadcast_if_small, written
 
 TILE_SHINGLES = 500_000
-TILE_ROWS = 4_096
+TILE_ROWS = 256
+COUNTERS = 1 << 20
+COUNTER_PARTS = 32
 MEMBERS_BROADCAST = 200_000  # rows of (long, long, long, int): under 8 MB
 
 
@@ -86,46 +94,99 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.edges = [1]
-        self.cuts: dict[int, np.ndarray] = {}
+        self.plans: dict[int, tuple[int, np.ndarray]] = {}
 
     def band(self, size: int) -> int:
         while self.edges[-1] <= size:
             self.edges.append(self.edges[-1] * self.den // self.num + 1)
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
-    def most(self, band: int) -> int:
-        """The largest size in the band."""
+    def sizes(self, band: int) -> tuple[int, int]:
+        """The least and the largest size in the band."""
         while len(self.edges) < band + 2:
             self.edges.append(self.edges[-1] * self.den // self.num + 1)
-        return self.edges[band + 1] - 1
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of one set. Linked sets share one at least, unless they are equal."""
-        size = len(shingles)
-        if not size:
-            return np.empty(0, np.int64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(shingles ^ np.uint64(0xA5A5A5A5)))])
-        found = []
-        own = self.band(size)
-        for band in (own, own + 1):
-            differ = 2 * self.most(band) * (self.den - self.num) // (self.den + self.num)
+        return self.edges[band], self.edges[band + 1] - 1
+
+    def plan(self, band: int) -> tuple[int, np.ndarray]:
+        """The most elements in which linked sets of the tile differ, and where parts are cut."""
+        if band not in self.plans:
+            least, most = self.sizes(max(band - 1, 0))[0], self.sizes(band)[1]
+            differ = 2 * most * (self.den - self.num) // (self.den + self.num)
+            parts = differ + 2
+            for _ in range(50):
+                empty = parts * math.exp(-least / parts)  # as many empty parts are expected
+                wanted = differ + max(2, math.ceil(empty + 3 * math.sqrt(empty) + 1))
+                if wanted <= parts or 2 * wanted > least:
+                    break
+                parts = wanted
+            cuts = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+            self.plans[band] = differ, cuts
+        return self.plans[band]
+
+    @staticmethod
+    def _parts(shingles: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed contents of all parts, and which of them are filled."""
+        sums = np.zeros(len(shingles) + 1, np.uint64)
+        np.cumsum(_mix(shingles ^ np.uint64(0xA5A5A5A5)), out=sums[1:])
+        ends = np.concatenate([[0], np.searchsorted(shingles, cuts), [len(shingles)]])
+        return np.diff(sums[ends]), np.diff(ends) > 0
+
+    def keys(self, shingles: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
+        """Keys of one set. Linked sets share one at least, unless they are equal. `rare` are
+        the shingles that are not frequent."""
+        found = [np.empty(0, np.uint64)]
+        own = self.band(len(shingles)) if len(shingles) else 0
+        for band in (own, own + 1) if len(shingles) else ():
+            differ, cuts = self.plan(band)
             if not differ:
                 continue  # only equal sets are linked
-            parts = differ + 2
-            cuts = self.cuts.get(parts)
-            if cuts is None:
-                cuts = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
-                self.cuts[parts] = cuts
-            ends = np.concatenate([[0], np.searchsorted(shingles, cuts), [size]])
-            filled = np.diff(ends) > 0
-            which = np.flatnonzero(filled) if (~filled).sum() < 2 else np.arange(parts)
-            content = sums[ends[which + 1]] - sums[ends[which]]
-            place = _mix(which.astype(np.uint64) + np.uint64((band + 1) << 32))
-            found.append(_mix(content ^ place).view(np.int64))
-        return np.concatenate(found) if found else np.empty(0, np.int64)
-
-
-def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+            for family, some in enumerate((shingles if rare is None else rare, shingles)):
+                content, filled = self._parts(some, cuts)
+                bare = (~filled).sum() >= len(filled) - differ
+                last = family == 1 or rare is None
+                which = np.arange(len(filled)) if bare and last else np.flatnonzero(filled)
+                place = which.astype(np.uint64) + np.uint64((2 * band + family) << 32)
+                found.append(_mix(content[which] ^ _mix(place)))
+                if last or not bare:
+                    break
+        return np.concatenate(found).view(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Which of `COUNTERS` hash values stand for shingles that very many documents hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for part in slices(batches):
+            sets = shingle_sets(as_bytes(part), size)
+            at = np.concatenate([np.empty(0, np.uint64), *sets]) & np.uint64(COUNTERS - 1)
+            counts += np.bincount(at.astype(np.int64), minlength=COUNTERS)
+        for nth, part in enumerate(np.split(counts.astype(np.uint32), COUNTER_PARTS)):
+            yield _counter_row(nth, part)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for nth, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[nth] = sums.get(nth, 0) + np.frombuffer(data, np.uint32).astype(np.uint64)
+        for nth, total in sums.items():
+            yield _counter_row(nth, total)
+
+    schema = "nth int, data binary"
+    rows = docs.mapInArrow(run, schema).repartition(COUNTER_PARTS, "nth").mapInArrow(add, schema)
+    parts = {r.nth: np.frombuffer(r.data, np.uint64) for r in rows.collect()}
+    empty = np.zeros(COUNTERS // COUNTER_PARTS, np.uint64)
+    counts = np.concatenate([parts.get(nth, empty) for nth in range(COUNTER_PARTS)])
+    return counts > 64 + 4 * counts.mean()
+
+
+def _counter_row(nth: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([nth], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["nth", "data"]
+    )
+
+
+def _sets(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, node and the keys of its set, the latter once a node and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +200,8 @@ def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 counts.append(len(shingles))
                 if doc_id is not None and node not in seen:
                     seen.add(node)
-                    keys.append(bands.keys(shingles))
+                    rare = ~frequent[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    keys.append(bands.keys(shingles, shingles[rare]))
                     lengths.append(lengths[-1] + len(keys[-1]))
                 else:
                     lengths.append(lengths[-1])
@@ -291,7 +353,8 @@ def shingle_classes(
 ) -> DataFrame:
     """doc_id, n_shingles, node, component_id (the least id of the document's component)."""
     docs = id_text(docs, id_col, text_col)
-    sets = written(_sets(docs, size, num, den), "shingle-sets")
+    frequent = frequent_shingles(docs, size)
+    sets = written(_sets(docs, size, num, den, frequent), "shingle-sets")
     keyed = sets.where("n_shingles > 0").select("node", F.explode("keys").alias("key"))
     shared = written(
         keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))

@@ -54,7 +54,7 @@ def corpus(seed):
     return [(i + 7, text, "other") for i, text in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "tile_rows"), [(1, 4096), (2, 4), (3, 3)])
+@pytest.mark.parametrize(("seed", "tile_rows"), [(1, 256), (2, 4), (3, 3)])
 def test_equals_all_pairs(spark, monkeypatch, seed, tile_rows):
     monkeypatch.setattr(jaccard_join, "TILE_ROWS", tile_rows)
     rows = corpus(seed)
@@ -77,15 +77,35 @@ def test_no_rows_no_ids(spark):
     assert got == [(0, None), (3, 3), (4, 3), (4, 4)]
 
 
+@pytest.mark.parametrize(("size", "num"), [(5, 80), (2, 60)])
+def test_other_parameters(spark, monkeypatch, size, num):
+    """With every third shingle taken as frequent."""
+    every_third = np.arange(jaccard_join.COUNTERS) % 3 == 0
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda docs, size: every_third)
+    rows = corpus(num)
+    got = shingle_classes(spark.createDataFrame(rows, SCHEMA), size=size, num=num)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_force(rows, size, num)
+
+
+def test_frequent_shingles(spark):
+    rows = [(i, f"own{i} words{i} of{i} text{i} a common line of words", "") for i in range(200)]
+    frequent = jaccard_join.frequent_shingles(spark.createDataFrame(rows, SCHEMA), 3)
+    assert frequent.sum() == 4 - 1  # the shingles inside the common line
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.integers(9, 400), st.integers(0, 2**32), st.floats(0, 1))
-def test_linked_sets_share_a_key(size, seed, share):
+@given(
+    st.integers(1, 400), st.integers(0, 2**32), st.floats(0, 1), st.sampled_from([50, 80, 90, 95]),
+    st.sampled_from([0, 0.1, 0.7, 1]),
+)
+def test_linked_sets_share_a_key(size, seed, share, num, frequent):
     draw = np.random.default_rng(seed)
-    pool = np.unique(draw.integers(0, 2**64, 2 * size, dtype=np.uint64))
+    pool = np.unique(draw.integers(0, 2**64, 2 * size + 2, dtype=np.uint64))
     draw.shuffle(pool)
-    changed = int(share * size / 9)
+    changed = int(share * size * (100 - num) / 100)
     a, b = pool[:size], np.concatenate([pool[changed:size], pool[size : size + draw.integers(0, changed + 1)]])
     shared, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-    if 100 * shared >= 90 * union and changed:
-        bands = Bands(90, 100)
-        assert np.intersect1d(bands.keys(np.sort(a)), bands.keys(np.sort(b))).size
+    if 100 * shared >= num * union and changed:
+        bands, limit = Bands(num, 100), np.uint64(int(frequent * (2**20 - 1)))
+        keys = [bands.keys(x, x[(x & np.uint64(2**20 - 1)) >= limit]) for x in map(np.sort, (a, b))]
+        assert np.intersect1d(*keys).size
