@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.llm.common import as_bytes, id_text, slices
-from gridwarden.session import written
+from gridwarden.session import broadcast_if_small, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+HITS_BROADCAST = 200_000  # ids: under 4 MB
 INDEX_SCHEMA = (
     "shard string, doc_ids array<long>, doc_ends array<int>, terms array<binary>, "
     "term_ends array<int>, steps array<int>"
@@ -267,6 +268,19 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return search_index(build_index(docs), items, **options)
 
 
+def without_matches(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The documents without a match, with all columns. Rows without an id are searched too and
+    stay or go together, as rows that share an id do."""
+    found = search_index(build_index(docs, id_col, text_col), items, **options)
+    hit = written(
+        found.where(F.size("matches") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "hits"
+    )
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__hit"))
+    return docs.join(broadcast_if_small(hit, HITS_BROADCAST), same, "left_anti")
+
+
 # Words in the union of the matches of a document.
 N_HIT = """aggregate(
     array_sort(transform(matches, m -> struct(m.first AS first, m.last AS last))),
