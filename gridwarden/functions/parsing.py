@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
 
 def to_double(c: Column) -> Column:
-    """Number or null. Java's `12.9d` suffixes are junk here, `inf` is a number, `nan` is not."""
-    junk = c.rlike(r"(?i)nan|[0-9.][df]\s*$")
-    return F.when(~junk, c.try_cast("double"))
+    """Number or null: decimal notation or `inf`. What else Java reads as a number (`12.9d`,
+    hexadecimal `0x1p3`, `nan`) is junk."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def to_utc_timestamp(c: Column, formats: tuple[str, ...] = ()) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.config import Settings
-from gridwarden.operators.temporal import KEY, hotspots
+from gridwarden.operators.temporal import KEY, hotspots, lookup
 
 
 def severity(c: Column, settings: Settings) -> Column:
@@ -27,36 +27,31 @@ def add_severity(df: DataFrame, settings: Settings) -> DataFrame:
 def severity_by_rule_table(df: DataFrame, rules: DataFrame, settings: Settings) -> DataFrame:
     """The same answer for a rule table (keyword, weight) of any length.
 
-    Containment becomes an equi-join: every substring of the shortest keyword's length is
-    matched with the keywords that begin with it, then `contains` decides. Offence texts
-    repeat, so only the distinct ones are taken apart.
+    Containment becomes an equi-join: of every length that a keyword has, all substrings of a
+    text are matched with the keywords, so a short keyword meets only the texts that hold it.
+    The empty keyword is in every text. Offence texts repeat, so only the distinct ones are
+    taken apart; a null text counts as the empty one.
     """
-    default = F.lit(float(settings.default_severity))
-    keyed = rules.filter(F.length("keyword") > 0)
-    size = keyed.agg(F.min(F.length("keyword"))).first()[0] or 1
-    keyed = keyed.select(
-        F.substring("keyword", 1, size).alias("gram"), "keyword", F.col("weight").cast("double")
-    )
-    texts = df.select("violation_type_clean").distinct()
-    starts = F.expr(f"sequence(1, length(violation_type_clean) - {size} + 1)")
-    grams = F.array_distinct(
-        F.transform(starts, lambda i: F.substring("violation_type_clean", i, F.lit(size)))
+    rules = rules.select("keyword", F.col("weight").cast("double"), F.length("keyword").alias("size"))
+    sizes = rules.groupBy("size").agg(F.max("weight").alias("best")).collect()  # one row a length
+    anywhere = max([float(settings.default_severity), *(r.best for r in sizes if r["size"] == 0 and r.best is not None)])
+    lengths = F.array(*[F.lit(r["size"]) for r in sizes if r["size"]]).cast("array<int>")
+    text = F.coalesce("violation_type_clean", F.lit(""))
+    texts = df.select(text.alias("_text")).distinct()
+    grams = F.expr(
+        "array_distinct(flatten(transform(filter(_sizes, n -> n <= length(_text)), n -> "
+        "transform(sequence(1, length(_text) - n + 1), i -> substring(_text, i, n)))))"
     )
     hits = (
-        texts.filter(F.length("violation_type_clean") >= size)
-        .select("violation_type_clean", F.explode(grams).alias("gram"))
-        .join(keyed, "gram")
-        .filter(F.col("violation_type_clean").contains(F.col("keyword")))
-        .groupBy("violation_type_clean")
-        .agg(F.max("weight").alias("best"))
-    )
-    scored = texts.join(hits, "violation_type_clean", "left").select(
-        "violation_type_clean",
-        F.greatest(default, F.coalesce("best", default)).alias("severity"),
-    )
-    return df.join(scored, "violation_type_clean", "left").fillna(
-        {"severity": float(settings.default_severity)}
+        texts.withColumn("_sizes", lengths)
+        .select("_text", F.explode(grams).alias("keyword"))
+        .join(rules, "keyword")
+        .groupBy("_text")
+        .agg(F.max("weight").alias("_best"))
     )
+    best = F.greatest(F.lit(anywhere), F.coalesce("_best", F.lit(anywhere)))
+    joined = df.join(hits, text == F.col("_text"), "left")
+    return joined.withColumn("severity", best).drop("_text", "_best")
 
 
 def density(df: DataFrame) -> DataFrame:
@@ -64,7 +59,7 @@ def density(df: DataFrame) -> DataFrame:
 
 
 def add_density(df: DataFrame) -> DataFrame:
-    joined = df.join(density(df), KEY, "left")
+    joined = lookup(df, density(df), KEY)
     return joined.withColumn(
         "cluster_density", F.coalesce("cluster_density", F.lit(1)).cast("double")
     )

@@ -22,10 +22,13 @@ SLACK = 1e-12  # keeps rounded bounds on the safe side
 
 
 def grid(c: Column, low: float, high: float) -> Column:
-    """Position on the finest grid."""
+    """Position on the finest grid. A coordinate outside is an error: clean rows have none, and
+    moving it to the edge would merge different places."""
     top = F.lit(2.0**BITS)
     position = F.floor((c - low) / (high - low) * top).cast("bigint")
-    return F.least(F.lit(2**BITS - 1), F.greatest(F.lit(0), position))
+    inside = F.least(F.lit(2**BITS - 1), position)  # the upper edge itself belongs to the grid
+    outside = F.raise_error(F.concat(F.lit("coordinate outside the geofence: "), c.cast("string")))
+    return F.when(c.between(low, high), inside).otherwise(outside.cast("bigint"))
 
 
 def coordinate_key(settings: Settings) -> dict[str, Column]:

@@ -10,6 +10,35 @@ from gridwarden.config import NOISE, Settings
 KEY = ["station_key", "cluster_id"]
 
 
+SPREAD = 1024  # names that stand in for noise in a lookup
+
+
+def lookup(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of incident rows with facts of their hotspot. Noise has no facts; it is sent
+    under many names, so that the noise of a large station does not meet in one task."""
+    noise = F.concat(F.lit(NOISE + "#"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("string"))
+    sent = F.when(F.col("cluster_id") == NOISE, noise).otherwise(F.col("cluster_id"))
+    facts = facts.withColumnRenamed("cluster_id", "_sent")
+    keys = ["_sent" if k == "cluster_id" else k for k in keys]
+    return rows.withColumn("_sent", sent).join(facts, keys, "left").select(
+        *rows.columns, *[c for c in facts.columns if c not in keys]
+    )
+
+
+def join_hour_counts(clocked: DataFrame) -> DataFrame:
+    """Adds violations_in_hour; null for noise."""
+    return lookup(clocked, hour_counts(clocked), [*KEY, "hour"])
+
+
+def join_cluster_median(clocked: DataFrame) -> DataFrame:
+    """Adds cluster_median_hourly; null for noise."""
+    return lookup(clocked, hour_medians(hour_counts(clocked)), KEY)
+
+
+def total_hotspots(df: DataFrame) -> DataFrame:
+    return hotspots(df).agg(F.count_distinct("cluster_id").alias("total_hotspots"))
+
+
 def hotspots(df: DataFrame) -> DataFrame:
     return df.filter(F.col("cluster_id") != NOISE)
 
@@ -79,7 +108,7 @@ def add_rush_and_density(clocked: DataFrame, settings: Settings) -> DataFrame:
         F.col("violations_in_hour") > F.col("cluster_median_hourly"), settings.rush_hour_factor
     ).otherwise(1.0)
     return (
-        clocked.join(facts, [*KEY, "hour"], "left")
+        lookup(clocked, facts, [*KEY, "hour"])
         .withColumn("rush_hour_factor", rush)
         .withColumn("cluster_density", F.coalesce("cluster_rows", F.lit(1)).cast("double"))
         .drop("violations_in_hour", "cluster_median_hourly", "cluster_rows")
@@ -87,9 +116,8 @@ def add_rush_and_density(clocked: DataFrame, settings: Settings) -> DataFrame:
 
 
 def add_rush_hour(clocked: DataFrame, settings: Settings) -> DataFrame:
-    """The rush-hour factor alone, as two left joins."""
-    counts = hour_counts(clocked)
-    joined = clocked.join(counts, [*KEY, "hour"], "left").join(hour_medians(counts), KEY, "left")
+    """The rush-hour factor alone, with its two lookups in one join."""
+    joined = lookup(clocked, hour_facts(clocked).drop("cluster_rows"), [*KEY, "hour"])
     rush = F.when(
         F.col("violations_in_hour") > F.col("cluster_median_hourly"), settings.rush_hour_factor
     ).otherwise(1.0)

@@ -169,14 +169,15 @@ def report(raw: DataFrame, settings: Settings) -> DataFrame:
         *[F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in scan_reasons],
         (F.coalesce(F.sum("n_ok"), F.lit(0)) - valid).alias(DUPLICATE),
     )
-    return _with_rate(counts, settings)
+    return with_verdict(counts, settings)
 
 
-def _with_rate(counts: DataFrame, settings: Settings) -> DataFrame:
+def with_verdict(counts: DataFrame, settings: Settings) -> DataFrame:
+    """Adds rates and the verdict to (total_rows_seen, valid_rows); nothing read does not pass."""
     total, valid = F.col("total_rows_seen"), F.col("valid_rows")
     rate = F.when(total > 0, (total - valid) / total).otherwise(0.0)
     return counts.withColumns({"rejected_rows": total - valid, "rejection_rate": rate}).withColumn(
-        "passed", F.col("rejection_rate") <= settings.max_rejection_rate
+        "passed", (total > 0) & (F.col("rejection_rate") <= settings.max_rejection_rate)
     )
 
 
@@ -190,7 +191,7 @@ def merge_reports(reports: DataFrame, settings: Settings) -> DataFrame:
     """Many report rows into one; the rate is recomputed, not averaged."""
     columns = ["total_rows_seen", "valid_rows", *REASONS]
     summed = reports.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
-    return _with_rate(summed, settings)
+    return with_verdict(summed, settings)
 
 
 def quarantine(raw: DataFrame, settings: Settings) -> DataFrame:
@@ -222,10 +223,12 @@ def strict_records(raw: DataFrame, settings: Settings) -> DataFrame:
 
 
 class QualityGateError(RuntimeError):
-    """Too many rejected rows: the run stops before anything is published."""
+    """Too many rejected rows, or none read: the run stops before anything is published."""
 
 
 def enforce_gate(report_row) -> None:
+    if not report_row["total_rows_seen"]:
+        raise QualityGateError("no rows were read")
     if not report_row["passed"]:
         raise QualityGateError(
             f"rejection rate {report_row['rejection_rate']:.4f} is above the allowed share"

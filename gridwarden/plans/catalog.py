@@ -168,15 +168,7 @@ def q_bad_lines(spark, d):
     )
     path = scratch_path(spark, "bad-lines")
     lines.write.text(path)
-    from gridwarden.sources import feed as source
-
-    options = {**csv_options(), "header": "false"}
-    table = spark.read.schema(source.csv_schema()).options(**options).csv(path)
-    return table.agg(
-        F.count("*").alias("lines"),
-        F.count(source.EXTRA).alias("bad_lines"),
-        F.count_if(F.col("vehicle_type").isNull()).alias("padded_lines"),
-    )
+    return bad_lines(spark, path, header=False)
 
 
 @query("null_tokens")
@@ -472,10 +464,7 @@ def q_merge_reports(spark, d):
 
 @query("quality_gate")
 def q_quality_gate(spark, d):
-    rate = 1 - F.col("valid_rows") / F.col("total_rows_seen")
-    return batch_reports(spark, d).select(
-        "batch", (rate <= S.max_rejection_rate).alias("passed")
-    )
+    return validate.with_verdict(batch_reports(spark, d), S).select("batch", "passed")
 
 
 # --- projections, joins and rollups over the stand-in clusters ---------------------------
@@ -488,7 +477,9 @@ def q_noise_filter(spark, d):
 
 @query("fill_noise")
 def q_fill_noise(spark, d):
-    rows = clustered(spark, d)
+    """Only hotspot rows have an assignment; the join fills in noise."""
+    assigned = temporal.hotspots(clustered(spark, d)).select("station_key", "id", "cluster_id")
+    rows = store.join_assignments(clean(spark, d), assigned)
     return rows.groupBy((F.col("cluster_id") == NOISE).alias("is_noise")).agg(
         F.count("*").alias("n")
     )
@@ -499,8 +490,7 @@ def q_namespace(spark, d):
     from gridwarden.operators.density import namespace_cluster
 
     number = F.col("id").cast("bigint")
-    label = F.when(number % 3 == 0, -1).otherwise(number % 3)
-    return clean(spark, d).select("id", namespace_cluster(label).alias("cluster_id"))
+    return clean(spark, d).select("id", namespace_cluster(number % 3 - 1).alias("cluster_id"))
 
 
 @query("temporal_features")
@@ -561,16 +551,12 @@ def q_medians(spark, d):
 
 @query("join_hour_counts")
 def q_join_hour_counts(spark, d):
-    rows = clocked(spark, d)
-    joined = rows.join(temporal.hour_counts(rows), [*temporal.KEY, "hour"], "left")
-    return joined.select("id", "violations_in_hour")
+    return temporal.join_hour_counts(clocked(spark, d)).select("id", "violations_in_hour")
 
 
 @query("join_cluster_median")
 def q_join_median(spark, d):
-    rows = clocked(spark, d)
-    medians = temporal.hour_medians(temporal.hour_counts(rows))
-    return rows.join(medians, temporal.KEY, "left").select("id", "cluster_median_hourly")
+    return temporal.join_cluster_median(clocked(spark, d)).select("id", "cluster_median_hourly")
 
 
 @query("rush_hour_factor")
@@ -663,9 +649,7 @@ def q_cluster_totals(spark, d):
 
 @query("total_hotspots")
 def q_total_hotspots(spark, d):
-    return temporal.hotspots(clustered(spark, d)).agg(
-        F.count_distinct("cluster_id").alias("total_hotspots")
-    )
+    return temporal.total_hotspots(clustered(spark, d))
 
 
 @query("non_noise_labels")

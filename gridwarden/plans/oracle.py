@@ -437,7 +437,7 @@ ORACLE: dict[str, str] = {
     "namespace_cluster": upto(
         "clean",
         "SELECT id, CASE WHEN id::BIGINT % 3 = 0 THEN 'NOISE' "
-        "ELSE station_key || '::' || (id::BIGINT % 3)::VARCHAR END AS cluster_id FROM clean",
+        "ELSE station_key || '::' || (id::BIGINT % 3 - 1)::VARCHAR END AS cluster_id FROM clean",
     ),
     "temporal_features": upto(
         "clusters",

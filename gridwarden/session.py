@@ -74,11 +74,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(wanted, context.defaultParallelism), *keys)
 
 
-def broadcast_if_small(df: DataFrame, row_limit: int) -> DataFrame:
-    """Broadcast a written table when its row count proves small, else leave it to a shuffle.
+def broadcast_if_small(df: DataFrame, row_limit: int, byte_limit: int = 64 << 20) -> DataFrame:
+    """Broadcast a table when its rows and bytes prove small, else leave it to a shuffle.
 
-    Call it on tables from `written`, where the count comes from the file footers.
+    One aggregation without a shuffle of rows; call it on tables from `written`, as it reads
+    the table. Bytes are those of texts and binaries, and 16 for any other value.
     """
-    if df.limit(row_limit + 1).count() <= row_limit:
+    sizes = [
+        F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) if kind in ("string", "binary") else F.lit(16)
+        for c, kind in df.dtypes
+    ]
+    rows, size = df.agg(F.count("*"), F.sum(sum(sizes, F.lit(0)).cast("long"))).first()
+    if rows <= row_limit and (size or 0) <= byte_limit:
         return F.broadcast(df)
     return df

@@ -35,10 +35,13 @@ def file_order():
     )
 
 
-def scan_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def scan_csv(
+    spark: SparkSession, path: str, columns: list[str] | None = None, header: bool = True
+) -> DataFrame:
     """Every line of the feed, over-long ones marked in `_extra`."""
     names = columns or REQUIRED
-    lines = spark.read.schema(csv_schema(names)).options(**csv_options()).csv(path)
+    options = {**csv_options(), "header": str(header).lower()}
+    lines = spark.read.schema(csv_schema(names)).options(**options).csv(path)
     cells = [na_to_null(F.col(c)).alias(c) for c in names]
     return lines.select(*cells, EXTRA, file_order().alias(ORDER))
 
@@ -48,9 +51,16 @@ def scan_csv_feed(spark: SparkSession, path: str, columns: list[str] | None = No
     return scan_csv(spark, path, columns).filter(F.col(EXTRA).isNull()).drop(EXTRA)
 
 
-def bad_lines(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Count of the lines left out."""
-    return scan_csv(spark, path, columns).agg(F.count(EXTRA).alias("bad_lines"))
+def bad_lines(
+    spark: SparkSession, path: str, columns: list[str] | None = None, header: bool = True
+) -> DataFrame:
+    """Count of all lines, of those left out (too long), and of those padded (too short)."""
+    last = (columns or REQUIRED)[-1]
+    return scan_csv(spark, path, columns, header).agg(
+        F.count("*").alias("lines"),
+        F.count(EXTRA).alias("bad_lines"),
+        F.count_if(F.col(last).isNull()).alias("padded_lines"),
+    )
 
 
 def scan_parquet_feed(spark: SparkSession, path: str) -> DataFrame:

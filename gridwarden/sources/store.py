@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwarden.config import NOISE
 from gridwarden.functions.text import station_key
@@ -23,17 +24,20 @@ def write_partitioned(df: DataFrame, root: str, mode: str = "append") -> None:
 
 
 def read_table(spark: SparkSession, root: str) -> DataFrame:
-    """The partition column is text even where every key looks like a number."""
-    table = spark.read.option("basePath", root).parquet(root)
-    return table.withColumn(PARTITION, F.col(PARTITION).cast("string"))
+    """The stored table. Keys are read as the text in the folder names: left to Spark, `007`,
+    `7` and `1e3` would be read as numbers, and `007` and `7` would become one station."""
+    found = spark.read.parquet(root).schema
+    fields = [f for f in found if f.name != PARTITION]
+    schema = T.StructType([*fields, T.StructField(PARTITION, T.StringType())])
+    return spark.read.schema(schema).parquet(root)
 
 
 def read_station(spark: SparkSession, root: str, key: str) -> DataFrame:
-    return spark.read.parquet(root).filter(F.col(PARTITION) == key)
+    return read_table(spark, root).filter(F.col(PARTITION) == key)
 
 
 def read_columns(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
-    return spark.read.parquet(root).select(*columns)
+    return read_table(spark, root).select(*columns)
 
 
 def list_stations(table: DataFrame) -> DataFrame:

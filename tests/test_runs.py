@@ -4,11 +4,12 @@ import hashlib
 
 import pytest
 
-from gridwarden.config import Settings, load_rules
+from gridwarden.config import RuleFileError, Settings, load_rules
 from gridwarden.operators import forecast, leaderboard, registry
 from gridwarden.plans.catalog import FAST, events_feed, grid_assignments
 from gridwarden.plans.training import IncompleteRunError, load_run, run_training
-from gridwarden.sources import feed
+from gridwarden.session import broadcast_if_small
+from gridwarden.sources import feed, store
 from gridwarden.streaming import ingest
 
 CASES = [
@@ -53,6 +54,34 @@ def test_rules_file(tmp_path):
     path.write_text(": : bad : :")
     with pytest.warns(UserWarning):
         assert load_rules(Settings(), path) == Settings()
+    path.write_text("vehicle_weight_mapping:\n  DRAY: 3\nseverity_mapping:\n  LOUD: often\n")
+    with pytest.raises(RuleFileError, match="severity_mapping: LOUD"):
+        load_rules(Settings(), path)
+    path.write_text("severity_mapping: [1, 2]\n")
+    with pytest.raises(RuleFileError, match="no table"):
+        load_rules(Settings(), path)
+    path.write_text("# nothing\n")
+    assert load_rules(Settings(), path) == Settings()
+
+
+def test_station_keys_stay_text(spark, tmp_path):
+    rows = [("a", "007"), ("b", "7"), ("c", "1e3"), ("d", "1000"), ("e", "12")]
+    df = spark.createDataFrame(rows, "id string, police_station string")
+    root = f"{tmp_path}/store"
+    store.write_partitioned(df, root)
+    assert {r.id: r.station_key for r in store.read_table(spark, root).collect()} == dict(rows)
+    assert [r.id for r in store.read_station(spark, root, "007").collect()] == ["a"]
+    assert [r.station_key for r in store.list_stations(store.read_table(spark, root)).collect()] == sorted(
+        k for _, k in rows
+    )
+
+
+def test_broadcast_by_rows_and_bytes(spark):
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text")
+    plan = lambda x: spark.range(5).join(x, "id")._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in plan(broadcast_if_small(df, 100))
+    assert "strategy=broadcast" not in plan(broadcast_if_small(df, 99))
+    assert "strategy=broadcast" not in plan(broadcast_if_small(df, 100, byte_limit=99_000))
 
 
 def test_fingerprints(spark, tmp_path):

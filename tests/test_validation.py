@@ -11,14 +11,14 @@ from gridwarden.operators import validate as v
 S = Settings()
 SCHEMA = ", ".join(f"{c} string" for c in v.REQUIRED) + ", ingest_order bigint"
 ROWS = [
-    ("1", "12.9716", "77.5946", "CAR", '["NO PARKING"]', "MG Road", "Upparpet", "2024-01-15 08:30:00"),
-    ("2", "12.9352", "77.6245", "scooter ", '["WRONG PARKING", "PARKING ON FOOTPATH"]', None, "Upparpet", "2024-01-15 09:15:00"),
-    ("3", "0.0", "77.6000", None, "NULL", "NULL", "Upparpet", "2024-01-15 10:00:00"),
-    ("4", "abc", "77.6000", "BUS", '["NO PARKING"]', "Silk Board", "Whitefield", "not-a-date"),
-    ("5", None, "77.6000", "LORRY/GOODS VEHICLE", "['PARKING NEAR ROAD CROSSING']", "  ", "Whitefield", "2024-01-16 18:00:00"),
-    ("6", "12.9700", "77.5900", "TOTALLY_UNKNOWN_TYPE", "['WRONG PARKING']", "Hebbal", "NULL", "2024-01-16 19:00:00"),
-    ("7", "13.9999", "77.6000", "CAR", '["NO PARKING"]', "MG Road", "Upparpet", "2024-01-17 08:00:00"),
-    ("1", "12.9716", "77.5946", "CAR", '["NO PARKING"]', "MG Road", "Upparpet", "2024-01-15 08:30:00"),
+    ("a-70", "13.1024", "77.4418", "VAN", "['NO PARKING', 'WRONG PARKING']", "East Gate", "Harbour", "2023-11-02 22:05:09"),
+    ("a-71", "12.7315", "77.8802", " tempo", '["PARKING ON FOOTPATH"]', "null", "Harbour", "2023-11-03 06:41:00"),
+    ("a-72", "0", "0", "BUS", "UNKNOWN", "East Gate", "Harbour", "2023-11-03 07:00:00"),
+    ("a-73", "12.9x", "77.5000", "CAR", "NULL", "Mill Lane", "Old Town", "yesterday"),
+    ("a-74", "12.8800", "", "JEEP", "['NO PARKING']", None, "Old Town", "2023-11-04 12:30:00"),
+    ("a-75", "13.4500", "77.3000", "HOVERCRAFT", "wrong parking", "   ", "NULL", "2023-11-05 00:00:01"),
+    ("a-76", "12.6999", "77.5000", "CAR", "['NO PARKING']", "Mill Lane", "Old Town", "2023-11-05 09:15:00"),
+    ("a-70", "13.1024", "77.4418", "VAN", "['NO PARKING']", "East Gate", "Harbour", "2023-11-02 22:05:10"),
 ]
 
 
@@ -39,12 +39,12 @@ def test_report_counts_every_row(feed):
 
 def test_clean_rows(feed):
     got = {r.id: r for r in v.clean(feed, S).collect()}
-    assert set(got) == {"1", "2", "6"}
-    assert (got["2"].vehicle_type, got["2"].vehicle_weight) == ("SCOOTER", 1)
-    assert got["2"].junction_name == "No Junction"
-    assert got["2"].violation_type_clean == "WRONG PARKING, PARKING ON FOOTPATH"
-    assert (got["6"].police_station, got["6"].vehicle_weight) == ("Unknown", 1)
-    assert got["1"].vehicle_weight == 2
+    assert set(got) == {"a-70", "a-71", "a-75"}
+    assert (got["a-71"].vehicle_type, got["a-71"].vehicle_weight) == ("TEMPO", 2)
+    assert got["a-71"].junction_name == "null"
+    assert got["a-70"].violation_type_clean == "NO PARKING, WRONG PARKING"
+    assert (got["a-75"].police_station, got["a-75"].vehicle_weight) == ("Unknown", 1)
+    assert got["a-70"].vehicle_weight == 2 and got["a-75"].junction_name == "No Junction"
 
 
 def test_missing_column_is_an_error(spark):
@@ -55,7 +55,9 @@ def test_missing_column_is_an_error(spark):
 def test_empty_feed(spark):
     row = v.report(spark.createDataFrame([], SCHEMA), S).first()
     assert (row.total_rows_seen, row.valid_rows, row.rejection_rate) == (0, 0, 0.0)
-    assert row.passed is True
+    assert row.passed is False
+    with pytest.raises(v.QualityGateError, match="no rows"):
+        v.enforce_gate(row)
 
 
 def test_bad_time_and_shadowing_first_row(spark):
