@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.config import Settings
+from gridwarden.functions.draw import ticket
 from gridwarden.operators.numbering import number_rows
-from gridwarden.session import broadcast_if_small, written
+from gridwarden.session import broadcast_if_small, scratch_path, written
 
 # Feature names, in model order.
 FEATURES = ["cluster_id_encoded", "day_of_week_num", "hour"]
@@ -36,8 +37,8 @@ def encode(df: DataFrame, encoding: DataFrame, settings: Settings) -> DataFrame:
 def split_flag(settings: Settings):
     """True for held-out rows. Drawn from the row's own key, so a rerun under any
     partitioning holds out the same rows; the share is met on average."""
-    draw = F.xxhash64(F.lit(settings.model_seed), "date", "cluster_id", "hour")
-    return F.pmod(draw, F.lit(1000)) < round(settings.test_share * 1000)
+    draw = ticket(F.lit(settings.model_seed), F.col("date"), F.col("cluster_id"), F.col("hour"))
+    return draw % 1000 < round(settings.test_share * 1000)
 
 
 @dataclass
@@ -50,7 +51,11 @@ class Forecast:
 
 
 def train_forecast(trend: DataFrame, settings: Settings) -> Forecast:
-    """Boosted regression trees on (hotspot index, weekday, hour)."""
+    """Boosted regression trees on (hotspot index, weekday, hour).
+
+    Training rows with equal features become one row with their mean and their number as its
+    weight. For squared error the gain of every split, and so the trees, are those of the single
+    rows, while the table shrinks by the number of weeks in the history."""
     encoding = written(label_encode(trend), "encoding")
     if encoding.limit(2).count() < 2:
         raise ValueError("a forecast needs the history of at least two hotspots")
@@ -66,15 +71,29 @@ def train_forecast(trend: DataFrame, settings: Settings) -> Forecast:
         maxDepth=settings.max_depth,
         maxBins=256,
         seed=settings.model_seed,
+        weightCol="weight",
     )
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = rows.filter(~F.col("held_out"))
-    model = Pipeline(stages=[assembler, trees]).fit(train)
+    cells = written(
+        train.groupBy(*FEATURES).agg(
+            F.avg(LABEL).alias(LABEL), F.count("*").cast("double").alias("weight")
+        ),
+        "training-cells",
+    )
+    _set_checkpoints(cells.sparkSession)  # the boosting cuts its lineage there
+    model = Pipeline(stages=[assembler, trees]).fit(cells)
     scored = model.transform(rows.filter("held_out"))
     held = forecast_mae(scored).first()
     return Forecast(model, encoding, held["forecast_mae"], train.count(), held["n_test"])
 
 
+def _set_checkpoints(spark) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_path(spark, "checkpoints"))
+
+
 def forecast_mae(scored: DataFrame) -> DataFrame:
     error = F.abs(F.col(LABEL) - F.col("prediction"))
     return scored.agg(F.avg(error).alias("forecast_mae"), F.count("*").alias("n_test"))
@@ -132,7 +151,8 @@ def unknown_clusters(requests: DataFrame, encoding: DataFrame) -> DataFrame:
 def predict_batch(
     requests: DataFrame, forecast: Forecast, settings: Settings
 ) -> tuple[DataFrame, DataFrame]:
-    """Scores a table of requests; the second table holds the refused ones with a reason."""
+    """Scores a table of requests; the second table holds the refused ones with a reason. Both
+    keep the columns of the requests, so that answers can be matched to them."""
     good, bad = validate_requests(requests)
     unknown = unknown_clusters(good, forecast.encoding).withColumn(
         "reject_reason", F.lit("unknown_cluster")
@@ -141,9 +161,7 @@ def predict_batch(
         "day_of_week_num", F.col("day_of_week")
     )
     scored = forecast.model.transform(rows).select(
-        "cluster_id",
-        "hour",
-        "day_of_week",
+        *requests.columns,
         predicted_violations(F.col("prediction")).alias("predicted_violations"),
         F.lit(round(forecast.mae, 2)).alias("model_mae"),
         F.lit(settings.model_version).alias("model_version"),

@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwarden.config import Settings
-
-
-def _ticket(seed: int, *columns: str) -> Column:
-    """A reproducible draw: the same row gets the same number under any partitioning."""
-    return F.xxhash64(F.lit(seed), *columns)
+from gridwarden.functions.draw import SPAN, ticket
 
 
 def station_budget(clean: DataFrame, settings: Settings) -> int:
@@ -26,9 +22,8 @@ def heatmap_sample(clean: DataFrame, budget: int, settings: Settings) -> DataFra
     by as many tasks as the shuffle has, and no task holds more than salts * budget of it.
     """
     salts = int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ticket = _ticket(settings.heatmap_seed, "id")
     points = clean.select("station_key", "id", "latitude", "longitude").withColumns(
-        {"_ticket": ticket, "_salt": F.pmod(F.xxhash64("id"), F.lit(salts))}
+        {"_ticket": ticket(F.lit(settings.heatmap_seed), F.col("id")), "_salt": F.pmod(F.xxhash64("id"), F.lit(salts))}
     )
     share = Window.partitionBy("station_key", "_salt").orderBy("_ticket", "id")
     station = Window.partitionBy("station_key").orderBy("_ticket", "id")
@@ -42,11 +37,21 @@ def heatmap_sample(clean: DataFrame, budget: int, settings: Settings) -> DataFra
 
 
 def cap_sample(points: DataFrame, settings: Settings) -> DataFrame:
-    """The same draw over the whole layer: TakeOrdered keeps max_points rows a task."""
-    if points.isEmpty():
+    """The same draw over the whole layer: the max_points smallest tickets.
+
+    Of a larger layer only tickets up to a bound that half as many again should meet are sorted,
+    so what the tasks send on does not grow with their number; if the bound was too low for
+    once, all are."""
+    wanted, rows = settings.heatmap_max_points, points.count()
+    if not rows:
         raise ValueError("a map needs at least one point")
-    ordered = points.orderBy(_ticket(settings.heatmap_seed, "station_key", "id"), "id")
-    return ordered.limit(settings.heatmap_max_points)
+    drawn = points.withColumn(
+        "_ticket", ticket(F.lit(settings.heatmap_seed), F.col("station_key"), F.col("id"))
+    )
+    if rows > 2 * wanted:
+        near = drawn.filter(F.col("_ticket") < int(SPAN * 1.5 * wanted / rows))
+        drawn = near if near.count() >= wanted else drawn
+    return drawn.orderBy("_ticket", "id").limit(wanted).drop("_ticket")
 
 
 def map_center(points: DataFrame) -> DataFrame:

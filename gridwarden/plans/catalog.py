@@ -808,22 +808,32 @@ def q_marker_labels(spark, d):
     return heatmap.markers(_score_rows(spark, d)).select("cluster_id", "tooltip", "popup")
 
 
-@query("heatmap_sample")
-def q_heatmap_sample(spark, d):
+def _heatmap_sample(spark, d, settings):
     rows = written(clean(spark, d).select("station_key", "id", "latitude", "longitude"), "points")
-    settings = Settings(heatmap_max_points=2_000)
     budget = heatmap.station_budget(rows, settings)
-    sample = heatmap.heatmap_sample(rows, budget, settings)
-    return sample.groupBy("station_key").agg(
-        F.count("*").alias("n"), F.count_distinct("id").alias("n_ids")
-    )
+    return heatmap.heatmap_sample(rows, budget, settings).select("station_key", "id")
+
+
+@query("heatmap_sample")
+def q_heatmap_sample(spark, d):
+    return _heatmap_sample(spark, d, S)
+
+
+@query("heatmap_sample_cut")
+def q_heatmap_sample_cut(spark, d):
+    """The same with a tenth of the points, so that small tables show the cut, too."""
+    return _heatmap_sample(spark, d, Settings(heatmap_max_points=2_000))
 
 
 @query("cap_sample")
 def q_cap_sample(spark, d):
+    return heatmap.cap_sample(clean(spark, d), S).select("station_key", "id")
+
+
+@query("cap_sample_cut")
+def q_cap_sample_cut(spark, d):
     settings = Settings(heatmap_max_points=2_000)
-    points = heatmap.cap_sample(clean(spark, d), settings)
-    return points.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+    return heatmap.cap_sample(clean(spark, d), settings).select("station_key", "id")
 
 
 @query("map_center")
@@ -836,9 +846,6 @@ def q_map_center(spark, d):
 
 # --- forecast ----------------------------------------------------------------------------
 
-FAST = Settings(n_trees=10, max_depth=4)
-
-
 @query("label_encode")
 def q_label_encode(spark, d):
     return forecast.label_encode(rollups.hourly_trend(clustered(spark, d)))
@@ -885,16 +892,19 @@ def q_split(spark, d):
 
 def _trained(spark, d):
     trend = written(rollups.hourly_trend(clustered(spark, d)), "trend")
-    return trend, forecast.train_forecast(trend, FAST)
+    return trend, forecast.train_forecast(trend, S)
 
 
 @query("train_forecast")
 def q_train(spark, d):
-    """Ten trees here; the default is two hundred. MAE and the row counts of both shares."""
+    """Row counts of both shares, and whether the trees beat the mean on the held-out one."""
     trend, model = _trained(spark, d)
-    rows = forecast.encode(trend, model.encoding, FAST).filter(forecast.split_flag(FAST))
-    return forecast.forecast_mae(model.model.transform(rows)).withColumn(
-        "n_train", F.lit(model.n_train)
+    flagged = trend.withColumn("held_out", forecast.split_flag(S))
+    mean = flagged.filter("NOT held_out").agg(F.avg(forecast.LABEL)).first()[0]
+    held = flagged.filter("held_out").withColumn("prediction", F.lit(mean))
+    return forecast.forecast_mae(held).select(
+        F.lit(model.n_train).cast("bigint").alias("n_train"), "n_test",
+        (F.lit(model.mae) < F.col("forecast_mae")).alias("beats_mean"),
     )
 
 
@@ -909,8 +919,18 @@ def q_importance(spark, d):
 
 @query("predict_batch")
 def q_predict(spark, d):
+    """Every request with its fate; the prediction itself depends on the trees."""
     _, model = _trained(spark, d)
-    return forecast.predict_batch(requests(spark, d), model, FAST)[0]
+    good, bad = forecast.predict_batch(requests(spark, d), model, S)
+    answered = good.select(
+        "id", "cluster_id", "hour", "day_of_week", F.lit("ok").alias("status"),
+        (F.col("predicted_violations") >= 0).alias("has_prediction"), "model_version",
+    )
+    refused = bad.select(
+        "id", "cluster_id", "hour", "day_of_week", F.col("reject_reason").alias("status"),
+        F.lit(False).alias("has_prediction"), F.lit(None).cast("string").alias("model_version"),
+    )
+    return answered.unionByName(refused)
 
 
 # --- registry ----------------------------------------------------------------------------
@@ -1020,7 +1040,7 @@ def _finished_run(spark, d):
 
     root = scratch_path(spark, "artifacts")
     row = run_training(
-        raw(spark, d), root, FAST, assign=lambda c, s: grid_assignments(c, s).select(
+        raw(spark, d), root, S, assign=lambda c, s: grid_assignments(c, s).select(
             "station_key", "id", "cluster_id")
     )
     return row, load_run(spark, root), root

@@ -272,6 +272,26 @@ report AS (
     (total_rows_seen - valid_rows)::DOUBLE / total_rows_seen AS rejection_rate,
     (total_rows_seen - valid_rows)::DOUBLE / total_rows_seen <= 0.25 AS passed FROM counted)
 """
+
+
+def ticket(*values: str) -> str:
+    texts = ", ".join(f"coalesce(({v})::VARCHAR, chr(0))" for v in values)
+    return f"('0x' || left(md5(concat_ws(chr(31), {texts})), 12))::BIGINT"
+
+
+def sampled(points: int) -> str:
+    return f"""SELECT station_key, id FROM (
+      SELECT station_key, id, row_number() OVER (
+        PARTITION BY station_key ORDER BY {ticket("42", "id")}, id) AS n FROM clean)
+      WHERE n <= {points} // (SELECT count(DISTINCT station_key) FROM clean)"""
+
+
+def capped(points: int) -> str:
+    draw = ticket("42", "station_key", "id")
+    return f"SELECT station_key, id FROM clean ORDER BY {draw}, id LIMIT {points}"
+
+
+HELD_OUT = f"{ticket('42', 'date', 'cluster_id', 'hour')} % 1000 < 200"
 TREND = """
 trend AS (
   SELECT date, cluster_id, day_of_week_num, hour, count(*) AS hourly_violation_count
@@ -572,15 +592,10 @@ ORACLE: dict[str, str] = {
         "total_violations::VARCHAR || ' | Junction: ' || junction_name || ' | Station: ' || "
         "police_station AS popup FROM scores",
     ),
-    "heatmap_sample": upto(
-        "clean",
-        "SELECT station_key, least(count(*), 2000 // (SELECT count(DISTINCT station_key) "
-        "FROM clean)) AS n, least(count(*), 2000 // (SELECT count(DISTINCT station_key) "
-        "FROM clean)) AS n_ids FROM clean GROUP BY 1",
-    ),
-    "cap_sample": upto(
-        "clean", "SELECT least(count(*), 2000) AS n, least(count(*), 2000) AS n_ids FROM clean"
-    ),
+    "heatmap_sample": upto("clean", sampled(20_000)),
+    "heatmap_sample_cut": upto("clean", sampled(2_000)),
+    "cap_sample": upto("clean", capped(20_000)),
+    "cap_sample_cut": upto("clean", capped(2_000)),
     "map_center": upto(
         "clean",
         "SELECT round(avg(latitude) + 1.3717e-7, 6) AS center_latitude, "
@@ -607,6 +622,29 @@ ORACLE: dict[str, str] = {
         "AND cluster_id NOT IN (SELECT cluster_id FROM hot)",
         REQUESTS,
     ),
+    "train_test_split": upto(
+        "clusters", f"SELECT {HELD_OUT} AS held_out, count(*) AS n FROM trend GROUP BY 1", TREND
+    ),
+    "train_forecast": upto(
+        "clusters",
+        f"SELECT count_if(NOT {HELD_OUT})::BIGINT AS n_train, count_if({HELD_OUT})::BIGINT AS n_test, "
+        "true AS beats_mean FROM trend",
+        TREND,
+    ),
+    "predict_batch": upto(
+        "clusters",
+        """SELECT id, cluster_id, hour, day_of_week, status, status = 'ok' AS has_prediction,
+          CASE WHEN status = 'ok' THEN 'v1' END AS model_version
+        FROM (SELECT *, CASE WHEN reject_reason = 'ok' AND cluster_id NOT IN
+            (SELECT cluster_id FROM hot) THEN 'unknown_cluster' ELSE reject_reason END AS status
+          FROM judged)""",
+        REQUESTS,
+    ),
+    "input_fingerprint": upto(
+        "feed",
+        f"""SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, sum(h % 1000003)::BIGINT AS sum_hash
+        FROM (SELECT {ticket(*REQUIRED, "ingest_order")} AS h FROM feed)""",
+    ),
     "promotion_gate": f"""
       WITH {RUNS},
       served AS (

@@ -6,12 +6,13 @@ import pytest
 
 from gridwarden.config import RuleFileError, Settings, load_rules
 from gridwarden.operators import forecast, leaderboard, registry
-from gridwarden.plans.catalog import FAST, events_feed, grid_assignments
+from gridwarden.plans.catalog import events_feed, grid_assignments
 from gridwarden.plans.training import IncompleteRunError, load_run, run_training
 from gridwarden.session import broadcast_if_small
 from gridwarden.sources import feed, store
 from gridwarden.streaming import ingest
 
+FAST = Settings(n_trees=10, max_depth=4)
 CASES = [
     (5.0, None, 10, False, True), (1.0, 1.5, 10, False, True), (1.09, 1.0, 10, False, True),
     (1.10, 1.0, 10, False, True), (1.101, 1.0, 10, False, False), (1.15, 1.0, 10, False, False),
