@@ -22,20 +22,22 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwarden.llm import range_coder
-from gridwarden.llm.common import as_texts, id_text, slices
+from gridwarden.llm.common import id_text, slices
 
-CACHE = 200_000
+CACHE = 400_000
+MARKS = ".,;:!?"
 BLOCK = 4_096  # ids
 SIDE_BY_SIDE = 2_048  # blocks
 SEGMENT = SIDE_BY_SIDE * BLOCK  # ids
@@ -53,34 +55,43 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
-def tokenize(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts in one array, and the number of ids of each text."""
+def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts (an array without nulls) in one array, and their number by text."""
     tokenizer, known = _tokenizer(path)
-    cut = [t.split(" ") for t in texts]
-    here = list(set(chain.from_iterable(cut)))
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)  # as the tokenizer does, but for its special tokens
+    cut = pc.split_pattern(texts, " ")
+    chunks = cut.flatten().dictionary_encode()
+    here = chunks.dictionary.to_pylist()
     new = [c for c in here if c not in known]
-    for start in range(0, len(new), 10_000):
-        part = new[start : start + 10_000]
+    # A word and the marks after it are tokenized apart, so they are looked up apart.
+    stems = [c.rstrip(MARKS) for c in new]
+    stems = [s if s.isalpha() else c for s, c in zip(stems, new)]
+    ends = [c[len(s) :] for s, c in zip(stems, new)]
+    fresh = [c for c in {*stems, *ends} if c not in known]
+    for start in range(0, len(fresh), 10_000):
+        part = fresh[start : start + 10_000]
         for chunk, encoding in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            if max(encoding.ids, default=0) > 65_535:
+            ids = encoding.ids
+            if ids and max(ids) > 65_535:
                 raise ValueError("ids above 65,535 do not fit these files")
-            known[chunk] = np.array(encoding.ids, dtype=np.uint16).tobytes()
-    number = dict(zip(here, range(len(here))))
+            known[chunk] = array("H", ids).tobytes()
+    for chunk, stem, end in zip(new, stems, ends):
+        if end:
+            known[chunk] = known[stem] + known[end]
     pieces = list(map(known.__getitem__, here))
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
     starts = np.cumsum(sizes) - sizes
     flat = np.frombuffer(b"".join(pieces), np.uint16)
-    counts = np.fromiter(map(len, cut), np.int64, len(cut))
-    codes = np.fromiter(
-        map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum())
-    )
+    codes = chunks.indices.to_numpy()
     lengths = sizes[codes]
     ends = np.cumsum(lengths)
-    at = np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-    if len(known) > CACHE + len(here):
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(starts[codes] - (ends - lengths), lengths)
+    if len(known) > CACHE + 2 * len(here):
         known.clear()
         known.update(zip(here, pieces))
-    upto = np.concatenate([[0], ends])[np.cumsum(counts)]
+    upto = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(cut).to_numpy())]
     return flat[at], np.diff(upto, prepend=0)
 
 
@@ -143,7 +154,7 @@ def write_tokens(
 
         size = 0
         for piece in slices(batches):
-            flat, counts = tokenize(as_texts(piece), tokenizer)
+            flat, counts = tokenize(pc.fill_null(piece.column("text"), ""), tokenizer)
             start = 0
             for doc_id, count in zip(piece.column("doc_id").to_pylist(), counts.tolist()):
                 ids.append(doc_id)

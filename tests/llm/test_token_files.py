@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,9 +49,11 @@ def test_damage_is_noticed():
         token_files.unpack(row)
 
 
-def test_tokenizer_by_chunks():
-    texts = ["", " ", "a  b\n\tC d", "İSTANBUL ΣΑΣ ǅ é ́x", "<|endoftext|> a<|endoftext|>b", "x　y z"]
-    ids, counts = token_files.tokenize(texts, PATH)
+@pytest.mark.parametrize("special", [False, True])
+def test_tokenizer_by_chunks(special):
+    texts = ["<|endoftext|> The<|ENDOFTEXT|>"] if special else ["it's John's. 'Tis, (a.b) x.. y!? é., À.", "1.5 a1."]
+    texts += ["", " ", "a  b\n\tC d", "İSTANBUL ΣΑΣ ǅ é ́x", "x　y z"]
+    ids, counts = token_files.tokenize(pa.array(texts), PATH)
     ends = np.cumsum(counts)
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [
         TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts
