@@ -49,7 +49,7 @@ BATCH = 2048  # tokens a gradient step
 RATE = 0.5
 CHUNKS = 16  # parts in which weights are averaged
 BLOCKS = (
-    "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes array<int>, "
+    "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, "
     "words array<binary>, counts array<long>"
 )
 
@@ -62,6 +62,19 @@ def _list(values, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def _squeeze(codes: np.ndarray) -> bytes:
+    """Word numbers in a few bits each: frequent words have small ones, so that of four byte
+    planes two or three are nearly empty."""
+    planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(codes).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _stretch(data: bytes) -> np.ndarray:
+    count = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=4 * count, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, count).T).view("<i4")[:, 0]
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """One row a block: its documents as numbers of its distinct words, and training counts."""
 
@@ -76,13 +89,19 @@ def _blocks(docs: DataFrame) -> DataFrame:
             flat = np.fromiter(
                 (number(w, len(codes)) for words in lists for w in words), np.int32, int(lengths.sum())
             )
+            # Numbers by falling frequency.
+            order = np.argsort(-np.bincount(flat, minlength=len(codes)), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            flat, names = rank[flat], list(codes)
             used = flat[np.repeat(~np.array(held, dtype=bool), lengths)]
             counts = np.bincount(used, minlength=len(codes))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([uuid.uuid4().int >> 65], pa.int64()),
                     _list(ids, pa.int64()), _list(held, pa.bool_()), _list(lengths, pa.int32()),
-                    _list(flat, pa.int32()), _list(list(codes), pa.binary()), _list(counts, pa.int64()),
+                    pa.array([_squeeze(flat)], pa.binary()),
+                    _list([names[i] for i in order.tolist()], pa.binary()), _list(counts, pa.int64()),
                 ],
                 names=["block", "doc_ids", "held", "lengths", "codes", "words", "counts"],
             )
@@ -96,16 +115,17 @@ def _counted(blocks: DataFrame) -> DataFrame:
     words = words.select("block", "nth", F.col("pair.words").alias("word"), F.col("pair.counts").alias("n"))
     same = Window.partitionBy("word")
     here = F.struct("block", "nth")
+    first = (F.min(here).over(same) == here).cast("long")
+    count = F.sum("n").over(same)
+    ending = F.pmod(F.xxhash64(F.expr("substring(word, -2, 2)")), F.lit(END - COMMON))
+    mark = F.xxhash64("word").bitwiseAND(0x7FFFFFFF)
+    # Two numbers a word: (number in the block, hash) and (count, ending, first occurrence).
     words = words.select(
-        "block", "nth",
-        F.sum("n").over(same).alias("c"),
-        (F.min(here).over(same) == here).alias("first"),
-        F.xxhash64("word").bitwiseAND(0x7FFFFFFF).cast("int").alias("h"),
-        F.pmod(F.xxhash64(F.expr("substring(word, -2, 2)")), F.lit(END - COMMON)).cast("int").alias("ending"),
-    )
-    infos = words.groupBy("block").agg(
-        F.collect_list(F.struct("nth", "c", "first", "h", "ending")).alias("infos")
+        "block",
+        (F.shiftleft(F.col("nth").cast("long"), 32) + mark).alias("name"),
+        (count * 64 + ending * 2 + first).alias("facts"),
     )
+    infos = words.groupBy("block").agg(F.collect_list(F.struct("name", "facts")).alias("infos"))
     slim = blocks.select("block", "doc_ids", "held", "lengths", "codes")
     return written(slim.join(infos, "block", "left"), "lm-counted")
 
@@ -120,17 +140,16 @@ class Block:
         self.doc_ids = batch.column("doc_ids")[row].values
         self.held = column("held").astype(bool)
         lengths = column("lengths").astype(np.int64)
-        codes = column("codes")
+        codes = _stretch(batch.column("codes")[row].as_py())
         infos = batch.column("infos")[row]
         count = len(infos.values) if infos.is_valid else 0
         self.c, hashes = np.zeros(count, np.int64), np.zeros(count, np.int64)
         ending, self.first = np.zeros(count, np.int64), np.zeros(count, bool)
         if count:
-            nth = infos.values.field("nth").to_numpy()
-            self.c[nth] = infos.values.field("c").to_numpy()
-            hashes[nth] = infos.values.field("h").to_numpy()
-            ending[nth] = infos.values.field("ending").to_numpy()
-            self.first[nth] = infos.values.field("first").to_numpy(zero_copy_only=False)
+            name, facts = infos.values.field("name").to_numpy(), infos.values.field("facts").to_numpy()
+            nth = name >> 32
+            hashes[nth] = name & 0x7FFFFFFF
+            self.c[nth], ending[nth], self.first[nth] = facts >> 6, facts >> 1 & 31, facts & 1
         frequent = (self.c > 0) & (self.c * FREQUENT >= tokens)
         self.word_class = np.where(frequent, hashes % COMMON, COMMON + ending)
         # An end token after every document.
