@@ -975,18 +975,22 @@ def q_file_fingerprint(spark, d):
 
 # --- density clusters and the whole run --------------------------------------------------
 
-_assigned: dict[tuple[str, str], DataFrame] = {}
-
-
 def density_assignments(spark: SparkSession, d: str) -> DataFrame:
-    """The clustering of one feed is shared by the queries below."""
     from gridwarden.operators.density import cluster_hotspots
 
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _assigned:
-        rows = written(clean(spark, d), "clean")
-        _assigned[key] = written(cluster_hotspots(rows, S), "assigned")
-    return _assigned[key]
+    return cluster_hotspots(written(clean(spark, d), "clean"), S)
+
+
+@query("core_distances")
+def q_core_distances(spark, d):
+    """Metres to the k-th nearest other row, for every distinct place of a station."""
+    from gridwarden.operators.core_distance import core_distances
+    from gridwarden.operators.quadtree import distinct_points
+
+    cored = core_distances(distinct_points(clean(spark, d), S))
+    return cored.select(
+        "station_key", "first_id", F.round(F.col("core") * 6_371_000 + 1.37e-3, 1).alias("core_metres")
+    )
 
 
 @query("cluster_hotspots")
@@ -994,21 +998,30 @@ def q_cluster(spark, d):
     return density_assignments(spark, d)
 
 
-@query("cluster_invariants")
-def q_cluster_invariants(spark, d):
-    """What any density clustering of the feed must satisfy."""
-    assigned = density_assignments(spark, d)
-    sizes = assigned.groupBy("cluster_id").agg(
-        F.count("*").alias("n"), F.count_distinct("station_key").alias("stations")
+@query("cluster_recovery")
+def q_cluster_recovery(spark, d):
+    """The feed plants five dense places in every named station, far apart for their size. Each
+    must come back as one cluster of its own that holds all of its rows."""
+    rows = clean(spark, d).select("station_key", "id", F.col("id").cast("bigint").alias("e"))
+    planted = rows.withColumn("h", (F.col("e") * 7919 + 13) % 1000).where(
+        "h < 900 AND station_key <> 'Unknown'"
+    )
+    found = density_assignments(spark, d).select("station_key", "id", "cluster_id")
+    named = F.when(F.col("cluster_id") != NOISE, F.col("cluster_id"))
+    places = (
+        planted.join(found, ["station_key", "id"])
+        .groupBy("station_key", (F.col("h") % 5).alias("place"))
+        .agg(
+            F.count("*").alias("n_rows"),
+            F.count(named).alias("n_in_clusters"),
+            F.count_distinct(named).alias("n_clusters"),
+            F.min(named).alias("cluster_id"),
+        )
     )
-    hot = F.col("cluster_id") != NOISE
-    checks = sizes.agg(
-        F.count_if(hot & (F.col("n") < S.min_cluster_size)).alias("too_small"),
-        F.count_if(hot & (F.col("stations") > 1)).alias("across_stations"),
-        F.sum("n").alias("n_rows"),
+    shared = places.groupBy("cluster_id").agg(F.count("*").alias("n_places"))
+    return places.join(shared, "cluster_id", "left").select(
+        "station_key", "place", "n_rows", "n_in_clusters", "n_clusters", "n_places"
     )
-    ids = assigned.agg(F.count_distinct("id").alias("n_ids"))
-    return checks.withColumn("_k", F.lit(1)).join(ids.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 @query("small_station_noise")

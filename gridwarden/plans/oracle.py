@@ -679,10 +679,29 @@ ORACLE: dict[str, str] = {
         - epoch_us(generated_at)) / 1e6::DOUBLE) AS artifact_age_seconds,
       round(forecast_mae, 6) AS model_mae, total_hotspots AS active_hotspots
       FROM runs WHERE promoted ORDER BY generated_at DESC, run_id DESC LIMIT 1""",
-    "cluster_invariants": upto(
+    "core_distances": upto(
         "clean",
-        "SELECT 0::BIGINT AS too_small, 0::BIGINT AS across_stations, count(*) AS n_rows, "
-        "count(DISTINCT id) AS n_ids FROM clean",
+        """SELECT station_key, min(id) AS first_id,
+          round(min(core) * 6371000 + 1.37e-3, 1) AS core_metres
+        FROM (
+          SELECT a.station_key, a.id, a.la, a.lo, a.k,
+            2 * asin(sqrt(sin((a.la - b.la) / 2) ** 2
+              + cos(a.la) * cos(b.la) * sin((a.lo - b.lo) / 2) ** 2)) AS core,
+            row_number() OVER (PARTITION BY a.station_key, a.id ORDER BY core) AS nth
+          FROM places a JOIN places b USING (station_key))
+        WHERE nth = k + 1 GROUP BY station_key, la, lo""",
+        """places AS (
+          SELECT station_key, id, radians(round(latitude, 9)) AS la,
+            radians(round(longitude, 9)) AS lo, greatest(1, least(10, size - 1)) AS k
+          FROM (SELECT *, count(*) OVER (PARTITION BY station_key) AS size FROM clean)
+          WHERE size >= 10)""",
+    ),
+    "cluster_recovery": upto(
+        "clean",
+        """SELECT station_key, place, count(*) AS n_rows, count(*) AS n_in_clusters,
+          1::BIGINT AS n_clusters, 1::BIGINT AS n_places
+        FROM (SELECT *, (id::BIGINT * 7919 + 13) % 1000 AS h, h % 5 AS place FROM clean)
+        WHERE h < 900 AND station_key <> 'Unknown' GROUP BY ALL""",
     ),
     "small_station_noise": upto(
         "clean",
