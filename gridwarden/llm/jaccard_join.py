@@ -49,6 +49,8 @@ TILE_SHINGLES = 500_000
 TILE_ROWS = 256
 COUNTERS = 1 << 20
 COUNTER_PARTS = 32
+FILTER_PARTS = 64
+FILTER_BITS = 1 << 28  # 32 MB
 MEMBERS_BROADCAST = 200_000  # rows of (long, long, long, int): under 8 MB
 
 
@@ -219,6 +221,59 @@ def _sets(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray)
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """(node, key) for all keys that occur more than once, and some others.
+
+    Nearly all keys occur once. Only the keys themselves are shuffled to count them; those that
+    repeat are marked in a table of bits, by which the others are left out before nodes are
+    shuffled. The table has 16 bits a repeated key, at most `FILTER_BITS`, so it has a fixed
+    bound; where it is full it leaves more keys in, which changes no result.
+    """
+    keys = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    repeated = written(keys.where("n > 1").select("key"), "repeated-keys")
+    bits = FILTER_PARTS * 64
+    wanted = min(16 * repeated.count(), FILTER_BITS)
+    while bits < wanted:
+        bits *= 2
+    part_bits = bits // FILTER_PARTS
+
+    def places(values: np.ndarray) -> np.ndarray:
+        return (values.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = places(batch.column("key").to_numpy())
+            for nth in np.unique(at // part_bits).tolist():
+                table = tables.setdefault(nth, np.zeros(part_bits, bool))
+                table[at[at // part_bits == nth] % part_bits] = True
+        for nth, table in tables.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nth], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())],
+                names=["nth", "data"],
+            )
+
+    nth = F.expr(f"CAST((key & {bits - 1}L) DIV {part_bits} AS INT)")
+    parts = repeated.repartition(FILTER_PARTS, nth).mapInArrow(mark, "nth int, data binary").collect()
+    marked = np.zeros(bits // 8, np.uint8)
+    for row in parts:  # a part is marked by one task
+        start = row.nth * part_bits // 8
+        marked[start : start + part_bits // 8] = np.frombuffer(row.data, np.uint8)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy()
+            nodes = np.repeat(batch.column("node").to_numpy(), lists.value_lengths().to_numpy())
+            at = places(keys)
+            good = (marked[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes[good]), pa.array(keys[good])], names=["node", "key"]
+            )
+
+    return sets.where("size(keys) > 0").select("node", "keys").mapInArrow(keep, "node long, key long")
+
+
 def compare(
     nodes: list[int], sets: list[np.ndarray], labels: list[int], num: int, den: int
 ) -> list[tuple[int, int]]:
@@ -355,12 +410,9 @@ def shingle_classes(
     docs = id_text(docs, id_col, text_col)
     frequent = frequent_shingles(docs, size)
     sets = written(_sets(docs, size, num, den, frequent), "shingle-sets")
-    keyed = sets.where("n_shingles > 0").select("node", F.explode("keys").alias("key"))
-    shared = written(
-        keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-        .where("least < most").select("key", "least"),
-        "shared-keys",
-    )
+    keyed = written(_shared_keys(sets), "shared-keys")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = written(shared.where("least < most").select("key", "least"), "least-nodes")
     ties = keyed.join(shared, "key").where("node <> least").selectExpr("node AS a", "least AS b")
     classes = components(ties).withColumnRenamed("component", "class")
     nodes = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(
