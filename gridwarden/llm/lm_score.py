@@ -17,7 +17,7 @@ training part.
 
 Texts are read once: a block (a bounded slice of documents) becomes one row with the numbers of
 its words, and its distinct words are counted over all blocks by a window on the word, which
-sees a word once a block, however frequent it is.
+sees a word once a block, however frequent it is. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts consist of the end token; rows without an id are used for
 training; repeated rows count repeatedly; without training tokens all words are unknown and
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ RATE = 0.5
 CHUNKS = 16  # parts in which weights are averaged
 BLOCKS = (
     "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, "
-    "words array<binary>, counts array<long>"
+    "words array<long>, endings array<byte>, counts array<long>"
 )
 
 
@@ -94,6 +95,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
             flat, names = rank[flat], list(codes)
+            names = [names[i] for i in order.tolist()]
+            words = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64).view(np.int64)
+            endings = np.array([zlib.crc32(w[-2:]) % (END - COMMON) for w in names], dtype=np.int8)
             used = flat[np.repeat(~np.array(held, dtype=bool), lengths)]
             counts = np.bincount(used, minlength=len(codes))
             yield pa.RecordBatch.from_arrays(
@@ -101,9 +105,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     pa.array([uuid.uuid4().int >> 65], pa.int64()),
                     _list(ids, pa.int64()), _list(held, pa.bool_()), _list(lengths, pa.int32()),
                     pa.array([_squeeze(flat)], pa.binary()),
-                    _list([names[i] for i in order.tolist()], pa.binary()), _list(counts, pa.int64()),
+                    _list(words, pa.int64()), _list(endings, pa.int8()), _list(counts, pa.int64()),
                 ],
-                names=["block", "doc_ids", "held", "lengths", "codes", "words", "counts"],
+                names=["block", "doc_ids", "held", "lengths", "codes", "words", "endings", "counts"],
             )
 
     return written(docs.mapInArrow(run, BLOCKS), "lm-blocks")
@@ -111,21 +115,26 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 def _counted(blocks: DataFrame) -> DataFrame:
     """Blocks with the training count, hash and ending of each of their words."""
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("nth", "pair"))
-    words = words.select("block", "nth", F.col("pair.words").alias("word"), F.col("pair.counts").alias("n"))
+    zipped = F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("nth", "of")
+    words = blocks.select("block", zipped).select(
+        "block", "nth", F.col("of.words").alias("word"), F.col("of.endings").alias("ending"),
+        F.col("of.counts").alias("n"),
+    )
     same = Window.partitionBy("word")
     here = F.struct("block", "nth")
     first = (F.min(here).over(same) == here).cast("long")
     count = F.sum("n").over(same)
-    ending = F.pmod(F.xxhash64(F.expr("substring(word, -2, 2)")), F.lit(END - COMMON))
-    mark = F.xxhash64("word").bitwiseAND(0x7FFFFFFF)
+    mark = F.col("word").bitwiseAND(0x7FFFFFFF)
     # Two numbers a word: (number in the block, hash) and (count, ending, first occurrence).
     words = words.select(
         "block",
         (F.shiftleft(F.col("nth").cast("long"), 32) + mark).alias("name"),
-        (count * 64 + ending * 2 + first).alias("facts"),
+        (count * 64 + F.col("ending") * 2 + first).alias("facts"),
+    )
+    # Both lists are in the order of the rows that they were collected from.
+    infos = words.groupBy("block").agg(
+        F.collect_list("name").alias("names"), F.collect_list("facts").alias("facts")
     )
-    infos = words.groupBy("block").agg(F.collect_list(F.struct("name", "facts")).alias("infos"))
     slim = blocks.select("block", "doc_ids", "held", "lengths", "codes")
     return written(slim.join(infos, "block", "left"), "lm-counted")
 
@@ -141,12 +150,11 @@ class Block:
         self.held = column("held").astype(bool)
         lengths = column("lengths").astype(np.int64)
         codes = _stretch(batch.column("codes")[row].as_py())
-        infos = batch.column("infos")[row]
-        count = len(infos.values) if infos.is_valid else 0
+        count = len(column("names")) if batch.column("names")[row].is_valid else 0
         self.c, hashes = np.zeros(count, np.int64), np.zeros(count, np.int64)
         ending, self.first = np.zeros(count, np.int64), np.zeros(count, bool)
         if count:
-            name, facts = infos.values.field("name").to_numpy(), infos.values.field("facts").to_numpy()
+            name, facts = column("names"), column("facts")
             nth = name >> 32
             hashes[nth] = name & 0x7FFFFFFF
             self.c[nth], ending[nth], self.first[nth] = facts >> 6, facts >> 1 & 31, facts & 1
