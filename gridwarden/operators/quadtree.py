@@ -144,11 +144,6 @@ def farthest(a: str, b: str) -> Column:
     return haversine(lat, lon, F.col(f"{a}.c1") * F.col(f"{b}.c1"))
 
 
-def rounded(angle: Column) -> Column:
-    """Angles that differ by rounding noise only become equal (1e-14 rad is 60 nanometres)."""
-    return F.rint(angle * 1e14) / 1e14
-
-
 def open_side(pairs: DataFrame, side: str, kids: DataFrame, done: str) -> DataFrame:
     """Replaces the cell in struct column `side` by its children unless `done` holds.
 

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from gridwarden.config import Settings
 from gridwarden.functions.draw import ticket
+from gridwarden.session import broadcast_if_small, written
+
+SERVED_BROADCAST = 100_000  # versions
 
 RUN_SCHEMA = T.StructType(
     [
@@ -115,10 +118,13 @@ def promotion_gate(candidates: DataFrame, settings: Settings) -> DataFrame:
 
 def with_previous(candidates: DataFrame, runs: DataFrame) -> DataFrame:
     """Pairs each candidate (model_version, new_mae, force) with the run that is promoted for
-    its version now. One pre-aggregated row per version, so the join cannot fan out."""
+    its version now. One pre-aggregated row per version, so the join cannot fan out; that table
+    is written and, where it proves small, broadcast, so that many candidates of one version do
+    not meet in one task."""
     served = runs.filter("promoted").groupBy("model_version").agg(
         F.max_by(F.struct("run_id", "forecast_mae"), F.struct("generated_at", "run_id")).alias("p")
     )
+    served = broadcast_if_small(written(served, "served"), SERVED_BROADCAST)
     return candidates.join(served, "model_version", "left").select(
         *candidates.columns,
         F.col("p").isNotNull().alias("has_previous"),

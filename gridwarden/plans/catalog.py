@@ -22,7 +22,7 @@ from gridwarden.operators import (
 from gridwarden.plans.standin import grid_assignments
 from gridwarden.session import scratch_path, use_utc, written
 from gridwarden.sources import store
-from gridwarden.sources.adapter import events_feed
+from gridwarden.sources.adapter import events_feed, feed_from_events
 from gridwarden.sources.feed import bad_lines, csv_options, read_feed, scan_csv_feed
 
 S = Settings()
@@ -57,7 +57,8 @@ def clustered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clocked(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.add_clock(clustered(spark, d))
+    """Written, as the lookups below read these rows more than once."""
+    return temporal.add_clock(written(clustered(spark, d), "clustered"))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -391,15 +392,13 @@ _normal_query("parse_violation_list", "violation_type", text.violation_text)
 def q_violation_array(spark, d):
     """Both forms: the stringified list, and a source that delivers arrays."""
     as_text = text.violation_array(F.col("violation_type"))
-    listed = F.split(F.col("props"), ":")
-    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "props")
-    feed = raw(spark, d)
-    joined = feed.join(events, feed[validate.ORDER] == events["event_id"])
-    return joined.select(
+    events = spark.read.parquet(f"{d}/events.parquet")
+    feed = feed_from_events(events, carry=["event_id", "props"])
+    return feed.select(
         "event_id",
         F.array_join(as_text, "|").alias("items"),
         F.size(as_text).alias("n_items"),
-        F.array_join(text.violation_array_from_list(listed), "|").alias("list_items"),
+        F.array_join(text.violation_array_from_list(F.split("props", ":")), "|").alias("list_items"),
     )
 
 
@@ -583,7 +582,8 @@ def _impact_columns(df: DataFrame) -> DataFrame:
 
 @query("hotspot_impact")
 def q_hotspot_impact(spark, d):
-    return _impact_columns(rollups.impact_from_facts(facts(spark, d)[0], S))
+    table = written(facts(spark, d)[0], "facts")  # read several times
+    return _impact_columns(rollups.impact_from_facts(table, S))
 
 
 @query("hotspot_impact_from_rows")

@@ -19,7 +19,8 @@ def events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_from_events(events)
 
 
-def feed_from_events(events: DataFrame) -> DataFrame:
+def feed_from_events(events: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """The feed; `carry` names columns of the events that come along."""
     e = F.col("event_id")
     st = F.col("user_id") % 12
     h = (e * 7919 + 13) % 1000
@@ -75,4 +76,5 @@ def feed_from_events(events: DataFrame) -> DataFrame:
         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
         .alias("created_datetime"),
         e.alias(ORDER),
+        *carry,
     )
