@@ -16,7 +16,8 @@ SPREAD = 1024  # names that stand in for noise in a lookup
 def lookup(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of incident rows with facts of their hotspot. Noise has no facts; it is sent
     under many names, so that the noise of a large station does not meet in one task."""
-    noise = F.concat(F.lit(NOISE + "#"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("string"))
+    own = ["id"] if "id" in rows.columns else rows.columns
+    noise = F.concat(F.lit(NOISE + "#"), F.pmod(F.xxhash64(*own), F.lit(SPREAD)).cast("string"))
     sent = F.when(F.col("cluster_id") == NOISE, noise).otherwise(F.col("cluster_id"))
     facts = facts.withColumnRenamed("cluster_id", "_sent")
     keys = ["_sent" if k == "cluster_id" else k for k in keys]

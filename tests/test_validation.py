@@ -117,7 +117,7 @@ def test_strict_contract_differs(spark):
     loose, strict = v.clean(df, S).first(), v.strict_records(df, S).first()
     assert (loose.vehicle_type, loose.junction_name, loose.police_station) == ("", "null", "")
     assert (strict.vehicle_type, strict.junction_name) == ("UNKNOWN", "No Junction")
-    assert strict.police_station == "Unknown" and strict.violation_type == ["NO PARKING"]
+    assert strict.police_station == "Unknown" and strict.violation_type == ["NO PARKING", "WRONG PARKING"]
 
 
 def test_station_key(spark):
