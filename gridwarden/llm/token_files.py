@@ -39,6 +39,7 @@ from gridwarden.llm.common import id_text, slices
 CACHE = 400_000
 MARKS = ".,;:!?"
 BLOCK = 4_096  # ids
+LEAST_BLOCK = 256  # ids; blocks of small segments may be as short
 SIDE_BY_SIDE = 2_048  # blocks
 SEGMENT = SIDE_BY_SIDE * BLOCK  # ids
 SCHEMA = (
@@ -96,7 +97,10 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(ids: np.ndarray, block: int) -> dict:
-    """The blocks of one segment, of nearly equal length; the last ids of the last are zeros."""
+    """The blocks of one segment, of nearly equal length; the last ids of the last are zeros.
+
+    Small segments have shorter blocks, so that there are still many to step through at once."""
+    block = min(block, max(LEAST_BLOCK, len(ids) // 512))
     blocks = max(1, -(-len(ids) // block))
     steps = -(-len(ids) // blocks)
     matrix = np.zeros(blocks * steps, dtype=np.uint16)
