@@ -1001,7 +1001,8 @@ def q_cluster(spark, d):
 @query("cluster_recovery")
 def q_cluster_recovery(spark, d):
     """The feed plants five dense places in every named station, far apart for their size. Each
-    must come back as one cluster of its own that holds all of its rows."""
+    must come back as one cluster of its own that holds all of its rows, once it has clearly
+    more rows than a cluster needs."""
     rows = clean(spark, d).select("station_key", "id", F.col("id").cast("bigint").alias("e"))
     planted = rows.withColumn("h", (F.col("e") * 7919 + 13) % 1000).where(
         "h < 900 AND station_key <> 'Unknown'"
