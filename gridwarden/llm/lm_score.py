@@ -175,13 +175,10 @@ class Block:
         one = np.where(nth >= 1, np.roll(mark, 1), 1)
         two = np.where(nth >= 2, np.roll(mark, 2), 2)
         both = (one * 0x9E3779B1 + two * 0x85EBCA6B) >> 13
-        self.features = np.stack(
-            [
-                1 + one % ROWS[0],
-                1 + ROWS[0] + two % ROWS[1],
-                1 + ROWS[0] + ROWS[1] + both % ROWS[2],
-            ]
-        )
+        self.features = np.empty((3, len(is_word)), np.int32)
+        self.features[0] = 1 + one % ROWS[0]
+        self.features[1] = 1 + ROWS[0] + two % ROWS[1]
+        self.features[2] = 1 + ROWS[0] + ROWS[1] + both % ROWS[2]
 
 
 def _log_shares(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -221,23 +218,24 @@ def _train_round(blocks: DataFrame, weights: np.ndarray, tokens: int) -> np.ndar
                 seen += _descend(mine, squares, Block(batch, row, tokens))
         if seen:
             for chunk, part in enumerate(np.array_split(mine, CHUNKS)):
-                yield _chunk(chunk, seen, part.astype(np.float64) * seen)
+                yield _chunk(chunk, seen, part)  # 32-bit numbers: they are what is shuffled
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
             for chunk, seen, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 before = sums.get(chunk, (0, 0.0))
-                sums[chunk] = before[0] + seen, before[1] + np.frombuffer(data, np.float64)
+                mine = np.frombuffer(data, np.float32).astype(np.float64) * seen
+                sums[chunk] = before[0] + seen, before[1] + mine
         for chunk, (seen, total) in sums.items():
-            yield _chunk(chunk, seen, total)
+            yield _chunk(chunk, seen, (total / seen).astype(np.float32))
 
     schema = "chunk int, seen long, data binary"
     parts = blocks.mapInArrow(run, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect()
     if not parts:
         return weights
-    averages = [np.frombuffer(p.data, np.float64) / p.seen for p in sorted(parts, key=lambda p: p.chunk)]
-    return np.concatenate(averages).reshape(weights.shape).astype(np.float32)
+    averages = [np.frombuffer(p.data, np.float32) for p in sorted(parts, key=lambda p: p.chunk)]
+    return np.concatenate(averages).reshape(weights.shape)
 
 
 def _chunk(chunk: int, seen: int, data: np.ndarray) -> pa.RecordBatch:
