@@ -1,13 +1,15 @@
 """Main text of web pages by the text-to-tag ratio of their lines.
 
 A streaming parser turns a page into lines: one for each run of text between block-level tags,
-with the number of tags inside, and the container (article, main, section, div, cell, ...) that
-it stands in. What cannot be main text by its tag or by the words of its class, id or role is
-left out while parsing. The ratio of letters to tags of each line is smoothed over its
-neighbours with a Gaussian kernel, and lines above a threshold (the mean of the two centres
-that a two-means clustering of the smoothed ratios finds) are content. The region is the
-innermost container with most of the content; all of its lines in page order are the text, so a
-short paragraph between long ones stays.
+with the number of tags inside, and the container (article, main, section, div, ...) that it
+stands in. What cannot be main text by its tag or by a whole class, id or role is left out,
+unless it holds half or more of the text that stands in articles (or, on a page without them, of
+all text). The ratio of letters to tags of each line is smoothed over its neighbours with a
+Gaussian kernel, and lines above a threshold (the mean of the two centres that a two-means
+clustering of the smoothed ratios finds) are content. The region is the innermost container
+with most of the content; all of its lines in page order are the
+text, so a short paragraph between long ones stays. Headings and sections inside the region are
+not left out for their id, which is often made from a heading.
 
 Defined results: null, empty and tag-only pages have the empty text and 0 characters; character
 references are decoded; unclosed and stray tags are tolerated; text outside of any container
@@ -29,40 +31,51 @@ from gridwarden.llm.common import as_texts, slices
 
 # HTML elements by their part in a page.
 NO_TEXT = set(
-    "head title script style noscript template nav footer aside form button select textarea "
-    "input label option iframe object svg canvas dialog menu audio video map".split()
+    "head title script style noscript template button select textarea input label option iframe "
+    "object svg canvas menu audio video map".split()
 )
+ASIDE = set("nav footer aside form dialog".split())  # and header, outside of articles
 CONTAINERS = set("html body main article section div td blockquote figure".split())
-BLOCKS = CONTAINERS | set(
-    "address caption center col colgroup dd details dl dt fieldset figcaption h1 h2 h3 h4 h5 h6 "
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = CONTAINERS | HEADINGS | set(
+    "address caption center col colgroup dd details dl dt fieldset figcaption "
     "header hgroup hr legend li ol p pre search summary table tbody tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-# Words in a class, id or role that mark what is not main text.
+# Whole classes, ids and roles that mark what is not main text: a word of the first group, also
+# as the last part of a name (site-footer), perhaps with a word for a place or box after it
+# (share-buttons), or one that says nothing as part of a longer name.
 OTHER = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|"
-    r"header|masthead|footer|foot|copyright|sidebar|side|aside|widget\w*|related|recommend\w*|"
-    r"cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|subscribe|"
-    r"subscription|newsletter|signup|login|comments?|commentlist|discussion|disqus|replies|reply|"
-    r"respond|share|sharing|social|tags?|pagination|pager|toolbar|search|skip|complementary|"
-    r"contentinfo|navigation|form)(?:$|[-_\s\d])",
+    r"(?:(?!(?:has|is|no|not|with|without|hide|show)[-_])[a-z0-9]+[-_]+)*"
+    r"(?:ads?|adv|advert\w*|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|banner|nav|navbar|navigation|"
+    r"menus?|breadcrumbs?|masthead|footer|copyright|sidebar|widgets?|related|recommended|"
+    r"recommendations|cookies?|consent|gdpr|notice|notices|notification|popup|modal|overlay|"
+    r"subscribe|newsletter|signup|login|comments?|commentlist|disqus|replies|respond|share|sharing|"
+    r"social|pagination|pager|toolbar|form)"
+    r"(?:[-_]+(?:area|bar|block|box|button|buttons|column|container|group|icons|inner|item|items|"
+    r"left|links?|list|panel|posts|articles|stories|right|section|slot|unit|wrap|wrapper))*[-_]*\d*"
+    r"|(?:site|global|top)[-_]?header|header|foot|side|side[-_]?bar|aside|discussion|alert|subscription|"
+    r"reply|tags?|search|skip|skip-link|complementary|contentinfo",
     re.IGNORECASE,
 )
+ENDING = BLOCKS | NO_TEXT | ASIDE  # their end tags close what is open inside
 SIGMA = 1.0
 SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, number of the innermost container) for every line."""
+    """Collects (text, tags, number of the innermost node) for every line. Nodes are containers
+    and marked elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out, container number or -1
+        self.open: list[tuple[str, bool, int]] = []  # tag, left out, node number or -1
         self.left_out = 0
         self.path: list[int] = [0]
         self.names = ["html"]
-        self.parents = [-1]  # of containers, which have higher numbers than their parents
+        self.parents = [-1]  # of nodes, which have higher numbers than their parents
+        self.marks = [""]  # "tag", "name" (class or role), "id" (of a heading or section), or none
         self.text: list[str] = []
         self.tags = 0
 
@@ -72,12 +85,23 @@ class Lines(HTMLParser):
             self.lines.append((text, self.tags, self.path[-1]))
         self.text, self.tags = [], 0
 
+    def _mark(self, tag, attrs) -> str:
+        if tag in ASIDE or (tag == "header" and not self._in_article()):
+            return "tag"
+        if tag in ("html", "body", "main", "article"):
+            return ""
+        values = {k: v.split() for k, v in attrs if v and k in ("class", "id", "role")}
+        if any(OTHER.fullmatch(v) for k in ("class", "role") for v in values.get(k, ())):
+            return "name"
+        if any(OTHER.fullmatch(v) for v in values.get("id", ())):
+            section = tag in HEADINGS or tag == "section" or "section" in values.get("class", ())
+            return "id" if section else "name"
+        return ""
+
     def handle_starttag(self, tag, attrs):
-        out = tag in NO_TEXT or (tag == "header" and not self._in_article())
-        if not out and tag not in ("html", "body", "main", "article"):
-            marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-            out = bool(marks and OTHER.search(marks))
-        if out and not self.left_out:
+        out = tag in NO_TEXT
+        mark = "" if out or self.left_out else self._mark(tag, attrs)
+        if (out or mark) and not self.left_out:
             self.end_line()
         if tag in BLOCKS:
             if not self.left_out:
@@ -91,10 +115,11 @@ class Lines(HTMLParser):
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_implied(tag)
         number = -1
-        if tag in CONTAINERS and not out and not self.left_out:
+        if mark or (tag in CONTAINERS and not out and not self.left_out):
             number = len(self.names)
             self.names.append(tag)
             self.parents.append(self.path[-1])
+            self.marks.append(mark)
             self.path.append(number)
         self.open.append((tag, out, number))
         self.left_out += out
@@ -113,6 +138,8 @@ class Lines(HTMLParser):
                 return
 
     def _close_to(self, nth: int) -> None:
+        if not self.left_out and any(n >= 0 and self.marks[n] for _, _, n in self.open[nth:]):
+            self.end_line()
         for _, out, number in reversed(self.open[nth:]):
             self.left_out -= out
             if number >= 0:
@@ -124,9 +151,7 @@ class Lines(HTMLParser):
             self.end_line()
         for nth in range(len(self.open) - 1, -1, -1):
             if self.open[nth][0] == tag:
-                if tag in BLOCKS or tag in NO_TEXT or all(
-                    name not in BLOCKS and name not in NO_TEXT for name, _, _ in self.open[nth:]
-                ):
+                if tag in ENDING or all(name not in ENDING for name, _, _ in self.open[nth:]):
                     if self.open[nth][1] or any(out for _, out, _ in self.open[nth:]):
                         self.text, self.tags = [], 0
                     self._close_to(nth)
@@ -167,32 +192,77 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str, sigma: float = SIGMA) -> str:
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
-    if not lines:
-        return ""
+def _summed(values: list[int], parents: list[int]) -> list[int]:
+    """With those of inner nodes."""
+    values = list(values)
+    for number in range(len(values) - 1, 0, -1):
+        values[parents[number]] += values[number]
+    return values
+
+
+def _below(wanted: list[bool], parents: list[int]) -> list[bool]:
+    """Nodes that are wanted or stand in one."""
+    out: list[bool] = []
+    for number, parent in enumerate(parents):
+        out.append(wanted[number] or (parent >= 0 and out[parent]))
+    return out
+
+
+def _left_out(parser: Lines) -> list[str]:
+    """The marks of nodes that do not hold the main text."""
+    letters = [0] * len(parser.names)
+    for text, _, number in parser.lines:
+        letters[number] += len(text)
+    every = _summed(letters, parser.parents)
+    text, whole = letters, True
+    for kinds in (("article",), ("article", "main")):
+        inside = _below([name in kinds for name in parser.names], parser.parents)
+        some = [n if i else 0 for n, i in zip(letters, inside)]
+        if 4 * sum(some) >= every[0] > 0:  # fewer letters are teasers
+            text, whole = some, False
+            break
+    held = _summed(text, parser.parents)
+    articles = _summed([int(name in ("article", "main")) for name in parser.names], parser.parents)
+    marks = []
+    for k, mark in enumerate(parser.marks):
+        most = held[0] and 2 * held[k] >= held[0]
+        # Forms may be wrapped around a page; other tags hold the text only with an article.
+        kept = most and (articles[k] or (whole and (mark != "tag" or parser.names[k] == "form")))
+        marks.append("" if kept else mark)
+    return marks
+
+
+def _region(parser: Lines, lines: list[tuple[str, int, int]], sigma: float) -> list[bool]:
+    """Whether a node is in the region with most of the content."""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
     limit = threshold(ratios)
-    content = [i for i, ratio in enumerate(ratios) if ratio >= limit]
-    mass = [0] * len(parser.names)  # of content lines, with those of inner containers
-    for i in content:
-        mass[lines[i][2]] += len(lines[i][0])
-    for number in range(len(mass) - 1, 0, -1):
-        mass[parser.parents[number]] += mass[number]
+    mass = [0] * len(parser.names)  # of content lines, with those of inner nodes
+    for (text, _, number), ratio in zip(lines, ratios):
+        if ratio >= limit:
+            mass[number] += len(text)
+    mass = _summed(mass, parser.parents)
     most = [k for k, m in enumerate(mass) if 2 * m >= mass[0]]
     articles = [k for k, name in enumerate(parser.names) if name in ("article", "main") and mass[k]]
     if articles:  # the innermost with most of the content, else the one with the largest share
         region = max(set(articles) & set(most), default=max(articles, key=lambda k: (mass[k], k)))
     else:
-        region = max(most)
-    inside = [False] * len(mass)
-    for number, parent in enumerate(parser.parents):
-        inside[number] = number == region or (parent >= 0 and inside[parent])
-    return "\n\n".join(text for text, _, number in lines if inside[number])
+        region = max(k for k in most if not parser.marks[k])
+    return _below([k == region for k in range(len(mass))], parser.parents)
+
+
+def main_text(html: str, sigma: float = SIGMA) -> str:
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    parser.end_line()
+    marks = _left_out(parser)
+    out = _below([bool(mark) for mark in marks], parser.parents)
+    lines = [line for line in parser.lines if not out[line[2]]]
+    if not lines:
+        return ""
+    inside = _region(parser, lines, sigma)
+    out = _below([mark in ("tag", "name") for mark in marks], parser.parents)
+    return "\n\n".join(text for text, _, number in parser.lines if inside[number] and not out[number])
 
 
 def extract(

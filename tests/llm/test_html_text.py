@@ -41,6 +41,49 @@ def test_nothing(page):
     assert main_text(page) == ""
 
 
+WORDS = "Many plain words about one and the same thing stand in this paragraph, as number {} of all."
+PARTS = [WORDS.format(i) for i in range(12)]
+
+
+def ps(*numbers):
+    return "".join(f"<p>{PARTS[i]}</p>" for i in numbers)
+
+
+@pytest.mark.parametrize(
+    "name", ["has-sidebar", "nav-fixed", "entry-header", "side-effects", "form-factor", "search-methods", "related-work",
+             "sidebar", "related", "comments", "page with-footer"]
+)
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_names_around_the_text(name, inner, attribute):
+    page = f"<body><div><p>Home</p></div><div {attribute}='{name}'><{inner}>{ps(*range(12))}</{inner}></div></body>"
+    assert main_text(page) == "\n\n".join(PARTS)
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_ids_of_headings_and_sections(outer):
+    page = (
+        f"<body><nav>Home</nav><{outer}><h1>Title</h1>{ps(0, 1, 2)}<section id='related-work'>{ps(3, 4)}</section>"
+        f"<h2 id='discussion'>Discussion</h2>{ps(5)}<section id='discussion'><h2>More</h2>{ps(6)}</section>"
+        f"<div class='section' id='search'>{ps(7)}</div><div class='share-buttons'>Tell your friends</div></{outer}>"
+    )
+    want = ["Title", *PARTS[:5], "Discussion", PARTS[5], "More", *PARTS[6:8]]
+    assert main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize(
+    "name", ["ad", "ad-slot", "site-footer", "sidebar", "left-sidebar", "sidebar-2", "share-buttons", "related-posts", "comments-area"]
+)
+def test_names_that_are_left_out(name):
+    page = f"<body><article>{ps(*range(6))}<div class='x {name}'>{ps(6)}</div></article><div id='{name}'>{ps(7)}</div>"
+    assert main_text(page) == "\n\n".join(PARTS[:6])
+
+
+def test_form_around_a_page():
+    page = f"<body><form><input name='state'><div>{ps(*range(6))}</div><nav>Home</nav></form></body>"
+    assert main_text(page) == "\n\n".join(PARTS[:6])
+
+
 def test_very_long_and_deep():
     page = "<body><article>" + "<div>" * 3000 + "<p>deep words here</p>" + "<p>x y</p>" * 20_000
     assert len(main_text(page).split("\n\n")) == 20_001
