@@ -4,12 +4,13 @@ A streaming parser turns a page into lines: one for each run of text between blo
 with the number of tags inside, and the container (article, main, section, div, ...) that it
 stands in. What cannot be main text by its tag or by a whole class, id or role is left out,
 unless it holds half or more of the text that stands in articles (or, on a page without them, of
-all text). The ratio of letters to tags of each line is smoothed over its neighbours with a
-Gaussian kernel, and lines above a threshold (the mean of the two centres that a two-means
-clustering of the smoothed ratios finds) are content. The region is the innermost container
-with most of the content; all of its lines in page order are the
-text, so a short paragraph between long ones stays. Headings and sections inside the region are
-not left out for their id, which is often made from a heading.
+all text). The logarithm of the ratio of letters to tags of each line, so that a long line does
+not decide alone, is smoothed over its neighbours with a Gaussian kernel, and lines above a
+threshold (the mean of the two centres that a two-means clustering of the smoothed values finds)
+are content. The region is the innermost container that covers nearly all content, or several
+articles together; all of its lines in page order are the text, so a short paragraph between
+long ones stays. Headings and sections inside the region are not left out for their id, which is
+often made from a heading.
 
 Defined results: null, empty and tag-only pages have the empty text and 0 characters; character
 references are decoded; unclosed and stray tags are tolerated; text outside of any container
@@ -36,6 +37,7 @@ NO_TEXT = set(
 )
 ASIDE = set("nav footer aside form dialog".split())  # and header, outside of articles
 CONTAINERS = set("html body main article section div td blockquote figure".split())
+REGIONS = set("html body main article section div".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = CONTAINERS | HEADINGS | set(
     "address caption center col colgroup dd details dl dt fieldset figcaption "
@@ -59,6 +61,8 @@ OTHER = re.compile(
     re.IGNORECASE,
 )
 ENDING = BLOCKS | NO_TEXT | ASIDE  # their end tags close what is open inside
+NEARLY_ALL = 0.9  # of the content, which a region covers
+SENTENCE = 80  # letters a tag that make a line content on any page
 SIGMA = 1.0
 SPACE = re.compile(r"\s+")
 
@@ -233,21 +237,33 @@ def _left_out(parser: Lines) -> list[str]:
 
 
 def _region(parser: Lines, lines: list[tuple[str, int, int]], sigma: float) -> list[bool]:
-    """Whether a node is in the region with most of the content."""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
-    limit = threshold(ratios)
-    mass = [0] * len(parser.names)  # of content lines, with those of inner nodes
+    """Whether a node is in the region that covers nearly all content."""
+    names, parents = parser.names, parser.parents
+    ratios = smoothed([math.log1p(len(text) / max(1, tags)) for text, tags, _ in lines], sigma)
+    limit = min(threshold(ratios), math.log1p(SENTENCE))
+    count, mass = [0] * len(names), [0] * len(names)
     for (text, _, number), ratio in zip(lines, ratios):
         if ratio >= limit:
+            count[number] += 1
             mass[number] += len(text)
-    mass = _summed(mass, parser.parents)
-    most = [k for k, m in enumerate(mass) if 2 * m >= mass[0]]
-    articles = [k for k, name in enumerate(parser.names) if name in ("article", "main") and mass[k]]
-    if articles:  # the innermost with most of the content, else the one with the largest share
-        region = max(set(articles) & set(most), default=max(articles, key=lambda k: (mass[k], k)))
+    is_article = [name in ("article", "main") for name in names]
+    inside = _below(is_article, parents)
+    if 2 * sum(m for m, i in zip(mass, inside) if i) >= sum(mass):
+        count = [n if i else 0 for n, i in zip(count, inside)]
+        mass = [m if i else 0 for m, i in zip(mass, inside)]
+        candidates = is_article
     else:
-        region = max(k for k in most if not parser.marks[k])
-    return _below([k == region for k in range(len(mass))], parser.parents)
+        candidates = [name in REGIONS for name in names]
+    count, mass = _summed(count, parents), _summed(mass, parents)
+    covering = [
+        k for k, fits in enumerate(candidates)
+        if fits and count[k] >= NEARLY_ALL * count[0] and mass[k] >= NEARLY_ALL * mass[0]
+    ]
+    if covering:
+        wanted = [k == covering[-1] for k in range(len(names))]
+    else:  # several articles
+        wanted = [fits and count[k] > 0 for k, fits in enumerate(candidates)]
+    return _below(wanted, parents)
 
 
 def main_text(html: str, sigma: float = SIGMA) -> str:

@@ -79,6 +79,43 @@ def test_names_that_are_left_out(name):
     assert main_text(page) == "\n\n".join(PARTS[:6])
 
 
+def brute(parts):
+    """Text of (wrapper, paragraph numbers) that all belong to the page's text."""
+    return "\n\n".join(PARTS[i] for _, numbers in parts for i in numbers)
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        [("section", [0, 1, 2, 3, 4, 5]), ("section", [6, 7, 8])],
+        [("blockquote", [0, 1, 2, 3, 4, 5, 6]), ("div", [7, 8])],
+        [("div", [0]), ("figure", [1, 2, 3, 4]), ("div", [5])],
+        [("article", [0, 1, 2, 3, 4, 5]), ("article", [6, 7, 8, 9, 10])],
+        [("article", [0, 1, 2, 3]), ("article", [4, 5, 6, 7]), ("article", [8])],
+        [("td", [0, 1, 2, 3]), ("td", [4, 5])],
+    ],
+)
+@pytest.mark.parametrize("outer", ["<div>{}</div>", "<main>{}</main>", "{}"])
+def test_parts_of_a_page(parts, outer):
+    inside = "".join(f"<{tag}>{ps(*numbers)}</{tag}>" for tag, numbers in parts)
+    if parts[0][0] == "td":
+        inside = f"<table><tr>{inside}</tr></table>"
+    page = f"<body><nav>Home</nav>{outer.format(inside)}<aside>Others</aside><footer>Somebody</footer></body>"
+    assert main_text(page) == brute(parts)
+
+
+def test_a_long_line_does_not_decide():
+    long = " ".join(PARTS * 5)
+    page = f"<body><div><a href='/'>Home</a></div><div><div><p>{long}</p></div><div>{ps(1, 2, 3, 4)}</div></div></body>"
+    assert main_text(page) == "\n\n".join([long, *PARTS[1:5]])
+
+
+def test_navigation_by_links_only_stays_out():
+    links = "".join(f"<li><a href='/{i}'>Go {i}</a></li>" for i in range(10))
+    page = f"<body><div><ul>{links}</ul></div><div class='story'>{ps(*range(9))}</div><div><ul>{links}</ul></div></body>"
+    assert main_text(page) == "\n\n".join(PARTS[:9])
+
+
 def test_form_around_a_page():
     page = f"<body><form><input name='state'><div>{ps(*range(6))}</div><nav>Home</nav></form></body>"
     assert main_text(page) == "\n\n".join(PARTS[:6])
