@@ -6,7 +6,7 @@ The SHA-256 of the whole canonical text, and of every line of it on its own, is
 with the digests of known licences: a document that is a licence is found whatever its layout,
 case, punctuation or holder, and so is a one-line licence notice inside other text.
 
-Only DataFrame functions are used. The known digests are a literal table of a few dozen rows,
+Only DataFrame functions are used. The known digests are a literal table of some hundred rows,
 so that side is broadcast; licence tables of any size may be passed and then Spark decides.
 
 Defined results: null and empty texts, and those that become empty, match nothing; rows are

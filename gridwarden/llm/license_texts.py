@@ -6,6 +6,9 @@ form leaves out anyway.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
     "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
@@ -99,3 +102,49 @@ KNOWN = [
 ]
 KNOWN += [("MIT", "MIT License\n" + text) for name, text in KNOWN if name == "MIT" and len(text) > 200]
 KNOWN += [("ISC", "ISC License\n" + text) for name, text in KNOWN if name == "ISC" and len(text) > 200]
+# Whole texts in files, named by licence; with and without what follows the end of the terms.
+_FILES = sorted(files("gridwarden.llm").joinpath("licenses").iterdir(), key=lambda f: f.name)
+_TEXTS = [(f.name.removesuffix(".txt"), f.read_text("utf-8", "replace")) for f in _FILES if f.name.endswith(".txt")]
+KNOWN += _TEXTS
+for _name, _text in _TEXTS:
+    for _end in ("END OF TERMS AND CONDITIONS\n", "ADDENDUM: How to use this License", "Exhibit A - Source Code Form"):
+        if _end in _text:
+            _terms = _text[: _text.index(_end)]
+            KNOWN += [(_name, _terms), (_name, _terms + _end)]
+    _notice = re.search(r"This (?:program|library) is free software.*?(?:USA\.?|licenses/>\.)\s", _text, re.DOTALL)
+    if _notice:
+        KNOWN.append((_name, _notice[0]))
+
+# Names in sentences and SPDX identifiers.
+_NAMES = {
+    "0BSD": ["BSD Zero Clause License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License", "Apache 2.0 License"],
+    "Artistic-1.0-Perl": [],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "GFDL-1.2": ["GNU Free Documentation License, Version 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, Version 1.3"],
+    "GPL-1.0": ["GNU General Public License, version 1"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPL-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPL-3.0", "GPLv3"],
+    "ISC": ["ISC License"],
+    "LGPL-2.0": ["GNU Library General Public License, version 2"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPL-3.0"],
+    "MIT": ["MIT License"],
+    "MPL-1.1": ["Mozilla Public License, version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0"],
+}
+for _name, _spoken in _NAMES.items():
+    _gnu = _name.startswith(("GPL", "LGPL", "GFDL"))
+    for _id in [_name, *([_name + "-only", _name + "-or-later"] if _gnu else [])]:
+        KNOWN.append((_name, "SPDX-License-Identifier: " + _id))
+    for _one in _spoken:
+        for _start in ("", "This work is ", "This project is ", "This software is ", "This file is "):
+            for _verb in ("licensed", "released", "distributed"):
+                KNOWN += [(_name, f"{_start}{_verb} under {the}{_one}.") for the in ("", "the ")]
+# A text in one line keeps the copyright inside of it.
+KNOWN += [(name, " ".join(text.split())) for name, text in KNOWN if len(text) > 200]
+KNOWN = list(dict.fromkeys(KNOWN))

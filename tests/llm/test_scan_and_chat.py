@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -36,6 +38,20 @@ def test_own_table_of_licenses(spark):
     assert (got.whole_license, got.notices) == ("House", ["House"])
 
 
+def test_whole_texts_of_common_licenses(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+             "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [], {}
+    for file, name in files.items():
+        text = (folder / file).read_text()
+        for form in (text, text.upper(), " ".join(text.split()), text.split("END OF TERMS AND CONDITIONS\n")[0]):
+            want[len(rows)] = name
+            rows.append((len(rows), form, "", ""))
+    got = {r.doc_id: r.whole_license for r in scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def render(turns, perspective):
     text, spans = "", []
     order = sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "unknown", t[3] or ""))
