@@ -50,6 +50,26 @@ def as_texts(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return pc.fill_null(batch.column(text), "").to_pylist()
 
 
+HOT_SHARE = 1_000  # a key with one of so many rows is hot, so there are at most as many hot keys
+
+
+def join_split_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """Left join of `rows` with `facts`, a table from `written` with one row a key.
+
+    `weight` is the number of rows that a key has, and is not returned. Keys that hold a
+    thousandth of the joined rows, at most a thousand, are broadcast and their rows never
+    shuffled; the rest meets in a shuffle join. Rows of a null key have no facts.
+    """
+    names = [c for c in facts.columns if c not in (key, weight)]
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_SHARE >= max(total, HOT_SHARE)
+    hot, cold = facts.where(is_hot).select(key, *names), facts.where(~is_hot).select(key, *names)
+    columns = [*rows.columns, *names]
+    near = rows.join(F.broadcast(hot), key).select(*columns)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left").select(*columns)
+    return near.unionByName(far)
+
+
 def union_find(size: int):
     """Parents over range(size), and the function that finds a root."""
     parent = list(range(size))

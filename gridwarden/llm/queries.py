@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from gridwarden.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, license_scan
-from gridwarden.llm import lm_score, token_files, toxicity
+from gridwarden.llm import lm_score, token_files, toxicity, warc
 from gridwarden.llm.common import table
-from gridwarden.session import scratch_path
+from gridwarden.session import scratch_path, written
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,29 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def capture_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of archives that `warc.write_archives` wrote."""
+    captures = warc.assemble(warc.read_records(spark, path)).select(
+        "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest",
+        F.element_at("metadata.fields", "page-id").cast("long").alias("page_id"),
+    )
+    resolved = warc.resolve(written(captures, "captures"), "page_id")
+    revisit = F.col("record_type") == "revisit"
+    return resolved.select(
+        "page_id",
+        F.when(revisit, F.col("original.payload_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("original.payload_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("original.page_id").alias("refers_to"),
+    )
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return capture_rows(spark, path)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 QUERIES = {
@@ -104,6 +127,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_warc": op13_warc,
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -130,6 +154,20 @@ def _canonical_lines_sql(text: str) -> str:
 KNOWN_SQL = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in license_scan.KNOWN)
 
 ORACLE = {
+    "op13_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100
+                THEN coalesce(min(page_id) OVER (PARTITION BY payload_digest), page_id)
+                ELSE page_id END AS kept
+            FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM kept THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+        FROM f""",
     "op4_license_scan": f"""
         WITH known AS (
             SELECT DISTINCT license, sha256(array_to_string(lines, ' ')) AS digest
