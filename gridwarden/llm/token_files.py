@@ -39,7 +39,6 @@ from gridwarden.llm.common import id_text, slices
 CACHE = 400_000
 MARKS = ".,;:!?"
 BLOCK = 4_096  # ids
-LEAST_BLOCK = 256  # ids; blocks of small segments may be as short
 SIDE_BY_SIDE = 2_048  # blocks
 SEGMENT = SIDE_BY_SIDE * BLOCK  # ids
 SCHEMA = (
@@ -59,15 +58,16 @@ def _tokenizer(path: str):
 def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts (an array without nulls) in one array, and their number by text."""
     tokenizer, known = _tokenizer(path)
-    if not pc.any(pc.match_substring(texts, "<|")).as_py():
-        texts = pc.ascii_lower(texts)  # as the tokenizer does, but for its special tokens
     cut = pc.split_pattern(texts, " ")
     chunks = cut.flatten().dictionary_encode()
-    here = chunks.dictionary.to_pylist()
-    new = [c for c in here if c not in known]
-    # A word and the marks after it are tokenized apart, so they are looked up apart.
+    words = chunks.dictionary  # in lower case, as the tokenizer does, but for its special tokens
+    here = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words)).to_pylist()
+    new = list({c for c in here if c not in known})
+    # A word and the marks after it are tokenized apart, so they are looked up apart. Not so if
+    # normalising turns the end of the word into a mark or an accent, which marks may follow.
     stems = [c.rstrip(MARKS) for c in new]
-    stems = [s if s.isalpha() else c for s, c in zip(stems, new)]
+    whole = [s if s.isascii() else tokenizer.normalizer.normalize_str(s) for s in stems]
+    stems = [s if w.isalpha() else c for s, w, c in zip(stems, whole, new)]
     ends = [c[len(s) :] for s, c in zip(stems, new)]
     fresh = [c for c in {*stems, *ends} if c not in known]
     for start in range(0, len(fresh), 10_000):
@@ -97,10 +97,7 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(ids: np.ndarray, block: int) -> dict:
-    """The blocks of one segment, of nearly equal length; the last ids of the last are zeros.
-
-    Small segments have shorter blocks, so that there are still many to step through at once."""
-    block = min(block, max(LEAST_BLOCK, len(ids) // 512))
+    """The blocks of one segment, of nearly equal length; the last ids of the last are zeros."""
     blocks = max(1, -(-len(ids) // block))
     steps = -(-len(ids) // blocks)
     matrix = np.zeros(blocks * steps, dtype=np.uint16)

@@ -60,12 +60,30 @@ def test_tokenizer_by_chunks(special):
     ]
 
 
+@pytest.mark.parametrize("mark", token_files.MARKS)
+def test_marks_after_every_letter(mark):
+    """Normalising turns some letters into others with an accent, which marks are joined to."""
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    for pattern in ("{}" + mark, "a{}" + mark * 2):
+        texts = [" ".join(pattern.format(c) for c in letters[i : i + 2_000]) for i in range(0, len(letters), 2_000)]
+        ids, counts = token_files.tokenize(pa.array(texts), PATH)
+        want = [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_special_tokens_beside_other_texts():
+    texts = ["<|endoftext|> A B", "A <|ENDOFTEXT|>", "a", "x<|startoftext|>Y İ!! aय़!"]
+    ids, counts = token_files.tokenize(pa.array(texts), PATH)
+    want = [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("segment", [7, 100_000])
 def test_files(spark, tmp_path, segment):
-    rows = [(5, "b c", ""), (None, "no id", ""), (3, None, ""), (9, "word " * 400, ""), (4, "", ""), (9, "z", "")]
+    rows = [(5, "b c", ""), (None, "no id", ""), (3, None, ""), (9, "word " * 40_000, ""), (4, "", ""), (9, "z", "")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     path = f"{tmp_path}/tokens"
-    token_files.write_tokens(docs, path, PATH, 2, block=16, segment=segment)
+    token_files.write_tokens(docs, path, PATH, 2, block=200, segment=segment)
     got = token_files.read_tokens(spark, path).collect()
     got = sorted(((r.doc_id, r.start, r.ids) for r in got), key=lambda r: r[1])
     want = expected(rows)
