@@ -4,13 +4,15 @@ A streaming parser turns a page into lines: one for each run of text between blo
 with the number of tags inside, and the container (article, main, section, div, ...) that it
 stands in. What cannot be main text by its tag or by a whole class, id or role is left out,
 unless it holds half or more of the text that stands in articles (or, on a page without them, of
-all text). The logarithm of the ratio of letters to tags of each line, so that a long line does
+all text). Reader comments are left out whatever their length, also as articles of their own; only
+if nothing but menu items stands outside, their name is taken for a wrong one. The logarithm of the ratio of letters to tags of each line, so that a long line does
 not decide alone, is smoothed over its neighbours with a Gaussian kernel, and lines above a
 threshold (the mean of the two centres that a two-means clustering of the smoothed values finds)
 are content. The region is the innermost container that covers nearly all content, or several
 articles together; all of its lines in page order are the text, so a short paragraph between
 long ones stays. Headings and sections inside the region are not left out for their id, which is
-often made from a heading.
+often made from a heading, nor for a class that may be a subject (`discussion`, `related`) if
+sentences make up most of them.
 
 Defined results: null, empty and tag-only pages have the empty text and 0 characters; character
 references are decoded; unclosed and stray tags are tolerated; text outside of any container
@@ -60,9 +62,25 @@ OTHER = re.compile(
     r"reply|tags?|search|skip|skip-link|complementary|contentinfo",
     re.IGNORECASE,
 )
+# Whole names of reader comments.
+COMMENTS = re.compile(
+    r"(?:(?!(?:has|is|no|not|with|without|hide|show)[-_])[a-z0-9]+[-_]+)*"
+    r"(?:comments?|commentlist|disqus|replies|respond)"
+    r"(?:[-_]+(?:area|author|block|body|box|bubble|column|container|content|count|entry|footer|form|group|inner|"
+    r"items?|list|meta|panel|section|slot|text|thread|threads|wrap|wrapper))*[-_]*\d*",
+    re.IGNORECASE,
+)
+# Names that are subjects as often as parts of a page, if a section of sentences has them.
+SUBJECT = re.compile(
+    r"related|related[-_]work|discussion|search|recommended|recommendations|form|social|consent|navigation|"
+    r"notification|alert|copyright|reply|header|foot",
+    re.IGNORECASE,
+)
 ENDING = BLOCKS | NO_TEXT | ASIDE  # their end tags close what is open inside
 NEARLY_ALL = 0.9  # of the content, which a region covers
 SENTENCE = 80  # letters a tag that make a line content on any page
+DENSE = 40  # letters a tag of the lines that are sentences rather than links
+POST = 25  # letters of a line that is no menu item
 SIGMA = 1.0
 SPACE = re.compile(r"\s+")
 
@@ -79,7 +97,9 @@ class Lines(HTMLParser):
         self.path: list[int] = [0]
         self.names = ["html"]
         self.parents = [-1]  # of nodes, which have higher numbers than their parents
-        self.marks = [""]  # "tag", "name" (class or role), "id" (of a heading or section), or none
+        # "tag", "comments", "name" (class or role), "subject" (such a class of a heading or
+        # section), "id" (of a heading or section), or none
+        self.marks = [""]
         self.text: list[str] = []
         self.tags = 0
 
@@ -92,13 +112,18 @@ class Lines(HTMLParser):
     def _mark(self, tag, attrs) -> str:
         if tag in ASIDE or (tag == "header" and not self._in_article()):
             return "tag"
-        if tag in ("html", "body", "main", "article"):
+        if tag in ("html", "body", "main"):
             return ""
         values = {k: v.split() for k, v in attrs if v and k in ("class", "id", "role")}
-        if any(OTHER.fullmatch(v) for k in ("class", "role") for v in values.get(k, ())):
-            return "name"
+        if tag not in HEADINGS and any(COMMENTS.fullmatch(v) for names in values.values() for v in names):
+            return "comments"
+        if tag == "article":
+            return ""
+        section = tag in HEADINGS or tag == "section" or "section" in values.get("class", ())
+        found = [v for k in ("class", "role") for v in values.get(k, ()) if OTHER.fullmatch(v)]
+        if found:
+            return "subject" if section and all(SUBJECT.fullmatch(v) for v in found) else "name"
         if any(OTHER.fullmatch(v) for v in values.get("id", ())):
-            section = tag in HEADINGS or tag == "section" or "section" in values.get("class", ())
             return "id" if section else "name"
         return ""
 
@@ -213,22 +238,40 @@ def _below(wanted: list[bool], parents: list[int]) -> list[bool]:
 
 
 def _left_out(parser: Lines) -> list[str]:
-    """The marks of nodes that do not hold the main text."""
-    letters = [0] * len(parser.names)
+    """The marks of nodes that do not hold the main text.
+
+    Reader comments never do, however long they are, unless nothing but menu items stands
+    outside of what such a name marks."""
+    names, parents = parser.names, parser.parents
+    comments = _below([mark == "comments" for mark in parser.marks], parents)
+    marked = _below([bool(mark) for mark in parser.marks], parents)
+    is_article = [name in ("article", "main") for name in names]
+    in_article = _below(is_article, parents)
+    if not any(
+        not comments[k] and (in_article[k] or (not marked[k] and len(text) >= POST)) for text, _, k in parser.lines
+    ):
+        comments = [False] * len(names)
+    letters, plain = [0] * len(names), 0
+    inner = _summed([int(i and not c) for i, c in zip(is_article, comments)], parents)
+    aside = _below([mark == "tag" and not inner[k] for k, mark in enumerate(parser.marks)], parents)
     for text, _, number in parser.lines:
-        letters[number] += len(text)
-    every = _summed(letters, parser.parents)
+        if not comments[number]:
+            letters[number] += len(text)
+            plain += 0 if aside[number] else len(text)
     text, whole = letters, True
     for kinds in (("article",), ("article", "main")):
-        inside = _below([name in kinds for name in parser.names], parser.parents)
+        inside = _below([name in kinds for name in names], parents)
         some = [n if i else 0 for n, i in zip(letters, inside)]
-        if 4 * sum(some) >= every[0] > 0:  # fewer letters are teasers
+        if sum(some) and 4 * sum(some) >= plain:  # fewer letters are teasers
             text, whole = some, False
             break
-    held = _summed(text, parser.parents)
-    articles = _summed([int(name in ("article", "main")) for name in parser.names], parser.parents)
+    held = _summed(text, parents)
+    articles = inner
     marks = []
     for k, mark in enumerate(parser.marks):
+        if mark and comments[k]:
+            marks.append("comments")
+            continue
         most = held[0] and 2 * held[k] >= held[0]
         # Forms may be wrapped around a page; other tags hold the text only with an article.
         kept = most and (articles[k] or (whole and (mark != "tag" or parser.names[k] == "form")))
@@ -277,7 +320,16 @@ def main_text(html: str, sigma: float = SIGMA) -> str:
     if not lines:
         return ""
     inside = _region(parser, lines, sigma)
-    out = _below([mark in ("tag", "name") for mark in marks], parser.parents)
+    every, dense = [0] * len(marks), [0] * len(marks)
+    for text, tags, number in parser.lines:
+        every[number] += len(text)
+        dense[number] += len(text) if len(text) >= DENSE * max(1, tags) else 0
+    every, dense = _summed(every, parser.parents), _summed(dense, parser.parents)
+    is_out = [
+        mark in ("tag", "name", "comments") or (mark == "subject" and 2 * dense[k] < every[k] and parser.names[k] not in HEADINGS)
+        for k, mark in enumerate(marks)
+    ]
+    out = _below(is_out, parser.parents)
     return "\n\n".join(text for text, _, number in parser.lines if inside[number] and not out[number])
 
 

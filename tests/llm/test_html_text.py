@@ -116,6 +116,50 @@ def test_navigation_by_links_only_stays_out():
     assert main_text(page) == "\n\n".join(PARTS[:9])
 
 
+COMMENT = " ".join(PARTS * 2)
+
+
+@pytest.mark.parametrize("post", ["<article><h1>Title</h1>{}</article>", "<main><h1>Title</h1>{}</main>", "<h1>Title</h1>{}"])
+@pytest.mark.parametrize("numbers", [[0, 1], [0], list(range(9))])
+@pytest.mark.parametrize(
+    "comments",
+    [
+        '<div id="comments" class="comments-area">' + f'<article class="comment"><p>{COMMENT}</p></article>' * 6 + "</div>",
+        f'<article class="comment"><p>{COMMENT}</p></article>' * 6,
+        f"<div class='comments'>{''.join(f'<p>{COMMENT}</p>' for _ in range(6))}</div>",
+        f"<section id=comments><p>{COMMENT}</section>",
+        f"<ol class='commentlist'><li><article><p>{COMMENT}</p></article></li></ol><div id='respond'><form>Say</form></div>",
+        f"<div id='disqus_thread'><div class='comment-body'>{COMMENT}</div></div>",
+    ],
+)
+@pytest.mark.parametrize("inside", [False, True])
+def test_reader_comments(post, numbers, comments, inside):
+    page = post.format(ps(*numbers) + comments if inside else ps(*numbers)) + ("" if inside else comments)
+    want = "\n\n".join(["Title", *(PARTS[i] for i in numbers)])
+    assert main_text(f"<body><nav>Home</nav>{page}<footer>Somebody</footer></body>") == want
+    unclosed = page.replace("</p>", "").replace("<p>", "\n<p>")
+    assert main_text(f"<body>{unclosed}</body>") == want
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize("name", ["discussion", "related", "search", "section related"])
+def test_classes_of_sections(outer, name):
+    page = (
+        f"<body><{outer}><h1>Title</h1>{ps(0, 1, 2)}<section class='{name}'><h2>Related work</h2>{ps(3, 4)}</section>"
+        f"<h2 class='discussion'>Discussion</h2>{ps(5)}</{outer}></body>"
+    )
+    assert main_text(page).split("\n\n") == ["Title", *PARTS[:3], "Related work", *PARTS[3:5], "Discussion", PARTS[5]]
+
+
+def test_sections_of_links_and_notices():
+    links = "".join(f"<li><a href='/{i}'>Go to {i}</a></li>" for i in range(10))
+    page = (
+        f"<body><article>{ps(*range(6))}<section class='related'><h2>Related</h2><ul>{links}</ul></section>"
+        f"<section class='notice'>{ps(7)}</section><section class='related-posts'>{ps(8)}</section></article></body>"
+    )
+    assert main_text(page) == "\n\n".join(PARTS[:6])
+
+
 def test_form_around_a_page():
     page = f"<body><form><input name='state'><div>{ps(*range(6))}</div><nav>Home</nav></form></body>"
     assert main_text(page) == "\n\n".join(PARTS[:6])
