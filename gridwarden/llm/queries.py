@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from gridwarden.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, license_scan
-from gridwarden.llm import lm_score, token_files, toxicity, warc
+from gridwarden.llm import lm_score, phrases, spelling, token_files, toxicity, warc
 from gridwarden.llm.common import table
 from gridwarden.session import scratch_path, written
 
@@ -91,6 +91,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+def with_slips(words: DataFrame, one_in: int) -> DataFrame:
+    """Every so manieth pair of document and word, by checksum, loses one code point."""
+    h = F.crc32(F.concat("doc_id", F.lit(":"), "word"))
+    at = F.pmod(h, F.length("word")).cast("int")
+    cut = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    return words.select(F.when(h % one_in == 0, cut).otherwise(F.col("word")).alias("word"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents", "doc_id", "text"), "[A-Za-z\u00C0-\u00FF]+")
+    return spelling.variants(spelling.vocabulary(with_slips(found, 97), least_length=5, least_count=3))
+
+
 def capture_rows(spark: SparkSession, path: str) -> DataFrame:
     """The pages of archives that `warc.write_archives` wrote."""
     captures = warc.assemble(warc.read_records(spark, path)).select(
@@ -127,6 +144,8 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_phrases": op11_phrases,
+    "op12_spelling": op12_spelling,
     "op13_warc": op13_warc,
 }
 
@@ -153,7 +172,84 @@ def _canonical_lines_sql(text: str) -> str:
 
 KNOWN_SQL = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in license_scan.KNOWN)
 
+CRC_TABLE_SQL = """list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
 ORACLE = {
+    "op11_phrases": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        f AS (
+            SELECT lang, k, phrase, count(*) AS n FROM (
+                SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase
+                FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s
+                      FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)))
+            GROUP BY ALL),
+        c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 30),
+        cuts AS (
+            SELECT lang, phrase, a, i, array_to_string(w[: i], ' ') AS first, array_to_string(w[i + 1 :], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+        scored AS (
+            SELECT cuts.lang, cuts.phrase, a, i, x.n AS l, y.n AS r,
+                   CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.n AS HUGEINT) + y.n) AS BIGINT) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first
+                      JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+        best AS (
+            SELECT lang, phrase, a, first(l ORDER BY score, i) AS l, first(r ORDER BY score, i) AS r, min(score) AS score
+            FROM scored GROUP BY ALL),
+        around AS (
+            SELECT DISTINCT c.lang, c.phrase FROM c JOIN c AS b ON c.lang = b.lang AND b.k > c.k
+                AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * b.a >= 80 * c.a),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM best ANTI JOIN around USING (lang, phrase))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op12_spelling": f"""
+        WITH RECURSIVE crc AS (SELECT {CRC_TABLE_SQL} AS t),
+        found AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS d, translate(w, '{UPPER}', '{LOWER}') AS w,
+                   count(*) AS times
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents)
+            GROUP BY 1, 2),
+        coded AS (SELECT *, hex(encode(d || w)) AS x FROM found),
+        summed AS (
+            SELECT w, times, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(range(len(x) // 2),
+                    lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+            FROM coded, crc),
+        slipped AS (
+            SELECT times, CASE WHEN h % 97 = 0
+                THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word
+            FROM summed),
+        v AS (
+            SELECT word, CAST(sum(times) AS BIGINT) AS n FROM slipped
+            WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+        cuts AS (
+            SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS less
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n
+            FROM cuts a JOIN cuts b ON a.less = b.less AND a.p = b.p AND a.word <> b.word
+            UNION SELECT a.word, v.word, v.n FROM cuts a JOIN v ON a.less = v.word
+            UNION SELECT v.word, a.word, a.n FROM cuts a JOIN v ON a.less = v.word),
+        best AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n
+            FROM near GROUP BY 1),
+        f AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN other_n >= 2 * n THEN other END AS form,
+                   CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+            FROM v LEFT JOIN best USING (word)),
+        chain AS (
+            SELECT word, word AS root, form AS onward FROM f
+            UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON chain.onward = f.word)
+        SELECT word, form, root, n, n_near, form_n
+        FROM f JOIN (SELECT word, root FROM chain WHERE onward IS NULL) USING (word)""",
     "op13_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
