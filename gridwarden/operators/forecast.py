@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.config import Settings
 from gridwarden.functions.draw import ticket
+from gridwarden.operators import boosting
 from gridwarden.operators.numbering import number_rows
-from gridwarden.session import broadcast_if_small, scratch_path, written
+from gridwarden.session import broadcast_if_small, written
 
 # Feature names, in model order.
 FEATURES = ["cluster_id_encoded", "day_of_week_num", "hour"]
 LABEL = "hourly_violation_count"
+MAX_BINS = 256  # of the hotspot index; weekdays and hours have one bin each
 
 
 def label_encode(trend: DataFrame) -> DataFrame:
@@ -43,55 +42,44 @@ def split_flag(settings: Settings):
 
 @dataclass
 class Forecast:
-    model: PipelineModel
+    model: boosting.Trees
     encoding: DataFrame
     mae: float
     n_train: int
     n_test: int
 
 
+def axes(labels: int) -> list[boosting.Axis]:
+    hotspot, weekday, hour = FEATURES
+    return [
+        boosting.Axis(hotspot, labels, min(labels, MAX_BINS)),
+        boosting.Axis(weekday, 7, 7),
+        boosting.Axis(hour, 24, 24),
+    ]
+
+
 def train_forecast(trend: DataFrame, settings: Settings) -> Forecast:
     """Boosted regression trees on (hotspot index, weekday, hour).
 
-    Training rows with equal features become one row with their mean and their number as its
-    weight. For squared error the gain of every split, and so the trees, are those of the single
-    rows, while the table shrinks by the number of weeks in the history."""
+    The index is a plain number without category metadata, in at most 256 bins of as many
+    hotspots each."""
     encoding = written(label_encode(trend), "encoding")
-    if encoding.limit(2).count() < 2:
+    labels = encoding.count()
+    if labels < 2:
         raise ValueError("a forecast needs the history of at least two hotspots")
     rows = written(
         encode(trend, encoding, settings).withColumn("held_out", split_flag(settings)),
         "training",
     )
-    trees = GBTRegressor(
-        featuresCol="features",
-        labelCol=LABEL,
-        maxIter=settings.n_trees,
-        stepSize=settings.learning_rate,
-        maxDepth=settings.max_depth,
-        maxBins=256,
-        seed=settings.model_seed,
-        weightCol="weight",
-    )
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    train = rows.filter(~F.col("held_out"))
-    cells = written(
-        train.groupBy(*FEATURES).agg(
-            F.avg(LABEL).alias(LABEL), F.count("*").cast("double").alias("weight")
-        ),
-        "training-cells",
-    )
-    _set_checkpoints(cells.sparkSession)  # the boosting cuts its lineage there
-    model = Pipeline(stages=[assembler, trees]).fit(cells)
+    how = boosting.Growth(
+        settings.n_trees, settings.learning_rate, settings.max_depth,
+        settings.l2, settings.least_child_rows, settings.split_penalty,
+    )
+    model = boosting.fit(rows.filter(~F.col("held_out")), axes(labels), LABEL, how)
     scored = model.transform(rows.filter("held_out"))
     held = forecast_mae(scored).first()
-    return Forecast(model, encoding, held["forecast_mae"], train.count(), held["n_test"])
-
-
-def _set_checkpoints(spark) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_path(spark, "checkpoints"))
+    n_train = rows.filter(~F.col("held_out")).count()
+    return Forecast(model, encoding, held["forecast_mae"], n_train, held["n_test"])
 
 
 def forecast_mae(scored: DataFrame) -> DataFrame:
@@ -99,29 +87,22 @@ def forecast_mae(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg(error).alias("forecast_mae"), F.count("*").alias("n_test"))
 
 
-def feature_importance(saved_trees: DataFrame) -> DataFrame:
-    """Number of splits per feature over the saved trees, zeros filled in, largest first.
-
-    `saved_trees` is the node table that the model writes: `<model>/stages/<trees>/data`."""
-    spark = saved_trees.sparkSession
+def feature_importance(nodes: DataFrame) -> DataFrame:
+    """Number of splits per feature over all trees, zeros filled in, largest first."""
+    spark = nodes.sparkSession
     splits = (
-        saved_trees.filter("nodeData.leftChild >= 0")
-        .groupBy(F.col("nodeData.split.featureIndex").alias("i"))
+        nodes.filter("feature IS NOT NULL")
+        .groupBy("feature")
         .agg(F.count("*").cast("double").alias("n"))
     )
-    names = spark.createDataFrame(list(enumerate(FEATURES)), "i int, feature string")
+    names = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
     return (
-        names.join(splits, "i", "left")
+        names.join(splits, "feature", "left")
         .select("feature", F.coalesce("n", F.lit(0.0)).alias("importance"))
         .orderBy(F.desc("importance"), "feature")
     )
 
 
-def saved_tree_path(model_path: str, model: PipelineModel) -> str:
-    stage = len(model.stages) - 1
-    return f"{model_path}/stages/{stage}_{model.stages[stage].uid}/data"
-
-
 def request_reject_reason():
     """Null for a well-formed request (cluster_id, hour, day_of_week)."""
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.config import Settings
 from gridwarden.operators.temporal import KEY, hotspots, lookup
+from gridwarden.session import written
 
 
 def severity(c: Column, settings: Settings) -> Column:
@@ -24,31 +25,58 @@ def add_severity(df: DataFrame, settings: Settings) -> DataFrame:
     return df.withColumn("severity", severity(F.col("violation_type_clean"), settings))
 
 
+GRAM = 3  # characters
+
+
+def _grams(size: int) -> Column:
+    """All stretches of so many characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
 def severity_by_rule_table(df: DataFrame, rules: DataFrame, settings: Settings) -> DataFrame:
     """The same answer for a rule table (keyword, weight) of any length.
 
-    Containment becomes an equi-join: of every length that a keyword has, all substrings of a
-    text are matched with the keywords, so a short keyword meets only the texts that hold it.
-    The empty keyword is in every text. Offence texts repeat, so only the distinct ones are
-    taken apart; a null text counts as the empty one.
+    Texts are cut into their grams of three characters, and of one or two if a keyword is so
+    short, so the table of grams grows with the length of the texts alone. Each keyword is
+    indexed by the one of its grams that the fewest texts have; a text that has that gram is
+    then searched for the keyword. A keyword with a gram that no text has is in none. The empty
+    keyword is in every text. Offence texts repeat, so only the distinct ones are taken apart;
+    a null text counts as the empty one.
     """
-    rules = rules.select("keyword", F.col("weight").cast("double"), F.length("keyword").alias("size"))
-    sizes = rules.groupBy("size").agg(F.max("weight").alias("best")).collect()  # one row a length
-    anywhere = max([float(settings.default_severity), *(r.best for r in sizes if r["size"] == 0 and r.best is not None)])
-    lengths = F.array(*[F.lit(r["size"]) for r in sizes if r["size"]]).cast("array<int>")
+    rules = rules.groupBy("keyword").agg(F.max("weight").cast("double").alias("weight"))
+    rules = written(rules.where("keyword IS NOT NULL"), "rules")
+    gram_size = F.least(F.length("keyword"), F.lit(GRAM))
+    sizes = [r[0] for r in rules.select(gram_size).distinct().collect()]  # at most four
+    always = rules.where("keyword = ''").agg(F.max("weight")).first()[0]
+    anywhere = max([float(settings.default_severity), *([always] if always is not None else [])])
+
     text = F.coalesce("violation_type_clean", F.lit(""))
-    texts = df.select(text.alias("_text")).distinct()
-    grams = F.expr(
-        "array_distinct(flatten(transform(filter(_sizes, n -> n <= length(_text)), n -> "
-        "transform(sequence(1, length(_text) - n + 1), i -> substring(_text, i, n)))))"
+    texts = df.select(text.alias("_text")).distinct().withColumn("_nth", F.monotonically_increasing_id())
+    texts = written(texts, "texts")
+    pieces = [_grams(s) for s in sizes if s] or [F.array().cast("array<string>")]
+    grams = written(texts.select("_nth", F.explode(F.concat(*pieces)).alias("gram")), "grams")
+    found_in = grams.groupBy("gram").agg(F.count("*").alias("n"))
+
+    stretches = F.sequence(F.lit(1), F.length("keyword") - F.col("size") + 1)
+    own = F.array_distinct(F.transform(stretches, lambda i: F.substring("keyword", i, F.col("size"))))
+    index = (
+        rules.where("keyword <> ''")
+        .withColumn("size", gram_size)
+        .select("keyword", "weight", F.explode(own).alias("gram"))
+        .join(found_in, "gram", "left")
+        .groupBy("keyword", "weight")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+        .where("rarest.n > 0")
+        .select("keyword", "weight", F.col("rarest.gram").alias("gram"))
     )
     hits = (
-        texts.withColumn("_sizes", lengths)
-        .select("_text", F.explode(grams).alias("keyword"))
-        .join(rules, "keyword")
-        .groupBy("_text")
+        grams.join(index, "gram")
+        .join(texts, "_nth")
+        .where(F.contains("_text", "keyword"))
+        .groupBy("_nth")
         .agg(F.max("weight").alias("_best"))
     )
+    hits = texts.join(hits, "_nth").select("_text", "_best")
     best = F.greatest(F.lit(anywhere), F.coalesce("_best", F.lit(anywhere)))
     joined = df.join(hits, text == F.col("_text"), "left")
     return joined.withColumn("severity", best).drop("_text", "_best")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import isnan
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwarden.config import Settings
 from gridwarden.functions.draw import ticket
-from gridwarden.session import broadcast_if_small, written
+from gridwarden.session import broadcast_if_small, spread, written
 
 SERVED_BROADCAST = 100_000  # versions
 
@@ -132,6 +136,45 @@ def with_previous(candidates: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+REPLAY_SCHEMA = "model_version string, run_id string, promoted boolean, baseline_run_id string, baseline_mae double"
+
+
+def promotion_replay(runs: DataFrame, settings: Settings) -> DataFrame:
+    """What the gate decides when the runs (model_version, generated_at, run_id, forecast_mae,
+    force) of each version ask in the order of their time, and the baseline that each met.
+
+    A run that is refused never becomes the baseline, so every decision depends on those before
+    it: a fold along each version. The runs of a version come to one task as a sorted stream, of
+    which the task holds a baseline and no more. An error figure that is missing or no number
+    is refused where there is a baseline with one."""
+    allowed = 1.0 + settings.max_mae_regression_pct / 100.0
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None  # the version, and (run, error) of its baseline
+        for batch in batches:
+            promoted, before = [], []
+            for version, run, error, force in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (version,) != current:
+                    current, held = (version,), None
+                error = None if error is None or isnan(error) else error
+                free = force or not settings.require_gate or held is None or held[1] is None
+                before.append(held or (None, None))
+                promoted.append(bool(free or (error is not None and error <= held[1] * allowed)))
+                if promoted[-1]:
+                    held = (run, error)
+            names, errors = zip(*before) if before else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(promoted, pa.bool_()),
+                 pa.array(names, pa.string()), pa.array(errors, pa.float64())],
+                names=["model_version", "run_id", "promoted", "baseline_run_id", "baseline_mae"],
+            )
+
+    force = F.coalesce("force", F.lit(False)).alias("force")
+    rows = runs.select("model_version", "generated_at", "run_id", F.col("forecast_mae").cast("double"), force)
+    rows = spread(rows, "model_version").sortWithinPartitions("model_version", "generated_at", "run_id")
+    return rows.drop("generated_at").mapInArrow(fold, REPLAY_SCHEMA)
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The served run: newest promoted one; an empty table when there is none."""
     promoted = F.col("promotion_gate.promoted")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from gridwarden.operators import (
     temporal,
     validate,
 )
+from gridwarden.plans.literals import LITERALS
 from gridwarden.plans.standin import grid_assignments
 from gridwarden.session import scratch_path, use_utc, written
 from gridwarden.sources import store
@@ -402,6 +405,23 @@ def q_violation_array(spark, d):
     )
 
 
+def _filled(pattern: str):
+    parts = re.split(r"\{([abAB])\}", pattern)
+    names = {"a": F.element_at(F.split("p_name", " "), 1), "b": F.col("p_brand")}
+    names |= {k.upper(): F.upper(v) for k, v in names.items()}
+    return F.concat(*[names[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+@query("parse_literals")
+def q_literals(spark, d):
+    """Names of parts, written as literals of every form."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    forms = F.array(*[_filled(given) for given, _ in LITERALS])
+    rows = part.select("p_partkey", F.get(forms, (F.col("p_partkey") % len(LITERALS)).cast("int")).alias("given"))
+    items = text.violation_array(F.col("given"))
+    return rows.select("p_partkey", "given", F.array_join(items, "|").alias("items"), F.size(items).alias("n_items"))
+
+
 @query("vehicle_weight")
 def q_vehicle_weight(spark, d):
     rows = clean(spark, d)
@@ -768,7 +788,7 @@ def q_directives(spark, d):
 @query("lookup_hotspot")
 def q_lookup(spark, d):
     path = scratch_path(spark, "board")
-    store.write_table(board(spark, d), path)
+    store.write_indexed(board(spark, d), path, "cluster_id")
     table = spark.read.parquet(path)
     best = table.filter("rank = 1").first()["cluster_id"]
     return _summary(leaderboard.lookup_hotspot(table, best))
@@ -911,10 +931,31 @@ def q_train(spark, d):
 @query("feature_importance")
 def q_importance(spark, d):
     _, model = _trained(spark, d)
-    path = scratch_path(spark, "model")
-    model.model.write().save(path)
-    trees = spark.read.parquet(forecast.saved_tree_path(path, model.model))
-    return forecast.feature_importance(trees)
+    return forecast.feature_importance(model.model.nodes)
+
+
+def _first_tree(spark, d):
+    trend = written(rollups.hourly_trend(clustered(spark, d)), "trend")
+    return forecast.train_forecast(trend, replace(S, n_trees=1))
+
+
+@query("forecast_first_tree")
+def q_first_tree(spark, d):
+    """Every node of the first tree: its split and gain, or the value of the leaf."""
+    nodes = _first_tree(spark, d).model.nodes.where("tree = 0")
+    return nodes.select("node", "feature", "upper", "n_rows", r("gain").alias("gain"), r("value", 9).alias("value"))
+
+
+@query("first_tree_importance")
+def q_first_tree_importance(spark, d):
+    return forecast.feature_importance(_first_tree(spark, d).model.nodes)
+
+
+@query("first_tree_predictions")
+def q_first_tree_predictions(spark, d):
+    """The rounded answer to every request that the model of one tree can answer."""
+    good, _ = forecast.predict_batch(requests(spark, d), _first_tree(spark, d), S)
+    return good.select("id", "cluster_id", "hour", "day_of_week", "predicted_violations")
 
 
 @query("predict_batch")
@@ -946,6 +987,13 @@ def q_gate(spark, d):
     return registry.promotion_gate(paired, S).select("candidate", "promoted", "reason")
 
 
+@query("promotion_replay")
+def q_replay(spark, d):
+    """Every run of the registry asks again, in the order of time."""
+    rows = runs(spark, d).withColumn("force", F.col("run_id").cast("bigint") % 97 == 5)
+    return registry.promotion_replay(rows, S)
+
+
 @query("latest_run")
 def q_latest(spark, d):
     return registry.latest_run(runs(spark, d)).select(

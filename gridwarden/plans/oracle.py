@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from gridwarden.config import SEVERITY_RULES, VEHICLE_WEIGHTS, Settings
 from gridwarden.functions.text import NA_TOKENS
+from gridwarden.operators.forecast import FEATURES, MAX_BINS
 from gridwarden.operators.validate import REASONS, REQUIRED
+from gridwarden.plans.literals import LITERALS
+from gridwarden.plans.tree_sql import first_tree, reached
 
 S = Settings()
 
@@ -407,6 +410,14 @@ ORACLE: dict[str, str] = {
         f"len({ITEMS})::INTEGER AS n_items, array_to_string(list_transform("
         "string_split(props, ':'), lambda x: upper(trim(x))), '|') AS list_items FROM feed",
     ),
+    "parse_literals": f"""
+      WITH p AS (
+        SELECT p_partkey, string_split(p_name, ' ')[1] AS a, p_brand AS b, upper(string_split(p_name, ' ')[1]) AS big_a,
+          upper(p_brand) AS big_b, (p_partkey % {len(LITERALS)})::INTEGER AS form FROM part)
+      SELECT p_partkey, replace(replace(given[form + 1], '{{a}}', a), '{{b}}', b) AS given,
+        replace(replace(shown[form + 1], '{{A}}', big_a), '{{B}}', big_b) AS items,
+        len(string_split(shown[form + 1], '|'))::INTEGER AS n_items
+      FROM p, (SELECT [{", ".join(quoted(x) for x, _ in LITERALS)}] AS given, [{", ".join(quoted(y) for _, y in LITERALS)}] AS shown)""",
     "vehicle_weight": upto(
         "clean", "SELECT vehicle_type, vehicle_weight, count(*) AS n FROM clean GROUP BY ALL"
     ),
@@ -631,6 +642,29 @@ ORACLE: dict[str, str] = {
         "true AS beats_mean FROM trend",
         TREND,
     ),
+    "forecast_first_tree": upto(
+        "clusters",
+        "SELECT node, feature, upper::INTEGER AS upper, n_rows, round(gain, 6) AS gain, round(value, 9) AS value FROM nodes",
+        TREND, LABELS, first_tree(HELD_OUT, S),
+    ),
+    "first_tree_importance": upto(
+        "clusters",
+        f"""SELECT feature, count(node)::DOUBLE AS importance
+        FROM (SELECT unnest([{", ".join(map(quoted, FEATURES))}]) AS feature) LEFT JOIN nodes USING (feature) GROUP BY 1""",
+        TREND, LABELS, first_tree(HELD_OUT, S),
+    ),
+    "first_tree_predictions": upto(
+        "clusters",
+        """SELECT id, cluster_id, hour, day_of_week,
+          round(greatest(0, mean + value), 2) AS predicted_violations
+        FROM reached JOIN nodes USING (node), base""",
+        TREND, LABELS, REQUESTS, first_tree(HELD_OUT, S),
+        f"""placed AS (
+          SELECT id, cluster_id, hour, day_of_week, cluster_id_encoded * least(k, {MAX_BINS}) // k AS b,
+            day_of_week AS d, hour AS h
+          FROM judged JOIN labels_of USING (cluster_id), size WHERE reject_reason = 'ok')""",
+        reached(S),
+    ),
     "predict_batch": upto(
         "clusters",
         """SELECT id, cluster_id, hour, day_of_week, status, status = 'ok' AS has_prediction,
@@ -670,6 +704,21 @@ ORACLE: dict[str, str] = {
           ELSE printf('REJECTED — MAE regressed: %.4f > %.4f (prev=%.4f, tolerance=10.0%%). ',
                       new, ceiling, prev) || 'Re-run with --force-promote to override.'
         END AS reason FROM paired""",
+    "promotion_replay": f"""
+      WITH RECURSIVE {RUNS.strip()},
+      o AS (
+        SELECT *, run_id::BIGINT % 97 = 5 AS force,
+          row_number() OVER (PARTITION BY model_version ORDER BY generated_at, run_id) AS pos FROM runs),
+      fold AS (
+        SELECT model_version, pos, run_id, true AS promoted, NULL::VARCHAR AS baseline_run_id,
+          NULL::DOUBLE AS baseline_mae, run_id AS held_id, forecast_mae::DOUBLE AS held FROM o WHERE pos = 1
+        UNION ALL
+        SELECT model_version, pos, run_id, ok, held_id, held,
+          CASE WHEN ok THEN run_id ELSE held_id END, CASE WHEN ok THEN forecast_mae ELSE held END
+        FROM (
+          SELECT o.*, held_id, held, coalesce(force OR held IS NULL OR forecast_mae <= held * (1.0 + 10.0/100.0), false) AS ok
+          FROM fold JOIN o ON o.model_version = fold.model_version AND o.pos = fold.pos + 1))
+      SELECT model_version, run_id, promoted, baseline_run_id, baseline_mae FROM fold""",
     "latest_run": f"""WITH {RUNS} SELECT run_id, model_version,
       epoch_us(generated_at) AS generated_us FROM runs WHERE promoted
       ORDER BY generated_at DESC, run_id DESC LIMIT 1""",

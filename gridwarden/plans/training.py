@@ -12,12 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwarden.config import Settings
 from gridwarden.operators import (
+    boosting,
     forecast,
     heatmap,
     leaderboard,
@@ -93,9 +93,8 @@ def run_training(
     store.write_table(board, f"{home}/leaderboard_csv", "csv")
     store.write_table(fitted.encoding, f"{home}/encoding")
     store.write_table(points, f"{home}/map_points")
-    fitted.model.write().overwrite().save(f"{home}/model")
-    trees = spark.read.parquet(forecast.saved_tree_path(f"{home}/model", fitted.model))
-    importance = forecast.feature_importance(trees)
+    fitted.model.save(f"{home}/model")
+    importance = forecast.feature_importance(fitted.model.nodes)
     store.write_table(importance, f"{home}/feature_importance", "csv")
 
     verdict = _verdict(spark, fitted.mae, previous, settings, force_promote)
@@ -170,7 +169,7 @@ def load_run(spark: SparkSession, root: str) -> Run:
 def _load(spark: SparkSession, home: str, name: str):
     path = f"{home}/{name}"
     if name == "model":
-        return PipelineModel.load(path)
+        return boosting.Trees.load(spark, path)
     if name == "feature_importance":
         return (
             spark.read.schema("feature string, importance double")

@@ -51,6 +51,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+def write_indexed(df: DataFrame, path: str, column: str, group_bytes: int = 1 << 20) -> None:
+    """A table for lookups by one value: sorted by that column, in small row groups, each with
+    its least and largest value and a Bloom filter, so that a lookup reads one group."""
+    (
+        df.repartitionByRange(F.col(column)).sortWithinPartitions(column)
+        .write.mode("overwrite")
+        .option(f"parquet.bloom.filter.enabled#{column}", "true")
+        .option("parquet.block.size", group_bytes)
+        .parquet(path)
+    )
+
+
 def join_assignments(clean: DataFrame, assignments: DataFrame) -> DataFrame:
     """Left join on (station, id), null matching null; rows without a partner are noise.
 

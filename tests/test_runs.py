@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 
@@ -173,3 +174,52 @@ def test_runs_are_kept_and_served(spark, sf_dir, tmp_path):
     }
     names = [r.feature for r in run.feature_importance.collect()]
     assert sorted(names) == sorted(forecast.FEATURES)
+
+
+def replayed(spark, rows, settings):
+    runs = spark.createDataFrame(rows, "model_version string, generated_at long, run_id string, forecast_mae double, force boolean")
+    out = registry.promotion_replay(runs, settings).collect()
+    return {(r.model_version, r.run_id): (r.promoted, r.baseline_run_id, r.baseline_mae) for r in out}
+
+
+@pytest.mark.parametrize("gate", [True, False])
+def test_promotion_replay(spark, gate):
+    """Against the gate itself, asked run by run."""
+    draw = random.Random(8)
+    rows = [
+        (draw.choice(["a", "a", "b", None]), i // 2, f"r{i:03d}", draw.choice([None, float("nan"), 1.0, 1.05, 1.1, 1.3, 2.0]), draw.choice([True, None, False, False, False]))
+        for i in range(300)
+    ]
+    settings = Settings(require_gate=gate)
+    want = {}
+    for version in {r[0] for r in rows}:
+        held = None
+        for _, _, run, error, force in sorted((r for r in rows if r[0] == version), key=lambda r: r[1:3]):
+            error = None if error is None or error != error else error
+            ok = bool(force) or not gate or held is None or held[1] is None or (error is not None and error <= held[1] * 1.1)
+            want[version, run] = (ok, *(held or (None, None)))
+            held = (run, error) if ok else held
+    assert replayed(spark, rows, settings) == want
+    assert replayed(spark, [], settings) == {}
+
+
+def test_a_lookup_reads_one_row_group(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = [(f"S::{i:06d}", "x" * 40 + str(i)) for i in range(30_000)]
+    board = spark.createDataFrame(rows, "cluster_id string, text string")
+    path = f"{tmp_path}/board"
+    store.write_indexed(board, path, "cluster_id", group_bytes=64 << 10)
+    groups = [
+        pq.ParquetFile(f).metadata.row_group(g)
+        for f in tmp_path.glob("board/*.parquet") for g in range(pq.ParquetFile(f).num_row_groups)
+    ]
+    assert len(groups) > 8 and sum(g.num_rows for g in groups) == 30_000
+    wanted = "S::012345"
+    fits = [g.num_rows for g in groups if g.column(0).statistics.min <= wanted <= g.column(0).statistics.max]
+    assert len(fits) == 1
+    found = spark.read.parquet(path).where(f"cluster_id = '{wanted}'")
+    assert found.collect()[0].text.endswith("12345")
+    plan = found._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= max(fits)
