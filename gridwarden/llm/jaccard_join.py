@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwarden.llm.common import as_bytes, id_text, slices
+from gridwarden.llm.common import as_bytes, id_text, join_split_hot, slices
 from gridwarden.llm.components import components
 from gridwarden.session import broadcast_if_small, written
 
@@ -51,6 +51,7 @@ COUNTERS = 1 << 20
 COUNTER_PARTS = 32
 FILTER_PARTS = 64
 FILTER_BITS = 1 << 28  # 32 MB
+PRINTS_A_PART = 4_000_000
 MEMBERS_BROADCAST = 200_000  # rows of (long, long, long, int): under 8 MB
 
 
@@ -221,29 +222,72 @@ def _sets(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray)
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Sorted numbers as gaps, one plane a byte: planes of zeros take no room when compressed."""
+    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _repeated_prints(sets: DataFrame) -> tuple[DataFrame, int]:
+    """The prints (first bits, as a number) of keys that occur more than once, and how many bits
+    they are cut by. A few other keys have a print that repeats."""
+    total = sets.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = min(56, max(24, total.bit_length() + 8))
+    cut = 64 - bits
+    parts = max(FILTER_PARTS, total // PRINTS_A_PART)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.sort(batch.column("keys").flatten().to_numpy().view(np.uint64) >> np.uint64(cut))
+            nth = (prints.astype(np.float64) * (parts / 2.0**bits)).astype(np.int64)  # rises with the print
+            nth = np.minimum(nth, parts - 1)
+            starts = np.flatnonzero(np.diff(nth, prepend=-1))
+            pieces = np.split(prints, starts[1:]) if len(starts) else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nth[starts].astype(np.int32)), pa.array(map(squeezed, pieces), pa.binary())],
+                names=["nth", "data"],
+            )
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for nth, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(nth, []).append(unsqueezed(data))
+        for pieces in held.values():
+            prints, counts = np.unique(np.concatenate(pieces), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(prints[counts > 1].view(np.int64))], names=["key"])
+
+    rows = sets.where("size(keys) > 0").select("keys").mapInArrow(gather, "nth int, data binary")
+    return rows.repartition(parts, "nth").mapInArrow(repeated, "key long"), cut
+
+
 def _shared_keys(sets: DataFrame) -> DataFrame:
     """(node, key) for all keys that occur more than once, and some others.
 
-    Nearly all keys occur once. Only the keys themselves are shuffled to count them; those that
-    repeat are marked in a table of bits, by which the others are left out before nodes are
-    shuffled. The table has 16 bits a repeated key, at most `FILTER_BITS`, so it has a fixed
-    bound; where it is full it leaves more keys in, which changes no result.
+    Nearly all keys occur once. Sorted prints of the keys, two or three bytes each, are shuffled
+    to find those that repeat; they are marked in a table of bits, by which the others are left
+    out before nodes are shuffled. The table has 16 bits a repeated print, at most `FILTER_BITS`,
+    so it has a fixed bound; where it is full it leaves more keys in, which changes no result.
     """
-    keys = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    repeated = written(keys.where("n > 1").select("key"), "repeated-keys")
+    prints, cut = _repeated_prints(sets)
+    repeated = written(prints, "repeated-keys")
     bits = FILTER_PARTS * 64
     wanted = min(16 * repeated.count(), FILTER_BITS)
     while bits < wanted:
         bits *= 2
     part_bits = bits // FILTER_PARTS
 
-    def places(values: np.ndarray) -> np.ndarray:
-        return (values.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+    def places(prints: np.ndarray) -> np.ndarray:
+        return (prints & np.uint64(bits - 1)).astype(np.int64)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = places(batch.column("key").to_numpy())
+            at = places(batch.column("key").to_numpy().view(np.uint64))
             for nth in np.unique(at // part_bits).tolist():
                 table = tables.setdefault(nth, np.zeros(part_bits, bool))
                 table[at[at // part_bits == nth] % part_bits] = True
@@ -265,7 +309,7 @@ def _shared_keys(sets: DataFrame) -> DataFrame:
             lists = batch.column("keys")
             keys = lists.flatten().to_numpy()
             nodes = np.repeat(batch.column("node").to_numpy(), lists.value_lengths().to_numpy())
-            at = places(keys)
+            at = places(keys.view(np.uint64) >> np.uint64(cut))
             good = (marked[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes[good]), pa.array(keys[good])], names=["node", "key"]
@@ -370,13 +414,17 @@ def _cross_tiles(rows: DataFrame) -> DataFrame:
     main = labels.groupBy("class").agg(
         F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")
     ).where("labels > 1").select("class", F.col("main.label").alias("main"))
-    rows = rows.join(main, "class").withColumn("minor", F.expr("label <> main"))
-    blocks = rows.where("minor").groupBy("class").agg(
-        F.greatest(
-            F.ceil(F.sum("n_shingles") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_ROWS)
-        ).cast("int").alias("blocks")
-    )
-    rows = rows.join(blocks, "class")
+    sizes = rows.groupBy("class", "label").agg(F.sum("n_shingles").alias("shingles"), F.count("*").alias("n"))
+    blocks = (
+        sizes.join(main, "class").groupBy("class", "main")
+        .agg(F.sum("n").alias("n"), F.sum(F.expr("IF(label <> main, shingles, 0)")).alias("shingles"),
+             F.sum(F.expr("IF(label <> main, n, 0)")).alias("minors"))
+        .select("class", "main", "n", F.greatest(
+            F.ceil(F.col("shingles") / TILE_SHINGLES), F.ceil(F.col("minors") / TILE_ROWS)
+        ).cast("int").alias("blocks"))
+    )
+    rows = join_split_hot(rows, written(blocks, "class-blocks"), "class", "n").where("main IS NOT NULL")
+    rows = rows.withColumn("minor", F.expr("label <> main"))
     block = "CAST(pmod(xxhash64(node, 3), blocks) AS INT)"
     own = "CAST(pmod(xxhash64(node, 1), tiles) AS INT)"
     keep = ["class", "x", "y", "node", "label", "text"]
@@ -422,9 +470,10 @@ def shingle_classes(
     tiles = members.groupBy("class").agg(
         F.greatest(
             F.ceil(F.sum("n_shingles") / tile_shingles), F.ceil(F.count("*") / tile_rows)
-        ).cast("int").alias("tiles")
+        ).cast("int").alias("tiles"),
+        F.count("*").alias("n"),
     )
-    members = written(members.join(tiles, "class"), "tile-members")
+    members = written(join_split_hot(members, written(tiles, "class-tiles"), "class", "n"), "tile-members")
     texts = written(
         docs.join(broadcast_if_small(members, MEMBERS_BROADCAST), "doc_id")
         .select("class", "tiles", "node", "n_shingles", "text"),
@@ -462,11 +511,10 @@ def shingle_classes(
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents whose id is the least of their class, and those without an id, with all
-    columns. Ids are taken to be unique."""
-    found = shingle_classes(docs, id_col, text_col, **options)
-    gone = written(
-        found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone"
-    )
+    columns. Of documents that share an id none goes unless all are copies of others."""
+    found = shingle_classes(docs, id_col, text_col, **options).where("doc_id IS NOT NULL")
+    gone = found.groupBy("doc_id").agg(F.min(F.expr("doc_id <> component_id")).alias("all_copies"))
+    gone = written(gone.where("all_copies").select(F.col("doc_id").alias("__gone")), "gone")
     return docs.join(
         broadcast_if_small(gone, MEMBERS_BROADCAST),
         F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti",
