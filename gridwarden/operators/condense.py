@@ -1,10 +1,14 @@
 """From weighted edges to flat clusters: single linkage, condensed by a least cluster size,
 with the clusters of largest excess of mass selected.
 
-Edges are taken in rounds of ascending weight. A round holds at most about `limit` edges of a
-station, so no task ever sees more, however large the station; what a round merged becomes
-one component with a few running sums, and the remaining edges are relabelled. Stations that
-fit into one round, the usual case, need one round.
+Edges are taken in rounds. A station with at most `limit` edges is one part and ends in that
+round. Otherwise its lighter half of edges falls into connected components, each a part of its
+own: what merges inside depends on no other edge. A component with more than `limit` edges is
+halved again in the same way, so no task sees more edges than that, however large the station,
+and one station is worked on by many tasks. What a round merged becomes one node with a few
+running sums, the remaining edges are relabelled, and their number at least halves, so rounds grow
+with the logarithm of the largest station. The exception are edges of one and the same weight,
+which merge at once and stay together.
 """
 
 from __future__ import annotations
@@ -18,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.operators import quadtree as qt
+from gridwarden.operators.components import components
 from gridwarden.session import spread, written
 
-ROUND_LIMIT = 2_000_000
-SHARES = [2.0**-i for i in range(31)]
+ROUND_LIMIT = 500_000  # edges of a part
 
 # node: a component; rows: incident rows in it; mass: sum of rows/weight over everything that
 # joined the open cluster; kids: selected mass of the closed clusters below it
 STATE = "station_key string, node bigint, rows bigint, mass double, kids double"
 MERGED = (
-    "station_key string, node bigint, comp bigint, cluster bigint, "
+    "station_key string, node bigint, comp bigint, cluster string, "
     "rows bigint, mass double, kids double"
 )
 
@@ -50,16 +54,12 @@ def flat_clusters(
     edges = thin_by_tile(points, edges, limit)
     steps: list[DataFrame] = []
     while True:
-        sized = _round_bounds(edges)
-        plan = written(_with_threshold(sized, limit), "thresholds")
-        if plan.isEmpty():
+        now, later = _round(edges, limit)
+        if now is None:
             break
-        marked = written(edges.join(plan, "station_key"), "round")
-        now = marked.filter("weight <= threshold").drop("threshold")
         merged = written(_merge_round(now, state, min_size, len(steps)), "merged")
         steps.append(merged.select("station_key", "node", "comp", "cluster"))
-        later = marked.filter("weight > threshold").drop("threshold")
-        if later.isEmpty():
+        if later is None:
             break
         edges = written(_relabel(later, merged), "edges")
         untouched = state.join(merged.select("station_key", "node"), ["station_key", "node"], "left_anti")
@@ -68,23 +68,41 @@ def flat_clusters(
     return _labels(points, steps)
 
 
-def _round_bounds(edges: DataFrame) -> DataFrame:
-    """Edge count and weight quantiles of each station, from mergeable sketches."""
-    quantiles = F.percentile_approx("weight", F.array(*[F.lit(s) for s in SHARES]), F.lit(10_000))
-    return edges.groupBy("station_key").agg(F.count("*").alias("n"), quantiles.alias("q"))
+def _round(edges: DataFrame, limit: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Edges that merge now, with their part, and those that wait; None for none."""
+    part = ["station_key", "part"]
+    open_ = edges.withColumn("part", F.lit(0).cast("bigint"))
+    now: list[DataFrame] = []
+    later: list[DataFrame] = []
+    while True:
+        middle = F.percentile_approx("weight", F.lit(0.5), F.lit(10_000))
+        sizes = written(
+            open_.groupBy(*part).agg(
+                F.count("*").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high"), middle.alias("middle")
+            ),
+            "parts",
+        )
+        fits = (F.col("n") <= limit) | (F.col("low") == F.col("high"))
+        n_small, n_large = sizes.agg(F.count_if(fits), F.count_if(~fits)).first()
+        if n_small:
+            now.append(open_.join(sizes.filter(fits).select(*part), part, "left_semi") if n_large else open_)
+        if not n_large:
+            break
+        large = sizes.filter(~fits).select(*part, "middle", "high")
+        # many edges of the largest weight: take all that are lighter
+        light = F.when(F.col("middle") < F.col("high"), F.col("weight") <= F.col("middle")).otherwise(
+            F.col("weight") < F.col("high")
+        )
+        cut = written(open_.join(large, part).withColumn("light", light).drop("part", "middle", "high"), "halves")
+        later.append(cut.filter("NOT light").drop("light"))
+        half = cut.filter("light").drop("light")
+        named = components(half).select(F.col("node").alias("u"), F.col("component").alias("part"))
+        open_ = written(half.join(named, "u").select(*edges.columns, "part"), "halves")
+    return (_joined(now), _joined(later))
 
 
-def _with_threshold(sized: DataFrame, limit: int) -> DataFrame:
-    """The largest of the quantiles with no more than `limit` edges below it."""
-    share = F.array(*[F.lit(s) for s in SHARES])
-    fitting = F.filter(
-        F.arrays_zip(share.alias("share"), F.col("q").alias("q")),
-        lambda z: z["share"] * F.col("n") <= limit,
-    )
-    chosen = F.when(F.col("n") <= limit, F.lit(float("inf"))).otherwise(
-        F.coalesce(F.get(fitting, F.lit(0))["q"], F.element_at("q", -1))
-    )
-    return sized.select("station_key", chosen.alias("threshold"))
+def _joined(tables: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, tables) if tables else None
 
 
 def _relabel(edges: DataFrame, merged: DataFrame) -> DataFrame:
@@ -168,25 +186,23 @@ def _spanning_forest(tile: pd.DataFrame) -> pd.DataFrame:
 
 
 def _merge_round(now: DataFrame, state: DataFrame, min_size: int, number: int) -> DataFrame:
-    ends = now.select("station_key", F.col("u").alias("node")).union(
-        now.select("station_key", F.col("v").alias("node"))
-    )
-    touched = state.join(ends.distinct(), ["station_key", "node"], "left_semi")
+    ends = now.select("station_key", "part", F.explode(F.array("u", "v")).alias("node")).distinct()
+    touched = state.join(ends, ["station_key", "node"])
     nulls = {c: F.lit(None).cast("double") for c in ("mass", "kids", "weight")}
     edge_rows = now.select(
-        "station_key", "u", "v", "weight", F.lit(None).cast("bigint").alias("rows"),
+        "station_key", "part", "u", "v", "weight", F.lit(None).cast("bigint").alias("rows"),
         nulls["mass"].alias("mass"), nulls["kids"].alias("kids"),
     )
     node_rows = touched.select(
-        "station_key", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"),
+        "station_key", "part", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"),
         nulls["weight"].alias("weight"), "rows", "mass", "kids",
     )
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         return _merge(group, min_size, number)
 
-    rows = spread(node_rows.unionByName(edge_rows), "station_key")
-    return rows.groupBy("station_key").applyInPandas(merge, MERGED)
+    rows = spread(node_rows.unionByName(edge_rows), "station_key", "part")
+    return rows.groupBy("station_key", "part").applyInPandas(merge, MERGED)
 
 
 @dataclass
@@ -217,7 +233,7 @@ class _Tree:
 
 
 def _merge(group: pd.DataFrame, min_size: int, number: int) -> pd.DataFrame:
-    """Merges one round of one station. Edges of equal weight merge at once."""
+    """Merges one part of one round. Edges of equal weight merge at once."""
     is_node = group["v"].isna().to_numpy()
     nodes = group[is_node]
     links = group[~is_node].sort_values("weight")
@@ -281,7 +297,7 @@ def _merge(group: pd.DataFrame, min_size: int, number: int) -> pd.DataFrame:
             rows[root], mass[root], kids[root] = total, new_mass, new_kids
             open_cluster[root] = cluster
     top = tree.standing()
-    shift = number << 40
+    name = f"{number}:{group['part'].iloc[0]}:"
     comp = [_find(parent, i) for i in range(size)]
     label = [top[h] if h >= 0 else -1 for h in home]
     return pd.DataFrame(
@@ -289,7 +305,7 @@ def _merge(group: pd.DataFrame, min_size: int, number: int) -> pd.DataFrame:
             "station_key": group["station_key"].iloc[0],
             "node": names,
             "comp": names[comp],
-            "cluster": pd.array([shift + c if c >= 0 else None for c in label], dtype="Int64"),
+            "cluster": [f"{name}{c}" if c >= 0 else None for c in label],
             "rows": [rows[c] for c in comp],
             "mass": [mass[c] for c in comp],
             "kids": [kids[c] for c in comp],
@@ -311,7 +327,7 @@ def _labels(points: DataFrame, steps: list[DataFrame]) -> DataFrame:
         return written(via.unionByName(alone), "labels")
 
     if not steps:
-        return points.select("station_key", "pid", F.lit(None).cast("bigint").alias("cluster")).limit(0)
+        return points.select("station_key", "pid", F.lit(None).cast("string").alias("cluster")).limit(0)
     labels = reduce(back, reversed(steps[:-1]), steps[-1].select(*key, "cluster"))
     named = labels.withColumnRenamed("node", "pid").filter("cluster IS NOT NULL")
     return points.select("station_key", "pid").join(named, ["station_key", "pid"])

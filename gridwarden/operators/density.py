@@ -11,16 +11,21 @@ are numbered by their smallest id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwarden.config import NOISE, Settings
 from gridwarden.operators.candidate_edges import candidate_edges
+from gridwarden.operators.components import components
 from gridwarden.operators.condense import ROUND_LIMIT, flat_clusters
 from gridwarden.operators.core_distance import core_distances
 from gridwarden.operators.quadtree import coordinate_key, distinct_points
 from gridwarden.session import broadcast_if_small, written
 
+EARTH_METRES = 6_371_000.0
+
 
 def cluster_hotspots(
     clean: DataFrame, settings: Settings, round_limit: int = ROUND_LIMIT
@@ -41,6 +46,27 @@ def cluster_hotspots(
     return joined.select("station_key", "id", namespace_cluster(label).alias("cluster_id"))
 
 
+def linkage_cut(clean: DataFrame, settings: Settings, metres: list[float]) -> DataFrame:
+    """(station_key, first_id, metres, label): the flat clusters of the single-linkage tree cut
+    at each height. Places of a station hang together if a chain of mutual reachability steps of
+    at most so many metres joins them; the label is the smallest id among them."""
+    cored = core_distances(distinct_points(clean, settings))
+    edges = candidate_edges(cored)
+    places = cored.select("station_key", "pid", "first_id")
+    out = []
+    for height in metres:
+        below = edges.where(F.col("weight") <= height / EARTH_METRES)
+        joined = places.join(components(below).withColumnRenamed("node", "pid"), "pid", "left")
+        joined = joined.withColumn("component", F.coalesce("component", "pid"))
+        labels = joined.groupBy("component").agg(F.min("first_id").alias("label"))
+        out.append(
+            joined.join(labels, "component").select(
+                "station_key", "first_id", F.lit(float(height)).alias("metres"), "label"
+            )
+        )
+    return reduce(DataFrame.unionByName, out)
+
+
 def small_station_rows(clean: DataFrame, settings: Settings) -> DataFrame:
     """Rows of stations with fewer rows than a cluster needs, all labelled noise."""
     sizes = clean.groupBy("station_key").agg(F.count("*").alias("_size"))

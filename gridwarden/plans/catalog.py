@@ -21,7 +21,7 @@ from gridwarden.operators import (
     temporal,
     validate,
 )
-from gridwarden.plans.literals import LITERALS
+from gridwarden.plans.literals import CUTS, LITERALS
 from gridwarden.plans.standin import grid_assignments
 from gridwarden.session import scratch_path, use_utc, written
 from gridwarden.sources import store
@@ -134,6 +134,9 @@ def mean_degrees(column: str):
     return F.round(F.col(column) + 1.3717e-7, 6).alias(column)
 
 
+JOIN_BUCKETS = 16  # of the small tables here; a tenth of a gigabyte a bucket is a good measure
+
+
 # --- scans, sources, sinks ---------------------------------------------------------------
 
 
@@ -289,6 +292,17 @@ def q_join_assignments(spark, d):
     return store.join_assignments(rows, hot).select("id", "station_key", "cluster_id")
 
 
+@query("join_colocated")
+def q_join_colocated(spark, d):
+    """The same join over tables in buckets of station and id."""
+    rows, assigned = stored_assignments(spark, d)
+    paths = [scratch_path(spark, name) for name in ("clean-buckets", "label-buckets")]
+    for table, path in zip((rows, temporal.hotspots(assigned)), paths):
+        store.write_bucketed(table, path, JOIN_BUCKETS)
+    stored = [store.read_bucketed(spark, path, JOIN_BUCKETS) for path in paths]
+    return store.join_bucketed(*stored).select("id", "station_key", "cluster_id")
+
+
 @query("load_rules")
 def q_load_rules(spark, d):
     """A rule file over the defaults, applied to the feed."""
@@ -987,6 +1001,15 @@ def q_gate(spark, d):
     return registry.promotion_gate(paired, S).select("candidate", "promoted", "reason")
 
 
+@query("block_fingerprint")
+def q_block_fingerprint(spark, d):
+    """Of every file of the events table, in blocks small enough that there are several."""
+    from gridwarden.sources.blocks import block_fingerprint
+
+    found = block_fingerprint(spark, f"{d}/events.parquet", block=4096, fan=8)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_bytes", "digest")
+
+
 @query("promotion_replay")
 def q_replay(spark, d):
     """Every run of the registry asks again, in the order of time."""
@@ -1041,6 +1064,14 @@ def q_core_distances(spark, d):
     )
 
 
+@query("linkage_cut")
+def q_linkage_cut(spark, d):
+    """The tree that the clusters are read from, cut at fixed heights."""
+    from gridwarden.operators.density import linkage_cut
+
+    return linkage_cut(written(clean(spark, d), "clean"), S, CUTS)
+
+
 @query("cluster_hotspots")
 def q_cluster(spark, d):
     return density_assignments(spark, d)

@@ -1,4 +1,6 @@
-"""Offence texts in every form of a flat literal, for the query and its SQL."""
+"""Values that a query and its SQL share."""
+
+CUTS = [33.371, 90.137, 260.713]  # metres, between the distances that occur
 
 # Offence texts as literals of two names, and by number what they must read as.
 LITERALS = [

@@ -6,7 +6,7 @@ from gridwarden.config import SEVERITY_RULES, VEHICLE_WEIGHTS, Settings
 from gridwarden.functions.text import NA_TOKENS
 from gridwarden.operators.forecast import FEATURES, MAX_BINS
 from gridwarden.operators.validate import REASONS, REQUIRED
-from gridwarden.plans.literals import LITERALS
+from gridwarden.plans.literals import CUTS, LITERALS
 from gridwarden.plans.tree_sql import first_tree, reached
 
 S = Settings()
@@ -352,6 +352,7 @@ ORACLE: dict[str, str] = {
     ),
     "write_assignments": upto("clusters", "SELECT station_key, id, cluster_id FROM clustered"),
     "join_assignments": upto("clusters", "SELECT id, station_key, cluster_id FROM clustered"),
+    "join_colocated": upto("clusters", "SELECT id, station_key, cluster_id FROM clustered"),
     "load_rules": upto(
         "clean",
         f"SELECT {severity({'FOOTPATH': 4.0, 'CROSSING': 9.5})} AS severity, count(*) AS n "
@@ -745,6 +746,38 @@ ORACLE: dict[str, str] = {
           FROM (SELECT *, count(*) OVER (PARTITION BY station_key) AS size FROM clean)
           WHERE size >= 10)""",
     ),
+    "linkage_cut": upto(
+        "clean",
+        """SELECT station_key, first_id, metres, label FROM labels""",
+        """places AS (
+          SELECT station_key, id, radians(round(latitude, 9)) AS la,
+            radians(round(longitude, 9)) AS lo, greatest(1, least(10, size - 1)) AS k
+          FROM (SELECT *, count(*) OVER (PARTITION BY station_key) AS size FROM clean)
+          WHERE size >= 10)""",
+        """ranked AS (
+          SELECT station_key, id, la, lo, k, angle, row_number() OVER (PARTITION BY station_key, id ORDER BY angle) AS nth
+          FROM (
+            SELECT a.station_key, a.id, a.la, a.lo, a.k,
+              2 * asin(sqrt(sin((a.la - b.la) / 2) ** 2
+                + cos(a.la) * cos(b.la) * sin((a.lo - b.lo) / 2) ** 2)) AS angle
+            FROM places a JOIN places b USING (station_key)))""",
+        """spots AS MATERIALIZED (
+          SELECT station_key, la, lo, min(id) AS first_id, min(angle) AS core FROM ranked
+          WHERE nth = k + 1 GROUP BY ALL)""",
+        f"""steps AS MATERIALIZED (
+          SELECT metres, a.station_key, a.first_id AS u, b.first_id AS v
+          FROM spots a JOIN spots b USING (station_key), (SELECT unnest({CUTS}::DOUBLE[]) AS metres)
+          WHERE a.first_id <> b.first_id AND greatest(a.core, b.core, 2 * asin(sqrt(sin((a.la - b.la) / 2) ** 2
+            + cos(a.la) * cos(b.la) * sin((a.lo - b.lo) / 2) ** 2))) <= metres / 6371000.0)""",
+        f"""labels(metres, station_key, first_id, label) USING KEY (metres, station_key, first_id) AS (
+          SELECT metres, station_key, first_id, first_id
+          FROM spots, (SELECT unnest({CUTS}::DOUBLE[]) AS metres)
+          UNION
+          SELECT s.metres, s.station_key, s.v, min(l.label)
+          FROM labels l JOIN steps s ON s.metres = l.metres AND s.station_key = l.station_key AND s.u = l.first_id
+            JOIN recurring.labels AS prev ON prev.metres = s.metres AND prev.station_key = s.station_key AND prev.first_id = s.v
+          WHERE l.label < prev.label GROUP BY ALL)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "cluster_recovery": upto(
         "clean",
         """SELECT station_key, place, count(*) AS n_rows, count(*) AS n_in_clusters,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +65,42 @@ def write_indexed(df: DataFrame, path: str, column: str, group_bytes: int = 1 <<
     )
 
 
+ID_KEY = "id_key"
+
+
+def write_bucketed(df: DataFrame, root: str, buckets: int) -> None:
+    """A table dealt to buckets by station and id, one sorted file a bucket, so that tables
+    written alike are joined on both without a shuffle. A station of any size is spread over all
+    buckets. `id_key` is the id, told apart from a missing one, which matches a missing one."""
+    key = F.when(F.col("id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("id")))
+    name = f"gridwarden_{uuid.uuid4().hex}"
+    (
+        df.withColumn(ID_KEY, key).repartition(buckets, PARTITION, ID_KEY).write
+        .bucketBy(buckets, PARTITION, ID_KEY).sortBy(PARTITION, ID_KEY)
+        .option("path", root).saveAsTable(name)
+    )
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay
+
+
+def read_bucketed(spark: SparkSession, root: str, buckets: int) -> DataFrame:
+    """The table again, with its buckets made known to this session's catalog."""
+    schema = spark.read.parquet(root).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    name = f"gridwarden_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({PARTITION}, {ID_KEY}) "
+        f"SORTED BY ({PARTITION}, {ID_KEY}) INTO {int(buckets)} BUCKETS LOCATION '{root}'"
+    )
+    return spark.table(name)
+
+
+def join_bucketed(clean: DataFrame, assignments: DataFrame) -> DataFrame:
+    """`join_assignments` for two tables of `read_bucketed` with as many buckets."""
+    right = assignments.select(PARTITION, ID_KEY, "cluster_id").hint("merge")
+    joined = clean.join(right, [PARTITION, ID_KEY], "left").select(*clean.columns, "cluster_id")
+    return joined.drop(ID_KEY).withColumn("cluster_id", F.coalesce("cluster_id", F.lit(NOISE)))
+
+
 def join_assignments(clean: DataFrame, assignments: DataFrame) -> DataFrame:
     """Left join on (station, id), null matching null; rows without a partner are noise.
 

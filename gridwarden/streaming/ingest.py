@@ -13,22 +13,14 @@ from pyspark.sql import functions as F
 from gridwarden.config import Settings
 from gridwarden.functions.text import na_to_null
 from gridwarden.operators import validate
+from gridwarden.session import written
 from gridwarden.sources.feed import EXTRA, csv_options, csv_schema
 from gridwarden.sources.store import with_station_key
+from gridwarden.streaming.seen import SeenIds
 
 BATCH = "batch_id"
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    try:
-        table = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(path)
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc):
-            return spark.createDataFrame([], schema)
-        raise
-    return table.filter(F.col(BATCH) < batch_id).drop(BATCH)
-
-
 def _drop_seen(lines: DataFrame, seen: DataFrame) -> DataFrame:
     """Adds `seen_before`: the id occurred in an earlier batch. Seen ids are distinct, and a
     frequent id in the new batch is split by adaptive execution."""
@@ -47,7 +39,8 @@ def process_batch(lines: DataFrame, batch_id: int, root: str, settings: Settings
     ordered.write.mode("overwrite").parquet(staged)
     raw = spark.read.parquet(staged)
 
-    seen = _earlier(spark, f"{root}/seen", batch_id, "id string")
+    ids = SeenIds(spark, f"{root}/seen")
+    seen = written(ids.earlier(raw, batch_id), "seen")
     marked = _drop_seen(validate.flag(raw, settings), seen)
     first = validate.keep_first(marked)
     valid = first.filter(F.col("keep_row") & ~F.col("seen_before")).drop("seen_before")
@@ -68,8 +61,7 @@ def process_batch(lines: DataFrame, batch_id: int, root: str, settings: Settings
         }
     ).drop("n_ok")
     report.write.mode("overwrite").parquet(f"{root}/reports/{BATCH}={batch_id}")
-    new_ids = marked.filter(~F.col("seen_before")).select("id").distinct()
-    new_ids.write.mode("overwrite").parquet(f"{root}/seen/{BATCH}={batch_id}")
+    ids.add(marked.filter(~F.col("seen_before")), batch_id)
 
 
 def ingest_available(

@@ -8,7 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwarden.config import NOISE, Settings
-from gridwarden.operators import density
+from gridwarden.operators import condense, density
+from gridwarden.operators.candidate_edges import candidate_edges
+from gridwarden.operators.components import components
+from gridwarden.operators.core_distance import core_distances
+from gridwarden.operators.quadtree import distinct_points
 from gridwarden.plans.catalog import clean
 from gridwarden.session import written
 from tests.brute_force import cluster
@@ -84,7 +88,7 @@ def table(spark):
     return rows, written(df, "fixture")
 
 
-@pytest.mark.parametrize("round_limit", [2_000_000, 300])
+@pytest.mark.parametrize("round_limit", [2_000_000, 300, 20])
 def test_equals_brute_force(table, round_limit):
     """The small limit forces tile thinning and many rounds of merging."""
     rows, df = table
@@ -97,6 +101,43 @@ def test_equals_brute_force(table, round_limit):
     assert len({v for v in got.values() if v != NOISE}) >= 6
 
 
+def test_no_part_of_a_round_is_large(table):
+    """Parts of a round hold at most the limit, but for edges of one weight, and come to an end."""
+    _, df = table
+    edges = written(candidate_edges(core_distances(distinct_points(df, S))), "edges")
+    now, later = condense._round(edges, 20)
+    sizes = now.groupBy("station_key", "part").agg(
+        F.count("*").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high")
+    )
+    assert sizes.filter("n > 20 AND low < high").isEmpty() and later is not None
+    assert sizes.filter("station_key = 'Blobs'").count() > 3
+    assert now.count() + later.count() == edges.count()
+    ends = now.select("station_key", "part", F.explode(F.array("u", "v")).alias("p")).distinct()
+    assert ends.groupBy("station_key", "p").count().filter("count > 1").isEmpty()
+
+
+@pytest.mark.parametrize("one_task", [0, 1_000])
+def test_components(spark, one_task):
+    draw = random.Random(4)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 460)]
+    pairs += [(7, 7), (1000 - 1, 999), (2000, 1500), (1500, 2000)]
+    parent = {n: n for p in pairs for n in p if p[0] != p[1]}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    got = {r.node: r.component for r in components(edges, one_task=one_task).collect()}
+    assert got == {n: root(n) for n in parent}
+    assert components(edges.limit(0), one_task=one_task).collect() == []
+
+
 def test_any_partitioning_gives_the_same_labels(spark, table):
     _, df = table
     before = {r["id"]: r["cluster_id"] for r in density.cluster_hotspots(df, S).collect()}

@@ -11,6 +11,7 @@ from gridwarden.plans.catalog import events_feed, grid_assignments
 from gridwarden.plans.training import IncompleteRunError, load_run, run_training
 from gridwarden.session import broadcast_if_small
 from gridwarden.sources import feed, store
+from gridwarden.sources.blocks import block_fingerprint
 from gridwarden.streaming import ingest
 
 FAST = Settings(n_trees=10, max_depth=4)
@@ -223,3 +224,62 @@ def test_a_lookup_reads_one_row_group(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan()
     scan = plan.collectLeaves().head()
     assert scan.metrics().apply("numOutputRows").value() <= max(fits)
+
+
+def tree_digest(data, block, fan):
+    level = [hashlib.sha256(data[i : i + block]).digest() for i in range(0, len(data), block)] or [hashlib.sha256(b"").digest()]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"".join(level[i : i + fan])).digest() for i in range(0, len(level), fan)]
+    return level[0].hex()
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from gridwarden import train
+
+    path, root = f"{tmp_path}/feed", f"{tmp_path}/artifacts"
+    events_feed(spark, sf_dir).select(*feed.REQUIRED).coalesce(1).write.option("header", "true").option("escape", '"').csv(path)
+    asked = ["--feed", f"{path}/*.csv", "--artifacts", root]
+    assert train.main(asked)["promotion_gate"]["promoted"]
+    (tmp_path / "rules.yaml").write_text("severity_mapping:\n  FOOTPATH: 4.0\n")
+    row = train.main([*asked, "--rules", f"{tmp_path}/rules.yaml", "--force-promote"])
+    assert "bypassed" in row["promotion_gate"]["reason"]
+    assert "no baseline" in capsys.readouterr().out
+    assert load_run(spark, root).metrics["run_id"] == row["run_id"]
+    with pytest.raises(SystemExit):
+        train.arguments(["--feed", "x"])
+
+
+def test_block_fingerprints(spark, tmp_path):
+    """Files of every kind of end, read whole and in many splits."""
+    draw = random.Random(9)
+    contents = {
+        "empty": b"", "one": b"x", "line": b"x\n", "lines": b"\n" * 70_000, "returns": b"a\r\nb\r" * 9_000, "exact": b"y" * 999 + b"\n",
+        "random": draw.randbytes(300_000), "random-end": draw.randbytes(200_000) + b"\n", "late": draw.randbytes(5_000) + b"z" * 90_000,
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    want = {n: (len(d), tree_digest(d, 1000, 8)) for n, d in contents.items()}
+    for split in ("128m", "10k", "777b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            rows = block_fingerprint(spark, str(tmp_path), block=1000, fan=8).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {r.path.rsplit("/")[-1]: (r.n_bytes, r.digest) for r in rows} == want
+    assert block_fingerprint(spark, f"{tmp_path}/none").first().digest == "unavailable"
+
+
+def test_bucketed_join_needs_no_exchange(spark, tmp_path):
+    draw = random.Random(2)
+    rows = [(f"S{draw.randrange(3)}", draw.choice([None, "", str(i)]) if i % 50 == 0 else str(i), i) for i in range(2_000)]
+    rows = list({(s, i): (s, i, n) for s, i, n in rows}.values())
+    labels = [(s, i, f"{s}::{n % 5}") for s, i, n in rows if n % 3]
+    clean = spark.createDataFrame(rows, "station_key string, id string, n int")
+    assigned = spark.createDataFrame(labels, "station_key string, id string, cluster_id string")
+    want = store.join_assignments(clean, assigned)
+    for name, table in (("clean", clean), ("labels", assigned)):
+        store.write_bucketed(table, f"{tmp_path}/{name}", 6)
+    got = store.join_bucketed(*(store.read_bucketed(spark, f"{tmp_path}/{n}", 6) for n in ("clean", "labels")))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
