@@ -8,7 +8,7 @@ and a constant. Features are hashed into a table of fixed size. The second facto
 smoothed share of a word within its class. Frequent words are spread over half of the classes,
 so most of these are nearly single words; all others go by their ending; the end of a text is a
 class of its own. A word that was not seen in training is one more word of the class of its
-ending, so probabilities add up to one.
+ending, and classes of frequent words that hold none have no share, so probabilities add up to one.
 
 Training: tasks take the weights, run stochastic gradient steps over the training tokens of
 their blocks, and the results are averaged by tokens; `ROUNDS` rounds go over disjoint parts of
@@ -21,7 +21,7 @@ sees a word once a block, however frequent it is. Words are told apart by 64-bit
 
 Defined results: null and empty texts consist of the end token; rows without an id are used for
 training; repeated rows count repeatedly; without training tokens all words are unknown and
-the model is uniform over its classes; an empty table gives an empty result.
+the model is uniform over the classes that can hold a word; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -191,6 +191,11 @@ def _log_shares(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     return total
 
 
+def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, sums: np.ndarray) -> None:
+    squares[rows] += (sums * sums).mean(axis=1)
+    weights[rows] -= RATE * sums / np.sqrt(squares[rows])[:, None]
+
+
 def _descend(weights: np.ndarray, squares: np.ndarray, block: Block) -> int:
     """Adagrad steps over the training tokens of a block; how many there were."""
     used = np.flatnonzero(~np.repeat(block.held, block.sizes))
@@ -199,12 +204,12 @@ def _descend(weights: np.ndarray, squares: np.ndarray, block: Block) -> int:
         features = block.features[:, at]
         slope = np.exp(_log_shares(weights, features))
         slope[np.arange(len(at)), block.classes[at]] -= 1
-        for feature in (*features, np.zeros(len(at), np.int64)):
+        for feature in features:
             order = np.argsort(feature, kind="stable")
-            rows, firsts = np.unique(feature[order], return_index=True)
-            sums = np.add.reduceat(slope[order], firsts, axis=0)
-            squares[rows] += (sums * sums).mean(axis=1)
-            weights[rows] -= RATE * sums / np.sqrt(squares[rows])[:, None]
+            ranked = feature[order]
+            firsts = np.flatnonzero(np.diff(ranked, prepend=-1))
+            _step(weights, squares, ranked[firsts], np.add.reduceat(slope[order], firsts, axis=0))
+        _step(weights, squares, np.zeros(1, np.int64), slope.sum(axis=0, keepdims=True))
     return len(used)
 
 
@@ -216,16 +221,16 @@ def _train_round(blocks: DataFrame, weights: np.ndarray, tokens: int) -> np.ndar
         for batch in batches:
             for row in range(batch.num_rows):
                 seen += _descend(mine, squares, Block(batch, row, tokens))
-        if seen:
-            for chunk, part in enumerate(np.array_split(mine, CHUNKS)):
-                yield _chunk(chunk, seen, part)  # 32-bit numbers: they are what is shuffled
+        if seen:  # changes as 16-bit numbers: they are what is shuffled, and many rows have none
+            for chunk, part in enumerate(np.array_split(mine - weights, CHUNKS)):
+                yield _chunk(chunk, seen, part.astype(np.float16))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
             for chunk, seen, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 before = sums.get(chunk, (0, 0.0))
-                mine = np.frombuffer(data, np.float32).astype(np.float64) * seen
+                mine = np.frombuffer(data, np.float16).astype(np.float64) * seen
                 sums[chunk] = before[0] + seen, before[1] + mine
         for chunk, (seen, total) in sums.items():
             yield _chunk(chunk, seen, (total / seen).astype(np.float32))
@@ -234,8 +239,8 @@ def _train_round(blocks: DataFrame, weights: np.ndarray, tokens: int) -> np.ndar
     parts = blocks.mapInArrow(run, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect()
     if not parts:
         return weights
-    averages = [np.frombuffer(p.data, np.float32) for p in sorted(parts, key=lambda p: p.chunk)]
-    return np.concatenate(averages).reshape(weights.shape)
+    changes = [np.frombuffer(p.data, np.float32) for p in sorted(parts, key=lambda p: p.chunk)]
+    return weights + np.concatenate(changes).reshape(weights.shape)
 
 
 def _chunk(chunk: int, seen: int, data: np.ndarray) -> pa.RecordBatch:
@@ -272,6 +277,31 @@ def _class_totals(blocks: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarra
     return totals, types
 
 
+def _class_sizes(totals: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """Smoothed sizes of the classes; those of endings have one more word, any unseen one."""
+    unseen = np.arange(CLASSES) >= COMMON
+    return totals + 0.5 * (types + unseen)
+
+
+def _first_weights(class_size: np.ndarray) -> np.ndarray:
+    """No knowledge of context; classes without a word, seen or not, have no share."""
+    weights = np.zeros((TABLE, CLASSES), dtype=np.float32)
+    weights[0, class_size == 0] = -1e4
+    return weights
+
+
+def _token_scores(block: Block, c: np.ndarray, weights: np.ndarray, class_size: np.ndarray) -> np.ndarray:
+    """log10 P of every token of a block, given those before it; c: its training count."""
+    with np.errstate(divide="ignore"):
+        inside = np.where(block.code < 0, 0.0, np.log10((c + 0.5) / class_size[block.classes]))
+    outer = np.empty(len(c))
+    for start in range(0, len(c), 4 * BATCH):
+        at = slice(start, start + 4 * BATCH)
+        shares = _log_shares(weights, block.features[:, at])
+        outer[at] = shares[np.arange(len(shares)), block.classes[at]]
+    return inside + outer / np.log(10)
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Train on the documents that are not held out and score all: doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score (both log10 of the probability of the text)."""
@@ -285,26 +315,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = _counted(raw)
     totals, types = _class_totals(blocks, tokens)
     distinct = int(types.sum()) + (ends > 0)
-    weights = np.zeros((TABLE, CLASSES), dtype=np.float32)
+    class_total = _class_sizes(totals, types)
+    weights = _first_weights(class_total)
     for nth in range(rounds):
         mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == nth)
         weights = _train_round(mine, weights, tokens)
 
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_total = tokens + 0.5 * (distinct + 1)
-        class_total = totals + 0.5 * (types + 1)
         for batch in batches:
             for row in range(batch.num_rows):
                 block = Block(batch, row, tokens)
-                is_end = block.code < 0
-                c = np.where(is_end, ends, block.c[block.code] if len(block.c) else 0)
+                c = np.where(block.code < 0, ends, block.c[block.code] if len(block.c) else 0)
                 base = np.log10((c + 0.5) / base_total)
-                inside = np.where(is_end, 0.0, np.log10((c + 0.5) / class_total[block.classes]))
-                outer = np.empty(len(c))
-                for start in range(0, len(c), 4 * BATCH):
-                    at = slice(start, start + 4 * BATCH)
-                    shares = _log_shares(weights, block.features[:, at])
-                    outer[at] = shares[np.arange(len(shares)), block.classes[at]]
+                own = _token_scores(block, c, weights, class_total)
                 starts = block.ends - block.sizes
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -312,7 +337,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
                         pa.array(np.full(len(starts), tokens, np.int64)),
                         pa.array(np.add.reduceat(base, starts)),
-                        pa.array(np.add.reduceat(inside + outer / np.log(10), starts)),
+                        pa.array(np.add.reduceat(own, starts)),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
