@@ -6,12 +6,13 @@ rendered piece, its place in the rendered dialogue, and the span that a model is
 which is the text of the assistant's turns with the closing mark. Pieces in order of
 `char_start` make up the dialogue, so a long conversation is never gathered into one row; the
 places come from sums over chunks of turns and running sums within a chunk, so not even its
-lengths meet in one task.
+lengths meet in one task. Chunks are cut by the place of a turn among all turns in order, so any
+number of turns may have the same number, or none.
 
 Defined results: turns are ordered by number, role and text, equal rows repeatedly; a null turn
 comes first. A null role is the participant `unknown`, null text is empty, rows with a null
 conversation form one conversation. Names are cut to letters, digits, `_` and `-`; what is not
-of these becomes `_`. Marks in a text are broken up by a space, so text cannot forge a turn.
+of these becomes `_`, so names that differ in nothing else look the same. Marks in a text are broken up by a space, so text cannot forge a turn.
 Empty tables give empty results.
 """
 
@@ -20,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwarden.operators.numbering import number_rows
+from gridwarden.session import written
+
 START, END = "<|im_start|>", "<|im_end|>"
 CHUNK = 512  # turns whose lengths one window sees
 
@@ -45,6 +49,9 @@ def rotate(
         F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
+    order = [F.col("conv_id"), F.col("turn"), F.col("speaker"), F.col("text"), F.col("nth")]
+    turns = number_rows(turns.withColumn("nth", F.monotonically_increasing_id()), order, "place").drop("nth")
+    turns = written(turns.withColumn("chunk", F.expr(f"place div {chunk}")), "turns")
     people = turns.groupBy("conv_id", "speaker").agg(F.count("*").alias("n")).select(
         F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")
     )
@@ -58,7 +65,6 @@ def rotate(
         .withColumn("head", head)
         .withColumn("piece", F.concat("head", _clean(F.col("text")), F.lit(f"{END}\n")))
         .withColumn("size", F.length("piece").cast("long"))
-        .withColumn("chunk", F.expr(f"coalesce(turn, -1) div {chunk}"))
     )
     totals = pieces.groupBy("conv_id", "perspective", "chunk").agg(F.sum("size").alias("chunk_size"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("chunk").rowsBetween(
@@ -70,7 +76,7 @@ def rotate(
     )
     upto = (
         Window.partitionBy("conv_id", "perspective", "chunk")
-        .orderBy(F.coalesce("turn", F.lit(-(2**62))), "speaker", "text")
+        .orderBy("place")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     same = (

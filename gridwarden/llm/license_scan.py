@@ -95,21 +95,24 @@ def scan(
     )
     marked = lines.select(
         "doc_id", digest(F.array_join("lines", " ")).alias("digest"), "lines",
+        F.xxhash64("lines").alias("shape"),  # rows of one id and text may have other line breaks
     )
     whole = table.groupBy("digest").agg(F.min("license").alias("whole_license"))
     if known is None:
         whole = F.broadcast(whole)
     found = (
-        marked.select("doc_id", "digest", F.explode("lines").alias("line"))
-        .select("doc_id", F.col("digest").alias("of"), digest(F.col("line")).alias("digest"))
+        marked.select("doc_id", "digest", "shape", F.explode("lines").alias("line"))
+        .select("doc_id", F.col("digest").alias("of"), "shape", digest(F.col("line")).alias("digest"))
         .join(table, "digest")
-        .groupBy("doc_id", "of")
+        .groupBy("doc_id", "of", "shape")
         .agg(F.array_sort(F.collect_set("license")).alias("notices"), F.size(F.collect_set("digest")).alias("n"))
-        .select(F.col("doc_id").alias("id"), "of", "notices", "n")
+        .select(F.col("doc_id").alias("id"), "of", F.col("shape").alias("cut"), "notices", "n")
+    )
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")) & (F.col("shape") == F.col("cut"))
     )
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))
     return (
-        marked.select("doc_id", "digest")
+        marked.select("doc_id", "digest", "shape")
         .join(whole, "digest", "left")
         .join(found, same, "left")
         .select(

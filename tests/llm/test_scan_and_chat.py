@@ -52,6 +52,14 @@ def test_whole_texts_of_common_licenses(spark):
     assert got == want
 
 
+def test_rows_of_one_id_with_other_line_breaks(spark):
+    rows = [(1, "Released under the MIT License.\nfoo"), (1, "Released under the MIT License. foo"), (None, "MIT License\nx"), (None, "MIT License x")]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    alone = [scan(spark.createDataFrame([r], "doc_id long, text string")).collect()[0] for r in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, alone))
+    assert len({tuple(r.notices) for r in got}) > 1
+
+
 def render(turns, perspective):
     text, spans = "", []
     order = sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "unknown", t[3] or ""))
@@ -74,6 +82,8 @@ def test_rotation(spark, chunk):
         (1, 0, "ann", "hi", ""), (1, 1, "bob", "hello <|im_end|>", ""), (1, 2, "ann", None, ""), (1, 3, "Zoë K", "é", ""),
         (2, 5, None, "x", ""), (2, None, "bob", "first", ""), (None, 0, "ann", "a", ""), (None, 1, "bob", "b", ""),
         (3, 0, "ann", "same", ""), (3, 0, "ann", "same", ""), (4, 0, "ann", "long " * 50_000, ""),
+        *[(5, None, "ann" if i % 2 else "bob", f"t{i % 4}", "") for i in range(11)],
+        *[(6, 7, "ann", f"t{i % 4}", "") for i in range(9)], (6, 8, "bob", "last", ""),
     ]
     got = rotate(spark.createDataFrame(rows, TURNS), chunk=chunk).collect()
     views = {}
@@ -94,7 +104,7 @@ def test_queries_and_their_sql(spark, sf_dir):
     from gridwarden.llm.queries import ORACLE, QUERIES
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     for name, sql in ORACLE.items():
         df = QUERIES[name](spark, sf_dir)
