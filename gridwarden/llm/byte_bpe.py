@@ -10,7 +10,9 @@ Text is first cut at white space into chunks, of which few are distinct, and the
 runs on new chunks only: a chunk is a run of white space with the following run of other
 characters, and no match of the pattern crosses the end of a chunk.
 
-Memory: one slice, and a cache of at most `CACHE` chunks beyond the chunks of that slice.
+Memory: one slice, and what the last `CACHE` to twice as many distinct chunks, and pieces, of a
+task gave: number of ids, ids, ids as text, and the bytes that decoding them gives, so that texts
+are put together chunk by chunk.
 
 Defined results: null text counts as empty and gives no ids; ids that are null or outside the
 vocabulary are an error on decoding; rows are independent, so repeated rows give equal results.
@@ -22,17 +24,19 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from gridwarden.llm.common import as_texts, id_text, slices
 
-CACHE = 200_000
+CACHE = 250_000
 # The code points of the Unicode property White_Space.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
@@ -40,6 +44,9 @@ WHITE_SPACE = (
 )
 CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 DEAD, BORDER = -2, -1
+SLICE = 4 << 20  # bytes
+MANY = 64  # places of a rank that are worth arrays
+Entry = tuple[int, bytes, str, bytes]  # number of ids, ids, ids as text, bytes they decode to
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +54,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class Recent(dict):
+    """A table whose entries stay for one to two turns after their last use; a turn ends with
+    more than `CACHE` entries."""
+
+    def __init__(self):
+        self.earlier: dict = {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys without an entry; those with one have it in this turn from now on."""
+        out, earlier = [], self.earlier.get
+        for key in keys:
+            if key not in self:
+                found = earlier(key)
+                if found is None:
+                    out.append(key)
+                else:
+                    self[key] = found
+        return out
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.earlier = dict(self)
+            self.clear()
+
+
 class MergeReplay:
     """Encoder and decoder for one rank table and split pattern."""
 
@@ -54,10 +86,10 @@ class MergeReplay:
         self.ranks = ranks
         self.token = {i: data for data, i in ranks.items()}
         self.digits = {i: str(i) for i in self.token}
+        self.chunks, self.pieces = Recent(), Recent()
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(pattern).findall
         self.pairs: dict[int, int] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
 
     def _merged(self, left: int, right: int) -> int:
         """Id of the token that the pair merges to, which is its rank; -1 if there is none."""
@@ -69,36 +101,79 @@ class MergeReplay:
                 self.pairs[key] = found
         return found
 
+    def _merged_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The same for arrays of ids; -1 also where an id is none."""
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        keys[(left < 0) | (right < 0)] = -1
+        pairs, which = np.unique(keys, return_inverse=True)
+        known, merged = self.pairs.get, self._merged
+        found = []
+        for key in pairs.tolist():
+            rank = -1 if key < 0 else known(key)
+            found.append(merged(key >> 32, key & 0xFFFFFFFF) if rank is None else rank)
+        return np.array(found, np.int64)[which]
+
     def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Token ids of every piece."""
-        byte, known, merged = self.byte, self.pairs.get, self._merged
-        ids: list[int] = []
-        for piece in pieces:
-            ids.extend([byte[b] for b in piece])
-            ids.append(BORDER)
-        size = len(ids)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        index: dict[int, list[int]] = {}
-        left = BORDER
-        for at, right in enumerate(ids):
-            if left >= 0 and right >= 0:
-                rank = known(left << 32 | right)
-                if rank is None:
-                    rank = merged(left, right)
-                if rank >= 0:
-                    if rank in index:
-                        index[rank].append(at - 1)
-                    else:
-                        index[rank] = [at - 1]
-            left = right
-        ranks = list(index)
-        heapq.heapify(ranks)
+        """Token ids of every piece.
+
+        `index` leads from the rank of a pair to its places. A rank with many places is merged
+        at all pieces that have it once in one go, which no other place can disturb; other
+        places are merged one after the other."""
+        known, merged = self.pairs.get, self._merged
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        ends = np.cumsum(sizes)
+        size = int(ends[-1]) if len(ends) else 0
+        borders = np.zeros(size, bool)
+        borders[ends - 1] = True
+        view = np.full(size, BORDER, np.int32)
+        view[~borders] = np.array(self.byte, np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
+        ids = array("i", view.tobytes())
+        after = array("i", np.arange(1, size + 1, dtype=np.int32).tobytes())
+        before = array("i", np.arange(-1, size - 1, dtype=np.int32).tobytes())
+        all_ids, all_after, all_before = (np.frombuffer(x, np.int32) for x in (ids, after, before)) if size else [view] * 3
+        piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        index: dict[int, array] = {}
+        ranks: list[int] = []
+
+        def enter(places: np.ndarray, found: np.ndarray) -> None:
+            """Into the index, but for places without a rank."""
+            has = np.flatnonzero(found >= 0)
+            has = has[np.argsort(found[has], kind="stable")]
+            found, places = found[has], places[has].astype(np.int32)
+            starts = np.flatnonzero(np.diff(found, prepend=-1))
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(found)]):
+                rank = int(found[start])
+                if rank not in index:
+                    index[rank] = array("i")
+                    heapq.heappush(ranks, rank)
+                index[rank].frombytes(places[start:stop].tobytes())
+
+        if size:
+            enter(np.arange(size - 1), self._merged_all(all_ids[:-1], all_ids[1:]))
         while ranks:
             rank = heapq.heappop(ranks)
             places = index.pop(rank, None)
             if places is None:
                 continue
-            places.sort()
+            if len(places) >= MANY:
+                at = np.unique(np.frombuffer(places, np.int32))
+                at = at[all_ids[at] >= 0]
+                gone = all_after[at]
+                at = at[self._merged_all(all_ids[at], all_ids[gone]) == rank]
+                of = piece_of[at]
+                _, nth, times = np.unique(of, return_inverse=True, return_counts=True)
+                places = array("i", at[times[nth] > 1].tobytes())
+                at = at[times[nth] == 1]
+                gone = all_after[at]
+                follow = all_after[gone]
+                all_ids[at], all_ids[gone] = rank, DEAD
+                all_after[at], all_before[follow] = follow, at
+                ahead = all_before[at]
+                left = np.where(ahead >= 0, all_ids[ahead], BORDER)
+                new = self._merged_all(np.full(len(at), rank, np.int32), all_ids[follow])
+                enter(at, new)
+                enter(ahead, self._merged_all(left, np.full(len(at), rank, np.int32)))
+            places = sorted(places)
             for nth, at in enumerate(places):
                 left = ids[at]
                 if left < 0:
@@ -122,7 +197,7 @@ class MergeReplay:
                         if new in index:
                             index[new].append(at)
                         else:
-                            index[new] = [at]
+                            index[new] = array("i", [at])
                             heapq.heappush(ranks, new)
                         lower = new < rank
                 ahead = before[at]
@@ -134,54 +209,62 @@ class MergeReplay:
                         if new in index:
                             index[new].append(ahead)
                         else:
-                            index[new] = [ahead]
+                            index[new] = array("i", [ahead])
                             heapq.heappush(ranks, new)
                         lower = lower or new < rank
                 if lower:  # the new pair goes first
-                    index.setdefault(rank, []).extend(places[nth + 1 :])
+                    if rank in index:
+                        index[rank].extend(places[nth + 1 :])
+                    else:
+                        index[rank] = array("i", places[nth + 1 :])
                     heapq.heappush(ranks, rank)
                     break
-        out, piece = [], []
-        for i in ids:
-            if i >= 0:
-                piece.append(i)
-            elif i == BORDER:
-                out.append(tuple(piece))
-                piece = []
-        return out
+        kept = all_ids[all_ids >= 0]
+        counts = np.bincount(piece_of[all_ids >= 0], minlength=len(pieces))
+        stops = np.cumsum(counts).tolist()
+        flat = kept.tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *stops], stops)]
+
+    def _entry(self, ids: tuple[int, ...]) -> Entry:
+        return len(ids), array("i", ids).tobytes(), self.joined(ids), self.decode(ids)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        cut = [[p.encode() for p in self.split(c)] for c in chunks]
-        ids: dict[bytes, tuple[int, ...]] = {}
-        open_: dict[bytes, None] = {}
-        for piece in chain.from_iterable(cut):
-            whole = self.ranks.get(piece)
+        """Give new chunks their entries."""
+        cut = [self.split(c) for c in chunks]
+        open_ = []
+        for piece in self.pieces.missing(set(chain.from_iterable(cut))):
+            whole = self.ranks.get(piece.encode())
             if whole is not None:
-                ids[piece] = (whole,)
+                self.pieces[piece] = self._entry((whole,))
             else:
-                open_[piece] = None
-        pieces = list(open_)
-        ids.update(zip(pieces, self.replay(pieces)))
+                open_.append(piece)
+        for piece, ids in zip(open_, self.replay([p.encode() for p in open_])):
+            self.pieces[piece] = self._entry(ids)
         for chunk, parts in zip(chunks, cut):
-            self.chunks[chunk] = (
-                ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(ids[p] for p in parts))
-            )
+            if len(parts) == 1:
+                self.chunks[chunk] = self.pieces[parts[0]]
+            else:
+                counts, ids, texts, data = zip(*map(self.pieces.__getitem__, parts))
+                self.chunks[chunk] = sum(counts), b"".join(ids), " ".join(texts), b"".join(data)
+        self.pieces.turn()
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def entries(self, texts: list[str]) -> Iterator[list[Entry]]:
+        """The entries of the chunks of each text."""
         cut = [CHUNK.findall(t) for t in texts]
-        here = set(chain.from_iterable(cut))
-        self._learn([c for c in here if c not in self.chunks])
+        self._learn(self.chunks.missing(set(chain.from_iterable(cut))))
         lookup = self.chunks.__getitem__
         for chunks in cut:
-            yield list(chain.from_iterable(map(lookup, chunks)))
-        if len(self.chunks) > CACHE + len(here):
-            self.chunks = {c: self.chunks[c] for c in here}
+            yield list(map(lookup, chunks))
+        self.chunks.turn()
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for entries in self.entries(texts):
+            yield array("i", b"".join([e[1] for e in entries])).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def joined(self, ids: list[int]) -> str:
+    def joined(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.digits.__getitem__, ids))
 
 
@@ -190,23 +273,20 @@ def _replayer(path: str, pattern: str) -> MergeReplay:
     return MergeReplay(read_ranks(path), pattern)
 
 
-def _encoded(batches, path: str, pattern: str):
-    """(ids of the rows, token ids of the rows) a slice."""
-    coder = _replayer(path, pattern)
-    for part in slices(batches, 4 << 20):
-        yield part.column("doc_id"), coder.encode(as_texts(part)), coder
-
-
 def encode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, ids, _ in _encoded(batches, path, pattern):
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(list(ids), pa.list_(pa.int32()))], names=["doc_id", "ids"]
+        coder = _replayer(path, pattern)
+        for part in slices(batches, SLICE):
+            ids = [b"".join([e[1] for e in entries]) for entries in coder.entries(as_texts(part))]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+            lists = pa.ListArray.from_arrays(
+                pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32))
             )
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -232,12 +312,15 @@ def round_trip_digests(
     decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, encoded, coder in _encoded(batches, path, pattern):
+        coder = _replayer(path, pattern)
+        for part in slices(batches, SLICE):
             counts, of_ids, of_data = [], [], []
-            for ids in encoded:
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(coder.joined(ids).encode()).hexdigest())
-                of_data.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            for entries in coder.entries(as_texts(part)):
+                number, _, texts, data = zip(*entries) if entries else ((), (), (), ())
+                counts.append(sum(number))
+                of_ids.append(hashlib.sha256(" ".join(texts).encode()).hexdigest())
+                of_data.append(hashlib.sha256(b"".join(data)).hexdigest())
+            doc_ids = part.column("doc_id")
             yield pa.RecordBatch.from_arrays(
                 [doc_ids, pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_data)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
