@@ -1,8 +1,8 @@
 """Digests of files of any size: fixed byte ranges hashed in parallel, then a tree of digests.
 
 The block digest of a file is the root of a tree: its blocks of `BLOCK` bytes are hashed with
-SHA-256, the digests of each `FAN` neighbours are joined and hashed, and so on until one is left;
-an empty file has the digest of no bytes. It depends on the bytes alone, and is not the SHA-256 of
+SHA-256, the digests of each `FAN` neighbours are joined and hashed, and so on until one is left.
+Empty files, which Spark does not list, have no row. The digest depends on the bytes alone, and is not the SHA-256 of
 the file; `registry.file_fingerprint` gives that for files that fit into one task.
 
 Bytes are read by Spark's text reader as lines, whose own bytes it leaves alone, so any store will
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -115,12 +116,18 @@ def block_fingerprint(spark: SparkSession, path: str, block: int = BLOCK, fan: i
     joined = F.aggregate("parts", F.lit(b""), lambda out, p: F.concat(out, p["data"]))
     shared = shared.select("path", "block", F.unhex(F.sha2(joined, 256)).alias("digest"))
     level = written(pieces.where("digest IS NOT NULL").select("path", "block", "digest").unionByName(shared), "digests")
-    while not level.where("block > 0").isEmpty():
+    roots = []
+    while True:
+        tops = level.groupBy("path").agg(F.max("block").alias("top"))
+        level = written(level.join(tops, "path"), "digests")
+        roots.append(level.where("top = 0").select("path", "digest"))
+        level = level.where("top > 0")
+        if level.isEmpty():
+            break
         some = F.sort_array(F.collect_list(F.struct("block", "digest")))
         level = level.groupBy("path", F.floor(F.col("block") / fan).alias("above")).agg(some.alias("parts"))
         joined = F.aggregate("parts", F.lit(b""), lambda out, p: F.concat(out, p["digest"]))
-        level = written(level.select("path", F.col("above").alias("block"), F.unhex(F.sha2(joined, 256)).alias("digest")), "digests")
+        level = level.select("path", F.col("above").alias("block"), F.unhex(F.sha2(joined, 256)).alias("digest"))
+    level = reduce(DataFrame.unionByName, roots)
     named = level.select(F.col("path").alias("of"), F.lower(F.hex("digest")).alias("digest"))
-    return files.join(named, files.path == F.col("of"), "left").select(
-        "path", "n_bytes", F.coalesce("digest", F.lit(hashlib.sha256(b"").hexdigest())).alias("digest")
-    )
+    return files.join(named, files.path == F.col("of")).select("path", "n_bytes", "digest")
