@@ -3,16 +3,17 @@
 A task turns its documents into blocks of at most about `BLOCK` tokens, one row each: the tokens
 as numbers of the block's own dictionary, and that dictionary with counts. Summed over all blocks
 it gives the words; the frequent ones get ids by language and falling frequency, which go back to
-the blocks through their dictionaries, so no task needs the whole vocabulary. Adjacent ids of a
-block are pairs. A pair's place is the tile of its two ranks and its address there: tiles that
+the blocks through their dictionaries. Adjacent ids of a block are pairs. A pair's place is the tile of its two ranks and its address there: tiles that
 hold many pairs, those of the first ranks of each language, are counted by one dense bincount
 over their addresses, the others as sorted coordinates. Sums over all blocks give the frequent
 pairs, which are ranked again and replace the ids: two adjacent pairs that overlap in a word are
 a phrase of three, two of those a phrase of four, by the same step. A phrase can only be frequent
 if both are, so nothing is lost; ids without an adjacent id are dropped from the blocks.
 
-What meets in one task: a block, or the sums of keys dealt by their hash. Frequent pairs are
-joined to the blocks' pairs by a broadcast if they are counted small, else by a shuffle.
+A block ends between pieces, so that no pair is cut; a huge text is dealt to several, but for a
+single piece of any length. What meets in one task: a block, or the sums of keys dealt by their
+hash. The ids of frequent words or pairs go to the blocks by a broadcast if they are counted small,
+else by a join through the blocks' dictionaries and pairs, so that no task needs all of them.
 
 Defined results: null text counts as empty, null language as `und`. Repeated rows count as often
 as they occur. An empty table gives an empty result. Ids must be below 2**31 at every level.
@@ -27,20 +28,20 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwarden.llm.common import as_bytes, slices
 from gridwarden.operators.numbering import number_rows
-from gridwarden.session import broadcast_if_small, written
+from gridwarden.session import written
 
-BLOCK = 4_000_000  # tokens
+BLOCK = 500_000  # tokens
 PART = 4 << 20  # bytes of text that are tokenized at a time
 TILE_BITS = 9  # a tile has 512 x 512 addresses
-DENSE_TILES = 32  # tiles counted densely at a time: 64 MB of counters
+DENSE_TILES = 8  # tiles counted densely at a time: 16 MB of counters
 DENSE_SHARE = 16  # a tile is dense if it has a pair for every so many addresses
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20  # of the frequent words or pairs of one level
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -50,15 +51,17 @@ BLOCK_SCHEMA = "block long, ids binary, langs array<string>, words array<string>
 LEVEL_SCHEMA = "block long, ids binary, keys array<long>, counts array<long>"
 
 
-def _parts(data: bytes) -> Iterator[bytes]:
-    """Cut between words."""
+def _parts(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """Cut between words, if possible between pieces, and whether it is so."""
     start = 0
     while start < len(data):
         stop = start + PART
-        ends = [e for e in (data.find(b" ", stop), data.find(b".", stop)) if e >= 0]
-        stop = min(ends, default=len(data)) if stop < len(data) else len(data)
-        yield data[start:stop]
-        start = stop
+        end = data.find(b".", stop, stop + PART)
+        if end < 0:
+            ends = [e for e in (data.find(b" ", stop), data.find(b".", stop)) if e >= 0]
+            end = min(ends, default=len(data)) if stop < len(data) else len(data)
+        yield data[start:end], end == len(data) or data[end : end + 1] == b"."
+        start = end
 
 
 class _Block:
@@ -66,14 +69,12 @@ class _Block:
         self.ids, self.size, self.number = [], 0, count()
         self.words: dict[str, defaultdict[bytes, int]] = {}
 
-    def add(self, lang: str, texts: list[bytes]) -> None:
+    def add(self, lang: str, part: bytes) -> None:
         if lang not in self.words:
             self.words[lang] = defaultdict(self.number.__next__, {b".": -1})
-        lookup = self.words[lang].__getitem__
-        for part in _parts(b".".join([*texts, b""]).translate(TABLE)):
-            tokens = part.replace(b".", b" . ").split()
-            self.ids.append(np.fromiter(map(lookup, tokens), np.int32, len(tokens)))
-            self.size += len(tokens)
+        tokens = part.replace(b".", b" . ").split()
+        self.ids.append(np.fromiter(map(self.words[lang].__getitem__, tokens), np.int32, len(tokens)))
+        self.size += len(tokens)
 
     def row(self, number: int) -> pa.RecordBatch:
         ids = np.concatenate(self.ids) if self.ids else np.empty(0, np.int32)
@@ -101,10 +102,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(langs, as_bytes(batch)):
             by_lang[lang].append(text)
         for lang, texts in by_lang.items():
-            block.add(lang, texts)
-            if block.size >= BLOCK:
-                yield block.row(next(number))
-                block = _Block()
+            for part, between in _parts(b".".join([b"", *texts, b""]).translate(TABLE)):
+                block.add(lang, part)
+                if between and block.size >= BLOCK:
+                    yield block.row(next(number))
+                    block = _Block()
     if block.size:
         yield block.row(next(number))
 
@@ -159,6 +161,23 @@ def next_ids(ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarra
     return np.where(keys[at] == found, values[at], -1)
 
 
+def _level_row(number: int, ids: np.ndarray) -> pa.RecordBatch:
+    ids = with_partners(ids)
+    keys, counts = pair_counts(ids)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([ids.astype(np.int32).tobytes()], pa.binary()),
+         pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
+        names=["block", "ids", "keys", "counts"],
+    )
+
+
+def _renumbered(ids: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Numbers of the block's dictionary as ids; -1 for those without."""
+    table = np.full(max(ids.max(initial=-1), old.max(initial=-1)) + 2, -1)
+    table[old] = new
+    return table[ids]
+
+
 def _recode(words: bool) -> Callable:
     """Blocks with new ids; `found` maps a block's dictionary numbers, or pairs, to them."""
 
@@ -169,23 +188,49 @@ def _recode(words: bool) -> Callable:
                 ids = np.frombuffer(data.as_py(), np.int32)
                 pairs = found.values if found.is_valid else pa.array([], batch.column(2).type.value_type)
                 old, new = (pairs.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                if words:
-                    table = np.full(max(ids.max(initial=-1), old.max(initial=-1)) + 2, -1)
-                    table[old] = new
-                    ids = table[ids]
-                else:
-                    ids = next_ids(ids, old, new)
-                ids = with_partners(ids)
-                keys, counts = pair_counts(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number.as_py()], pa.int64()), pa.array([ids.astype(np.int32).tobytes()], pa.binary()),
-                     pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
-                    names=["block", "ids", "keys", "counts"],
-                )
+                yield _level_row(number.as_py(), _renumbered(ids, old, new) if words else next_ids(ids, old, new))
 
     return recode
 
 
+def _names(langs: pa.Array, words: pa.Array) -> pa.Array:
+    """Words have no blanks, so the last one parts the two."""
+    return pc.binary_join_element_wise(langs, words, " ")
+
+
+def _recode_words(known: Broadcast) -> Callable:
+    """known: the names of words, and their ids with -1 at the end."""
+
+    def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values = known.value
+        for batch in batches:
+            for nth in range(batch.num_rows):
+                number, data, langs, words = (batch.column(i)[nth] for i in range(4))
+                at = pc.fill_null(pc.index_in(_names(langs.values, words.values), value_set=names), -1).to_numpy()
+                ids = np.frombuffer(data.as_py(), np.int32)
+                yield _level_row(number.as_py(), _renumbered(ids, np.arange(len(at)), values[at]))
+
+    return recode
+
+
+def _recode_pairs(pairs: Broadcast) -> Callable:
+    def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nth in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(1)[nth].as_py(), np.int32)
+                yield _level_row(batch.column(0)[nth].as_py(), next_ids(ids, *pairs.value))
+
+    return recode
+
+
+def _if_small(known: DataFrame) -> pa.Table | None:
+    """A table of at most `BROADCAST_ROWS` rows and `BROADCAST_BYTES`, or None."""
+    if known.count() > BROADCAST_ROWS:
+        return None
+    table = known.toArrow()
+    return table if table.nbytes <= BROADCAST_BYTES else None
+
+
 def _next_blocks(blocks: DataFrame, found: DataFrame, words: bool, name: str) -> DataFrame:
     """found: block, old, id; one row a frequent entry of a block, so at most its tokens."""
     gathered = found.groupBy("block").agg(F.collect_list(F.struct("old", "id")).alias("found"))
@@ -193,6 +238,31 @@ def _next_blocks(blocks: DataFrame, found: DataFrame, words: bool, name: str) ->
     return written(joined.mapInArrow(_recode(words), LEVEL_SCHEMA), name)
 
 
+def _first_level(blocks: DataFrame, entries: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Blocks in ids of words. known: lang, word, id."""
+    small = _if_small(known)
+    if small is None:
+        found = entries.join(known, ["lang", "word"]).select("block", "old", "id")
+        return _next_blocks(blocks, found, True, name)
+    names = _names(*(small.column(c).combine_chunks().cast(pa.string()) for c in ("lang", "word")))
+    values = np.append(small.column("id").to_numpy(), -1)
+    names = blocks.sparkSession.sparkContext.broadcast((names, values))
+    rows = blocks.select("block", "ids", "langs", "words")
+    return written(rows.mapInArrow(_recode_words(names), LEVEL_SCHEMA), name)
+
+
+def _next_level(blocks: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Blocks in ids of the pairs of their ids. known: old (the key of the pair), id."""
+    small = _if_small(known)
+    if small is None:
+        pairs = blocks.select("block", F.explode("keys").alias("old"))
+        return _next_blocks(blocks, pairs.join(known, "old").select("block", "old", "id"), False, name)
+    pairs = small.sort_by("old")
+    arrays = tuple(pairs.column(c).to_numpy() for c in ("old", "id"))
+    rows = blocks.select("block", "ids")
+    return written(rows.mapInArrow(_recode_pairs(blocks.sparkSession.sparkContext.broadcast(arrays)), LEVEL_SCHEMA), name)
+
+
 def _checked(units: DataFrame) -> DataFrame:
     if (units.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
         raise ValueError("more frequent phrases of one length than ids")
@@ -249,8 +319,7 @@ def collocations(
     )
     units = _checked(written(units, "phrase-level-1"))
     known = units.select("lang", F.element_at("words", 1).alias("word"), "id")
-    found = entries.join(broadcast_if_small(known, BROADCAST_ROWS), ["lang", "word"]).select("block", "old", "id")
-    level, done = _next_blocks(blocks, found, True, "phrase-blocks-1"), None
+    level, done = _first_level(blocks, entries, known, "phrase-blocks-1"), None
     for size in range(2, longest + 1):
         longer = _next_units(level, units, least, f"phrase-level-{size}")
         if size > 2:
@@ -261,10 +330,7 @@ def collocations(
             )
             done = _scored(kept) if done is None else done.unionByName(_scored(kept))
         if size < longest:
-            pairs = level.select("block", F.explode("keys").alias("old"))
-            known = longer.select(F.col("key").alias("old"), "id")
-            found = pairs.join(broadcast_if_small(known, BROADCAST_ROWS), "old").select("block", "old", "id")
-            level = _next_blocks(level, found, False, f"phrase-blocks-{size}")
+            level = _next_level(level, longer.select(F.col("key").alias("old"), "id"), f"phrase-blocks-{size}")
         units = longer
     done = _scored(units) if done is None else done.unionByName(_scored(units))
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))

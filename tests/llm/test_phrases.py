@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 
 from gridwarden.llm import phrases, queries
 
@@ -71,6 +74,30 @@ def test_small_blocks_and_shuffled_joins(spark, monkeypatch):
     assert got(spark, rows, least=5) == whole
 
 
+def blocks_of(rows):
+    batch = pa.RecordBatch.from_pylist([{"lang": lang, "text": text} for text, lang in rows])
+    return [r for b in phrases._blocks(iter([batch])) for r in b.to_pylist()]
+
+
+def test_pairs_do_not_depend_on_blocks(monkeypatch):
+    monkeypatch.setattr(phrases, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rows = corpus(3, 60)
+
+    def pairs(blocks):
+        found = Counter()
+        for b in blocks:
+            names = list(zip(b["langs"], b["words"]))
+            ids = np.frombuffer(b["ids"], np.int32)
+            found.update((names[x], names[y]) for x, y in zip(ids, ids[1:]) if x >= 0 and y >= 0)
+        return found
+
+    whole = blocks_of(rows)
+    monkeypatch.setattr(phrases, "BLOCK", 50)
+    monkeypatch.setattr(phrases, "PART", 300)
+    many = blocks_of(rows)
+    assert len(whole) == 1 and len(many) > 10 and pairs(whole) == pairs(many)
+
+
 def test_repeated_rows_and_no_rows(spark):
     rows = [("tick tock tick tock", "xx")] * 15
     assert got(spark, rows) == want(rows) != []
@@ -86,11 +113,19 @@ def test_pair_counts():
         assert dict(zip(keys.tolist(), counts.tolist())) == pairs and len(keys) == len(pairs)
 
 
+def cuts(data):
+    done = b""
+    for part, between in phrases._parts(data):
+        done += part
+        yield done, between
+
+
 def test_blocks_are_cut_between_words(monkeypatch):
     data = b"some words. and more words " * 50
     monkeypatch.setattr(phrases, "PART", 7)
-    parts = list(phrases._parts(data))
+    parts = [p for p, _ in phrases._parts(data)]
     assert b"".join(parts) == data and len(parts) > 20
+    assert all(b == (data[len(a) :][:1] in (b".", b"")) for a, b in cuts(data))
     assert [w for p in parts for w in p.replace(b".", b" . ").split()] == data.replace(b".", b" . ").split()
 
 
