@@ -11,6 +11,12 @@ p, q of it and its lightest edge p*, q*: p and p* hang together by links no heav
 so do q and q*; by induction over smaller cells the chosen edges join p and q at the weight of
 (p, q). Two tiles that are not apart give the cross edges of their joint spanning tree.
 
+Most pairs that are apart hold no edge of a spanning tree: the edges of touching tiles, found
+first, already join their cells at less than the pair's least possible weight. `_unjoined` drops
+these. For p, q of such a pair and the points r, s of least core distance of its cells: p and r
+hang together by links no heavier than (p, q) inside a smaller cell, so do q and s, and r and s by
+lighter ones; by induction over weights, and over cells at equal weight, nothing is lost.
+
 Every pair of points falls into exactly one pair of cells, and the number of pairs grows with
 the number of tiles, not with its square. No task sees more than a tile and a bounded share of
 the tiles it is paired with.
@@ -18,18 +24,26 @@ the tiles it is paired with.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.operators import quadtree as qt
+from gridwarden.operators.components import ONE_TASK, components, least_labels
 from gridwarden.operators.core_distance import CANDIDATES, SMALL, angles
-from gridwarden.session import spread, written
+from gridwarden.session import broadcast_if_small, spread, written
 
 PAIR = ["rax", "ray", "rbx", "rby"]
 EDGE = "station_key string, u bigint, v bigint, weight double"
 POINT = ["pid", "lat", "lon", "c", "core"]
+HEIGHTS = 32  # weights at which joined tiles are looked up
+ROUNDING = 1e-14  # of weights
+SMALL_TABLE = 200_000  # tiles whose labels may be broadcast
 
 
 def candidate_edges(points: DataFrame) -> DataFrame:
@@ -37,10 +51,11 @@ def candidate_edges(points: DataFrame) -> DataFrame:
     inner = written(
         spread(points, *qt.CELL)
         .groupBy(*qt.CELL)
-        .applyInPandas(_tile_tree, f"{EDGE}, kx bigint, ky bigint"),
+        .applyInArrow(_tile_tree, f"{EDGE}, kx bigint, ky bigint"),
         "tile-trees",
     )
-    kids = written(_cells_with_width(points, inner), "children")
+    tile = F.min("pid").over(qt.window_of("kx", "ky"))
+    kids = written(_cells_with_width(points.withColumn("tile", tile), inner), "children")
     pairs = _siblings(kids)
     apart: list[DataFrame] = []
     near: list[DataFrame] = []
@@ -53,11 +68,15 @@ def candidate_edges(points: DataFrame) -> DataFrame:
         if rest.isEmpty():
             break
         pairs = qt.open_side(qt.open_side(rest, "a", kids, "done"), "b", kids, "done")
-    tile_pairs = _keys(_rooted(_union(near)), True).unionByName(
-        _keys(_closest_tiles(_union(apart), kids), False)
-    )
-    cross = _compare(written(tile_pairs, "tile-pairs"), points)
-    return written(inner.select("station_key", "u", "v", "weight").unionByName(cross), "edges")
+    cross = _compare(written(_keys(_rooted(_union(near)), True), "tile-pairs"), points)
+    tiles = _tiles(points, inner)
+    joints = _tile_edges(cross, tiles)
+    far = written(_unjoined(_union(apart), joints), "far")
+    # the pairs that are left join cells as well, at no more than their largest possible weight
+    far = _unjoined(far, written(joints.unionByName(_routes(far, tiles)), "routes"))
+    closest = _compare(written(_keys(_closest_tiles(far, kids), False), "tile-pairs"), points)
+    edge = ["station_key", "u", "v", "weight"]
+    return written(_union([x.select(*edge) for x in (inner, cross, closest)]), "edges")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -68,8 +87,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def _cells_with_width(points: DataFrame, inner: DataFrame) -> DataFrame:
-    """Cells as children of their parents, with least core, width, and the tile flag."""
-    table = qt.cells(points.drop("kx", "ky"), [F.min("core").alias("core")])
+    """Cells as children of their parents, with least core and its tile, width, and the tile flag."""
+    least = [F.min("core").alias("core"), F.min_by("tile", "core").alias("tile")]
+    table = qt.cells(points.drop("kx", "ky"), least)
     links = inner.groupBy(*qt.CELL).agg(F.max("weight").alias("link"))
     boxed = table.join(links, qt.CELL, "left").withColumn(
         "box", F.struct("la0", "la1", "lo0", "lo1", "c0", "c1")
@@ -100,10 +120,95 @@ def _siblings(kids: DataFrame) -> DataFrame:
     return pairs.select("station_key", "a", "b")
 
 
+def _least() -> Column:
+    """No pair of points of cells a and b weighs less."""
+    return F.greatest(qt.nearest("a", "b") * (1 - qt.SLACK), F.col("a.core"), F.col("b.core"))
+
+
 def _judged(pairs: DataFrame) -> DataFrame:
     """Marks the pairs that are apart."""
-    least = F.greatest(qt.nearest("a", "b") * (1 - qt.SLACK), F.col("a.core"), F.col("b.core"))
-    return pairs.withColumn("apart", F.greatest("a.width", "b.width") <= least)
+    return pairs.withColumn("apart", F.greatest("a.width", "b.width") <= _least())
+
+
+def _tiles(points: DataFrame, inner: DataFrame) -> DataFrame:
+    """Tiles with their name, the least point, and the weight at which all their points hang
+    together."""
+    links = inner.groupBy(*qt.CELL).agg(F.max("weight").alias("link"))
+    tiles = points.groupBy(*qt.CELL).agg(F.min("pid").alias("tile"))
+    return written(tiles.join(links, qt.CELL, "left").fillna(0.0, ["link"]), "tiles")
+
+
+def _tile_edges(cross: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(u, v, weight): touching tiles, and a weight at which all points of both hang together."""
+    pairs = cross.groupBy("station_key", *PAIR).agg(F.min("weight").alias("weight"))
+    for side, end in (("a", "u"), ("b", "v")):
+        names = {"kx": f"r{side}x", "ky": f"r{side}y", "tile": end, "link": f"link_{end}"}
+        pairs = pairs.join(tiles.withColumnsRenamed(names), ["station_key", f"r{side}x", f"r{side}y"])
+    return written(pairs.select("u", "v", F.greatest("weight", "link_u", "link_v").alias("weight")), "tile-edges")
+
+
+def _routes(far: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The same for the tiles of least core distance of pairs of cells: the two points of least
+    core distance weigh no more than this."""
+    most = F.greatest(qt.farthest("a", "b") * (1 + qt.SLACK), F.col("a.core"), F.col("b.core")) + ROUNDING
+    pairs = far.select(F.col("a.tile").alias("u"), F.col("b.tile").alias("v"), most.alias("weight"))
+    for end in ("u", "v"):
+        pairs = pairs.join(tiles.select(F.col("tile").alias(end), F.col("link").alias(f"link_{end}")), end)
+    return pairs.select("u", "v", F.greatest("weight", "link_u", "link_v").alias("weight"))
+
+
+def joined_at(edges: DataFrame, heights: list[float], one_task: int = ONE_TASK) -> DataFrame:
+    """(node, labels): for each of the rising heights, the component of edges up to it; a node
+    without such an edge is its own. Few edges are solved in one task, more are contracted height
+    by height."""
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        if not held:
+            return
+        u, v, weight = (pd.concat(held)[c].to_numpy() for c in ("u", "v", "weight"))
+        nodes = np.unique(np.concatenate([u, v]))
+        labels = np.tile(nodes, (len(heights), 1))
+        for row, height in zip(labels, heights, strict=True):
+            found, label = least_labels(u[weight <= height], v[weight <= height])
+            row[np.searchsorted(nodes, found)] = label
+        yield pd.DataFrame({"node": nodes, "labels": list(labels.T)})
+
+    if edges.count() <= one_task:
+        return written(edges.coalesce(1).mapInPandas(solve, "node bigint, labels array<bigint>"), "joined")
+    nodes = edges.selectExpr("explode(array(u, v)) AS node").distinct()
+    at = nodes.select("node", F.array().cast("array<bigint>").alias("labels"), F.col("node").alias("last"))
+    left = edges
+    for height in heights:
+        found = components(left.where(F.col("weight") <= height))
+        here = found.select(F.col("node").alias("last"), F.col("component").alias("now"))
+        now = at.join(here, "last", "left").select("node", "labels", F.coalesce("now", "last").alias("last"))
+        at = written(now.withColumn("labels", F.concat("labels", F.array("last"))), "joined")
+        for end in ("u", "v"):
+            names = found.select(F.col("node").alias(end), "component")
+            left = left.join(names, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        left = left.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        left = written(left.agg(F.min("weight").alias("weight")), "left")
+    return at.select("node", "labels")
+
+
+def _unjoined(apart: DataFrame, tile_edges: DataFrame) -> DataFrame:
+    """Without the pairs whose cells hang together by edges lighter than any of theirs."""
+    low, high = tile_edges.agg(F.min(F.nullif("weight", F.lit(0.0))), F.max("weight")).first()
+    if not high:
+        return apart
+    heights = sorted({*np.geomspace(low, high, HEIGHTS).tolist(), high})
+    labels = broadcast_if_small(joined_at(tile_edges, heights), SMALL_TABLE)
+    # of the heights below the pair, counted from 1, the last one
+    below = F.array_size(F.filter(F.array(*map(F.lit, heights)), lambda h: h < F.col("least")))
+    pairs = apart.withColumn("least", _least() - ROUNDING)
+    pairs = pairs.withColumns({"below": below, "tile_a": F.col("a.tile"), "tile_b": F.col("b.tile")})
+    for side in ("a", "b"):
+        names = labels.select(F.col("node").alias(f"tile_{side}"), F.col("labels").alias(f"at_{side}"))
+        pairs = pairs.join(names, f"tile_{side}", "left")
+        own = F.when(F.col("below") > 0, F.try_element_at(f"at_{side}", "below"))
+        pairs = pairs.withColumn(f"at_{side}", F.coalesce(own, F.col(f"tile_{side}")))
+    return pairs.where("at_a <> at_b").select(*apart.columns)
 
 
 def _rooted(pairs: DataFrame) -> DataFrame:
@@ -168,18 +273,20 @@ def _compare(tile_pairs: DataFrame, points: DataFrame) -> DataFrame:
     found = (
         spread(mine.unionByName(theirs), *unit)
         .groupBy(*unit)
-        .applyInPandas(_cross_edges, f"{EDGE}, near boolean, " + ", ".join(f"{c} bigint" for c in PAIR))
+        .applyInArrow(_cross_edges, f"{EDGE}, near boolean, " + ", ".join(f"{c} bigint" for c in PAIR))
     )
+    found = written(found, "found")  # both kinds below read it
     edge = F.struct("weight", "u", "v")
     single = found.filter("NOT near").groupBy("station_key", *PAIR).agg(F.min(edge).alias("e"))
+    kept = ["station_key", *PAIR, "u", "v", "weight"]
     return (
         found.filter("near")
-        .select("station_key", "u", "v", "weight")
-        .unionByName(single.select("station_key", "e.u", "e.v", "e.weight"))
+        .select(*kept)
+        .unionByName(single.select("station_key", *PAIR, "e.*").select(*kept))
     )
 
 
-def _columns(points: pd.DataFrame) -> list[np.ndarray]:
+def _columns(points: pa.Table) -> list[np.ndarray]:
     return [points[c].to_numpy() for c in POINT]
 
 
@@ -191,48 +298,50 @@ def _weights(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _spanning_tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum spanning tree of a small full matrix, grown point by point."""
+    """Minimum spanning tree of a small full matrix: every part takes its first edge in the
+    order of weights, until there is one part."""
     n = len(weights)
-    best, source = weights[0].copy(), np.zeros(n, dtype=np.int64)
-    best[0] = np.inf
-    inside = np.zeros(n, dtype=bool)
-    inside[0] = True
-    ends = np.empty((2, n - 1), dtype=np.int64)
-    for i in range(n - 1):
-        j = int(np.argmin(best))
-        ends[0, i], ends[1, i] = source[j], j
-        inside[j] = True
-        closer = (weights[j] < best) & ~inside
-        best[closer] = weights[j][closer]
-        source[closer] = j
-        best[j] = np.inf
-    return ends[0], ends[1]
-
-
-def _tile_tree(tile: pd.DataFrame) -> pd.DataFrame:
+    u, v = np.triu_indices(n, 1)
+    order = np.argsort(weights[u, v], kind="stable")
+    u, v = u[order], v[order]
+    part = np.arange(n)
+    ends: list[np.ndarray] = [np.empty((2, 0), dtype=np.int64)]
+    while len(u):
+        a, b = part[u], part[v]
+        first = np.full((2, n), len(u))
+        back = np.arange(len(u))[::-1]  # of several values the last one stays
+        first[0, a[::-1]], first[1, b[::-1]] = back, back
+        first = first.min(axis=0)
+        first = np.unique(first[first < len(u)])
+        ends.append(np.stack([u[first], v[first]]))
+        nodes, least = least_labels(a[first], b[first])
+        joined = np.arange(n)
+        joined[nodes] = least
+        part = joined[part]
+        open_ = part[u] != part[v]
+        u, v = u[open_], v[open_]
+    tree = np.concatenate(ends, axis=1)
+    return tree[0], tree[1]
+
+
+def _tile_tree(tile: pa.Table) -> pa.Table:
     points = _columns(tile)
     weights = _weights(points, points)
     u, v = _spanning_tree(weights)
-    return pd.DataFrame(
-        {
-            "station_key": tile["station_key"].iloc[0],
-            "u": points[0][u],
-            "v": points[0][v],
-            "weight": weights[u, v],
-            "kx": tile["kx"].iloc[0],
-            "ky": tile["ky"].iloc[0],
-        }
-    )
+    edges = {"u": points[0][u], "v": points[0][v], "weight": weights[u, v]}
+    key = {c: pa.repeat(tile[c][0], len(u)) for c in qt.CELL}
+    return pa.table({"station_key": key["station_key"], **edges, "kx": key["kx"], "ky": key["ky"]})
 
 
-def _cross_edges(group: pd.DataFrame) -> pd.DataFrame:
+def _cross_edges(group: pa.Table) -> pa.Table:
     """Edges of one tile to its partners: all partners that are apart in one matrix, touching
     ones through a joint spanning tree each."""
-    own = group["near"].isna().to_numpy()
-    mine = _columns(group[own])
-    others = group[~own].sort_values(["near", "bx", "by"])
-    near = others["near"].to_numpy(dtype=bool)
-    tile = others[["near", "bx", "by"]].to_numpy(dtype=np.int64)
+    own = pc.is_null(group["near"])
+    mine = _columns(group.filter(own))
+    others = group.filter(pc.invert(own))
+    others = others.take(pc.sort_indices(others, [(c, "ascending") for c in ("near", "bx", "by")]))
+    near = others["near"].to_numpy().astype(bool)
+    tile = np.stack([near.astype(np.int64), others["bx"].to_numpy(), others["by"].to_numpy()], axis=1)
     starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
     theirs = _columns(others)
     n_apart = int((~near).sum())
@@ -250,9 +359,11 @@ def _cross_edges(group: pd.DataFrame) -> pd.DataFrame:
         u, v = np.minimum(u, v)[cross], np.maximum(u, v)[cross] - n
         found.append((u, v + start, between[u, v]))
     u, v, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-    edges = pd.DataFrame({"u": mine[0][u], "v": theirs[0][v], "weight": weight, "near": near[v]})
-    edges[PAIR] = others[PAIR].to_numpy(dtype=np.int64)[v]
-    return edges.assign(station_key=group["station_key"].iloc[0])
+    pair = others.select(PAIR).take(pa.array(v))
+    return pa.table(
+        {"station_key": pa.repeat(group["station_key"][0], len(u)), "u": mine[0][u], "v": theirs[0][v],
+         "weight": weight, "near": near[v], **{c: pair[c] for c in PAIR}}
+    )
 
 
 def _lightest(

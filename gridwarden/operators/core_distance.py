@@ -9,7 +9,8 @@ hundred points against a few thousand.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def _measure(partners: DataFrame, leafed: DataFrame) -> DataFrame:
     cores = (
         spread(asking.unionByName(candidates), *UNIT)
         .groupBy(*UNIT)
-        .applyInPandas(_kth_neighbour, "pid bigint, core double")
+        .applyInArrow(_kth_neighbour, "pid bigint, core double")
     )
     return leafed.join(cores, "pid")
 
@@ -126,9 +127,8 @@ def angles(lat1, lon1, c1, lat2, lon2, c2) -> np.ndarray:
     return 2.0 * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
 
-def _kth_neighbour(group: pd.DataFrame) -> pd.DataFrame:
-    ask = group["ask"].to_numpy()
-    q, c = group[ask], group[~ask]
+def _kth_neighbour(group: pa.Table) -> pa.Table:
+    q, c = group.filter(group["ask"]), group.filter(pc.invert(group["ask"]))
     angle = angles(*(q[x].to_numpy() for x in ("lat", "lon", "c")),
                    *(c[x].to_numpy() for x in ("lat", "lon", "c")))
     # every point holds at least one row, so the k + 1 nearest points are enough
@@ -141,4 +141,4 @@ def _kth_neighbour(group: pd.DataFrame) -> pd.DataFrame:
     place = np.argmax(rows > k[:, None], axis=1)
     kth = np.take_along_axis(near, place[:, None], axis=1)
     core = np.take_along_axis(angle, kth, axis=1)[:, 0]
-    return pd.DataFrame({"pid": q["pid"].to_numpy(), "core": np.rint(core * 1e14) / 1e14})
+    return pa.table({"pid": q["pid"].to_numpy(), "core": np.rint(core * 1e14) / 1e14})

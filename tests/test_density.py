@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwarden.config import NOISE, Settings
+from gridwarden.operators import candidate_edges as edge_search
 from gridwarden.operators import condense, density
 from gridwarden.operators.candidate_edges import candidate_edges
 from gridwarden.operators.components import components
@@ -160,3 +161,43 @@ def test_feed_clusters_equal_brute_force(spark, sf_dir):
     assert sizes == len(pairs)
     least = assigned.filter(F.col("cluster_id") != NOISE).groupBy("cluster_id").count()
     assert least.agg(F.min("count")).first()[0] >= S.min_cluster_size
+
+
+def test_joined_tiles_need_no_far_pairs(spark, table, monkeypatch):
+    """Few pairs that are apart are compared, the edges still hold a minimum spanning tree, and
+    tiles are joined alike in one task and in rounds."""
+    draw = random.Random(5)
+    places = [("Dense", f"{i:05d}", 13.0 + (i % 60) * 1e-5, 77.5 + (i // 60) * 1e-5) for i in range(3_600)]
+    places += [("Dense", f"n{i:04d}", draw.uniform(12.9, 13.1), draw.uniform(77.4, 77.6)) for i in range(200)]
+    df = spark.createDataFrame(places, "station_key string, id string, latitude double, longitude double")
+    cored = core_distances(distinct_points(written(df, "places"), S))
+
+    def weights() -> tuple[int, list[float]]:
+        rows = candidate_edges(cored).collect()
+        parent: dict[int, int] = {}
+
+        def root(n):
+            while parent.setdefault(n, n) != n:
+                n = parent[n]
+            return n
+
+        tree = []
+        for e in sorted(rows, key=lambda e: e.weight):
+            a, b = root(e.u), root(e.v)
+            if a != b:
+                parent[a] = b
+                tree.append(e.weight)
+        return len(rows), tree
+
+    n, tree = weights()
+    monkeypatch.setattr(edge_search, "_unjoined", lambda apart, tile_edges: apart)
+    n_all, tree_all = weights()
+    assert tree == tree_all and len(tree) == 3_799
+    assert n < 2 * 3_800 < n_all
+    pairs = [(draw.randrange(90), draw.randrange(90), draw.random()) for _ in range(70)]
+    edges = written(spark.createDataFrame(pairs, "u long, v long, weight double").where("u <> v"), "some")
+    got = [
+        {r.node: list(r.labels) for r in edge_search.joined_at(edges, [0.2, 0.5, 0.9], limit).collect()}
+        for limit in (0, 1_000)
+    ]
+    assert got[0] == got[1] and len({tuple(x) for x in got[0].values()}) > 3
