@@ -16,8 +16,10 @@ words, and a logistic curve fitted to the labelled rows turns the sum into the s
 copied text does not vouch for all of its words, labelled rows that share their least shingle
 hash count once, and no feature counts for more rows than it has different neighbours.
 
-The model is fitted on at most `max_labelled` labelled rows (chosen by hash if there are more),
-so it has a fixed bound and may travel to all tasks; scoring covers all rows and whole texts.
+The model is fitted on all labelled rows. Rows and features are counted, joined and weighed as
+tables; what travels to all tasks is the model: the words that are evidence, the known words with
+doubled letters, and, as long as there are at most `WANTED`, the features of toxic rows, which save
+the shuffle of all features of clean rows. Scoring covers all rows and whole texts.
 
 Defined results: null and empty texts have no words and get the score of a text without
 evidence; label rows with null id or label, or without a document, are not used; ids labelled
@@ -39,9 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.llm.common import as_texts, id_text, slices
-from gridwarden.session import written
+from gridwarden.session import broadcast_if_small, written
 
-MAX_LABELLED = 200_000
 Z = 2.5
 MIN_TOXIC = 5
 LEAST = 1.2
@@ -63,6 +64,9 @@ SPELLED = re.compile(
 )
 INNER = re.compile(r"[^\W\d_]")
 DOUBLE = re.compile(r"([^\W\d_])\1")
+BROADCAST_ROWS = 1_000_000  # labelled ids that may be broadcast
+WANTED = 500_000  # features of toxic rows that may travel to the clean ones
+HELD = 500_000  # features that a task counts before it passes the counts on
 KNOWN_ROWS = 3  # clean labelled rows that make a word known
 
 
@@ -253,36 +257,46 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """Labelled documents; at most about `max_labelled` label rows, chosen by hash."""
-    rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
-    count = rows.count()
-    if count > max_labelled:
-        share = int(max_labelled / count * 0.98 * 2**32)
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share)
-    return docs.join(F.broadcast(rows), "doc_id")
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled documents, one row for each label."""
+    rows = written(labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct(), "label-rows")
+    return docs.join(broadcast_if_small(rows, BROADCAST_ROWS), "doc_id")
 
 
-def _tri_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tri_counts(lists: Iterable[list[str]], counts: Counter) -> None:
+    """Adds the trigrams of the words of some texts."""
+    words: Counter = Counter()
+    for tokens in lists:
+        words.update(set(tokens))
+    for word, n in words.items():
+        word = word.strip(".,;:!?\"'()")
+        if word.isalpha():
+            for code in trigram_codes(word):
+                counts[code] += n
+
+
+def _letters_and_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mark of every row, then the trigrams of all of them."""
     counts: Counter = Counter()
     for part in slices(batches):
-        words: Counter = Counter()
-        for text in as_texts(part):
-            words.update(set(text.lower().split()))
-        for word, n in words.items():
-            word = word.strip(".,;:!?\"'()")
-            if word.isalpha():
-                for code in trigram_codes(word):
-                    counts[code] += n
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())],
-        names=["code", "n"],
-    )
+        lists = [t.lower().split() for t in as_texts(part)]
+        _tri_counts(lists, counts)
+        none = pa.nulls(len(lists), pa.int64())
+        marks = pa.array(_least_shingles(lists), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("toxic"), marks, none, none], names=MARKS
+        )
+    none = pa.nulls(len(counts), pa.int64())
+    codes, n = pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, codes, n], names=MARKS)
+
 
+MARKS = ["doc_id", "toxic", "mark", "code", "n"]
 
-def _least_shingles(texts: list[str]) -> list[int]:
+
+def _least_shingles(lists: list[list[str]]) -> list[int]:
     """The least hash of three words of each text; equal in most copies of a text."""
-    lists = [t.lower().split() or [""] for t in texts]
+    lists = [words or [""] for words in lists]
     codes = {w: xxhash.xxh64_intdigest(w) for w in {w for words in lists for w in words}}
     look = codes.__getitem__
     out = []
@@ -312,11 +326,24 @@ def lower_bound(toxic: int, clean: int) -> float:
     return (share + Z * Z / (2 * every) - spread) / (1 + Z * Z / every)
 
 
-def _is_explained(feature: str, toxic: dict[str, int]) -> bool:
-    """Whether a longer first part, other than the whole word, has nearly all of its rows."""
-    if feature.endswith(" ") or feature + " " in toxic:
-        return False
-    return any(toxic.get(feature + c, 0) >= 0.9 * toxic[feature] for c in LETTERS)
+def _weighed(toxic: DataFrame, clean: DataFrame, prior: float) -> DataFrame:
+    """(feature, n, clean): features that weigh enough and are not explained. One is explained if
+    it is no whole word and a longer first part has nearly all of its rows."""
+    last = F.expr("right(feature, 1)")
+    longer = toxic.groupBy(F.expr("left(feature, length(feature) - 1)").alias("feature")).agg(
+        F.max(F.when(last.isin(*LETTERS), F.col("n"))).alias("longer"),
+        F.max(last == " ").alias("word"),
+    )
+    table = toxic.join(clean, "feature", "left").join(longer, "feature", "left").fillna(0, ["clean", "longer"])
+    whole = F.coalesce("word", F.lit(False)) | (last == " ")
+    open_ = table.where(whole | (F.col("longer") < 0.9 * F.col("n"))).select("feature", "n", "clean")
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = zip(batch.column("n").to_pylist(), batch.column("clean").to_pylist(), strict=True)
+            yield batch.filter(pa.array([_logit(lower_bound(*c)) - prior >= LEAST for c in counts], pa.bool_()))
+
+    return open_.mapInArrow(heavy, open_.schema)
 
 
 def _curve(counts: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -344,7 +371,6 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_labelled: int = MAX_LABELLED,
 ) -> Model:
     """A model from documents and 0/1 labels."""
     texts = id_text(docs, id_col, text_col)
@@ -352,27 +378,20 @@ def fit(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{label_col}`").cast("int").alias("toxic"),
     )
-    labelled = written(_labelled(texts, labels, max_labelled), "labelled")  # read by each step below
-    counts = labelled.select("text").mapInArrow(_tri_counts, "code long, n long")
-    costs = letter_costs(
-        {r.code: r.n for r in counts.groupBy("code").agg(F.sum("n").alias("n")).collect()}
-    )
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            marks = _least_shingles(as_texts(part))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("toxic"), pa.array(marks, pa.int64())],
-                names=["doc_id", "toxic", "mark"],
-            )
-
-    marks = labelled.select("doc_id", "toxic", "text").mapInArrow(least, "doc_id long, toxic int, mark long")
-    single = marks.groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    labelled = written(_labelled(texts, labels), "labelled")  # read by each step below
+    columns = "doc_id long, toxic int, mark long, code long, n long"
+    seen = written(labelled.select("doc_id", "toxic", "text").mapInArrow(_letters_and_marks, columns), "marks")
+    counts = seen.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n"))
+    costs = letter_costs({r.code: r.n for r in counts.collect()})  # at most the alphabet's trigrams
+    single = seen.where("code IS NULL").groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id"))
     single = written(single.select("doc_id", "toxic").distinct(), "labelled-ids")
     sizes = {r.toxic: r["count"] for r in single.groupBy("toxic").count().collect()}
     if not sizes:
         return Model(costs)
-    rows = labelled.join(F.broadcast(single), ["doc_id", "toxic"])  # at most max_labelled rows
+    ids = broadcast_if_small(single, BROADCAST_ROWS)
+    rows = labelled.join(ids, ["doc_id", "toxic"])
+    if ids is single:  # shuffled once, not by each step below
+        rows = written(rows, "labelled-once")
 
     def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(token: str) -> tuple[str, ...]:
@@ -392,8 +411,8 @@ def fit(
     clean_words = clean_words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= KNOWN_ROWS)
     known = frozenset(r.word for r in clean_words.collect())
 
-    def total(label: int, wanted: set[str] | None, at_least: int) -> dict[str, int]:
-        """Rows of each feature, of those wanted if any are named."""
+    def total(label: int, wanted: set[str] | None) -> DataFrame:
+        """(feature, n): rows of each feature, of those wanted if any are named."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             restorer, found = Restorer(costs, known), Counter()
@@ -402,6 +421,12 @@ def fit(
                 every = features(set(words))
                 return every if wanted is None else every & wanted
 
+            def counted() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
+                    names=["feature", "n"],
+                )
+
             lookup = Lookup(lambda token: tuple(mine(restorer.token(token))))
             for part in slices(batches):
                 for text in as_texts(part):
@@ -409,27 +434,24 @@ def fit(
                     here = lookup.of(set(text.split()))
                     spelled = restorer.spelled(text)
                     found.update(here | mine(spelled) if spelled else here)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
-                names=["feature", "n"],
-            )
+                if len(found) > HELD:
+                    yield counted()
+                    found.clear()
+            yield counted()
 
         found = rows.where(F.col("toxic") == label).select("text").mapInArrow(run, "feature string, n long")
-        found = found.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
-        return {r.feature: r.n for r in found.collect()}
+        return found.groupBy("feature").agg(F.sum("n").alias("n"))
 
     prior = _logit((sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1))
-    toxic = total(1, None, MIN_TOXIC)
-    clean = total(0, set(toxic), 1)
-
-    def weight(feature: str, n: int) -> float:
-        return _logit(lower_bound(n, clean.get(feature, 0))) - prior
-
-    strong = {f for f, n in toxic.items() if weight(f, n) >= LEAST and not _is_explained(f, toxic)}
+    toxic = written(total(1, None).where(F.col("n") >= MIN_TOXIC), "toxic-features")
+    few = toxic.count() <= WANTED
+    clean = total(0, {r.feature for r in toxic.select("feature").collect()} if few else None)
+    found = _weighed(toxic, clean.withColumnRenamed("n", "clean"), prior).collect()
+    strong = {r.feature: (r.n, r.clean) for r in found}
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, found = Restorer(costs, known), set()
-        lookup = Lookup(lambda token: tuple(features(set(restorer.token(token))) & strong))
+        lookup = Lookup(lambda token: tuple(features(set(restorer.token(token))) & strong.keys()))
         for part in slices(batches):
             for text in as_texts(part):
                 tokens = text.lower().split()
@@ -448,11 +470,12 @@ def fit(
     )
     model = Model(costs, known=known)
     for row in contexts.collect():
-        found = weight(row.feature, min(toxic[row.feature], row.n))
-        if found >= LEAST:
-            model.evidence[row.feature] = found
+        n, beside = strong[row.feature]
+        weight = _logit(lower_bound(min(n, row.n), beside)) - prior
+        if weight >= LEAST:
+            model.evidence[row.feature] = weight
     sums = score(rows, model).select("doc_id", F.round("total", 1).alias("x"))
-    counts = sums.join(F.broadcast(single), "doc_id").groupBy("x", "toxic").count().collect()
+    counts = sums.join(ids, "doc_id").groupBy("x", "toxic").count().collect()
     model.slope, model.offset = _curve([(r.x, r.toxic, r["count"]) for r in counts])
     return model
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridwarden.llm import toxicity
 from gridwarden.llm.queries import op7_toxicity
@@ -120,3 +121,25 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
+
+
+def test_every_labelled_row_counts(spark):
+    """Rows that a choice by hash of 200,000 labelled ones would leave out."""
+    ids = spark.range(240_000).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(2**32)))
+    late = [r.id for r in ids.orderBy(F.desc("h")).limit(8).collect()]
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "acegikmoqs")
+    bad = F.col("id").isin(late)
+    text = F.when(bad, F.concat(letters, F.lit(" zorvblax "), F.reverse(letters))).otherwise(letters)
+    docs = ids.select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), bad.cast("int").alias("toxic"))
+    learnt = toxicity.fit(docs, labels)
+    assert learnt.weight("zorvblax") > 0
+
+
+def test_joined_tables_give_the_same_model(spark, model, monkeypatch):
+    for limit in ("WANTED", "BROADCAST_ROWS", "HELD"):
+        monkeypatch.setattr(toxicity, limit, 0)
+    rows, labels = corpus()
+    other = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS))
+    assert (other.evidence, other.known, other.costs) == (model.evidence, model.known, model.costs)
+    assert other.slope == pytest.approx(model.slope) and other.offset == pytest.approx(model.offset)
