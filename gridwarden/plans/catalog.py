@@ -134,6 +134,7 @@ def mean_degrees(column: str):
     return F.round(F.col(column) + 1.3717e-7, 6).alias(column)
 
 
+ROWS_A_FILE = 200_000  # of a drop of the feed
 JOIN_BUCKETS = 16  # of the small tables here; a tenth of a gigabyte a bucket is a good measure
 
 
@@ -196,21 +197,26 @@ def q_ingest_incremental(spark, d):
     from gridwarden.streaming import ingest
 
     drops, root = scratch_path(spark, "drops"), scratch_path(spark, "stream")
-    feed = raw(spark, d).withColumn("drop", F.expr("(ingest_order div 131) % 4"))
-    (
-        feed.repartition(4, "drop")
-        .sortWithinPartitions("drop", validate.ORDER)
-        .select(*validate.REQUIRED)
-        .write.options(
-            header="true",
-            escape='"',
-            ignoreLeadingWhiteSpace="false",
-            ignoreTrailingWhiteSpace="false",
-            emptyValue="",
+    feed = raw(spark, d).withColumn("drop", F.expr("coalesce(pmod(ingest_order div 131, 4), 0)"))
+    sizes = {r["drop"]: r["count"] for r in feed.groupBy("drop").count().collect()}
+    for drop in range(4):
+        files = sizes.get(drop, 0) // ROWS_A_FILE + 1
+        (
+            feed.where(F.col("drop") == drop)
+            .repartitionByRange(files, validate.ORDER)
+            .sortWithinPartitions(validate.ORDER)
+            .select(*validate.REQUIRED)
+            .write.mode("append")
+            .options(
+                header="true",
+                escape='"',
+                ignoreLeadingWhiteSpace="false",
+                ignoreTrailingWhiteSpace="false",
+                emptyValue="",
+            )
+            .csv(drops)
         )
-        .csv(drops)
-    )
-    ingest.ingest_available(spark, drops, root, S, files_per_batch=1)
+        ingest.ingest_available(spark, drops, root, S)
     return validate.merge_reports(ingest.batch_reports(spark, root), S)
 
 
