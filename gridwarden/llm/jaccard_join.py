@@ -14,7 +14,11 @@
    filled part in the first family meets in the second. What is frequent is told by a table of
    2^20 counters over all documents; any choice gives the same links.
 3. The nodes of a key are tied to the least node of the key, never to each other. Connected
-   nodes form a class of candidates; only such classes are compared.
+   nodes form a class of candidates; only such classes are compared. Classes too large for one
+   tile, which are mostly documents of one subject chained by short parts, are cut first: their
+   nodes are compared by sketches alone (a parity bitmap of one or two bits a shingle, which
+   bounds the overlap from above), and only nodes that sketches connect stay in one class. No
+   linked pair is cut, and texts are never dealt to more tiles than what is left needs.
 4. Tiles. A class is cut into tiles of bounded size. Within a tile, nodes are compared in order
    of size; a parity bitmap of the shingles bounds the overlap from above
    (overlap <= (|A| + |B| - bits that differ) / 2), and what passes is decided by intersecting
@@ -47,6 +51,8 @@ from gridwarden.session import broadcast_if_small, written
 
 TILE_SHINGLES = 500_000
 TILE_ROWS = 256
+SKETCH_SHINGLES = 4_000_000  # of the sketches of a tile, one or two bits each
+SKETCH_ROWS = 2_048
 COUNTERS = 1 << 20
 COUNTER_PARTS = 32
 FILTER_PARTS = 64
@@ -91,6 +97,19 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64)))
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parities of the counts of shingles with equal last bits: a power of two of them, one at
+    least for each shingle. Halves that are folded on each other give the sketch of half as many."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, bits: int) -> np.ndarray:
+    words = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
+
+
 class Bands:
     """Size bands and the parts of each, for links at shared / union >= num / den."""
 
@@ -164,16 +183,18 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
             sets = shingle_sets(as_bytes(part), size)
             at = np.concatenate([np.empty(0, np.uint64), *sets]) & np.uint64(COUNTERS - 1)
             counts += np.bincount(at.astype(np.int64), minlength=COUNTERS)
-        for nth, part in enumerate(np.split(counts.astype(np.uint32), COUNTER_PARTS)):
-            yield _counter_row(nth, part)
+        for nth, part in enumerate(np.split(counts, COUNTER_PARTS)):  # a plane a byte, as far as filled
+            planes = range(max(1, (int(part.max()).bit_length() + 7) // 8))
+            yield _counter_row(nth, b"".join((part >> 8 * k).astype(np.uint8).tobytes() for k in planes))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for nth, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[nth] = sums.get(nth, 0) + np.frombuffer(data, np.uint32).astype(np.uint64)
+                planes = np.frombuffer(data, np.uint8).reshape(-1, COUNTERS // COUNTER_PARTS)
+                sums[nth] = sums.get(nth, 0) + sum(p.astype(np.uint64) << np.uint64(8 * k) for k, p in enumerate(planes))
         for nth, total in sums.items():
-            yield _counter_row(nth, total)
+            yield _counter_row(nth, total.tobytes())
 
     schema = "nth int, data binary"
     rows = docs.mapInArrow(run, schema).repartition(COUNTER_PARTS, "nth").mapInArrow(add, schema)
@@ -183,24 +204,25 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return counts > 64 + 4 * counts.mean()
 
 
-def _counter_row(nth: int, counts: np.ndarray) -> pa.RecordBatch:
+def _counter_row(nth: int, counts: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([nth], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["nth", "data"]
+        [pa.array([nth], pa.int32()), pa.array([counts], pa.binary())], names=["nth", "data"]
     )
 
 
 def _sets(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, node and the keys of its set, the latter once a node and task."""
+    """doc_id, n_shingles, node, sketch and the keys of its set, the latter once a node and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for part in slices(batches):
             ids = part.column("doc_id")
-            nodes, counts, lengths, keys = [], [], [0], []
+            nodes, counts, sketches, lengths, keys = [], [], [], [0], []
             for doc_id, shingles in zip(ids.to_pylist(), shingle_sets(as_bytes(part), size)):
                 node = node_of(shingles)
                 nodes.append(node)
                 counts.append(len(shingles))
+                sketches.append(sketch_of(shingles))
                 if doc_id is not None and node not in seen:
                     seen.add(node)
                     rare = ~frequent[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -214,12 +236,14 @@ def _sets(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray)
                     ids,
                     pa.array(counts, pa.int64()),
                     pa.array(nodes, pa.int64()),
+                    pa.array(sketches, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)),
                 ],
-                names=["doc_id", "n_shingles", "node", "keys"],
+                names=["doc_id", "n_shingles", "node", "sketch", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    schema = "doc_id long, n_shingles long, node long, sketch binary, keys array<long>"
+    return docs.mapInArrow(run, schema)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -358,18 +382,55 @@ def compare(
     return links
 
 
-def _compare_tiles(rows: DataFrame, tile: list[str], size: int, num: int, den: int) -> DataFrame:
-    """Links within each tile of (tile columns, node, label, text)."""
+def compare_sketches(
+    nodes: list[int], sizes: list[int], sketches: list[bytes], labels: list[int], num: int, den: int
+) -> list[tuple[int, int]]:
+    """Pairs of a tile that may be linked by their sketches: a forest that connects all of them."""
+    order = sorted(range(len(nodes)), key=lambda i: sizes[i])
+    nodes, sketches = [nodes[i] for i in order], [sketches[i] for i in order]
+    numbers: dict[int, int] = {}
+    label = np.array([numbers.setdefault(labels[i], len(numbers)) for i in order])
+    sizes = np.array([sizes[i] for i in order], dtype=np.int64)
+    lows = np.searchsorted(sizes, -(-num * sizes // den))
+    bits = np.array([8 * len(s) for s in sketches], dtype=np.int64)[lows]  # of the least partner
+    links = []
+    for width in np.unique(bits).tolist():
+        mine = np.flatnonzero(bits == width)
+        start = int(lows[mine[0]])
+        maps = np.stack([folded(s, width) for s in sketches[start : mine[-1] + 1]])
+        for i in mine.tolist():
+            low = int(lows[i])
+            open_ = np.flatnonzero(label[low:i] != label[i]) + low
+            if not len(open_):
+                continue
+            apart = np.bitwise_count(maps[open_ - start] ^ maps[i - start]).sum(axis=1, dtype=np.int64)
+            both = sizes[open_] + sizes[i]
+            bound = np.minimum((both - apart) // 2, sizes[open_])
+            open_ = open_[bound * (num + den) >= num * both]
+            others, at = np.unique(label[open_], return_index=True)
+            links += [(nodes[i], nodes[j]) for j in open_[at].tolist()]
+            label[np.isin(label, others)] = label[i]
+    return links
+
+
+def _compare_tiles(
+    rows: DataFrame, tile: list[str], num: int, den: int, size: int | None = None
+) -> DataFrame:
+    """Links within each tile of (tile columns, node, label, n_shingles, text); of sketches in
+    the place of texts, as far as they tell, if there is no size of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, texts, nodes, labels = None, [], [], []
+        current, texts, nodes, labels, sizes = None, [], [], [], []
 
         def links() -> pa.RecordBatch:
-            sets = shingle_sets(texts, size)
-            mine = [i for i in range(len(sets)) if node_of(sets[i]) == nodes[i]]
-            found = compare(
-                [nodes[i] for i in mine], [sets[i] for i in mine], [labels[i] for i in mine], num, den
-            )
+            if size is None:
+                found = compare_sketches(nodes, sizes, texts, labels, num, den)
+            else:
+                sets = shingle_sets(texts, size)
+                mine = [i for i in range(len(sets)) if node_of(sets[i]) == nodes[i]]
+                found = compare(
+                    [nodes[i] for i in mine], [sets[i] for i in mine], [labels[i] for i in mine], num, den
+                )
             a, b = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_arrays(
                 [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
@@ -378,22 +439,22 @@ def _compare_tiles(rows: DataFrame, tile: list[str], size: int, num: int, den: i
         for part in slices(batches):
             data = as_bytes(part)
             keys = zip(*(part.column(c).to_pylist() for c in tile))
-            for key, node, label, text in zip(
-                keys, part.column("node").to_pylist(), part.column("label").to_pylist(), data
-            ):
+            columns = (part.column(c).to_pylist() for c in ("node", "label", "n_shingles"))
+            for key, node, label, n_shingles, text in zip(keys, *columns, data):
                 if key != current:
                     if len(nodes) > 1:
                         yield links()
-                    current, texts, nodes, labels = key, [], [], []
+                    current, texts, nodes, labels, sizes = key, [], [], [], []
                 texts.append(text)
                 nodes.append(node)
                 labels.append(label)
+                sizes.append(n_shingles)
         if len(nodes) > 1:
             yield links()
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.select(*tile, "node", "label", "text")
+        rows.select(*tile, "node", "label", "n_shingles", "text")
         .repartition(tasks, *tile)
         .sortWithinPartitions(*tile)
         .mapInArrow(run, "a long, b long")
@@ -408,7 +469,7 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     ).drop("found")
 
 
-def _cross_tiles(rows: DataFrame) -> DataFrame:
+def _cross_tiles(rows: DataFrame, tile_shingles: int, tile_rows: int) -> DataFrame:
     """Tiles that bring each smaller component of a class together with the whole class."""
     labels = rows.groupBy("class", "label").agg(F.count("*").alias("n"))
     main = labels.groupBy("class").agg(
@@ -420,14 +481,14 @@ def _cross_tiles(rows: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("n"), F.sum(F.expr("IF(label <> main, shingles, 0)")).alias("shingles"),
              F.sum(F.expr("IF(label <> main, n, 0)")).alias("minors"))
         .select("class", "main", "n", F.greatest(
-            F.ceil(F.col("shingles") / TILE_SHINGLES), F.ceil(F.col("minors") / TILE_ROWS)
+            F.ceil(F.col("shingles") / tile_shingles), F.ceil(F.col("minors") / tile_rows)
         ).cast("int").alias("blocks"))
     )
     rows = join_split_hot(rows, written(blocks, "class-blocks"), "class", "n").where("main IS NOT NULL")
     rows = rows.withColumn("minor", F.expr("label <> main"))
     block = "CAST(pmod(xxhash64(node, 3), blocks) AS INT)"
     own = "CAST(pmod(xxhash64(node, 1), tiles) AS INT)"
-    keep = ["class", "x", "y", "node", "label", "text"]
+    keep = ["class", "x", "y", "node", "label", "n_shingles", "text"]
     mains = rows.where("NOT minor").withColumn("x", F.expr(own)).withColumn(
         "y", F.explode(F.expr("sequence(0, blocks - 1)"))
     )
@@ -444,6 +505,47 @@ def _cross_tiles(rows: DataFrame) -> DataFrame:
     return mains.select(*keep).union(minors.select(*keep)).union(pairs.select(*keep))
 
 
+def _links(rows: DataFrame, tile_shingles: int, tile_rows: int, *options) -> DataFrame:
+    """A forest of links that connects what is linked in each class of (class, tiles, node,
+    n_shingles, text)."""
+    first = rows.withColumn("tile", F.expr("CAST(pmod(xxhash64(node, 1), tiles) AS INT)"))
+    links = written(
+        _compare_tiles(first.withColumn("label", F.col("node")), ["class", "tile"], *options), "links"
+    )
+    wide = rows.where("tiles > 1")
+    if not wide.isEmpty():
+        again = _labelled(wide, links).withColumn(
+            "tile", F.expr("CAST(pmod(xxhash64(node, 2), tiles) AS INT)")
+        )
+        links = links.union(written(_compare_tiles(again, ["class", "tile"], *options), "links"))
+        rest = _cross_tiles(written(_labelled(wide, links), "labelled"), tile_shingles, tile_rows)
+        links = links.union(written(_compare_tiles(rest, ["class", "x", "y"], *options), "links"))
+    return links
+
+
+def _tiled(members: DataFrame, tile_shingles: int, tile_rows: int) -> DataFrame:
+    """Members, a table from `written`, with the number of tiles of their class."""
+    tiles = members.groupBy("class").agg(
+        F.greatest(
+            F.ceil(F.sum("n_shingles") / tile_shingles), F.ceil(F.count("*") / tile_rows)
+        ).cast("int").alias("tiles"),
+        F.count("*").alias("n"),
+    )
+    return written(join_split_hot(members, written(tiles, "class-tiles"), "class", "n"), "tile-members")
+
+
+def _cut_by_sketches(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Members (of classes) with finer classes; those whose sketch is like no other are left out."""
+    members = _tiled(members.drop("tiles"), SKETCH_SHINGLES, SKETCH_ROWS)
+    sketches = sets.select("doc_id", "node", F.col("sketch").alias("text")).join(
+        broadcast_if_small(members, MEMBERS_BROADCAST), ["doc_id", "node"]
+    )
+    sketches = written(sketches.select("class", "tiles", "node", "n_shingles", "text"), "sketches")
+    finer = components(_links(sketches, SKETCH_SHINGLES, SKETCH_ROWS, num, den))
+    finer = finer.withColumnRenamed("component", "class")
+    return members.drop("class", "tiles").join(finer, "node")
+
+
 def shingle_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -467,31 +569,18 @@ def shingle_classes(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")
     )
     members = written(nodes.join(classes, "node"), "class-members")
-    tiles = members.groupBy("class").agg(
-        F.greatest(
-            F.ceil(F.sum("n_shingles") / tile_shingles), F.ceil(F.count("*") / tile_rows)
-        ).cast("int").alias("tiles"),
-        F.count("*").alias("n"),
-    )
-    members = written(join_split_hot(members, written(tiles, "class-tiles"), "class", "n"), "tile-members")
+    members = _tiled(members, tile_shingles, tile_rows)
+    wide = members.where("tiles > 1")
+    if not wide.isEmpty():
+        finer = written(_cut_by_sketches(written(wide, "wide-members"), sets, num, den), "class-members")
+        finer = _tiled(finer, tile_shingles, tile_rows)
+        members = written(members.where("tiles = 1").unionByName(finer), "tile-members")
     texts = written(
         docs.join(broadcast_if_small(members, MEMBERS_BROADCAST), "doc_id")
         .select("class", "tiles", "node", "n_shingles", "text"),
         "tile-texts",
     )
-    first = texts.withColumn("tile", F.expr("CAST(pmod(xxhash64(node, 1), tiles) AS INT)"))
-    options = (size, num, den)
-    links = written(
-        _compare_tiles(first.withColumn("label", F.col("node")), ["class", "tile"], *options), "links"
-    )
-    wide = texts.where("tiles > 1")
-    if not wide.isEmpty():
-        again = _labelled(wide, links).withColumn(
-            "tile", F.expr("CAST(pmod(xxhash64(node, 2), tiles) AS INT)")
-        )
-        links = links.union(written(_compare_tiles(again, ["class", "tile"], *options), "links"))
-        rest = _cross_tiles(written(_labelled(wide, links), "labelled"))
-        links = links.union(written(_compare_tiles(rest, ["class", "x", "y"], *options), "links"))
+    links = _links(texts, tile_shingles, tile_rows, num, den, size)
     found = nodes.join(components(links), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"), "doc_id"
     )

@@ -109,3 +109,46 @@ def test_linked_sets_share_a_key(size, seed, share, num, frequent):
         bands, limit = Bands(num, 100), np.uint64(int(frequent * (2**20 - 1)))
         keys = [bands.keys(x, x[(x & np.uint64(2**20 - 1)) >= limit]) for x in map(np.sort, (a, b))]
         assert np.intersect1d(*keys).size
+
+
+@pytest.mark.parametrize("sketch_rows", [2, 2_048])
+def test_large_classes_are_cut_by_sketches(spark, monkeypatch, sketch_rows):
+    """Documents that only share a passage are tied by keys, but their texts are not dealt out."""
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "SKETCH_ROWS", sketch_rows)
+    draw = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(i, passage + " " + " ".join(f"w{draw.randrange(10_000)}" for _ in range(60)), "") for i in range(40)]
+    rows += [(100 + i, rows[7][1] + f" end{i}", "") for i in range(3)]
+    dealt, keep = [], jaccard_join.written
+
+    def watched(df, name, *rest):
+        out = keep(df, name, *rest)
+        if name == "tile-texts":
+            dealt.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", watched)
+    got = shingle_classes(spark.createDataFrame(rows, SCHEMA), size=3, num=80, tile_rows=4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_force(rows, num=80)
+    assert dealt == [("tile-texts", 4)]  # 43 without the cut
+
+
+@settings(max_examples=60, deadline=None)
+@given(seed=st.integers(0, 10**6), n=st.integers(2, 90), num=st.sampled_from([30, 60, 80, 90]))
+def test_sketches_connect_all_links(seed, n, num):
+    draw = np.random.default_rng(seed)
+    pool = draw.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(draw.choice(pool[: draw.integers(2, 300)], draw.integers(1, 200))) for _ in range(n)]
+    nodes, sizes = list(range(n)), [len(s) for s in sets]
+    sketches = [jaccard_join.sketch_of(s) for s in sets]
+    found = jaccard_join.compare_sketches(nodes, sizes, sketches, nodes, num, 100)
+    group = list(range(n))
+    for a, b in found:
+        group = [group[a] if g == group[b] else g for g in group]
+    assert len(found) == n - len(set(group))  # a forest
+    for i in range(n):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= num * (sizes[i] + sizes[j] - both):
+                assert group[i] == group[j]
