@@ -16,8 +16,10 @@ the blocks, so every training token is used once. Counts and class totals come f
 training part.
 
 Texts are read once: a block (a bounded slice of documents) becomes one row with the numbers of
-its words, and its distinct words are counted over all blocks by a window on the word, which
-sees a word once a block, however frequent it is. Words are told apart by 64-bit hashes.
+its words, and its distinct words are counted over all blocks: each block sends its sorted
+hashes, packed, to the parts of the hash range, and each part sends the totals back in the same
+order. A word is sent once a block, however frequent it is, and the number of parts follows that
+of the words sent. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts consist of the end token; rows without an id are used for
 training; repeated rows count repeatedly; without training tokens all words are unknown and
@@ -48,11 +50,16 @@ TABLE = 1 + sum(ROWS)
 ROUNDS = 3
 BATCH = 2048  # tokens a gradient step
 RATE = 0.5
+WORDS_A_PART = 1_000_000  # sent to a part of the hash range
 CHUNKS = 16  # parts in which weights are averaged
 BLOCKS = (
     "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, "
     "words array<long>, endings array<byte>, counts array<long>"
 )
+COUNTED = (
+    "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, "
+    "marks array<int>, facts array<long>"
+)
 
 
 def is_held_out(doc_id: int | None, divisor: int = 5, remainder: int = 1) -> bool:
@@ -114,52 +121,111 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def _counted(blocks: DataFrame) -> DataFrame:
-    """Blocks with the training count, hash and ending of each of their words."""
-    zipped = F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("nth", "of")
-    words = blocks.select("block", zipped).select(
-        "block", "nth", F.col("of.words").alias("word"), F.col("of.endings").alias("ending"),
-        F.col("of.counts").alias("n"),
-    )
-    same = Window.partitionBy("word")
-    here = F.struct("block", "nth")
-    first = (F.min(here).over(same) == here).cast("long")
-    count = F.sum("n").over(same)
-    mark = F.col("word").bitwiseAND(0x7FFFFFFF)
-    # Two numbers a word: (number in the block, hash) and (count, ending, first occurrence).
-    words = words.select(
-        "block",
-        (F.shiftleft(F.col("nth").cast("long"), 32) + mark).alias("name"),
-        (count * 64 + F.col("ending") * 2 + first).alias("facts"),
-    )
-    # Both lists are in the order of the rows that they were collected from.
-    infos = words.groupBy("block").agg(
-        F.collect_list("name").alias("names"), F.collect_list("facts").alias("facts")
+    """Blocks with a mark (31 bits of the hash) and the training count, ending and first block of
+    each of their words, in the order of the words' numbers."""
+    sent = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // WORDS_A_PART)
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, counts in zip(*(batch.column(c) for c in ("block", "words", "counts"))):
+                words = words.values.to_numpy().view(np.uint64)
+                order = np.argsort(words)
+                ends = np.searchsorted(words[order], bounds)
+                pieces = zip(np.split(words[order], ends), np.split(counts.values.to_numpy()[order], ends))
+                rows = [
+                    (nth, _planes(np.diff(w, prepend=np.uint64(0))), _planes(n))
+                    for nth, (w, n) in enumerate(pieces) if len(w)
+                ]
+                nth, hashes, n = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(nth, pa.int32()), pa.array([block.as_py()] * len(rows), pa.int64()),
+                        pa.array(hashes, pa.binary()), pa.array(n, pa.binary()),
+                    ],
+                    names=["nth", "block", "words", "counts"],
+                )
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for nth, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                held.setdefault(nth, []).append(row)
+        for nth, rows in held.items():
+            rows.sort()
+            words = np.concatenate([np.cumsum(_numbers(w), dtype=np.uint64) for _, w, _ in rows])
+            counts = np.concatenate([_numbers(n).view(np.int64) for _, _, n in rows])
+            _, first, place = np.unique(words, return_index=True, return_inverse=True)
+            sums = np.zeros(len(first), np.int64)
+            np.add.at(sums, place, counts)
+            facts = sums[place] * 2
+            facts[first] += 1
+            ends = np.cumsum([len(w) // 8 for _, w, _ in rows])
+            for (block, _, _), part in zip(rows, np.split(facts, ends[:-1])):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block], pa.int64()), pa.array([nth], pa.int32()),
+                        pa.array([_planes(part)], pa.binary()),
+                    ],
+                    names=["block", "nth", "facts"],
+                )
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, facts = [], []
+            for words, endings, found in zip(*(batch.column(c) for c in ("words", "endings", "found"))):
+                words = words.values.to_numpy()
+                mine = np.zeros(len(words), np.int64)
+                if len(words):
+                    pieces = sorted((f["nth"], f["facts"]) for f in found.as_py())
+                    mine[np.argsort(words.view(np.uint64))] = np.concatenate([_numbers(f) for _, f in pieces]).view(np.int64)
+                marks.append((words & 0x7FFFFFFF).astype(np.int32))
+                facts.append((mine >> 1) * 64 + endings.values.to_numpy().astype(np.int64) * 2 + (mine & 1))
+            kept = ["block", "doc_ids", "held", "lengths", "codes"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in kept),
+                    pa.array(marks, pa.list_(pa.int32())), pa.array(facts, pa.list_(pa.int64())),
+                ],
+                names=[*kept, "marks", "facts"],
+            )
+
+    schema = "nth int, block long, words binary, counts binary"
+    rows = blocks.select("block", "words", "counts").mapInArrow(send, schema).repartition(parts, "nth")
+    back = rows.mapInArrow(total, "block long, nth int, facts binary").groupBy("block").agg(
+        F.collect_list(F.struct("nth", "facts")).alias("found")
     )
-    slim = blocks.select("block", "doc_ids", "held", "lengths", "codes")
-    return written(slim.join(infos, "block", "left"), "lm-counted")
+    return written(blocks.drop("counts").join(back, "block", "left").mapInArrow(put, COUNTED), "lm-counted")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers, one plane a byte: planes of zeros take no room when compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 class Block:
-    """One row of the counted blocks, with classes and context features of all tokens."""
+    """One row of the counted blocks, with classes and context features of all tokens, unless only
+    its words are asked for."""
 
-    def __init__(self, batch: pa.RecordBatch, row: int, tokens: int):
+    def __init__(self, batch: pa.RecordBatch, row: int, tokens: int, words_only: bool = False):
         def column(name: str) -> np.ndarray:
             return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
 
+        hashes, facts = column("marks").astype(np.int64), column("facts")
+        self.c, ending, self.first = facts >> 6, facts >> 1 & 31, (facts & 1).astype(bool)
+        frequent = (self.c > 0) & (self.c * FREQUENT >= tokens)
+        self.word_class = np.where(frequent, hashes % COMMON, COMMON + ending)
+        if words_only:
+            return
         self.doc_ids = batch.column("doc_ids")[row].values
         self.held = column("held").astype(bool)
         lengths = column("lengths").astype(np.int64)
         codes = _stretch(batch.column("codes")[row].as_py())
-        count = len(column("names")) if batch.column("names")[row].is_valid else 0
-        self.c, hashes = np.zeros(count, np.int64), np.zeros(count, np.int64)
-        ending, self.first = np.zeros(count, np.int64), np.zeros(count, bool)
-        if count:
-            name, facts = column("names"), column("facts")
-            nth = name >> 32
-            hashes[nth] = name & 0x7FFFFFFF
-            self.c[nth], ending[nth], self.first[nth] = facts >> 6, facts >> 1 & 31, facts & 1
-        frequent = (self.c > 0) & (self.c * FREQUENT >= tokens)
-        self.word_class = np.where(frequent, hashes % COMMON, COMMON + ending)
         # An end token after every document.
         self.sizes = lengths + 1
         self.ends = np.cumsum(self.sizes)
@@ -183,9 +249,10 @@ class Block:
 
 def _log_shares(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Natural logarithm of P(class | context), a row a token."""
-    total = weights[features[0]] + weights[0]
+    total = weights.take(features[0], axis=0)
+    total += weights[0]
     for feature in features[1:]:
-        total += weights[feature]
+        total += weights.take(feature, axis=0)
     total -= total.max(axis=1, keepdims=True)
     total -= np.log(np.exp(total).sum(axis=1, keepdims=True))
     return total
@@ -202,13 +269,15 @@ def _descend(weights: np.ndarray, squares: np.ndarray, block: Block) -> int:
     for start in range(0, len(used), BATCH):
         at = used[start : start + BATCH]
         features = block.features[:, at]
-        slope = np.exp(_log_shares(weights, features))
+        slope = _log_shares(weights, features)
+        np.exp(slope, out=slope)
         slope[np.arange(len(at)), block.classes[at]] -= 1
         for feature in features:
-            order = np.argsort(feature, kind="stable")
+            order = np.argsort(feature.astype(np.uint16), kind="stable")  # numpy sorts 16 bits by radix
             ranked = feature[order]
             firsts = np.flatnonzero(np.diff(ranked, prepend=-1))
-            _step(weights, squares, ranked[firsts], np.add.reduceat(slope[order], firsts, axis=0))
+            sums = np.add.reduceat(slope.take(order, axis=0), firsts, axis=0)
+            _step(weights, squares, ranked[firsts], sums)
         _step(weights, squares, np.zeros(1, np.int64), slope.sum(axis=0, keepdims=True))
     return len(used)
 
@@ -257,7 +326,7 @@ def _class_totals(blocks: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarra
         sums = np.zeros((2, CLASSES), np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                block = Block(batch, row, tokens)
+                block = Block(batch, row, tokens, words_only=True)
                 known = block.first & (block.c > 0)
                 sums[1] += np.bincount(block.word_class[known], minlength=CLASSES)
                 sums[0] += np.bincount(

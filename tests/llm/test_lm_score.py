@@ -127,3 +127,17 @@ def test_nulls_repeats_and_no_rows(spark):
     rows = [(None, None, ""), (1, "A a", ""), (1, "A a", ""), (2, "", ""), (3, " \n", ""), (4, "b", "")]
     check(score_texts(spark.createDataFrame(rows, SCHEMA)).collect(), rows)
     assert score_texts(spark.createDataFrame([], SCHEMA)).collect() == []
+
+def test_words_are_counted_over_blocks_by_packed_hashes(spark, monkeypatch):
+    """Each block gets, for each of its words, the count over all blocks; one block is the first."""
+    monkeypatch.setattr(lm_score, "WORDS_A_PART", 7)
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices([f"w{k}" for k in range(40)], k=25)) for _ in range(30)] + [""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    blocks = lm_score._counted(lm_score._blocks(docs)).collect()
+    counts = Counter(w for i, t in enumerate(texts) if not is_held_out(i) for w in t.split())
+    want = sorted((lm_score.xxhash.xxh64_intdigest(w) & 0x7FFFFFFF, n) for w, n in counts.items())
+    found = {(mark, fact >> 6) for row in blocks for mark, fact in zip(row.marks, row.facts)}
+    assert len(blocks) == 3 and sorted(x for x in found if x[1]) == want
+    firsts = [mark for row in blocks for mark, fact in zip(row.marks, row.facts) if fact & 1]
+    assert len(firsts) == len(set(firsts)) == len({mark for mark, _ in found})
