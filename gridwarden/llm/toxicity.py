@@ -33,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))).r
 EDGE = len(LETTERS)
 WIDTH = EDGE + 1
 CODE = {c: i for i, c in enumerate(LETTERS)}
+CODE_OF_BYTE = np.full(256, EDGE, np.int64)  # the alphabet is within Latin-1
+CODE_OF_BYTE[[ord(c) for c in LETTERS]] = range(EDGE)
 # Letters that a sign or digit resembles.
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
@@ -64,6 +67,8 @@ SPELLED = re.compile(
 )
 INNER = re.compile(r"[^\W\d_]")
 DOUBLE = re.compile(r"([^\W\d_])\1")
+PAIRS_AT_MOST = re.compile(rf"(?:([{LETTERS}])(?!\1\1))+")
+IN_ALPHABET = re.compile(rf"[{LETTERS}]+")
 BROADCAST_ROWS = 1_000_000  # labelled ids that may be broadcast
 WANTED = 500_000  # features of toxic rows that may travel to the clean ones
 HELD = 500_000  # features that a task counts before it passes the counts on
@@ -102,8 +107,45 @@ def trigram_codes(word: str) -> list[int]:
     ]
 
 
+def trigram_counts(words: dict[str, int]) -> dict[int, int]:
+    """Trigrams of words with their edges; none of a word with a character outside the alphabet."""
+    known = [w for w in words if IN_ALPHABET.fullmatch(w)]
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) + 3
+    symbols = np.frombuffer("".join(f"  {w} " for w in known).encode("latin-1"), np.uint8)
+    codes = CODE_OF_BYTE[symbols]
+    nth = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(nth < np.repeat(sizes - 2, sizes))
+    trigrams = (codes[at] * WIDTH + codes[at + 1]) * WIDTH + codes[at + 2]
+    times = np.repeat(np.fromiter((words[w] for w in known), np.int64, len(known)), sizes - 2)
+    found, place = np.unique(trigrams, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, place, times)
+    return dict(zip(found.tolist(), sums.tolist()))
+
+
+def _decode_letters(observed: str, costs: list[float]) -> list[str]:
+    """`decode` of letters of the alphabet, none three times in a row: the two paths that a pair of
+    equal letters opens meet again after the next letter, so one comparison settles the pair."""
+    a = b = EDGE
+    cost, last, kept, drop = 0.0, "", [], None  # drop: cost and letter before, if the pair is one letter
+    for char in (*observed, ""):
+        code = CODE[char] if char else EDGE
+        longer = cost + costs[(a * WIDTH + b) * WIDTH + code]
+        if drop:
+            shorter = drop[0] + costs[(drop[1] * WIDTH + b) * WIDTH + code]
+            if shorter < longer:
+                kept.pop()
+                longer = shorter
+        drop = (cost + REPEAT, a) if char == last else None
+        cost, a, b, last = longer, b, code, char
+        kept.append(char)
+    return ["".join(kept)]
+
+
 def decode(observed: str, costs: list[float]) -> list[str]:
     """Viterbi: the words of the cheapest path through the lattice of an observed token."""
+    if PAIRS_AT_MOST.fullmatch(observed):
+        return _decode_letters(observed, costs)
     beam: dict[int, tuple[float, tuple]] = {EDGE * WIDTH + EDGE: (0.0, ())}
     last = ""
     for char in observed:
@@ -268,11 +310,10 @@ def _tri_counts(lists: Iterable[list[str]], counts: Counter) -> None:
     words: Counter = Counter()
     for tokens in lists:
         words.update(set(tokens))
+    stripped: Counter = Counter()
     for word, n in words.items():
-        word = word.strip(".,;:!?\"'()")
-        if word.isalpha():
-            for code in trigram_codes(word):
-                counts[code] += n
+        stripped[word.strip(".,;:!?\"'()")] += n
+    counts.update(trigram_counts(stripped))
 
 
 def _letters_and_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,18 +338,24 @@ MARKS = ["doc_id", "toxic", "mark", "code", "n"]
 def _least_shingles(lists: list[list[str]]) -> list[int]:
     """The least hash of three words of each text; equal in most copies of a text."""
     lists = [words or [""] for words in lists]
-    codes = {w: xxhash.xxh64_intdigest(w) for w in {w for words in lists for w in words}}
-    look = codes.__getitem__
-    out = []
-    for words in lists:
-        h = np.fromiter(map(look, words), np.uint64, len(words))
-        span = min(3, len(words))
-        mixed = np.zeros(len(words) - span + 1, np.uint64)
+    codes = {w: xxhash.xxh64_intdigest(w) for w in set().union(*lists)}
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    h = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(len(lists), np.uint64)
+    for span in (1, 2, 3):  # fewer words than three are one shingle
+        mine = np.flatnonzero(sizes >= 3 if span == 3 else sizes == span)
+        if not len(mine):
+            continue
+        mixed = np.zeros(len(h) - span + 1, np.uint64)
         for k in range(span):
-            mixed = (mixed ^ h[k : len(words) - span + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ h[k : len(h) - span + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-        out.append(int(mixed.min() >> np.uint64(1)))
-    return out
+        cuts = np.stack([starts[mine], starts[mine] + sizes[mine] - span + 1], axis=1).ravel()
+        if cuts[-1] == len(mixed):
+            cuts = cuts[:-1]
+        out[mine] = np.minimum.reduceat(mixed, cuts)[::2]
+    return (out >> np.uint64(1)).tolist()
 
 
 def _logit(share: float) -> float:

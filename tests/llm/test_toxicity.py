@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +145,26 @@ def test_joined_tables_give_the_same_model(spark, model, monkeypatch):
     other = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS))
     assert (other.evidence, other.known, other.costs) == (model.evidence, model.known, model.costs)
     assert other.slope == pytest.approx(model.slope) and other.offset == pytest.approx(model.offset)
+
+
+def test_pairs_of_letters_decode_like_any_lattice(monkeypatch):
+    """The short way through words with pairs of letters equals the whole lattice."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abbl\u00e9\u00ef", k=draw.randrange(1, 12))) for _ in range(800)]
+    counts = toxicity.trigram_counts({w: 1 + len(w) for w in words[:300]})
+    costs = toxicity.letter_costs(counts)
+    short = [toxicity.decode(w, costs) for w in words]
+    monkeypatch.setattr(toxicity, "PAIRS_AT_MOST", re.compile(r"(?!)"))
+    assert short == [toxicity.decode(w, costs) for w in words]
+
+
+def test_trigrams_and_marks_of_many_words():
+    words = {"abc": 2, "d": 5, "\u00e9t\u00e9": 1, "x\u4e00": 7, "a1": 3}
+    by_word = Counter()
+    for word, n in words.items():
+        for code in toxicity.trigram_codes(word):
+            by_word[code] += n
+    assert toxicity.trigram_counts(words) == by_word
+    lists = [[], ["a"], ["a", "b"], ["a", "b", "c"], list("abcdef"), [], ["z"]]
+    assert toxicity._least_shingles(lists) == [toxicity._least_shingles([x])[0] for x in lists]
+    assert toxicity._least_shingles([]) == []
