@@ -10,9 +10,10 @@ Text is first cut at white space into chunks, of which few are distinct, and the
 runs on new chunks only: a chunk is a run of white space with the following run of other
 characters, and no match of the pattern crosses the end of a chunk.
 
-Memory: one slice, and what the last `CACHE` to twice as many distinct chunks, and pieces, of a
-task gave: number of ids, ids, ids as text, and the bytes that decoding them gives, so that texts
-are put together chunk by chunk.
+Memory: one slice, and what the last `CACHE` to twice as many distinct chunks, and pieces, of the
+tasks of a stage gave: the ids, and for the round trip their number, the ids as text, and the
+bytes that decoding them gives, so that texts are put together chunk by chunk. Tasks of the next
+stage drop it.
 
 Defined results: null text counts as empty and gives no ids; ids that are null or outside the
 vocabulary are an error on decoding; rows are independent, so repeated rows give equal results.
@@ -26,7 +27,6 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridwarden.llm.common import as_texts, id_text, slices
+from gridwarden.llm.common import as_texts, held, id_text, slices
 
 CACHE = 250_000
 # The code points of the Unicode property White_Space.
@@ -46,7 +46,8 @@ CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 DEAD, BORDER = -2, -1
 SLICE = 4 << 20  # bytes
 MANY = 64  # places of a rank that are worth arrays
-Entry = tuple[int, bytes, str, bytes]  # number of ids, ids, ids as text, bytes they decode to
+# Ids, and for the round trip: number of ids, ids, ids as text, bytes they decode to.
+Entry = bytes | tuple[int, bytes, str, bytes]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,10 +81,11 @@ class Recent(dict):
 
 
 class MergeReplay:
-    """Encoder and decoder for one rank table and split pattern."""
+    """Encoder and decoder for one rank table and split pattern; `both` if entries are to hold
+    what a round trip needs."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, both: bool = False):
+        self.ranks, self.both = ranks, both
         self.token = {i: data for data, i in ranks.items()}
         self.digits = {i: str(i) for i in self.token}
         self.chunks, self.pieces = Recent(), Recent()
@@ -226,7 +228,8 @@ class MergeReplay:
         return [tuple(flat[a:b]) for a, b in zip([0, *stops], stops)]
 
     def _entry(self, ids: tuple[int, ...]) -> Entry:
-        return len(ids), array("i", ids).tobytes(), self.joined(ids), self.decode(ids)
+        data = array("i", ids).tobytes()
+        return (len(ids), data, self.joined(ids), self.decode(ids)) if self.both else data
 
     def _learn(self, chunks: list[str]) -> None:
         """Give new chunks their entries."""
@@ -243,6 +246,8 @@ class MergeReplay:
         for chunk, parts in zip(chunks, cut):
             if len(parts) == 1:
                 self.chunks[chunk] = self.pieces[parts[0]]
+            elif not self.both:
+                self.chunks[chunk] = b"".join(map(self.pieces.__getitem__, parts))
             else:
                 counts, ids, texts, data = zip(*map(self.pieces.__getitem__, parts))
                 self.chunks[chunk] = sum(counts), b"".join(ids), " ".join(texts), b"".join(data)
@@ -259,7 +264,7 @@ class MergeReplay:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for entries in self.entries(texts):
-            yield array("i", b"".join([e[1] for e in entries])).tolist()
+            yield array("i", b"".join([e[1] for e in entries] if self.both else entries)).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -268,9 +273,8 @@ class MergeReplay:
         return " ".join(map(self.digits.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def _replayer(path: str, pattern: str) -> MergeReplay:
-    return MergeReplay(read_ranks(path), pattern)
+def _replayer(path: str, pattern: str, both: bool = False) -> MergeReplay:
+    return MergeReplay(read_ranks(path), pattern, both)
 
 
 def encode(
@@ -279,9 +283,9 @@ def encode(
     """doc_id and ids (array of int) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _replayer(path, pattern)
+        coder = held(_replayer, path, pattern)
         for part in slices(batches, SLICE):
-            ids = [b"".join([e[1] for e in entries]) for entries in coder.entries(as_texts(part))]
+            ids = list(map(b"".join, coder.entries(as_texts(part))))
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
             lists = pa.ListArray.from_arrays(
                 pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32))
@@ -295,7 +299,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and data (bytes) of every row of doc_id, ids; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _replayer(path, pattern)
+        coder = held(_replayer, path, pattern)
         for batch in batches:
             data = [coder.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -312,7 +316,7 @@ def round_trip_digests(
     decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _replayer(path, pattern)
+        coder = held(_replayer, path, pattern, True)
         for part in slices(batches, SLICE):
             counts, of_ids, of_data = [], [], []
             for entries in coder.entries(as_texts(part)):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +28,47 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+_held: dict[tuple, object] = {}  # what tasks of a stage leave to later ones in the same worker
+
+
+def _stage() -> int | None:
+    context = TaskContext.get()
+    return context.stageId() if context else None
+
+
+def held(make: Callable, *args):
+    """`make(*args)`, made once by a Python worker for all tasks of a stage."""
+    key = (_stage(), make, args)
+    if key not in _held:
+        _held[key] = make(*args)
+    return _held[key]
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], object]:
+    """The C library's call that gives free memory back, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: None
+
+
+def release() -> None:
+    """Drops what tasks of other stages held, and gives free memory back: a worker serves all
+    stages of a session, so that what each of them leaves would add up."""
+    stage = _stage()
+    for key in [k for k in _held if k[0] != stage]:
+        del _held[key]
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES, text: str = "text"
 ) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds at most `max_bytes` of text, or one row beyond that."""
+    """Cut batches so that a slice holds at most `max_bytes` of text, or one row beyond that.
+    A task that begins or ends with this keeps no memory of earlier ones."""
+    release()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
@@ -39,6 +79,7 @@ def slices(
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def as_bytes(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:

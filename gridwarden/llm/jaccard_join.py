@@ -49,6 +49,7 @@ from gridwarden.llm.common import as_bytes, id_text, join_split_hot, slices
 from gridwarden.llm.components import components
 from gridwarden.session import broadcast_if_small, written
 
+SLICE = 4 << 20  # bytes of text
 TILE_SHINGLES = 500_000
 TILE_ROWS = 256
 SKETCH_SHINGLES = 4_000_000  # of the sketches of a tile, one or two bits each
@@ -179,7 +180,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             sets = shingle_sets(as_bytes(part), size)
             at = np.concatenate([np.empty(0, np.uint64), *sets]) & np.uint64(COUNTERS - 1)
             counts += np.bincount(at.astype(np.int64), minlength=COUNTERS)
@@ -215,7 +216,7 @@ def _sets(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             ids = part.column("doc_id")
             nodes, counts, sketches, lengths, keys = [], [], [], [0], []
             for doc_id, shingles in zip(ids.to_pylist(), shingle_sets(as_bytes(part), size)):
