@@ -14,6 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
+BATCH_BYTES = 8 << 20
+
+
+def sized(spark: SparkSession) -> None:
+    """Rows go to Python in batches of so many bytes: Spark's own limit is 64 MB, and each batch is
+    held several times, by the executor and by its Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -63,13 +70,18 @@ def release() -> None:
     _trim()(0)
 
 
+def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; a task that begins or ends with this keeps no memory of earlier ones."""
+    release()
+    yield from batches
+    release()
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES, text: str = "text"
 ) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds at most `max_bytes` of text, or one row beyond that.
-    A task that begins or ends with this keeps no memory of earlier ones."""
-    release()
-    for batch in batches:
+    """Cut batches so that a slice holds at most `max_bytes` of text, or one row beyond that, `alone`."""
+    for batch in alone(batches):
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         start = 0
@@ -79,7 +91,6 @@ def slices(
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
-    release()
 
 
 def as_bytes(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwarden.llm.common import as_bytes, id_text, slices
+from gridwarden.llm.common import alone, as_bytes, id_text, sized, slices
 from gridwarden.session import written
 
 CLASSES = 64
@@ -49,6 +50,7 @@ ROWS = (1 << 12, 1 << 12, 1 << 13)  # of the hashed features
 TABLE = 1 + sum(ROWS)
 ROUNDS = 3
 BATCH = 2048  # tokens a gradient step
+SPAN = 1 << 16  # tokens whose features are computed at a time
 RATE = 0.5
 WORDS_A_PART = 1_000_000  # sent to a part of the hash range
 CHUNKS = 16  # parts in which weights are averaged
@@ -83,6 +85,14 @@ def _stretch(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, count).T).view("<i4")[:, 0]
 
 
+class Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """One row a block: its documents as numbers of its distinct words, and training counts."""
 
@@ -90,13 +100,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             ids = part.column("doc_id")
             held = [is_held_out(i) for i in ids.to_pylist()]
-            lists = [t.lower().split() for t in as_bytes(part)]  # of bytes: A-Z, ASCII white space
-            lengths = np.array([len(words) for words in lists], dtype=np.int32)
-            codes: dict[bytes, int] = {}
-            number = codes.setdefault
-            flat = np.fromiter(
-                (number(w, len(codes)) for words in lists for w in words), np.int32, int(lengths.sum())
-            )
+            codes, flat, ends = Numbers(), array("i"), []
+            for text in as_bytes(part):
+                flat.extend(map(codes.__getitem__, text.lower().split()))  # of bytes: A-Z, ASCII white space
+                ends.append(len(flat))
+            lengths = np.diff(np.array(ends, dtype=np.int32), prepend=np.int32(0))
+            flat = np.frombuffer(flat, np.int32)
             # Numbers by falling frequency.
             order = np.argsort(-np.bincount(flat, minlength=len(codes)), kind="stable")
             rank = np.empty_like(order)
@@ -128,7 +137,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
     bounds = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in alone(batches):
             for block, words, counts in zip(*(batch.column(c) for c in ("block", "words", "counts"))):
                 words = words.values.to_numpy().view(np.uint64)
                 order = np.argsort(words)
@@ -149,7 +158,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
-        for batch in batches:
+        for batch in alone(batches):
             for nth, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 held.setdefault(nth, []).append(row)
         for nth, rows in held.items():
@@ -172,7 +181,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
                 )
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in alone(batches):
             marks, facts = [], []
             for words, endings, found in zip(*(batch.column(c) for c in ("words", "endings", "found"))):
                 words = words.values.to_numpy()
@@ -231,20 +240,24 @@ class Block:
         self.ends = np.cumsum(self.sizes)
         is_word = np.ones(int(self.ends[-1]), bool)
         is_word[self.ends - 1] = False
-        self.code = np.full(len(is_word), -1, np.int64)
+        self.code = np.full(len(is_word), -1, np.int32)
         self.code[is_word] = codes
-        self.classes = np.full(len(is_word), END, np.int64)
-        self.classes[is_word] = self.word_class[codes]
-        mark = np.full(len(is_word), 0x1234567, np.int64)
-        mark[is_word] = hashes[codes]
-        nth = np.arange(len(is_word)) - np.repeat(self.ends - self.sizes, self.sizes)
-        one = np.where(nth >= 1, np.roll(mark, 1), 1)
-        two = np.where(nth >= 2, np.roll(mark, 2), 2)
-        both = (one * 0x9E3779B1 + two * 0x85EBCA6B) >> 13
+        self.classes = np.full(len(is_word), END, np.int8)
+        self.classes[is_word] = self.word_class.astype(np.int8)[codes]
+        mark = np.full(len(is_word), 0x1234567, np.int32)
+        mark[is_word] = hashes.astype(np.int32)[codes]
+        first = self.ends - self.sizes
+        one, two = np.roll(mark, 1), np.roll(mark, 2)
+        one[first] = 1
+        two[first] = 2
+        two[first[self.sizes > 1] + 1] = 2
         self.features = np.empty((3, len(is_word)), np.int32)
         self.features[0] = 1 + one % ROWS[0]
         self.features[1] = 1 + ROWS[0] + two % ROWS[1]
-        self.features[2] = 1 + ROWS[0] + ROWS[1] + both % ROWS[2]
+        for start in range(0, len(mark), SPAN):  # the products need 64 bits
+            at = slice(start, start + SPAN)
+            both = (one[at] * np.int64(0x9E3779B1) + two[at] * np.int64(0x85EBCA6B)) >> 13
+            self.features[2, at] = 1 + ROWS[0] + ROWS[1] + both % ROWS[2]
 
 
 def _log_shares(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -287,7 +300,7 @@ def _train_round(blocks: DataFrame, weights: np.ndarray, tokens: int) -> np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, squares, seen = weights.copy(), np.full(TABLE, 1.0, np.float32), 0
-        for batch in batches:
+        for batch in alone(batches):
             for row in range(batch.num_rows):
                 seen += _descend(mine, squares, Block(batch, row, tokens))
         if seen:  # changes as 16-bit numbers: they are what is shuffled, and many rows have none
@@ -296,7 +309,7 @@ def _train_round(blocks: DataFrame, weights: np.ndarray, tokens: int) -> np.ndar
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[int, np.ndarray]] = {}
-        for batch in batches:
+        for batch in alone(batches):
             for chunk, seen, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 before = sums.get(chunk, (0, 0.0))
                 mine = np.frombuffer(data, np.float16).astype(np.float64) * seen
@@ -324,7 +337,7 @@ def _class_totals(blocks: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, CLASSES), np.int64)
-        for batch in batches:
+        for batch in alone(batches):
             for row in range(batch.num_rows):
                 block = Block(batch, row, tokens, words_only=True)
                 known = block.first & (block.c > 0)
@@ -374,6 +387,7 @@ def _token_scores(block: Block, c: np.ndarray, weights: np.ndarray, class_size:
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Train on the documents that are not held out and score all: doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score (both log10 of the probability of the text)."""
+    sized(docs.sparkSession)
     raw = _blocks(id_text(docs, id_col, text_col))
     used = raw.select(
         F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("words"),
@@ -390,10 +404,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == nth)
         weights = _train_round(mine, weights, tokens)
 
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_total = tokens + 0.5 * (distinct + 1)
-        for batch in batches:
+        for batch in alone(batches):
             for row in range(batch.num_rows):
                 block = Block(batch, row, tokens)
                 c = np.where(block.code < 0, ends, block.c[block.code] if len(block.c) else 0)
