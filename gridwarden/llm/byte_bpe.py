@@ -44,8 +44,9 @@ WHITE_SPACE = (
 )
 CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 DEAD, BORDER = -2, -1
+NO_KEY = (1 << 63) - 1  # of no pair, after all others
 SLICE = 4 << 20  # bytes
-MANY = 64  # places of a rank that are worth arrays
+MANY = 400  # places of a rank that are worth arrays
 # Ids, and for the round trip: number of ids, ids, ids as text, bytes they decode to.
 Entry = bytes | tuple[int, bytes, str, bytes]
 
@@ -91,29 +92,28 @@ class MergeReplay:
         self.chunks, self.pieces = Recent(), Recent()
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(pattern).findall
-        self.pairs: dict[int, int] = {}
-
-    def _merged(self, left: int, right: int) -> int:
-        """Id of the token that the pair merges to, which is its rank; -1 if there is none."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.ranks.get(self.token[left] + self.token[right], -1)
-            if len(self.pairs) < 2_000_000:
-                self.pairs[key] = found
-        return found
+        self.pairs = self._pairs()
+        self.keys = np.array([*sorted(self.pairs), NO_KEY], np.int64)
+        self.merged = np.array([*map(self.pairs.__getitem__, self.keys[:-1].tolist()), -1], np.int64)
+
+    def _pairs(self) -> dict[int, int]:
+        """All pairs of tokens that merge: to the id of the token, which is its rank."""
+        known, pairs = self.ranks.get, {}
+        for data, rank in self.ranks.items():
+            for cut in range(1, len(data)):
+                left = known(data[:cut])
+                if left is not None:
+                    right = known(data[cut:])
+                    if right is not None:
+                        pairs[left << 32 | right] = rank
+        return pairs
 
     def _merged_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The same for arrays of ids; -1 also where an id is none."""
+        """Ids that pairs merge to; -1 where they do not, or an id is none."""
         keys = left.astype(np.int64) << 32 | right.astype(np.int64)
         keys[(left < 0) | (right < 0)] = -1
-        pairs, which = np.unique(keys, return_inverse=True)
-        known, merged = self.pairs.get, self._merged
-        found = []
-        for key in pairs.tolist():
-            rank = -1 if key < 0 else known(key)
-            found.append(merged(key >> 32, key & 0xFFFFFFFF) if rank is None else rank)
-        return np.array(found, np.int64)[which]
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.merged[at], -1)
 
     def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Token ids of every piece.
@@ -121,7 +121,7 @@ class MergeReplay:
         `index` leads from the rank of a pair to its places. A rank with many places is merged
         at all pieces that have it once in one go, which no other place can disturb; other
         places are merged one after the other."""
-        known, merged = self.pairs.get, self._merged
+        known = self.pairs.get
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
         ends = np.cumsum(sizes)
         size = int(ends[-1]) if len(ends) else 0
@@ -134,21 +134,22 @@ class MergeReplay:
         before = array("i", np.arange(-1, size - 1, dtype=np.int32).tobytes())
         all_ids, all_after, all_before = (np.frombuffer(x, np.int32) for x in (ids, after, before)) if size else [view] * 3
         piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
-        index: dict[int, array] = {}
+        index: dict[int, list[int]] = {}
         ranks: list[int] = []
 
         def enter(places: np.ndarray, found: np.ndarray) -> None:
             """Into the index, but for places without a rank."""
             has = np.flatnonzero(found >= 0)
             has = has[np.argsort(found[has], kind="stable")]
-            found, places = found[has], places[has].astype(np.int32)
+            found, places = found[has], places[has]
             starts = np.flatnonzero(np.diff(found, prepend=-1))
             for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(found)]):
                 rank = int(found[start])
-                if rank not in index:
-                    index[rank] = array("i")
+                if rank in index:
+                    index[rank] += places[start:stop].tolist()
+                else:
+                    index[rank] = places[start:stop].tolist()
                     heapq.heappush(ranks, rank)
-                index[rank].frombytes(places[start:stop].tobytes())
 
         if size:
             enter(np.arange(size - 1), self._merged_all(all_ids[:-1], all_ids[1:]))
@@ -158,14 +159,14 @@ class MergeReplay:
             if places is None:
                 continue
             if len(places) >= MANY:
-                at = np.unique(np.frombuffer(places, np.int32))
-                at = at[all_ids[at] >= 0]
+                at = np.sort(np.array(places, np.int32))
+                at = at[(np.diff(at, prepend=-1) != 0) & (all_ids[at] >= 0)]
                 gone = all_after[at]
                 at = at[self._merged_all(all_ids[at], all_ids[gone]) == rank]
-                of = piece_of[at]
-                _, nth, times = np.unique(of, return_inverse=True, return_counts=True)
-                places = array("i", at[times[nth] > 1].tobytes())
-                at = at[times[nth] == 1]
+                other = np.diff(piece_of[at], prepend=-1, append=-1) != 0
+                once = other[:-1] & other[1:]
+                places = at[~once].tolist()
+                at = at[once]
                 gone = all_after[at]
                 follow = all_after[gone]
                 all_ids[at], all_ids[gone] = rank, DEAD
@@ -175,7 +176,7 @@ class MergeReplay:
                 new = self._merged_all(np.full(len(at), rank, np.int32), all_ids[follow])
                 enter(at, new)
                 enter(ahead, self._merged_all(left, np.full(len(at), rank, np.int32)))
-            places = sorted(places)
+            places.sort()
             for nth, at in enumerate(places):
                 left = ids[at]
                 if left < 0:
@@ -183,8 +184,7 @@ class MergeReplay:
                 gone = after[at]
                 right = ids[gone]
                 if right < 0 or known(left << 32 | right) != rank:
-                    if right < 0 or merged(left, right) != rank:
-                        continue  # a merge before this one changed the pair
+                    continue  # a merge before this one changed the pair
                 ids[at], ids[gone] = rank, DEAD
                 follow = after[gone]
                 after[at] = follow
@@ -193,32 +193,25 @@ class MergeReplay:
                 right = ids[follow]
                 if right >= 0:
                     new = known(rank << 32 | right)
-                    if new is None:
-                        new = merged(rank, right)
-                    if new >= 0:
+                    if new is not None:
                         if new in index:
                             index[new].append(at)
                         else:
-                            index[new] = array("i", [at])
+                            index[new] = [at]
                             heapq.heappush(ranks, new)
                         lower = new < rank
                 ahead = before[at]
                 if ahead >= 0 and ids[ahead] >= 0:
                     new = known(ids[ahead] << 32 | rank)
-                    if new is None:
-                        new = merged(ids[ahead], rank)
-                    if new >= 0:
+                    if new is not None:
                         if new in index:
                             index[new].append(ahead)
                         else:
-                            index[new] = array("i", [ahead])
+                            index[new] = [ahead]
                             heapq.heappush(ranks, new)
                         lower = lower or new < rank
                 if lower:  # the new pair goes first
-                    if rank in index:
-                        index[rank].extend(places[nth + 1 :])
-                    else:
-                        index[rank] = array("i", places[nth + 1 :])
+                    index[rank] = index.get(rank, []) + places[nth + 1 :]
                     heapq.heappush(ranks, rank)
                     break
         kept = all_ids[all_ids >= 0]
@@ -229,7 +222,11 @@ class MergeReplay:
 
     def _entry(self, ids: tuple[int, ...]) -> Entry:
         data = array("i", ids).tobytes()
-        return (len(ids), data, self.joined(ids), self.decode(ids)) if self.both else data
+        if not self.both:
+            return data
+        if len(ids) == 1:
+            return 1, data, self.digits[ids[0]], self.token[ids[0]]
+        return len(ids), data, self.joined(ids), self.decode(ids)
 
     def _learn(self, chunks: list[str]) -> None:
         """Give new chunks their entries."""
@@ -317,7 +314,7 @@ def round_trip_digests(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(_replayer, path, pattern, True)
-        for part in slices(batches, SLICE):
+        for part in slices(batches, 2 * SLICE):  # the larger, the more places has a rank
             counts, of_ids, of_data = [], [], []
             for entries in coder.entries(as_texts(part)):
                 number, _, texts, data = zip(*entries) if entries else ((), (), (), ())

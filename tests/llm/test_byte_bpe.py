@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from gridwarden.llm import byte_bpe
 from gridwarden.llm.byte_bpe import MergeReplay, decode, encode, read_ranks, round_trip_digests
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,3 +72,37 @@ def test_whole_table(spark, sf_dir):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_pairs_are_all_known_before_the_first_text():
+    """A pair merges exactly if its bytes are a token; looking up needs no bytes and adds no entries."""
+    coder = MergeReplay(RANKS, public_tokenizers.PATTERN)
+    draw, known = random.Random(5), len(coder.pairs)
+    left, right = (np.array([draw.choice(list(coder.token)[:900]) for _ in range(20_000)]) for _ in range(2))
+    want = [RANKS.get(coder.token[a] + coder.token[b], -1) for a, b in zip(left.tolist(), right.tolist())]
+    assert coder._merged_all(left, right).tolist() == want and max(want) > 0
+    assert coder._merged_all(np.array([-1, -2, 5]), np.array([5, 5, -1])).tolist() == [-1] * 3
+    words = ["".join(draw.choices("etaoin shrdlu", k=9)) for _ in range(500)]
+    assert list(coder.encode(words)) == [LIBRARY.encode_ordinary(w) for w in words]
+    assert len(coder.pairs) == known
+
+
+def test_single_merges_need_few_array_calls(monkeypatch):
+    """Ranks with a few hundred places are merged place by place: array calls would take longer."""
+    coder = MergeReplay(RANKS, public_tokenizers.PATTERN)
+    calls, merge = [], coder._merged_all
+    monkeypatch.setattr(coder, "_merged_all", lambda *a: calls.append(1) or merge(*a))
+    draw = random.Random(6)
+    pieces = sorted({"".join(draw.choices("etaoinshrdlu", k=7)) for _ in range(600)})
+    got = coder.replay([p.encode() for p in pieces])
+    assert [list(ids) for ids in got] == [LIBRARY.encode_ordinary(p) for p in pieces]
+    assert len(calls) < 20
+
+
+@pytest.mark.parametrize("many", [2, 10**9])
+def test_places_one_by_one_and_by_arrays(monkeypatch, many):
+    monkeypatch.setattr(byte_bpe, "MANY", many)
+    coder = MergeReplay(RANKS, public_tokenizers.PATTERN)
+    draw = random.Random(7)
+    texts = ["".join(draw.choices("aabno", k=draw.randrange(1, 40))) for _ in range(3_000)]
+    assert list(coder.encode(texts)) == [LIBRARY.encode_ordinary(t) for t in texts]
