@@ -102,6 +102,16 @@ def as_texts(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return pc.fill_null(batch.column(text), "").to_pylist()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as one plane a byte: planes of zeros take no room when compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(rows.T).view(kind).ravel()
+
+
 HOT_SHARE = 1_000  # a key with one of so many rows is hot, so there are at most as many hot keys
 
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination by a positional inverted index over the training corpus.
 
 The index is cut by documents: a shard is a bounded run of documents with the posting list of
-every term in it, written once as a table. Searching sends test windows to the shards. For
+every term in it, written once as a table with a file a shard. Searching sends test windows to the shards. For
 each window whose terms all occur in a shard, the offset-adjusted posting lists are intersected
 from the rarest term on, so most windows end at an empty or tiny list. What remains are exact
 phrase matches; with `slop` they are ordered proximity matches, where up to `slop` other words
@@ -18,24 +18,24 @@ take no part; equal items match alike. A match never crosses the end of a docume
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwarden.llm.common import as_bytes, id_text, slices
+from gridwarden.llm.common import alone, as_bytes, from_planes, id_text, planes, sized, slices
 from gridwarden.session import broadcast_if_small, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 HITS_BROADCAST = 200_000  # ids: under 4 MB
-INDEX_SCHEMA = (
-    "shard string, doc_ids array<long>, doc_ends array<int>, terms array<binary>, "
-    "term_ends array<int>, steps array<int>"
-)
+# Terms are joined by blanks; doc_ends, times and steps are planes of int32.
+INDEX_SCHEMA = "shard string, doc_ids array<long>, doc_ends binary, terms binary, times binary, steps binary"
 MATCHES = "matches array<struct<item_id: long, first: int, last: int>>"
 # Words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z count as a-z.
 _TO_WORDS = bytes(
@@ -50,37 +50,38 @@ def words_of(data: bytes) -> list[bytes]:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write and return the index: one row a shard. Positions of a term are stored as steps."""
+    sized(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            lists = [words_of(t) for t in as_bytes(part)]
+            codes: defaultdict[bytes, int] = defaultdict(count().__next__)
+            lists = [
+                np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+                for words in map(words_of, as_bytes(part))
+            ]
             ends = np.cumsum([len(w) for w in lists], dtype=np.int64)
-            codes: dict[bytes, int] = {}
-            number = codes.setdefault
-            flat = np.fromiter(
-                (number(w, len(codes)) for words in lists for w in words), np.int32, int(ends[-1])
-            )
+            flat = np.concatenate(lists)
             order = np.argsort(flat, kind="stable").astype(np.int32)
-            term_ends = np.cumsum(np.bincount(flat, minlength=len(codes)))
+            times = np.bincount(flat, minlength=len(codes))
             steps = np.diff(order, prepend=np.int32(0))
-            firsts = np.concatenate([[0], term_ends[:-1]]).astype(np.int64)[: len(codes)]
+            firsts = np.cumsum(times) - times
             steps[firsts] = order[firsts]  # a list starts with its first position
-            one = lambda values, kind: pa.ListArray.from_arrays(
-                pa.array([0, len(values)], pa.int32()), pa.array(values, kind)
-            )
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([uuid.uuid4().hex]),
-                    one(part.column("doc_id"), pa.int64()),
-                    one(ends.astype(np.int32), pa.int32()),
-                    one(list(codes), pa.binary()),
-                    one(term_ends.astype(np.int32), pa.int32()),
-                    one(steps, pa.int32()),
+                    pa.ListArray.from_arrays(
+                        pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")
+                    ),
+                    pa.array([planes(ends.astype(np.int32))], pa.binary()),
+                    pa.array([b" ".join(codes)], pa.binary()),
+                    pa.array([planes(times.astype(np.int32))], pa.binary()),
+                    pa.array([planes(steps)], pa.binary()),
                 ],
-                names=["shard", "doc_ids", "doc_ends", "terms", "term_ends", "steps"],
+                names=["shard", "doc_ids", "doc_ends", "terms", "times", "steps"],
             )
 
-    return written(id_text(docs, id_col, text_col).mapInArrow(run, INDEX_SCHEMA), "postings")
+    rows = id_text(docs, id_col, text_col).mapInArrow(run, INDEX_SCHEMA)
+    return written(rows, "postings", rows_per_file=1)
 
 
 class Windows:
@@ -108,8 +109,8 @@ class Shard:
         self.doc_ends = row["doc_ends"]
         self.lists: list[np.ndarray] = [np.empty(0, np.int32)] * len(terms)
         self.counts = np.zeros(len(terms), dtype=np.int64)
-        start, steps, ends = 0, row["steps"], row["term_ends"]
-        for nth, term in enumerate(row["terms"]):
+        steps, ends = row["steps"], np.cumsum(row["times"], dtype=np.int64)
+        for nth, term in enumerate(row["terms"].split()):
             at = terms.get(term)
             if at is not None:
                 start = ends[nth - 1] if nth else 0
@@ -194,13 +195,13 @@ def _search(row: dict, windows: Windows, slop: int) -> dict[int, dict[int, list[
 
 def _search_block(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in alone(batches):
             for nth in range(batch.num_rows):
                 row = {
-                    name: batch.column(name)[nth].values.to_numpy(zero_copy_only=False)
-                    for name in ("doc_ends", "term_ends", "steps")
+                    name: from_planes(batch.column(name)[nth].as_py(), np.int32)
+                    for name in ("doc_ends", "times", "steps")
                 }
-                row["terms"] = batch.column("terms")[nth].values.to_pylist()
+                row["terms"] = batch.column("terms")[nth].as_py()
                 hits = _search(row, windows, slop)
                 starts = np.concatenate([[0], row["doc_ends"][:-1]]).tolist()
                 found = [

@@ -55,13 +55,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/gridwarden/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, so lost executors cost one stage."""
+def written(
+    df: DataFrame, name: str, partition_by: list[str] | None = None, rows_per_file: int | None = None
+) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, so lost executors cost one stage.
+
+    A file is written and read by row groups of up to 128 MB, which tasks hold whole. Tables with
+    rows of megabytes are cut into files of few rows, so that a task holds no more than these."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridwarden.llm import decontaminate
 from gridwarden.llm.decontaminate import ITEMS, N_HIT, contamination, without_matches
@@ -89,3 +90,15 @@ def test_empty_tables_and_filter(spark):
     assert [r[2] for r in run(contamination(some, items.limit(0)))] == [0, 0]
     left = without_matches(some, items)
     assert left.columns == some.columns and [r.doc_id for r in left.collect()] == [2]
+
+
+def test_a_file_of_the_index_holds_one_shard(spark, monkeypatch):
+    """A task reads the row groups of a file whole."""
+    real = decontaminate.slices
+    monkeypatch.setattr(decontaminate, "slices", lambda b: real(b, 200))
+    docs, items = make(5)
+    index = decontaminate.build_index(spark.createDataFrame(docs, DOCS).coalesce(1))
+    shards = index.groupBy(F.input_file_name()).count().collect()
+    assert len(shards) > 10 and {r["count"] for r in shards} == {1}
+    found = decontaminate.search_index(index, spark.createDataFrame(items, TEST_ITEMS), window=3)
+    assert run(found) == brute_force(docs, items, 3)
