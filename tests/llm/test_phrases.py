@@ -8,6 +8,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gridwarden.llm import phrases, queries
 
@@ -137,3 +138,37 @@ def test_ids_without_partners():
 
 def test_query_is_registered():
     assert queries.QUERIES["op11_phrases"] and queries.ORACLE["op11_phrases"]
+
+
+def test_tables_of_blocks_are_small_files_of_binaries(spark, monkeypatch):
+    """A task reads the row groups of a file whole, and arrays take many times their size."""
+    made, keep = {}, phrases.written
+
+    def watched(df, name, **options):
+        made[name] = keep(df, name, **options)
+        return made[name]
+
+    monkeypatch.setattr(phrases, "written", watched)
+    docs = spark.createDataFrame([("a b c. d " * 100_000, "en", 1, "x")] * 24, SCHEMA).coalesce(1)
+    found = {r.phrase: r.a for r in phrases.collocations(docs).collect()}
+    assert found == {"d a b c": 24 * 99_999}
+    for name in ("phrase-blocks", "phrase-blocks-1", "phrase-blocks-2", "phrase-blocks-3"):
+        files = [r["count"] for r in made[name].groupBy(F.input_file_name()).count().collect()]
+        assert sum(files) > phrases.BLOCKS_A_FILE >= max(files)
+        assert [c for c, kind in made[name].dtypes if kind.startswith("array") and c != "langs"] == []
+
+
+def test_sums_of_pairs():
+    draw = np.random.default_rng(8)
+    parts = [(np.sort(draw.choice(90, 40, replace=False)) << 32, draw.integers(1, 9, 40)) for _ in range(3)]
+    want = Counter()
+    for keys, counts in parts:
+        want.update(dict(zip(keys.tolist(), counts.tolist())))
+    keys, counts = phrases._summed(*zip(*parts))
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and sorted(want) == keys.tolist()
+    got = {}
+    for row in phrases._dealt(keys, counts, 7).to_pylist():
+        back = np.cumsum(phrases.from_planes(row["keys"], np.int64)).tolist()
+        got.update(zip(back, phrases.from_planes(row["counts"], np.int64).tolist()))
+        assert 0 <= row["nth"] < 7
+    assert got == want
