@@ -2,8 +2,9 @@
 
 A table of at most `ONE_TASK` distinct edges, counted, is solved by one task, whose memory that
 number bounds. Larger tables are contracted by alternating large and small stars. Every round is
-a few joins on tables in the shared folder; no node's neighbours are gathered, as minima are
-aggregated before the shuffle and joined back in a join that may be split.
+a few joins on tables in the shared folder, which go as soon as the next one is written; no node's
+neighbours are gathered, as minima are aggregated before the shuffle and joined back in a join that
+may be split.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.llm.common import union_find
-from gridwarden.session import written
+from gridwarden.session import dropped, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -48,12 +49,12 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _star(edges: DataFrame, name: str) -> DataFrame:
-    """Every (u, v) becomes (v, m), m the least neighbour of u or u itself."""
+def _star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Every (u, v) becomes (v, m), m the least neighbour of u or u itself; and the table of m."""
     least = written(
         edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least"
     )
-    return edges.join(least, "u")
+    return edges.join(least, "u"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,18 +70,25 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = _fingerprint(now)
     if mark[0] <= ONE_TASK:
-        return written(now.coalesce(1).mapInArrow(_solve, "node long, component long"), "components")
+        found = written(now.coalesce(1).mapInArrow(_solve, "node long, component long"), "components")
+        dropped(now)
+        return found
     while True:
         both = now.selectExpr("a AS u", "b AS v").union(now.selectExpr("b AS u", "a AS v"))
-        large = _star(both, "large").where("v > u").selectExpr("v AS a", "m AS b")
+        joined, least = _star(both, "large")
+        large = joined.where("v > u").selectExpr("v AS a", "m AS b")
         large = written(large.where("a <> b").distinct(), "large")
+        dropped(now, least)
         down = large.selectExpr("a AS u", "b AS v")
-        joined = _star(down, "small")
+        joined, least = _star(down, "small")
         small = joined.selectExpr("v AS a", "m AS b").union(joined.selectExpr("u AS a", "m AS b"))
         now = written(small.where("a <> b").distinct(), "small")
+        dropped(large, least)
         after = _fingerprint(now)
         if after == mark:
             break
         mark = after
     roots = now.selectExpr("b AS node", "b AS component").distinct()
-    return now.selectExpr("a AS node", "b AS component").union(roots)
+    found = written(now.selectExpr("a AS node", "b AS component").union(roots), "components")
+    dropped(now)
+    return found

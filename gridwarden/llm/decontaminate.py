@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.llm.common import alone, as_bytes, from_planes, id_text, planes, sized, slices
-from gridwarden.session import broadcast_if_small, written
+from gridwarden.session import broadcast_if_small, dropped, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -274,10 +274,12 @@ def without_matches(
 ) -> DataFrame:
     """The documents without a match, with all columns. Rows without an id are searched too and
     stay or go together, as rows that share an id do."""
-    found = search_index(build_index(docs, id_col, text_col), items, **options)
+    index = build_index(docs, id_col, text_col)
+    found = search_index(index, items, **options)
     hit = written(
         found.where(F.size("matches") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "hits"
     )
+    dropped(index)
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__hit"))
     return docs.join(broadcast_if_small(hit, HITS_BROADCAST), same, "left_anti")
 

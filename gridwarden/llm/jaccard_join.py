@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.llm.common import as_bytes, id_text, join_split_hot, slices
 from gridwarden.llm.components import components
-from gridwarden.session import broadcast_if_small, written
+from gridwarden.session import broadcast_if_small, dropped, shuffles_go, written
 
 SLICE = 4 << 20  # bytes of text
 TILE_SHINGLES = 500_000
@@ -291,7 +292,7 @@ def _repeated_prints(sets: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _shared_keys(sets: DataFrame) -> DataFrame:
-    """(node, key) for all keys that occur more than once, and some others.
+    """(node, key) for all keys that occur more than once, and some others, written.
 
     Nearly all keys occur once. Sorted prints of the keys, two or three bytes each, are shuffled
     to find those that repeat; they are marked in a table of bits, by which the others are left
@@ -340,7 +341,9 @@ def _shared_keys(sets: DataFrame) -> DataFrame:
                 [pa.array(nodes[good]), pa.array(keys[good])], names=["node", "key"]
             )
 
-    return sets.where("size(keys) > 0").select("node", "keys").mapInArrow(keep, "node long, key long")
+    dropped(repeated)
+    rows = sets.where("size(keys) > 0").select("node", "keys")
+    return written(rows.mapInArrow(keep, "node long, key long"), "shared-keys")
 
 
 def compare(
@@ -462,16 +465,16 @@ def _compare_tiles(
     )
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Rows with the component that the links so far give their node."""
-    known = components(links).withColumnRenamed("component", "found")
-    return rows.join(known, "node", "left").withColumn(
+    return rows.join(known.withColumnRenamed("component", "found"), "node", "left").withColumn(
         "label", F.coalesce("found", "node")
     ).drop("found")
 
 
-def _cross_tiles(rows: DataFrame, tile_shingles: int, tile_rows: int) -> DataFrame:
-    """Tiles that bring each smaller component of a class together with the whole class."""
+def _cross_tiles(rows: DataFrame, tile_shingles: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles that bring each smaller component of a class together with the whole class; and the
+    table of blocks that they read."""
     labels = rows.groupBy("class", "label").agg(F.count("*").alias("n"))
     main = labels.groupBy("class").agg(
         F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")
@@ -485,7 +488,8 @@ def _cross_tiles(rows: DataFrame, tile_shingles: int, tile_rows: int) -> DataFra
             F.ceil(F.col("shingles") / tile_shingles), F.ceil(F.col("minors") / tile_rows)
         ).cast("int").alias("blocks"))
     )
-    rows = join_split_hot(rows, written(blocks, "class-blocks"), "class", "n").where("main IS NOT NULL")
+    blocks = written(blocks, "class-blocks")
+    rows = join_split_hot(rows, blocks, "class", "n").where("main IS NOT NULL")
     rows = rows.withColumn("minor", F.expr("label <> main"))
     block = "CAST(pmod(xxhash64(node, 3), blocks) AS INT)"
     own = "CAST(pmod(xxhash64(node, 1), tiles) AS INT)"
@@ -503,25 +507,35 @@ def _cross_tiles(rows: DataFrame, tile_shingles: int, tile_rows: int) -> DataFra
         .withColumn("x", F.expr("-1 - least(own, other)"))
         .withColumn("y", F.expr("greatest(own, other)"))
     )
-    return mains.select(*keep).union(minors.select(*keep)).union(pairs.select(*keep))
+    return mains.select(*keep).union(minors.select(*keep)).union(pairs.select(*keep)), blocks
 
 
-def _links(rows: DataFrame, tile_shingles: int, tile_rows: int, *options) -> DataFrame:
-    """A forest of links that connects what is linked in each class of (class, tiles, node,
-    n_shingles, text)."""
+def _linked(rows: DataFrame, tile_shingles: int, tile_rows: int, *options) -> DataFrame:
+    """node, component: what is linked in each class of (class, tiles, node, n_shingles, text)."""
     first = rows.withColumn("tile", F.expr("CAST(pmod(xxhash64(node, 1), tiles) AS INT)"))
     links = written(
         _compare_tiles(first.withColumn("label", F.col("node")), ["class", "tile"], *options), "links"
     )
     wide = rows.where("tiles > 1")
     if not wide.isEmpty():
-        again = _labelled(wide, links).withColumn(
+        known = components(links)
+        again = _labelled(wide, known).withColumn(
             "tile", F.expr("CAST(pmod(xxhash64(node, 2), tiles) AS INT)")
         )
-        links = links.union(written(_compare_tiles(again, ["class", "tile"], *options), "links"))
-        rest = _cross_tiles(written(_labelled(wide, links), "labelled"), tile_shingles, tile_rows)
-        links = links.union(written(_compare_tiles(rest, ["class", "x", "y"], *options), "links"))
-    return links
+        tables = [links, written(_compare_tiles(again, ["class", "tile"], *options), "links")]
+        dropped(known)
+        links = reduce(DataFrame.union, tables)
+        known = components(links)
+        labelled = written(_labelled(wide, known), "labelled")
+        rest, blocks = _cross_tiles(labelled, tile_shingles, tile_rows)
+        tables.append(written(_compare_tiles(rest, ["class", "x", "y"], *options), "links"))
+        dropped(known, labelled, blocks)
+        links = reduce(DataFrame.union, tables)
+    else:
+        tables = [links]
+    found = components(links)
+    dropped(*tables)
+    return found
 
 
 def _tiled(members: DataFrame, tile_shingles: int, tile_rows: int) -> DataFrame:
@@ -532,19 +546,26 @@ def _tiled(members: DataFrame, tile_shingles: int, tile_rows: int) -> DataFrame:
         ).cast("int").alias("tiles"),
         F.count("*").alias("n"),
     )
-    return written(join_split_hot(members, written(tiles, "class-tiles"), "class", "n"), "tile-members")
+    tiles = written(tiles, "class-tiles")
+    tiled = written(join_split_hot(members, tiles, "class", "n"), "tile-members")
+    dropped(tiles)
+    return tiled
 
 
 def _cut_by_sketches(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Members (of classes) with finer classes; those whose sketch is like no other are left out."""
+    """Members (of classes) with finer classes, written; those whose sketch is like no other are
+    left out."""
     members = _tiled(members.drop("tiles"), SKETCH_SHINGLES, SKETCH_ROWS)
     sketches = sets.select("doc_id", "node", F.col("sketch").alias("text")).join(
         broadcast_if_small(members, MEMBERS_BROADCAST), ["doc_id", "node"]
     )
     sketches = written(sketches.select("class", "tiles", "node", "n_shingles", "text"), "sketches")
-    finer = components(_links(sketches, SKETCH_SHINGLES, SKETCH_ROWS, num, den))
-    finer = finer.withColumnRenamed("component", "class")
-    return members.drop("class", "tiles").join(finer, "node")
+    finer = _linked(sketches, SKETCH_SHINGLES, SKETCH_ROWS, num, den)
+    dropped(sketches)
+    found = members.drop("class", "tiles").join(finer.withColumnRenamed("component", "class"), "node")
+    found = written(found, "class-members")
+    dropped(members, finer)
+    return found
 
 
 def shingle_classes(
@@ -558,36 +579,54 @@ def shingle_classes(
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """doc_id, n_shingles, node, component_id (the least id of the document's component)."""
-    docs = id_text(docs, id_col, text_col)
+    with shuffles_go(docs.sparkSession):
+        found, _ = _classes(id_text(docs, id_col, text_col), size, num, den, tile_shingles, tile_rows)
+    return found
+
+
+def _classes(
+    docs: DataFrame, size: int, num: int, den: int, tile_shingles: int, tile_rows: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """What `shingle_classes` returns, and the tables that it reads; others are dropped."""
     frequent = frequent_shingles(docs, size)
-    sets = written(_sets(docs, size, num, den, frequent), "shingle-sets")
-    keyed = written(_shared_keys(sets), "shared-keys")
+    every = written(_sets(docs, size, num, den, frequent), "shingle-sets")  # keys take most of it
+    keyed = _shared_keys(every)
+    sets = written(every.drop("keys"), "shingle-sketches")
+    dropped(every)
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     shared = written(shared.where("least < most").select("key", "least"), "least-nodes")
     ties = keyed.join(shared, "key").where("node <> least").selectExpr("node AS a", "least AS b")
-    classes = components(ties).withColumnRenamed("component", "class")
+    classes = components(ties)
+    dropped(keyed, shared)
     nodes = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")
     )
-    members = written(nodes.join(classes, "node"), "class-members")
-    members = _tiled(members, tile_shingles, tile_rows)
+    untiled = written(nodes.join(classes.withColumnRenamed("component", "class"), "node"), "class-members")
+    members = _tiled(untiled, tile_shingles, tile_rows)
+    dropped(classes, untiled)
     wide = members.where("tiles > 1")
     if not wide.isEmpty():
-        finer = written(_cut_by_sketches(written(wide, "wide-members"), sets, num, den), "class-members")
-        finer = _tiled(finer, tile_shingles, tile_rows)
-        members = written(members.where("tiles = 1").unionByName(finer), "tile-members")
+        wide = written(wide, "wide-members")
+        cut = _cut_by_sketches(wide, sets, num, den)
+        finer = _tiled(cut, tile_shingles, tile_rows)
+        narrow, members = members, written(members.where("tiles = 1").unionByName(finer), "tile-members")
+        dropped(wide, cut, finer, narrow)
     texts = written(
         docs.join(broadcast_if_small(members, MEMBERS_BROADCAST), "doc_id")
         .select("class", "tiles", "node", "n_shingles", "text"),
         "tile-texts",
     )
-    links = _links(texts, tile_shingles, tile_rows, num, den, size)
-    found = nodes.join(components(links), "node", "left").select(
+    linked = _linked(texts, tile_shingles, tile_rows, num, den, size)
+    dropped(texts, members)
+    found = nodes.join(linked, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"), "doc_id"
     )
     found = written(found, "node-components")
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(found.join(least, "component").select("node", "component_id"), "named-nodes")
+    dropped(linked, found)
+    sketched, sets = sets, written(sets.drop("sketch"), "shingle-counts")
+    dropped(sketched)
     full = sets.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(named, "node", "left")
     full = full.select(
         "doc_id", "n_shingles", "node",
@@ -596,15 +635,22 @@ def shingle_classes(
     blank = sets.where("n_shingles = 0").select(
         "doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")
     )
-    return full.union(blank)
+    return full.union(blank), [sets, named]
 
 
-def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each_class(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90,
+    den: int = 100, tile_shingles: int = TILE_SHINGLES, tile_rows: int = TILE_ROWS,
+) -> DataFrame:
     """The documents whose id is the least of their class, and those without an id, with all
     columns. Of documents that share an id none goes unless all are copies of others."""
-    found = shingle_classes(docs, id_col, text_col, **options).where("doc_id IS NOT NULL")
-    gone = found.groupBy("doc_id").agg(F.min(F.expr("doc_id <> component_id")).alias("all_copies"))
-    gone = written(gone.where("all_copies").select(F.col("doc_id").alias("__gone")), "gone")
+    with shuffles_go(docs.sparkSession):
+        found, tables = _classes(id_text(docs, id_col, text_col), size, num, den, tile_shingles, tile_rows)
+        gone = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.min(F.expr("doc_id <> component_id")).alias("all_copies")
+        )
+        gone = written(gone.where("all_copies").select(F.col("doc_id").alias("__gone")), "gone")
+        dropped(*tables)
     return docs.join(
         broadcast_if_small(gone, MEMBERS_BROADCAST),
         F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti",

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.llm.common import as_texts, id_text, slices
-from gridwarden.session import broadcast_if_small, written
+from gridwarden.session import broadcast_if_small, dropped, written
 
 Z = 2.5
 MIN_TOXIC = 5
@@ -434,6 +434,7 @@ def fit(
     single = written(single.select("doc_id", "toxic").distinct(), "labelled-ids")
     sizes = {r.toxic: r["count"] for r in single.groupBy("toxic").count().collect()}
     if not sizes:
+        dropped(labelled, seen, single)
         return Model(costs)
     ids = broadcast_if_small(single, BROADCAST_ROWS)
     rows = labelled.join(ids, ["doc_id", "toxic"])
@@ -524,6 +525,7 @@ def fit(
     sums = score(rows, model).select("doc_id", F.round("total", 1).alias("x"))
     counts = sums.join(ids, "doc_id").groupBy("x", "toxic").count().collect()
     model.slope, model.offset = _curve([(r.x, r.toxic, r["count"]) for r in counts])
+    dropped(labelled, seen, single, rows, toxic)
     return model
 
 

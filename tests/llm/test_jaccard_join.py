@@ -2,14 +2,18 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from gridwarden.llm import components as components_module
 from gridwarden.llm import jaccard_join
 from gridwarden.llm.jaccard_join import Bands, shingle_classes
+from gridwarden.session import SHUFFLES_GO, scratch_root
 
 SCHEMA = "doc_id long, text string, node string"
 
@@ -152,3 +156,22 @@ def test_sketches_connect_all_links(seed, n, num):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= num * (sizes[i] + sizes[j] - both):
                 assert group[i] == group[j]
+
+
+def test_scratch_tables_go(spark, monkeypatch):
+    """What is left in the shared folder is what the result reads."""
+    folder = Path(scratch_root(spark).removeprefix("file:")) / "gridwarden"
+    monkeypatch.setattr(components_module, "ONE_TASK", 3)
+    setting = spark.conf.get(SHUFFLES_GO, None)
+    before = set(folder.glob("*"))
+    edges = [(i, i + 1) for i in range(0, 40)] + [(i, i + 1) for i in range(100, 120)]
+    found = components_module.components(spark.createDataFrame(edges, "a long, b long"))
+    left = set(folder.glob("*")) - before
+    assert [p.name.split("-")[0] for p in left] == ["components"]
+    assert Counter(r.component for r in found.collect()) == {0: 41, 100: 21}
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} end{i % 5} {i // 20}", "") for i in range(40)] + [(77, "other", "")]
+    kept = jaccard_join.one_of_each_class(spark.createDataFrame(rows, SCHEMA), size=3, num=80, tile_rows=4)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 77]
+    assert [p.name.split("-")[0] for p in set(folder.glob("*")) - before - left] == ["gone"]
+    assert spark.conf.get(SHUFFLES_GO, None) == setting
