@@ -169,6 +169,7 @@ def test_scratch_tables_go(spark, monkeypatch):
     left = set(folder.glob("*")) - before
     assert [p.name.split("-")[0] for p in left] == ["components"]
     assert Counter(r.component for r in found.collect()) == {0: 41, 100: 21}
+    monkeypatch.undo()
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(i, f"{text} end{i % 5} {i // 20}", "") for i in range(40)] + [(77, "other", "")]
     kept = jaccard_join.one_of_each_class(spark.createDataFrame(rows, SCHEMA), size=3, num=80, tile_rows=4)
